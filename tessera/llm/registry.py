@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .mixing import op1_mix_sources
+from .quality import op4_quality_rules
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op4_quality_rules": op4_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
