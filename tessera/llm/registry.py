@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .mixing import op1_mix_sources
+from .packing import op6_pack_hilbert
 from .quality import op4_quality_rules
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op4_quality_rules": op4_quality_rules,
+    "op6_pack_hilbert": op6_pack_hilbert,
 }
 
 ORACLES: dict[str, str] = {}
