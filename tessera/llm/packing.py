@@ -73,35 +73,88 @@ def projection() -> np.ndarray:
 class WordEncoder:
     """Ids of texts by way of their words: this tokenizer drops white space and never joins over it.
 
-    `special`: strings of special tokens in a text become those tokens, as the library does by default.
-
-    The ids of words are kept up to `room` words, then forgotten and computed anew.
+    The ids of up to about twice `room` words are kept, those used last. New words that are
+    letters and then perhaps stops go to the tokenizer many at a time, as one text: each run of
+    letters ends in the one token that closes a word, by which the ids are told apart.
+    `special`: strings of special tokens in a text become those tokens, as is the library's default.
     """
 
-    def __init__(self, path: str, room: int = 200_000, special: bool = True):
+    STOPS = ".,;:!?"
+
+    def __init__(self, path: str, room: int = 250_000, special: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         self.room = room
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(65536, dtype=bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _plain(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        pending = iter(words)
+        while some := list(islice(pending, 20_000)):
+            out += [np.array(x.ids, dtype="<u2").tobytes() for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return out
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u2")
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * 2
+            if len(ends) != len(some):
+                out += self._plain(some)
+                continue
+            raw, start = ids.tobytes(), 0
+            for end in ends.tolist():
+                out.append(raw[start:end])
+                start = end
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        letters: dict[str, list[tuple[str, str]]] = {}
+        others = []
+        for word in words:
+            core = word.rstrip(self.STOPS)
+            if core.isalpha() and "\u03a3" not in core:
+                letters.setdefault(core.lower(), []).append((word, word[len(core) :]))
+            else:
+                others.append(word)
+        tails = {tail for pairs in letters.values() for _, tail in pairs if tail}
+        closing = dict(zip(tails, self._plain(list(tails)), strict=True)) | {"": b""}
+        for coded, pairs in zip(self._letters(list(letters)), letters.values(), strict=True):
+            for word, tail in pairs:
+                self.known[word] = coded + closing[tail]
+        self.known.update(zip(others, self._plain(others), strict=True))
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Little-endian 16-bit ids of each text, each closed by `end`."""
-        split = [t.split(" ") if "\n" not in t else t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(fresh) > self.room:
-            self.known.clear()
-            fresh = list({w for words in split for w in words})
-        pending = iter(fresh)
-        while some := list(islice(pending, 20_000)):
-            for word, coded in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(coded.ids, dtype="<u2").tobytes()
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > self.room:
+            self.older, self.known = self.known, {}
+        fresh = set().union(*split).difference(self.known)
+        for word in fresh & self.older.keys():
+            self.known[word] = self.older[word]
+        self._learn(fresh - self.known.keys())
         closing = np.array([end], dtype="<u2").tobytes()
         look = self.known.__getitem__
         return [b"".join(map(look, words)) + closing for words in split]
 
 
+def worker_encoder(path: str) -> WordEncoder:
+    """One encoder for each Python worker: tasks that follow each other there share its words."""
+    import sys
+
+    encoders = sys.__dict__.setdefault("_tessera_encoders", {})
+    if path not in encoders:
+        encoders[path] = WordEncoder(path)
+    return encoders[path]
+
+
 def _vectors(flat: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """Each document's hashed, normalised id vector."""
     owner = np.repeat(np.arange(n), np.diff(np.append(starts, len(flat))))
@@ -118,7 +171,7 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
     basis = projection()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = worker_encoder(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
