@@ -5,9 +5,11 @@ from __future__ import annotations
 from .mixing import op1_mix_sources
 from .packing import op6_pack_hilbert
 from .quality import op4_quality_rules
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_toxicity": op2_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op6_pack_hilbert": op6_pack_hilbert,
 }
