@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from .chat import OP9_SQL, op9_chat_snapshots
 from .mixing import op1_mix_sources
 from .packing import op6_pack_hilbert
 from .quality import op4_quality_rules
+from .sharding import op8_tiered_shards
+from .token_trees import op3_token_trees
 from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_toxicity": op2_toxicity,
+    "op3_token_trees": op3_token_trees,
     "op4_quality_rules": op4_quality_rules,
     "op6_pack_hilbert": op6_pack_hilbert,
+    "op8_tiered_shards": op8_tiered_shards,
+    "op9_chat_snapshots": op9_chat_snapshots,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_chat_snapshots": OP9_SQL,
+}
