@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP9_SQL, op9_chat_snapshots
+from .embeddings import OP7_SQL, op7_embedding_dedup
 from .mixing import op1_mix_sources
 from .packing import op6_pack_hilbert
 from .quality import op4_quality_rules
@@ -16,10 +17,12 @@ QUERIES = {
     "op3_token_trees": op3_token_trees,
     "op4_quality_rules": op4_quality_rules,
     "op6_pack_hilbert": op6_pack_hilbert,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_tiered_shards": op8_tiered_shards,
     "op9_chat_snapshots": op9_chat_snapshots,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_embedding_dedup": OP7_SQL,
     "op9_chat_snapshots": OP9_SQL,
 }
