@@ -9,6 +9,7 @@ cut every `capacity` tokens. Only the last sequence can need padding.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -70,18 +71,23 @@ def projection() -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(7).normal(size=(HASHED, DIMENSIONS)))[0]
 
 
+#: With marks that combine, or letters whose lower case has such a mark or depends on its place,
+#: letters do not turn to lower case one by one; such texts go to the tokenizer as they are.
+UNUSUAL = re.compile("[\u0130\u0300-\u036f\u03a3]")
+
+
 class WordEncoder:
     """Ids of texts by way of their words: this tokenizer drops white space and never joins over it.
 
     The ids of up to about twice `room` words are kept, those used last. New words that are
-    letters and then perhaps stops go to the tokenizer many at a time, as one text: each run of
+    letters, then perhaps stops, go to the tokenizer many at a time, as one text: each run of
     letters ends in the one token that closes a word, by which the ids are told apart.
     `special`: strings of special tokens in a text become those tokens, as is the library's default.
     """
 
     STOPS = ".,;:!?"
 
-    def __init__(self, path: str, room: int = 250_000, special: bool = True):
+    def __init__(self, path: str, room: int = 400_000, special: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -116,33 +122,34 @@ class WordEncoder:
         return out
 
     def _learn(self, words: set[str]) -> None:
-        letters: dict[str, list[tuple[str, str]]] = {}
-        others = []
-        for word in words:
-            core = word.rstrip(self.STOPS)
-            if core.isalpha() and "\u03a3" not in core:
-                letters.setdefault(core.lower(), []).append((word, word[len(core) :]))
-            else:
-                others.append(word)
-        tails = {tail for pairs in letters.values() for _, tail in pairs if tail}
-        closing = dict(zip(tails, self._plain(list(tails)), strict=True)) | {"": b""}
-        for coded, pairs in zip(self._letters(list(letters)), letters.values(), strict=True):
-            for word, tail in pairs:
-                self.known[word] = coded + closing[tail]
-        self.known.update(zip(others, self._plain(others), strict=True))
+        """Make all of `words` known: from what was known before, from their letters and stops, or anew."""
+        older, known = self.older, self.known
+        if older:
+            again = words & older.keys()
+            known.update(zip(again, map(older.__getitem__, again), strict=True))
+            words = words - again
+        letters = list(filter(str.isalpha, words))
+        others = [w for w in words.difference(letters) if w]
+        cores = [w.rstrip(self.STOPS) for w in others]
+        stopped = [(w, c, w[len(c) :]) for w, c in zip(others, cores, strict=True) if c.isalpha()]
+        letters += list({c for _, c, _ in stopped}.difference(known, letters))
+        known.update(zip(letters, self._letters(letters), strict=True))
+        tails = {t for _, _, t in stopped if t}
+        plain = [w for w, c in zip(others, cores, strict=True) if not c.isalpha()] + list(tails.difference(known))
+        known.update(zip(plain, self._plain(plain), strict=True))
+        known.update([(w, known[c] + known[t]) for w, c, t in stopped])
+        known[""] = b""
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Little-endian 16-bit ids of each text, each closed by `end`."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        closing = np.array([end], dtype="<u2").tobytes()
+        usual = [not UNUSUAL.search(t) for t in texts]
+        split = [t.lower().replace("\n", " ").split(" ") if ok else () for t, ok in zip(texts, usual, strict=True)]
         if len(self.known) > self.room:
             self.older, self.known = self.known, {}
-        fresh = set().union(*split).difference(self.known)
-        for word in fresh & self.older.keys():
-            self.known[word] = self.older[word]
-        self._learn(fresh - self.known.keys())
-        closing = np.array([end], dtype="<u2").tobytes()
+        self._learn(set().union(*split).difference(self.known))
         look = self.known.__getitem__
-        return [b"".join(map(look, words)) + closing for words in split]
+        return [(b"".join(map(look, words)) if ok else self._plain([t])[0]) + closing for t, words, ok in zip(texts, split, usual, strict=True)]
 
 
 def worker_encoder(path: str) -> WordEncoder:
@@ -173,8 +180,8 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
                 ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()], end)
                 lengths = np.array([len(x) // 2 for x in ids], dtype=np.int64)
                 flat = np.frombuffer(b"".join(ids), dtype="<u2").astype(np.int64)
