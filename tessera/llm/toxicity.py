@@ -5,8 +5,9 @@ words of the labelled documents, with its count in either class. All that interp
 needs follows from that table: discounts, contexts' totals, and the continuation counts, which
 both classes share, so that an expression that is rare in one class is not held against it.
 
-The models reach the tasks as arrays whose length is a parameter (words and pairs share cells by
-hash), whatever the size of the corpus; counts cover all labelled rows. A document's score is
+What the models keep reaches the tasks with the function, by cells whose number is a parameter
+(words and pairs share cells by hash), whatever the size of the corpus; counts cover all labelled
+rows. A document's score is
 a logistic function of the mean over its words of the difference between the two
 log-likelihoods, fitted on labelled documents that were kept out of the counts.
 """
@@ -127,22 +128,42 @@ class Counts:
         return {c: F.greatest(F.col(c) * self.scales[c] - self.margin * mean - slack, F.lit(0.0)).alias(f"kept_{c}") for c in CLASSES}
 
     def model(self, discount: float) -> dict[str, np.ndarray]:
-        """Arrays by cell of a word or of a pair: 2**WORD_BITS and 2**PAIR_BITS long."""
+        """What the models keep, by cells: of words, of contexts, of pairs; no more than the cells there are.
+
+        Of a word that no class keeps anything of, both give the shared estimate times a
+        constant, so its value does not matter to their ratio and is not sent.
+        """
         excess = self._excess(discount).values()
         kept = self.pairs.select("pair", *excess).where("kept_ordinary > 0 or kept_toxic > 0")
         by_word = self.words.select("at", *excess).toPandas()
         by_context = kept.groupBy(F.shiftright("pair", WORD_BITS).alias("at")).agg(*[F.sum(f"kept_{c}").alias(f"kept_{c}") for c in CLASSES]).toPandas()
+        ending = kept.select(F.col("pair").bitwiseAND(2**WORD_BITS - 1).alias("at")).distinct().toPandas()
         by_cell = _by_cell(kept).toPandas()
-        out = {}
+        at = lambda frame: frame["at"].to_numpy(dtype=np.int64)
+        words = np.union1d(at(by_word), at(ending))
+        out = {"words": words, "contexts": at(by_context), "pairs": at(by_cell)}
         for c in CLASSES:
-            words = _spread(by_word, f"kept_{c}")
-            out[f"word_{c}"] = ((words + (self.total - words.sum()) * self.shared) / self.total).astype(np.float32)
-            out[f"context_{c}"] = self.contexts[c].astype(np.float32)
-            out[f"weight_{c}"] = (1 - _spread(by_context, f"kept_{c}") / self.contexts[c]).astype(np.float32)
-            out[f"pair_{c}"] = _spread(by_cell, f"kept_{c}", 2**PAIR_BITS).astype(np.float32)
+            direct = _spread(by_word, f"kept_{c}")
+            rest = (self.total - direct.sum()) / self.total
+            out[f"rest_{c}"] = np.array([rest])
+            out[f"word_{c}"] = (direct / self.total + rest * self.shared)[words].astype(np.float32)
+            contexts = self.contexts[c][out["contexts"]]
+            out[f"context_{c}"] = contexts.astype(np.float32)
+            out[f"weight_{c}"] = (1 - by_context[f"kept_{c}"].to_numpy(dtype=float) / contexts).astype(np.float32)
+            out[f"pair_{c}"] = by_cell[f"kept_{c}"].to_numpy(dtype=np.float32)
         return out
 
 
+def _unpacked(model: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Arrays over all cells."""
+    out = {}
+    for c in CLASSES:
+        for name, keys, size, fill in (("word", "words", WORD_BITS, model[f"rest_{c}"][0] * 1e-6), ("context", "contexts", WORD_BITS, 1), ("weight", "contexts", WORD_BITS, 1), ("pair", "pairs", PAIR_BITS, 0)):
+            out[f"{name}_{c}"] = np.full(2**size, fill, dtype=np.float32)
+            out[f"{name}_{c}"][model[keys]] = model[f"{name}_{c}"]
+    return out
+
+
 def _likelihood(model: dict[str, np.ndarray], c: str, cell: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
     direct = model[f"pair_{c}"][cell] / model[f"context_{c}"][context]
     return np.log(direct + model[f"weight_{c}"][context] * model[f"word_{c}"][word])
@@ -155,15 +176,15 @@ def pair_cell(pair: np.ndarray) -> np.ndarray:
 def likelihood_ratios(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
     """`keep`, n (distinct pairs) and ratio: their mean of log P(toxic) - log P(ordinary); 0 without words."""
     rows = docs.select(*keep, word_cells(F.col("text")).alias("cells"))
-    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = _unpacked(model)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 owner, pair = _pairs(*_flat(batch.column("cells")))
                 cell, context, word = pair_cell(pair), pair >> WORD_BITS, pair & (2**WORD_BITS - 1)
-                gap = _likelihood(sent.value, "toxic", cell, context, word) - _likelihood(sent.value, "ordinary", cell, context, word)
+                gap = _likelihood(arrays, "toxic", cell, context, word) - _likelihood(arrays, "ordinary", cell, context, word)
                 n = np.bincount(owner, minlength=batch.num_rows)
                 mean = np.bincount(owner, weights=gap, minlength=batch.num_rows) / np.maximum(n, 1)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(n.astype(np.int64)), pa.array(mean)], names=[*keep, "n", "ratio"])
