@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,14 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
+    def cut_and_release(self, df: DataFrame) -> DataFrame:
+        """`cut`, after which Spark may drop the shuffle files of what led to it: its cleaner follows the JVM's collector."""
+        out = self.cut(df)
+        del df
+        gc.collect()
+        self.spark._jvm.System.gc()
+        return out
+
     def _remove(self, path: str) -> None:
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)

@@ -10,6 +10,7 @@ from .packing import op6_pack_hilbert
 from .quality import op4_quality_rules
 from .sharding import op8_tiered_shards
 from .token_trees import op3_token_trees
+from .suffix_dedup import op5_suffix_dedup
 from .toxicity import op2_toxicity
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_token_trees": op3_token_trees,
     "op4_quality_rules": op4_quality_rules,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_pack_hilbert": op6_pack_hilbert,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_tiered_shards": op8_tiered_shards,
