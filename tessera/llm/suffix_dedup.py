@@ -359,7 +359,10 @@ def merged_strings(runs: DataFrame) -> DataFrame:
 
 
 def cut_spans(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep`, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), for rows of text and spans (start, strings)."""
+    """`keep`, n_bytes, n_removed, n_spans, kept_sha256, kept_text, for rows of text and spans (start, strings).
+
+    The hash is of the bytes that are left; the text leaves out those cut off from their character.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -380,24 +383,23 @@ def cut_spans(rows: DataFrame, keep: list[str]) -> DataFrame:
                         done = max(done, end)
                     kept.append(text[done:])
                     rest = b"".join(kept)
-                    out.append((len(text), removed, n, hashlib.sha256(rest).hexdigest(), rest))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                    out.append((len(text), removed, n, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 columns = [pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], type=t) for t in types]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select(*keep, "text", "spans").mapInArrow(run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.select(*keep, "text", "spans").mapInArrow(run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), run_size: int = 150_000, bin_size: int = 60_000, sample_docs: int = 400) -> DataFrame:
-    """`keep` (doc_id among them), n_bytes, n_removed, n_spans, kept_sha256, kept, for every row of `docs` (doc_id, text).
+    """`keep` (doc_id among them), n_bytes, n_removed, n_spans, kept_sha256, kept_text, for every row of `docs` (doc_id, text).
 
     Every byte that a 100-byte string covers which also starts earlier - in a smaller doc_id, or
     before in the same text - goes; strings are those of the input, and never cross documents.
     Null text is empty; texts under 100 bytes stay whole. Rows that repeat a doc_id are one
-    document and get one result each. Rows without a doc_id stay whole and remove nothing. What is
-    left need not be whole UTF-8, as matches are of bytes. An empty table gives an empty
-    result; other columns are ignored. The documents whose text gives the splitters of the sort
+    document and get one result each. Rows without a doc_id stay whole and remove nothing. An
+    empty table gives an empty result; other columns are ignored. The documents whose text gives the splitters of the sort
     are at most `sample_docs`; they balance the bins and do not change the result.
     """
     scratch = Scratch(spark)
@@ -419,4 +421,4 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, keep: tuple[str, ...
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark, documents(spark, sf_dir)).drop("kept")
+    return remove_repeats(spark, documents(spark, sf_dir)).drop("kept_text")
