@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,6 +22,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-@query("a1_counts_by_fields", "SELECT concat_ws(' | ', lang, source) AS label, count(*) AS n FROM documents GROUP BY 1")
-def counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.concat_ws(" | ", "lang", "source").alias("label")).agg(F.count("*").alias("n"))
+from . import curation_queries, fact_queries, telemetry_queries  # noqa: E402, F401  they register themselves
