@@ -89,10 +89,10 @@ def _by_cell(kept: DataFrame) -> DataFrame:
     return cells.groupBy("at").agg(F.sum("kept_ordinary").alias("kept_ordinary"), F.sum("kept_toxic").alias("kept_toxic"))
 
 
-def _spread(frame, column: str, size: int = 2**WORD_BITS) -> np.ndarray:
-    out = np.zeros(size)
-    out[frame["at"].to_numpy(dtype=np.int64)] = frame[column]
-    return out
+def _columns(df: DataFrame) -> dict[str, np.ndarray]:
+    """A table of no more rows than there are cells, by column."""
+    table = df.toArrow()
+    return {name: table.column(name).to_numpy() for name in table.column_names}
 
 
 class Counts:
@@ -113,14 +113,13 @@ class Counts:
         self.scales = {c: max(1, min(totals)) / max(1, n) for c, n in zip(CLASSES, totals, strict=True)}
         self.total = min(totals) + 1
         sums = [F.sum(c).alias(c) for c in CLASSES]
-        words = scratch.cut(pairs.groupBy(F.col("pair").bitwiseAND(2**WORD_BITS - 1).alias("at")).agg(F.count("*").alias("contexts"), *sums))
-        contexts = pairs.groupBy(F.shiftright("pair", WORD_BITS).alias("at")).agg(*sums).toPandas()
-        shared = _spread(words.select("at", "contexts").toPandas(), "contexts") + 0.5
-        self.shared = shared / shared.sum()
-        self.contexts = {c: _spread(contexts, c) * self.scales[c] + 1 for c in CLASSES}
+        words = scratch.cut(pairs.groupBy(F.col("pair").bitwiseAND(2**WORD_BITS - 1).alias("at")).agg(F.count("*").alias("continuations"), *sums))
+        self.mass = (words.agg(F.sum("continuations")).first()[0] or 0) + 0.5 * 2**WORD_BITS
+        self.words = words
+        self.contexts = scratch.cut(pairs.groupBy(F.shiftright("pair", WORD_BITS).alias("at")).agg(*sums))
         # What the least discount leaves nothing of, no other does.
-        self.words, self.pairs = (scratch.cut(t.where(sum(self._excess(least_discount).values(), F.lit(0.0)) > 0)) for t in (words, pairs))
-        scratch.free(pairs, words)
+        self.pairs = scratch.cut(pairs.where(sum(self._excess(least_discount).values(), F.lit(0.0)) > 0))
+        scratch.free(pairs)
 
     def _excess(self, discount: float) -> dict:
         mean = sum((F.col(c) * self.scales[c] for c in CLASSES), F.lit(0.0)) / 2
@@ -135,22 +134,23 @@ class Counts:
         """
         excess = self._excess(discount).values()
         kept = self.pairs.select("pair", *excess).where("kept_ordinary > 0 or kept_toxic > 0")
-        by_word = self.words.select("at", *excess).toPandas()
-        by_context = kept.groupBy(F.shiftright("pair", WORD_BITS).alias("at")).agg(*[F.sum(f"kept_{c}").alias(f"kept_{c}") for c in CLASSES]).toPandas()
-        ending = kept.select(F.col("pair").bitwiseAND(2**WORD_BITS - 1).alias("at")).distinct().toPandas()
-        by_cell = _by_cell(kept).toPandas()
-        at = lambda frame: frame["at"].to_numpy(dtype=np.int64)
-        words = np.union1d(at(by_word), at(ending))
-        out = {"words": words, "contexts": at(by_context), "pairs": at(by_cell)}
+        sums = [F.sum(f"kept_{c}").alias(f"kept_{c}") for c in CLASSES]
+        by_context = _columns(kept.groupBy(F.shiftright("pair", WORD_BITS).alias("at")).agg(*sums).join(self.contexts, "at"))
+        ending = kept.select(F.col("pair").bitwiseAND(2**WORD_BITS - 1).alias("at"), F.lit(True).alias("ends")).distinct()
+        words = self.words.select("at", "continuations", *excess)
+        by_word = _columns(words.join(ending, "at", "left").where("ends or kept_ordinary > 0 or kept_toxic > 0").drop("ends"))
+        by_cell = _columns(_by_cell(kept))
+        shared = (by_word["continuations"] + 0.5) / self.mass
+        out = {"words": by_word["at"], "contexts": by_context["at"], "pairs": by_cell["at"]}
         for c in CLASSES:
-            direct = _spread(by_word, f"kept_{c}")
+            direct = by_word[f"kept_{c}"]
             rest = (self.total - direct.sum()) / self.total
             out[f"rest_{c}"] = np.array([rest])
-            out[f"word_{c}"] = (direct / self.total + rest * self.shared)[words].astype(np.float32)
-            contexts = self.contexts[c][out["contexts"]]
+            out[f"word_{c}"] = (direct / self.total + rest * shared).astype(np.float32)
+            contexts = by_context[c] * self.scales[c] + 1
             out[f"context_{c}"] = contexts.astype(np.float32)
-            out[f"weight_{c}"] = (1 - by_context[f"kept_{c}"].to_numpy(dtype=float) / contexts).astype(np.float32)
-            out[f"pair_{c}"] = by_cell[f"kept_{c}"].to_numpy(dtype=np.float32)
+            out[f"weight_{c}"] = (1 - by_context[f"kept_{c}"] / contexts).astype(np.float32)
+            out[f"pair_{c}"] = by_cell[f"kept_{c}"].astype(np.float32)
         return out
 
 
@@ -239,8 +239,8 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, k
     best = None
     for discount in discounts:
         model = counts.model(discount)
-        sample = likelihood_ratios(chosen, model, ["toxic"]).where("n > 0").select("n", "ratio", "toxic").toPandas()
-        fit = fit_logistic(lengths_taken_out(sample["ratio"].to_numpy(dtype=float), sample["n"].to_numpy(dtype=float)), sample["toxic"].to_numpy(dtype=float))
+        sample = _columns(likelihood_ratios(chosen, model, ["toxic"]).where("n > 0").select("n", "ratio", "toxic"))
+        fit = fit_logistic(lengths_taken_out(sample["ratio"], sample["n"]), sample["toxic"].astype(float))
         if best is None or fit[2] < best[1][2]:
             best = model, fit
     model, (weights, offset, _) = best
