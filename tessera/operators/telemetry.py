@@ -65,7 +65,7 @@ def run_progress(events: DataFrame, *, item: str, at: str, done: Column) -> Data
 def session_delta(now: DataFrame, base: DataFrame, *, least_new: int = 10) -> DataFrame:
     """new_items since the base snapshot, hours, and a rate that is given only from `least_new` new items on."""
     both = now.crossJoin(base)  # one row each
-    out = both.select((F.col("items") - F.col("base_items")).alias("new_items"), (F.expr("timestampdiff(SECOND, base_at, at)") / 3600).alias("hours"))
+    out = both.select((F.col("items") - F.col("base_items")).alias("new_items"), (F.expr("timestampdiff(MICROSECOND, base_at, at)") / 3.6e9).alias("hours"))
     return out.withColumn("per_hour", F.when(F.col("new_items") >= least_new, F.round(F.try_divide("new_items", "hours"), 6)))
 
 
@@ -77,7 +77,7 @@ def last_per_category(rows: DataFrame, category: list[str], order: str, n: int)
 
 def lease_reusable(state: Column, created: Column, expires: Column, now: Column, *, pending_minutes: int = 15, margin_minutes: int = 120) -> Column:
     """Active leases that last beyond the margin, and pending ones that are young."""
-    minutes = lambda a, b: F.timestamp_diff("SECOND", a, b) / 60
+    minutes = lambda a, b: F.timestamp_diff("MICROSECOND", a, b) / 6e7
     active = (state == "active") & (minutes(now, expires) > margin_minutes)
     pending = (state == "pending") & (minutes(created, now) <= pending_minutes)
     return F.coalesce(active | pending, F.lit(False))

@@ -261,14 +261,14 @@ def n4(spark, sf):
 @query(
     "n6_opportunities",
     f"""WITH v AS (SELECT DISTINCT l_orderkey FROM lineitem), e AS (SELECT l_orderkey, leaf FROM v, unnest({NAMES}) AS x(leaf)),
-             r AS (SELECT l_orderkey, {NAMES}[l_linenumber] AS leaf, l_discount > 0.03 AND l_returnflag <> 'R' AS ok FROM lineitem WHERE l_linenumber <= 8 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1)
+             r AS (SELECT l_orderkey, {NAMES}[l_linenumber] AS leaf, l_discount > 0.03 AND l_returnflag <> 'R' AS ok FROM lineitem WHERE l_linenumber <= 8 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_discount, l_returnflag, l_quantity) = 1)
         SELECT l_orderkey AS video, leaf, coalesce(ok, false) AS constructible, CASE WHEN coalesce(ok, false) THEN 'seen' ELSE '' END AS anchor FROM e LEFT JOIN r USING (l_orderkey, leaf)""",
 )
 def n6(spark, sf):
     from ..operators.curation import keep_first
 
     names = F.array(*[F.lit(x[1]) for x in facts.LEAVES])
-    lines = keep_first(table(spark, sf, "lineitem").where("l_linenumber <= 8"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"])
+    lines = keep_first(table(spark, sf, "lineitem").where("l_linenumber <= 8"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_discount", "l_returnflag", "l_quantity"])
     interval = F.array(F.struct(F.lit(0.0).alias("start_sec"), F.col("l_quantity").alias("end_sec")))
     rows = lines.select(F.col("l_orderkey").alias("video"), F.element_at(names, F.col("l_linenumber")).alias("leaf"), F.when(F.col("l_discount") > 0.03, interval).alias("intervals"), F.when(F.col("l_returnflag") != "R", "seen").otherwise(" ").alias("anchor"))
     return facts.normalize_opportunities(rows, "video").select("video", "leaf", "constructible", "anchor")

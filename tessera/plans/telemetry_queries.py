@@ -74,7 +74,7 @@ def a13(spark, sf):
 @query(
     "a14_session_delta",
     """WITH n AS (SELECT count(*) AS items, max(ts) AS at FROM events), b AS (SELECT count(*) AS items, max(ts) AS at FROM events WHERE ts < TIMESTAMP '2024-01-15'),
-            d AS (SELECT n.items - b.items AS new_items, date_diff('second', b.at, n.at) / 3600.0 AS hours FROM n, b)
+            d AS (SELECT n.items - b.items AS new_items, date_diff('microsecond', b.at, n.at) / 3.6e9 AS hours FROM n, b)
        SELECT new_items, hours, CASE WHEN new_items >= 10 THEN round(new_items / hours, 6) END AS per_hour FROM d""",
 )
 def a14(spark, sf):
@@ -100,7 +100,7 @@ def w12(spark, sf):
 
 @query(
     "f17_lease_reusable",
-    "SELECT event_id, (event_type = 'view' AND date_diff('second', TIMESTAMP '2024-01-15', ts) / 60.0 > 120) OR (event_type = 'click' AND date_diff('second', ts, TIMESTAMP '2024-01-15') / 60.0 <= 15) AS reusable FROM events",
+    "SELECT event_id, (event_type = 'view' AND date_diff('microsecond', TIMESTAMP '2024-01-15', ts) / 6e7 > 120) OR (event_type = 'click' AND date_diff('microsecond', ts, TIMESTAMP '2024-01-15') / 6e7 <= 15) AS reusable FROM events",
 )
 def f17(spark, sf):
     kind = F.when(F.col("event_type") == "view", "active").when(F.col("event_type") == "click", "pending").otherwise("gone")
@@ -111,7 +111,7 @@ def f17(spark, sf):
 @query(
     "t5_lease_claims",
     """WITH s AS (SELECT user_id, max(event_id) AS e, min(ts) AS c, max(ts) AS x FROM events WHERE event_type = 'view' GROUP BY 1)
-       SELECT user_id AS lease_id, date_diff('second', TIMESTAMP '2024-01-29', x) / 60.0 > 120 AS reused FROM s""",
+       SELECT user_id AS lease_id, date_diff('microsecond', TIMESTAMP '2024-01-29', x) / 6e7 > 120 AS reused FROM s""",
 )
 def t5(spark, sf):
     held = events(spark, sf).where("event_type = 'view'").groupBy(F.col("user_id").alias("lease_id")).agg(F.lit("active").alias("state"), F.min("ts").alias("created_at"), F.max("ts").alias("expires_at"), F.lit("memory://held").alias("uri"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 
 def _schema(schema: str | StructType) -> StructType:
@@ -50,7 +50,7 @@ def read_json_values(spark: SparkSession, path: str) -> DataFrame:
 
 def read_document_rows(spark: SparkSession, path: str, field: str, schema: str | StructType) -> DataFrame:
     """The rows of a JSON document's array `field`, with `ordinal`, their place in it."""
-    whole = spark.read.schema(StructType().add(field, f"array<{_schema(schema).simpleString()}>")).json(path, multiLine=True)
+    whole = spark.read.schema(StructType().add(field, ArrayType(_schema(schema)))).json(path, multiLine=True)
     return whole.select(F.posexplode(field).alias("ordinal", "r")).select("ordinal", "r.*")
 
 
