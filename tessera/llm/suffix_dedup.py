@@ -135,7 +135,7 @@ def _common(a: bytes, b: bytes, known: int) -> int:
 def front_code(keys: list[bytes]) -> tuple[np.ndarray, bytes, np.ndarray]:
     """(common prefixes with the key before, what follows them, their lengths) of sorted keys of up to 255 bytes."""
     shared = np.zeros(len(keys), dtype=np.uint8)
-    width = max(map(len, keys))
+    width = max(1, *map(len, keys))
     sizes = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys))
     for at in range(0, len(keys), 20_000):
         some = keys[max(0, at - 1) : at + 20_000]
