@@ -216,12 +216,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1
     return b[:-1] / spread, float(b[-1]), float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
 
 
-def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), margin: float = 1.3, discounts: tuple[float, ...] = DISCOUNTS, calibration_rows: int = 20_000) -> DataFrame:
+def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), margin: float = 1.3, discounts: tuple[float, ...] = DISCOUNTS, calibration_rows: int = 20_000, broadcast_rows: int = 1_000_000) -> DataFrame:
     """`keep` (doc_id among them), held_out, score, predicted for every row of `docs`.
 
     `labels` (doc_id, toxic) are learned from only where crc32(doc_id as text) mod 5 is not 0.
     Of these, one part in six (by crc32 / 5) chooses the discount and fits the logistic function,
-    on at most about `calibration_rows` rows, picked by hash; all the rest is counted. Null
+    on at most about `calibration_rows` rows, picked by hash; all the rest is counted. Up to
+    `broadcast_rows` labels (counted first, about 40 bytes each) are broadcast, so that texts
+    stay where they are; more are joined by a shuffle. Null
     labels and doc_ids teach nothing; a label given twice counts once (the larger). Null and
     empty texts have the ratio 0, hence one common score; without labels of both classes all
     scores are 0.5 or the one class's. Scores use the text alone. Rows repeat as they come; an
@@ -231,10 +233,11 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, k
     code = F.crc32(F.col("doc_id").cast("string"))
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = known.where(code % 5 != 0).withColumn("calibrates", F.floor(code / 5) % 6 == 0)
-    labelled = docs.select("doc_id", "text").join(known, "doc_id")
+    n, calibrating = known.agg(F.count("*"), F.count_if("calibrates")).first()
+    labelled = docs.select("doc_id", "text").join(F.broadcast(known) if n <= broadcast_rows else known, "doc_id")
     counts = Counts(scratch, labelled.where("not calibrates").select(word_cells(F.col("text")).alias("cells"), "toxic"), margin, min(discounts))
 
-    share = max(1, -(-known.where("calibrates").count() // calibration_rows))
+    share = max(1, -(-calibrating // calibration_rows))
     chosen = scratch.cut(labelled.where("calibrates").where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text", F.col("toxic").cast("long").alias("toxic")))
     best = None
     for discount in discounts:
