@@ -109,9 +109,10 @@ def connected_components(scratch: Scratch, edges: DataFrame, most_rounds: int =
     Each round is a few aggregates and joins, and their number grows with the logarithm of the
     longest path. Null ends are left out. Hot nodes are met by partial aggregates and split joins.
     """
-    ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null").distinct()
+    ends = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    ends = scratch.cut(ends)
     nodes = scratch.cut(ends.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-    current = scratch.cut(ends.where("u != v"))
+    current = ends.where("u != v")
     state = None
     for _ in range(most_rounds):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
