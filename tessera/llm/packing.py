@@ -72,8 +72,8 @@ def projection() -> np.ndarray:
 
 
 #: With marks that combine, or letters whose lower case has such a mark or depends on its place,
-#: letters do not turn to lower case one by one; such texts go to the tokenizer as they are.
-UNUSUAL = re.compile("[\u0130\u0300-\u036f\u03a3]")
+#: letters do not turn to lower case one by one, and some controls part words in Python alone; such texts go to the tokenizer as they are.
+UNUSUAL = re.compile("[\x1c-\x1f\u0130\u0300-\u036f\u03a3]")
 
 
 class WordEncoder:
@@ -144,7 +144,7 @@ class WordEncoder:
         """Little-endian 16-bit ids of each text, each closed by `end`."""
         closing = np.array([end], dtype="<u2").tobytes()
         usual = [not UNUSUAL.search(t) for t in texts]
-        split = [t.lower().replace("\n", " ").split(" ") if ok else () for t, ok in zip(texts, usual, strict=True)]
+        split = [t.lower().split() if ok else () for t, ok in zip(texts, usual, strict=True)]
         if len(self.known) > self.room:
             self.older, self.known = self.known, {}
         self._learn(set().union(*split).difference(self.known))
