@@ -53,13 +53,10 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
-    def cut_and_release(self, df: DataFrame) -> DataFrame:
-        """`cut`, after which Spark may drop the shuffle files of what led to it: its cleaner follows the JVM's collector."""
-        out = self.cut(df)
-        del df
+    def release(self) -> None:
+        """Let Spark drop the shuffle files of tables that nothing refers to: its cleaner follows the JVM's collector."""
         gc.collect()
         self.spark._jvm.System.gc()
-        return out
 
     def _remove(self, path: str) -> None:
         jvm = self.spark._jvm

@@ -392,6 +392,24 @@ def cut_spans(rows: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "text", "spans").mapInArrow(run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
+def _repeated_tiles(scratch: Scratch, texts: DataFrame) -> DataFrame:
+    """doc_id, tile of the tiles whose anchor's bytes occur twice, by hash."""
+    tiles = tiles_of(texts)
+    twice = tiles.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    return scratch.cut(tiles.join(twice, "gram").select("doc_id", "tile"))
+
+
+def _marked_spans(scratch: Scratch, texts: DataFrame, repeated: DataFrame, run_size: int, bin_size: int, sample_docs: int) -> DataFrame:
+    """doc_id, spans: the runs of strings that start earlier, from the sort of the repeated tiles' suffixes."""
+    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(7)) == 0).limit(sample_docs).select(F.encode("text", "UTF-8")).collect()
+    grams = sorted({t[0][i : i + GRAM] for t in sample for i in range(0, max(0, len(t[0]) - GRAM), 61)})
+    bins = max(1, -(-repeated.count() // bin_size))
+    splitters = {bytes(grams[len(grams) * k // bins]) for k in range(1, bins)} if grams else set()
+    listed = repeated.groupBy("doc_id").agg(F.collect_set("tile").alias("tiles"))
+    spans = merged_strings(sorted_runs(texts.join(listed, "doc_id"), sorted(splitters), run_size))
+    return scratch.cut(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "strings")).alias("spans")))
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), run_size: int = 150_000, bin_size: int = 60_000, sample_docs: int = 400) -> DataFrame:
     """`keep` (doc_id among them), n_bytes, n_removed, n_spans, kept_sha256, kept_text, for every row of `docs` (doc_id, text).
 
@@ -404,20 +422,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, keep: tuple[str, ...
     """
     scratch = Scratch(spark)
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    tiles = tiles_of(texts)
-    twice = tiles.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    repeated = scratch.cut_and_release(tiles.join(twice, "gram").select("doc_id", "tile"))
-    n = repeated.count()
-    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(7)) == 0).limit(sample_docs).select(F.encode("text", "UTF-8")).collect()
-    grams = sorted({t[0][i : i + GRAM] for t in sample for i in range(0, max(0, len(t[0]) - GRAM), 61)})
-    bins = max(1, -(-n // bin_size))
-    splitters = [bytes(grams[len(grams) * k // bins]) for k in range(1, bins)] if grams else []
-    listed = repeated.groupBy("doc_id").agg(F.collect_set("tile").alias("tiles"))
-    runs = sorted_runs(texts.join(listed, "doc_id").dropDuplicates(["doc_id"]), sorted(set(splitters)), run_size)
-    spans = scratch.cut_and_release(merged_strings(runs))
+    repeated = _repeated_tiles(scratch, texts)
+    scratch.release()
+    spans = _marked_spans(scratch, texts, repeated, run_size, bin_size, sample_docs)
     scratch.free(repeated)
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "strings")).alias("spans"))
-    return cut_spans(docs.select(*keep, "text").join(by_doc, "doc_id", "left"), list(keep))
+    scratch.release()
+    return cut_spans(docs.select(*keep, "text").join(spans, "doc_id", "left"), list(keep))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
