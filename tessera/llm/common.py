@@ -20,6 +20,13 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send tasks' Python up to `rows` rows at a time, unless the session says otherwise: texts are long, and memory is shared."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, rows)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,6 +43,7 @@ class Scratch:
     """Tables written to the shared folder to cut lineage; `free` removes one, exit removes the rest."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark = spark
         self.base = f"{scratch_dir(spark)}/tessera-{uuid.uuid4().hex}"
         self.count = 0

@@ -87,7 +87,7 @@ class WordEncoder:
 
     STOPS = ".,;:!?"
 
-    def __init__(self, path: str, room: int = 400_000, special: bool = True):
+    def __init__(self, path: str, room: int = 300_000, special: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -99,6 +99,10 @@ class WordEncoder:
         self.closes = np.zeros(65536, dtype=bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
+    def rest(self) -> None:
+        """Between tasks remember short words only, which come again most."""
+        self.known, self.older = {w: ids for w, ids in self.known.items() if len(w) <= 8}, {}
+
     def _plain(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = []
         pending = iter(words)
@@ -191,6 +195,7 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
                 spread = batch.column("tie").to_numpy(zero_copy_only=False).astype(np.uint64) >> np.uint64(64 - TIE_BITS)
                 key = (hilbert_key(cells, GRID_BITS) << TIE_BITS) | spread.astype(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key), pa.array(lengths), pa.array(ids, type=pa.binary())], names=["doc_id", "key", "n", "ids"])
+        encoder.rest()
 
     return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("tie")).mapInArrow(run, "doc_id long, key long, n long, ids binary")
 

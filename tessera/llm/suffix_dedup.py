@@ -29,7 +29,7 @@ from .packing import mix64
 WINDOW, GRAM = 100, 24
 REACH = WINDOW - GRAM + 1
 #: Bytes that are looked at together; longer texts go by overlapping parts.
-PART = 1 << 22
+PART = 1 << 20
 HASH_MASK = np.uint64((2**64 - 1) ^ (2**24 - 1))
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -38,12 +38,11 @@ def _gram_hashes(raw: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes from every place on (by halves: 1, 2, 4, 8, 16, then 24)."""
     table = mix64(np.arange(1, 257, dtype=np.uint64))
     h = table[raw]
-    held = {1: h}
-    for k, size in enumerate((1, 2, 4, 8)):
+    for k, size in enumerate((1, 2, 4)):
         h = h[:-size] * FACTORS[k] + h[size:]
-        held[2 * size] = h
-    n = len(raw) - GRAM + 1
-    return mix64(held[16][:n] * FACTORS[4] + held[8][16 : 16 + n])
+    eight, n = h, len(raw) - GRAM + 1
+    sixteen = eight[:-8] * FACTORS[3] + eight[8:]
+    return mix64(sixteen[:n] * FACTORS[4] + eight[16 : 16 + n])
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:

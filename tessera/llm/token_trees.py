@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_batches
 
 LEAF = 64
 #: Code points before an edit whose pre-tokens can still change.
@@ -51,6 +51,10 @@ class PieceCounter:
             n = self.older.get(piece)
             self.known[piece] = len(self.encoding.encode_ordinary(piece)) if n is None else n
 
+    def rest(self) -> None:
+        """Between tasks remember short pieces only, which come again most."""
+        self.known, self.older = {w: n for w, n in self.known.items() if len(w) <= 9}, {}
+
     def counts(self, pieces: list[str]) -> np.ndarray:
         self.learn(set(pieces))
         return np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
@@ -170,6 +174,7 @@ def count_with_edits(docs: DataFrame, *, ranks: str | None = None, keep: tuple[s
     result; other columns are ignored.
     """
     path = ranks or ranks_path()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_counter(path)
@@ -192,6 +197,7 @@ def count_with_edits(docs: DataFrame, *, ranks: str | None = None, keep: tuple[s
                 types = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 kept = [batch.column(c) for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, type=t) for c, t in zip(out, types, strict=True)]], names=[*keep, *NAMES])
+        counter.rest()
 
     rows = docs.select(*keep, "text", F.col("edits").cast(EDIT).alias("edits"))
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
