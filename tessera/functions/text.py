@@ -17,7 +17,7 @@ SECRETS = [
 
 # Words after which a phrase takes no article.
 PRONOUNS = ["he", "she", "it", "they", "we", "you", "i", "him", "her", "them"]
-DETERMINERS = ["a", "an", "the", "this", "that", "these", "those", "his", "her", "its", "their", "our", "my", "your", "some", "any", "each", "every", "no"]
+DETERMINERS = ["a", "an", "the", "this", "that", "these", "those", "my", "your", "his", "her", "its", "our", "their", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
 
 # Messages that make a 403 a failure of credentials or project.
 ACCESS_MARKERS = ["account_state_invalid", "consumer_suspended", "permission_denied", "unauthenticated", "service account", "credentials", "billing", "project", "iam"]
@@ -44,12 +44,20 @@ def referential_phrase(value: Column) -> Column:
 
 
 def safe_id(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(value, r"[^A-Za-z0-9._-]+", "_"), r"^_+|_+$", "")
+    """Runs of other characters than letters, digits and `_` as one `_`, none at the ends (ASCII)."""
+    return F.regexp_replace(F.regexp_replace(value, "[^0-9A-Za-z_]+", "_"), "^_+|_+$", "")
+
+
+def safe_component(value: Column) -> Column:
+    """As `safe_id`, but `.` and `-` stay inside; `video` if nothing is left."""
+    plain = F.regexp_replace(F.regexp_replace(value, "[^0-9A-Za-z_.-]+", "_"), "^[._]+|[._]+$", "")
+    return F.when(plain == "", "video").otherwise(plain)
 
 
 def object_name(prefix: str, row_id: Column, digest: Column, name: Column) -> Column:
-    """prefix/id/first 16 of the digest.extension, every part made safe."""
-    return F.concat_ws("/", F.lit(prefix), safe_id(row_id), F.concat(F.substring(digest, 1, 16), F.regexp_extract(name, r"(\.[A-Za-z0-9]+)$", 1)))
+    """prefix/first two of the digest/digest/id.extension, the extension in lower case, `.mp4` if there is none."""
+    suffix = F.lower(path_parts(name)["suffix"])
+    return F.concat_ws("/", F.lit(prefix.strip("/")), F.substring(digest, 1, 2), digest, F.concat(safe_component(row_id), F.when(suffix == "", ".mp4").otherwise(suffix)))
 
 
 def redact(text: Column) -> Column:
@@ -90,7 +98,7 @@ def alignment_problem(form: Column, question: Column, answer: Column, existence:
     """What keeps an answer from its question's form, or null: polar questions, explained yes or no, polarity, no yes or no elsewhere."""
     q, a = F.trim(question), F.trim(answer)
     polar = q.rlike(r"(?i)^(?:is|are|was|were|does|do|did|can|could|has|have|had)\b")
-    explained = a.rlike(r"(?is)^(?:yes|no),\s+\S+\s+.+[.!?]$")
+    explained = a.rlike(r"(?i)^(?:yes|no),\s+\S+\s+.+[.!?]\z")
     said = F.initcap(F.substring_index(a, ",", 1))
     expected = F.when(existence, "Yes").otherwise("No")
     binary = a.rlike(r"(?i)^(?:yes|no)\b")
@@ -104,8 +112,8 @@ def alignment_problem(form: Column, question: Column, answer: Column, existence:
 
 
 def complete_sentence(text: Column) -> Column:
-    """At least two words, closed by a stop."""
-    return F.trim(text).rlike(r"(?s)^\S+\s+.*[.!?]$")
+    """At least two words, closed by a stop; line breaks only after the first word."""
+    return F.trim(text).rlike(r"^\S+\s+.+[.!?]\z")
 
 
 def hamming64(a: Column, b: Column) -> Column:
@@ -121,10 +129,10 @@ def greatest_step(hashes: Column) -> Column:
     return F.coalesce(F.array_max(steps), F.lit(0))
 
 
-def resolution_tier(width: Column, height: Column) -> Column:
-    """By the shorter side, null as 0: below 480, 480, 720, 1080."""
-    side = F.coalesce(F.least(width, height), F.lit(0))
-    return F.when(side >= 1080, "1080p").when(side >= 720, "720p").when(side >= 480, "480p").otherwise("sub480")
+def resolution_tier(height: Column) -> Column:
+    """Up to 360, up to 720, more; null counts as 0."""
+    side = F.coalesce(height, F.lit(0))
+    return F.when(side <= 360, "height_le_360").when(side <= 720, "height_361_720").otherwise("height_gt_720")
 
 
 def orientation(width: Column, height: Column) -> Column:

@@ -76,8 +76,8 @@ def last_per_category(rows: DataFrame, category: list[str], order: str, n: int)
 
 
 def lease_reusable(state: Column, created: Column, expires: Column, now: Column, *, pending_minutes: int = 15, margin_minutes: int = 120) -> Column:
-    """Active leases that last beyond the margin, and pending ones that are young."""
+    """Active leases, and pending ones made less than `pending_minutes` ago, that last beyond the margin or for ever."""
     minutes = lambda a, b: F.timestamp_diff("MICROSECOND", a, b) / 6e7
-    active = (state == "active") & (minutes(now, expires) > margin_minutes)
-    pending = (state == "pending") & (minutes(created, now) <= pending_minutes)
-    return F.coalesce(active | pending, F.lit(False))
+    young = F.coalesce(minutes(created, now) < pending_minutes, F.lit(False))
+    lasting = expires.isNull() | (minutes(now, expires) > margin_minutes)
+    return F.coalesce(((state == "active") | ((state == "pending") & young)) & lasting, F.lit(False))

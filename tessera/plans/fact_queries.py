@@ -91,10 +91,13 @@ def p6(spark, sf):
     return table(spark, sf, "documents").select("doc_id", length.alias("length_ok"), lang.alias("lang_ok"), (length & lang).alias("eligible"))
 
 
-@query("p7_resolution_tier", "SELECT p_partkey, CASE WHEN least(p_size * 30, 900) >= 1080 THEN '1080p' WHEN least(p_size * 30, 900) >= 720 THEN '720p' WHEN least(p_size * 30, 900) >= 480 THEN '480p' ELSE 'sub480' END AS tier, CASE WHEN p_size * 30 > 900 THEN 'landscape' WHEN p_size * 30 < 900 THEN 'portrait' ELSE 'square' END AS orientation FROM part")
+@query(
+    "p7_resolution_tier",
+    "SELECT p_partkey, CASE WHEN p_size * 30 <= 360 THEN 'height_le_360' WHEN p_size * 30 <= 720 THEN 'height_361_720' ELSE 'height_gt_720' END AS tier, CASE WHEN p_size * 30 > 900 THEN 'landscape' WHEN p_size * 30 < 900 THEN 'portrait' ELSE 'square' END AS orientation FROM part",
+)
 def p7(spark, sf):
-    width, height = F.col("p_size") * 30, F.lit(900)
-    return table(spark, sf, "part").select("p_partkey", T.resolution_tier(width, height).alias("tier"), T.orientation(width, height).alias("orientation"))
+    side = F.col("p_size") * 30
+    return table(spark, sf, "part").select("p_partkey", T.resolution_tier(side).alias("tier"), T.orientation(side, F.lit(900)).alias("orientation"))
 
 
 @query("p9_derived_flag", "SELECT doc_id, (n_chars > 2000 AND lang = 'en') OR coalesce(toxic = 1, false) AS flagged FROM documents LEFT JOIN labels USING (doc_id)")
@@ -125,7 +128,7 @@ def p16(spark, sf):
 @query(
     "p18_answer_alignment",
     """SELECT conv_id, turn, CASE WHEN role = 'user' AND NOT regexp_matches(trim(text), '^(?:is|are|was|were|does|do|did|can|could|has|have|had)\\b', 'i') THEN 'question is not polar'
-              WHEN role = 'user' AND NOT regexp_matches(trim(text), '^(?:yes|no),\\s+\\S+\\s+.+[.!?]$', 'is') THEN 'answer is not an explained yes or no'
+              WHEN role = 'user' AND NOT regexp_matches(trim(text), '^(?:yes|no),\\s+\\S+\\s+.+[.!?]\\z', 'i') THEN 'answer is not an explained yes or no'
               WHEN role <> 'user' AND regexp_matches(trim(text), '^(?:yes|no)\\b', 'i') THEN 'answer begins with yes or no' END AS problem FROM conversations""",
 )
 def p18(spark, sf):
@@ -141,7 +144,7 @@ def p19(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.answer_form(task, kind).alias("form"))
 
 
-@query("p20_complete_sentence", "SELECT conv_id, turn, regexp_matches(trim(text), '^\\S+\\s+.*[.!?]$', 's') AS whole FROM conversations")
+@query("p20_complete_sentence", "SELECT conv_id, turn, regexp_matches(trim(text), '^\\S+\\s+.+[.!?]\\z') AS whole FROM conversations")
 def p20(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.complete_sentence(F.col("text")).alias("whole"))
 
@@ -165,17 +168,29 @@ def f2(spark, sf):
 @query(
     "f3_referential_phrase",
     """WITH p AS (SELECT p_partkey, trim(replace(p_name, '_', ' ')) AS x FROM part)
-       SELECT p_partkey, CASE WHEN x = '' OR regexp_matches(x, '^[A-Z0-9]') OR lower(split_part(x, ' ', 1)) IN ('a', 'an', 'the', 'this', 'that', 'these', 'those', 'his', 'her', 'its', 'their', 'our', 'my', 'your', 'some', 'any', 'each', 'every', 'no', 'he', 'she', 'it', 'they', 'we', 'you', 'i', 'him', 'them') THEN x ELSE 'the ' || x END AS phrase FROM p""",
+       SELECT p_partkey, CASE WHEN x = '' OR regexp_matches(x, '^[A-Z0-9]') OR lower(split_part(x, ' ', 1)) IN ('a', 'an', 'the', 'this', 'that', 'these', 'those', 'his', 'her', 'its', 'their', 'our', 'my', 'your', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'he', 'she', 'it', 'they', 'we', 'you', 'i', 'him', 'them') THEN x ELSE 'the ' || x END AS phrase FROM p""",
 )
 def f3(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.referential_phrase(F.col("p_name")).alias("phrase"))
 
 
-@query("f4_safe_id", "SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS safe FROM pages")
+@query("f4_safe_id", "SELECT page_id, regexp_replace(regexp_replace(url, '[^0-9A-Za-z_]+', '_', 'g'), '^_+|_+$', '', 'g') AS safe FROM pages")
 def f4(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.safe_id(F.col("url")).alias("safe"))
 
 
+@query("f5_object_name", "SELECT doc_id, 'media/' || substr(sha256(source), 1, 2) || '/' || sha256(source) || '/' || source || '_' || lang || '.mov' AS name FROM documents")
+def f5(spark, sf):
+    name = T.object_name("/media/", F.concat(F.lit("._"), "source", F.lit("  "), "lang"), F.sha2("source", 256), F.concat("source", F.lit(".MOV")))
+    return table(spark, sf, "documents").select("doc_id", name.alias("name"))
+
+
+@query("f13_mime_type", "SELECT doc_id, CASE lang WHEN 'en' THEN 'video/mp4' WHEN 'de' THEN 'video/webm' END AS mime FROM documents")
+def f13(spark, sf):
+    suffix = F.when(F.col("lang") == "en", ".MP4").when(F.col("lang") == "de", ".webm").otherwise(".txt")
+    return table(spark, sf, "documents").select("doc_id", T.mime_type(F.concat("source", suffix)).alias("mime"))
+
+
 @query(
     "f6_redaction",
     """WITH x AS (SELECT doc_id, 'Authorization: Bearer ' || source || doc_id || ' AIza' || doc_id || ' x-goog-api-key=' || lang || '; ok' AS t FROM documents)

@@ -100,7 +100,7 @@ def w12(spark, sf):
 
 @query(
     "f17_lease_reusable",
-    "SELECT event_id, (event_type = 'view' AND date_diff('microsecond', TIMESTAMP '2024-01-15', ts) / 6e7 > 120) OR (event_type = 'click' AND date_diff('microsecond', ts, TIMESTAMP '2024-01-15') / 6e7 <= 15) AS reusable FROM events",
+    "SELECT event_id, (event_type = 'view' OR (event_type = 'click' AND date_diff('microsecond', ts, TIMESTAMP '2024-01-15') / 6e7 < 15)) AND date_diff('microsecond', TIMESTAMP '2024-01-15', ts) / 6e7 > 120 AS reusable FROM events",
 )
 def f17(spark, sf):
     kind = F.when(F.col("event_type") == "view", "active").when(F.col("event_type") == "click", "pending").otherwise("gone")

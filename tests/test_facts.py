@@ -46,6 +46,7 @@ def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert [one(T.referential_phrase(F.lit(x))) for x in ("red_car", "the dog", "Paris sky", "2 cats", "", "she")] == ["the red car", "the dog", "Paris sky", "2 cats", "", "she"]
     assert one(T.safe_id(F.lit("__a b/c__"))) == "a_b_c"
+    assert one(T.safe_component(F.lit("._"))) == "video" and one(T.safe_component(F.lit(".a-b c."))) == "a-b_c"
     assert one(T.redact(F.lit("Authorization: Bearer abc, AIzaXYZ"))) == "Authorization: Bearer [REDACTED], [REDACTED]"
     assert one(T.hamming64(F.lit("ffffffffffffffff"), F.lit("0000000000000001"))) == 63
     assert one(T.mime_type(F.lit("a/b.MP4"))) == "video/mp4" and one(T.mime_type(F.lit("a/b.xyz"))) is None
