@@ -208,3 +208,34 @@ def window_submission(current: Column, in_flight: Column, *, target: int, worker
         .otherwise(F.lit(cap))
     )
     return wanted, limit.cast("int")
+
+
+def stratified_take(rows: DataFrame, quotas: DataFrame, *, stratum: str, parent: str, digest: str, order: list, target: int) -> DataFrame:
+    """Rows by stratum up to its `quota`, then of any stratum up to `target`; one a parent and one a digest, the first in order.
+
+    Duplicates go before quotas are counted, so a stratum that runs short is made up by the others.
+    """
+    ranked = rows.withColumn("_order", F.struct(*[(c if isinstance(c, Column) else F.col(c)).alias(f"o{i}") for i, c in enumerate(order)]))
+    single = ranked
+    for key in (digest, parent):
+        single = single.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("_order"))).where("_k = 1").drop("_k")
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy("_order"))
+    marked = single.withColumn("_place", place).join(quotas.select(stratum, "quota"), stratum, "left")
+    marked = marked.withColumn("_extra", (F.col("_place") > F.coalesce("quota", F.lit(0))).cast("int"))
+    return marked.orderBy("_extra", "_order").limit(target).drop("_order", "_place", "_extra", "quota")
+
+
+def pending_first(rows: DataFrame, done: DataFrame, *, key: str, group: str, order: list, k: int) -> DataFrame:
+    """Up to `k` rows of each group that are not done, in order."""
+    return top_per_group(rows.join(done.select(key), key, "left_anti"), [group], order, k)
+
+
+def fixed_windows(rows: DataFrame, sequence: str, size: int) -> DataFrame:
+    """`window_no` from 0 of rows with a sequence from 1."""
+    return rows.withColumn("window_no", F.floor((F.col(sequence) - 1) / size).cast("int"))
+
+
+def under_root(path: Column, root: str) -> Column:
+    """A path below a root, case and kind of slash ignored."""
+    plain = lambda c: F.lower(F.translate(c, "\\", "/"))
+    return F.startswith(plain(path), plain(F.lit(root.rstrip("/\\") + "/")))

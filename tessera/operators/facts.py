@@ -224,3 +224,66 @@ def hidden_keys(column: Column, names: list[str]) -> Column:
         return sorted(found)
 
     return F.udf(run, "array<string>", useArrow=True)(column)
+
+
+PUBLIC_FIELDS = ["schema_version", "pair_id", "media", "task_type", "question", "answer", "counterfactual_answer", "leaf_label", "conflict_slot"]
+
+
+def public_projection(pairs: DataFrame) -> DataFrame:
+    """The nine public fields and no others."""
+    return pairs.select(*PUBLIC_FIELDS)
+
+
+def visible_columns(df: DataFrame) -> DataFrame:
+    """Without the columns whose names begin with `_`."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("_")])
+
+
+def exact_keys(text: Column, expected: list[str]) -> Column:
+    """A JSON object has exactly the expected keys; anything else is false."""
+    return F.coalesce(F.array_sort(F.json_object_keys(text)) == F.array(*[F.lit(k) for k in sorted(expected)]), F.lit(False))
+
+
+def pair_problem(changed_facts: Column, changed_slots: Column, supported: Column, counterfactual: Column, errors: Column, leaf: Column, slot: Column, last_path: Column, known: Column) -> Column:
+    """The first invariant that a pair breaks, or null. `known`: the slot that belongs to the leaf, null for unknown leaves."""
+    tail = F.substring_index(last_path, ".", -1)
+    return first_reason(
+        ("one fact and one slot", (changed_facts == 1) & (changed_slots == 1)),
+        ("single error", (supported == 0) & (counterfactual == 1) & (F.coalesce(errors, F.lit(0)) == 0)),
+        ("leaf and slot", leaf.isNotNull() & (known == slot)),
+        ("changed slot", last_path.isNull() | (tail == slot)),
+    )
+
+
+def realization_problem(question: Column, answer: Column, counterfactual: Column) -> Column:
+    """Questions and answers are there and the answers differ."""
+    there = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    return first_reason(("question", there(question)), ("answer", there(answer)), ("counterfactual answer", there(counterfactual)), ("answers differ", F.trim(answer) != F.trim(counterfactual)))
+
+
+def route_evidence(grounded: Column, attempts: Column, most: int = 1) -> Column:
+    """accept what is grounded, retry the rest up to `most` times, then insufficient."""
+    return F.when(F.coalesce(grounded, F.lit(False)), "accept").when(F.coalesce(attempts, F.lit(0)) < most, "retry").otherwise("insufficient")
+
+
+def grounded_verdict(verdict: Column, grounded: Column, interval: Column) -> Column:
+    """A supported verdict without grounding or interval is contradicted."""
+    return F.when((verdict == "supported") & (~F.coalesce(grounded, F.lit(False)) | interval.isNull()), "contradicted").otherwise(verdict)
+
+
+def envelope(stage: str, video: Column, producers: list[str], upstream: Column, payload: Column) -> Column:
+    """A stage's output with what it came from."""
+    return F.struct(F.lit("stage-output").alias("schema"), F.lit(stage).alias("stage"), video.alias("video_id"), F.array(*[F.lit(p) for p in producers]).alias("producers"), upstream.alias("upstream"), payload.alias("payload"))
+
+
+def envelope_problem(value: Column, stage: str) -> Column:
+    return first_reason(("schema", value["schema"] == "stage-output"), ("stage", value["stage"] == stage), ("video", F.trim(value["video_id"]) != ""), ("producers", F.size(value["producers"]) > 0), ("payload", value["payload"].isNotNull()))
+
+
+def candidate_problems(candidates: DataFrame, manifest: DataFrame, facts: DataFrame, eligible: DataFrame) -> DataFrame:
+    """candidates (candidate_id, video_id, fact_id) with the first lookup they fail, or null."""
+    mark = lambda df, keys, name: df.select(*keys).distinct().withColumn(name, F.lit(True))
+    out = candidates.join(mark(manifest, ["video_id"], "_m"), "video_id", "left").join(mark(facts, ["video_id", "fact_id"], "_f"), ["video_id", "fact_id"], "left")
+    out = out.join(mark(eligible, ["video_id", "fact_id"], "_e"), ["video_id", "fact_id"], "left")
+    problem = first_reason(("video is not in the manifest", F.col("_m")), ("fact is unknown", F.col("_f")), ("fact is not eligible", F.col("_e")))
+    return out.withColumn("problem", problem).drop("_m", "_f", "_e")
