@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import turn_positions
+
 
 def stable_rank(*parts) -> Column:
     """Hash of the parts joined by `|`: the same order on every run and engine."""
@@ -59,8 +61,7 @@ def round_robin(rows: DataFrame, label: str, order: list, best: str) -> DataFram
     """`position`: labels take turns, each giving its next row; labels go by their best value, then name."""
     turn = F.row_number().over(Window.partitionBy(label).orderBy(*order))
     ranked = rows.withColumn("_turn", turn).withColumn("_best", F.min(best).over(Window.partitionBy(label)))
-    place = F.row_number().over(Window.orderBy("_turn", "_best", label))
-    return ranked.withColumn("position", place).drop("_turn", "_best")
+    return turn_positions(ranked, "_turn", ["_best", label]).drop("_turn", "_best")
 
 
 def sequence_batches(rows: DataFrame, group: list[str], order: list, batch: int) -> DataFrame:
@@ -74,7 +75,7 @@ def sequence_batches(rows: DataFrame, group: list[str], order: list, batch: int)
 def interleave(rows: DataFrame, group: str, order: list) -> DataFrame:
     """`position` from 1: first rows of all groups, then second rows, groups by name."""
     n = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rows.withColumn("_n", n).withColumn("position", F.row_number().over(Window.orderBy("_n", group))).drop("_n")
+    return turn_positions(rows.withColumn("_turn", n), "_turn", [group]).drop("_turn")
 
 
 def largest_remainder(groups: DataFrame, *, weight: str, target: int | Column, tie: list, partition: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import checks, curation
+from ..operators.ordering import number_rows
 from .catalog import query, table
 
 
@@ -201,8 +202,8 @@ def j12(spark, sf):
        SELECT c_custkey, s_suppkey, i AS place FROM a JOIN b USING (i)""",
 )
 def j13(spark, sf):
-    a = table(spark, sf, "customer").withColumn("place", F.row_number().over(Window.orderBy("c_acctbal", "c_custkey"))).select("place", "c_custkey")
-    b = table(spark, sf, "supplier").withColumn("place", F.row_number().over(Window.orderBy("s_acctbal", "s_suppkey"))).select("place", "s_suppkey")
+    a = number_rows(table(spark, sf, "customer").select("c_acctbal", "c_custkey"), ["c_acctbal", "c_custkey"]).select("place", "c_custkey")
+    b = number_rows(table(spark, sf, "supplier").select("s_acctbal", "s_suppkey"), ["s_acctbal", "s_suppkey"]).select("place", "s_suppkey")
     return a.join(b, "place")
 
 

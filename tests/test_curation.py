@@ -98,3 +98,20 @@ def test_annealed_split_is_seeded_and_whole():
     for k, (s, d) in enumerate(quotas):
         assert sum(one[g] == k and size == 1 for g, size, _ in groups) == s
         assert sum(one[g] == k and size == 2 for g, size, _ in groups) == d
+
+
+def test_orders_over_ranges_and_turns(spark):
+    from tessera.operators import ordering
+
+    rng = random.Random(7)
+    rows = spark.createDataFrame([(i, rng.choice("abc")) for i in range(200)], "i long, g string").repartition(5)
+    got = ordering.number_rows(rows, ["g", "i"]).collect()
+    assert [r.place for r in sorted(got, key=lambda r: (r.g, r.i))] == list(range(1, 201))
+    turned = curation.interleave(rows, "g", ["i"]).orderBy("position").collect()
+    assert [r.position for r in turned] == list(range(1, 201)) and [r.g for r in turned[:3]] == ["a", "b", "c"]
+    seen = {}
+    keys = []
+    for r in turned:
+        seen[r.g] = seen.get(r.g, 0) + 1
+        keys.append((seen[r.g], r.g))
+    assert keys == sorted(keys)
