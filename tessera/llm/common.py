@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -62,9 +63,14 @@ class Scratch:
         return out
 
     def release(self) -> None:
-        """Let Spark drop the shuffle files of tables that nothing refers to: its cleaner follows the JVM's collector."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Let Spark drop the shuffle files of tables that nothing refers to any more.
+
+        Its cleaner follows the JVM's collector; the first round lets go of what Python held.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
     def _remove(self, path: str) -> None:
         jvm = self.spark._jvm
