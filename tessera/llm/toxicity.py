@@ -3,7 +3,9 @@
 Words become hashes in the JVM, where counting is also done: one row for each pair of neighbouring
 words of the labelled documents, with its count in either class. All that interpolated Kneser-Ney
 needs follows from that table: discounts, contexts' totals, and the continuation counts, which
-both classes share, so that an expression that is rare in one class is not held against it.
+both classes share, so that an expression that is rare in one class is not held against it. Between
+a word and what is shared stand its beginnings of seven, five and four letters, by which forms of
+one expression help each other.
 
 What the models keep reaches the tasks with the function, by cells whose number is a parameter
 (words and pairs share cells by hash), whatever the size of the corpus; counts cover all labelled
@@ -25,6 +27,8 @@ from .common import WORD, Scratch, documents
 from .packing import mix64
 
 WORD_BITS, PAIR_BITS = 20, 22
+#: Beginnings of longer words, from the shortest; their cells.
+STEMS, STEM_BITS = (4, 5, 7), 21
 CLASSES = ("ordinary", "toxic")
 #: Discounts that are tried.
 DISCOUNTS = (0.35, 0.7, 1.4, 2.8, 5.6)
@@ -32,21 +36,30 @@ DISCOUNTS = (0.35, 0.7, 1.4, 2.8, 5.6)
 START = 0
 
 
-def word_cells(text, bits: int = WORD_BITS):
-    """Each lower-case word's cell, 1 up to 2**bits - 1; none for null and empty texts."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    return F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(2**bits - 1)) + 1).cast("int"))
+def words_of(text):
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _pairs(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and (context << WORD_BITS) | word of every distinct pair of a row; the first word has the start context."""
+def cells_of(words) -> list:
+    """Columns `cells` (each word's, 1 up to 2**WORD_BITS - 1) and `stems` (for each length, each word's, 0 for shorter words)."""
+    cells = F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(2**WORD_BITS - 1)) + 1).cast("int"))
+    stem = lambda n: F.transform(words, lambda w: F.when(F.length(w) > n, F.pmod(F.xxhash64(F.substring(w, 1, n)), F.lit(2**STEM_BITS - 1)) + 1).otherwise(0).cast("int"))
+    return [cells.alias("cells"), *[stem(n).alias(f"stem{n}") for n in STEMS]]
+
+
+def with_cells(docs: DataFrame, keep: list[str]) -> DataFrame:
+    return docs.select(*keep, words_of(F.col("text")).alias("words")).select(*keep, *cells_of(F.col("words")))
+
+
+def _pairs(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, (context << WORD_BITS) | word, and where it first stands, of every distinct pair of a row; the first word has the start context."""
     before = np.empty_like(flat)
     before[1:] = flat[:-1]
     ends = np.cumsum(lengths)
     before[(ends - lengths)[lengths > 0]] = START
     owner = np.repeat(np.arange(len(lengths)), lengths)
-    both = np.unique((owner << (2 * WORD_BITS)) | (before << WORD_BITS) | flat)
-    return both >> (2 * WORD_BITS), both & (2 ** (2 * WORD_BITS) - 1)
+    both, first = np.unique((owner << (2 * WORD_BITS)) | (before << WORD_BITS) | flat, return_index=True)
+    return both >> (2 * WORD_BITS), both & (2 ** (2 * WORD_BITS) - 1), first
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -56,9 +69,9 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_pairs(labelled: DataFrame) -> DataFrame:
-    """pair, ordinary, toxic: documents of either class with the pair, over all rows of `labelled` (cells, toxic).
+    """pair, ordinary, toxic: documents of either class with the pair, over all rows of `labelled` (cells, stems, toxic).
 
-    A pair counts once for a document, so that one long or repetitive text does not stand for
+    Stems are rows too, numbered below 0 by cell and level. A pair counts once for a document, so that one long or repetitive text does not stand for
     its class. Batches are summed before they are sent.
     """
 
@@ -66,9 +79,16 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
-                owner, pairs = _pairs(*_flat(batch.column("cells")))
+                flat, lengths = _flat(batch.column("cells"))
+                owner, pairs, _ = _pairs(flat, lengths)
                 if not len(pairs):
                     continue
+                rows = np.repeat(np.arange(len(lengths)), lengths)
+                for level, n in enumerate(STEMS):
+                    stem = _flat(batch.column(f"stem{n}"))[0]
+                    own = np.unique((rows[stem > 0] << STEM_BITS) | stem[stem > 0])
+                    owner = np.concatenate([owner, own >> STEM_BITS])
+                    pairs = np.concatenate([pairs, -(((own & (2**STEM_BITS - 1)) << 2) | level) - 1])
                 toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)[owner]
                 pair, place, n = np.unique(pairs, return_inverse=True, return_counts=True)
                 bad = np.bincount(place, weights=toxic, minlength=len(pair)).astype(np.int64)
@@ -108,7 +128,8 @@ class Counts:
 
     def __init__(self, scratch: Scratch, labelled: DataFrame, margin: float, least_discount: float):
         self.scratch, self.margin = scratch, margin
-        pairs = scratch.cut(count_pairs(labelled))
+        counted = scratch.cut(count_pairs(labelled))
+        pairs, stems = counted.where("pair >= 0"), counted.where("pair < 0")
         totals = pairs.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in CLASSES]).first()
         self.scales = {c: max(1, min(totals)) / max(1, n) for c, n in zip(CLASSES, totals, strict=True)}
         self.total = min(totals) + 1
@@ -118,8 +139,13 @@ class Counts:
         self.words = words
         self.contexts = scratch.cut(pairs.groupBy(F.shiftright("pair", WORD_BITS).alias("at")).agg(*sums))
         # What the least discount leaves nothing of, no other does.
-        self.pairs = scratch.cut(pairs.where(sum(self._excess(least_discount).values(), F.lit(0.0)) > 0))
-        scratch.free(pairs)
+        left = sum(self._excess(least_discount).values(), F.lit(0.0)) > 0
+        self.pairs = scratch.cut(pairs.where(left))
+        level = (-F.col("pair") - 1).bitwiseAND(3)
+        totals = {r[0]: r[1:] for r in stems.groupBy(level).agg(*sums).collect()}
+        self.stem_totals = [[n * self.scales[c] + 1 for c, n in zip(CLASSES, totals.get(k, (0, 0)), strict=True)] for k in range(len(STEMS))]
+        self.stems = scratch.cut(stems.where(left).select(F.shiftright(-F.col("pair") - 1, 2).alias("at"), level.alias("level"), *CLASSES))
+        scratch.free(counted)
 
     def _excess(self, discount: float) -> dict:
         mean = sum((F.col(c) * self.scales[c] for c in CLASSES), F.lit(0.0)) / 2
@@ -140,13 +166,22 @@ class Counts:
         words = self.words.select("at", "continuations", *excess)
         by_word = _columns(words.join(ending, "at", "left").where("ends or kept_ordinary > 0 or kept_toxic > 0").drop("ends"))
         by_cell = _columns(_by_cell(kept))
-        shared = (by_word["continuations"] + 0.5) / self.mass
-        out = {"words": by_word["at"], "contexts": by_context["at"], "pairs": by_cell["at"]}
+        out_shared = ((by_word["continuations"] + 0.5) / self.mass).astype(np.float32)
+        stems = _columns(self.stems.select("at", "level", *CLASSES, *excess))
+        out = {"words": by_word["at"], "shared": out_shared, "contexts": by_context["at"], "pairs": by_cell["at"]}
+        for k, n in enumerate(STEMS):
+            here = stems["level"] == k
+            out[f"stems{n}"] = stems["at"][here]
+            mean = sum(stems[c][here] * self.scales[c] for c in CLASSES) / 2 + 0.5
+            for c, total in zip(CLASSES, self.stem_totals[k], strict=True):
+                own = stems[f"kept_{c}"][here]
+                out[f"stem{n}_{c}"] = (own / total / (mean / np.mean(self.stem_totals[k]))).astype(np.float32)
+                out[f"left{n}_{c}"] = np.array([1 - own.sum() / total])
         for c in CLASSES:
             direct = by_word[f"kept_{c}"]
             rest = (self.total - direct.sum()) / self.total
             out[f"rest_{c}"] = np.array([rest])
-            out[f"word_{c}"] = (direct / self.total + rest * shared).astype(np.float32)
+            out[f"word_{c}"] = (direct / self.total).astype(np.float32)
             contexts = by_context[c] * self.scales[c] + 1
             out[f"context_{c}"] = contexts.astype(np.float32)
             out[f"weight_{c}"] = (1 - by_context[f"kept_{c}"] / contexts).astype(np.float32)
@@ -156,17 +191,32 @@ class Counts:
 
 def _unpacked(model: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Arrays over all cells."""
-    out = {}
+
+    def spread(name: str, keys: str, bits: int, fill: float) -> np.ndarray:
+        out = np.full(2**bits, fill, dtype=np.float32)
+        out[model[keys]] = model[name]
+        return out
+
+    out = {"shared": spread("shared", "words", WORD_BITS, 1e-6)}
     for c in CLASSES:
-        for name, keys, size, fill in (("word", "words", WORD_BITS, model[f"rest_{c}"][0] * 1e-6), ("context", "contexts", WORD_BITS, 1), ("weight", "contexts", WORD_BITS, 1), ("pair", "pairs", PAIR_BITS, 0)):
-            out[f"{name}_{c}"] = np.full(2**size, fill, dtype=np.float32)
-            out[f"{name}_{c}"][model[keys]] = model[f"{name}_{c}"]
+        out[f"rest_{c}"] = model[f"rest_{c}"][0]
+        out[f"word_{c}"] = spread(f"word_{c}", "words", WORD_BITS, 0)
+        out[f"context_{c}"] = spread(f"context_{c}", "contexts", WORD_BITS, 1)
+        out[f"weight_{c}"] = spread(f"weight_{c}", "contexts", WORD_BITS, 1)
+        out[f"pair_{c}"] = spread(f"pair_{c}", "pairs", PAIR_BITS, 0)
+        for n in STEMS:
+            out[f"stem{n}_{c}"] = spread(f"stem{n}_{c}", f"stems{n}", STEM_BITS, 0)
+            out[f"left{n}_{c}"] = model[f"left{n}_{c}"][0]
     return out
 
 
-def _likelihood(model: dict[str, np.ndarray], c: str, cell: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    direct = model[f"pair_{c}"][cell] / model[f"context_{c}"][context]
-    return np.log(direct + model[f"weight_{c}"][context] * model[f"word_{c}"][word])
+def _likelihood(model: dict, c: str, cell: np.ndarray, context: np.ndarray, word: np.ndarray, stems: list[np.ndarray]) -> np.ndarray:
+    """log P(word | context): pair, then word, then its beginnings from the longest, then what is shared; each leaves a rest to the next."""
+    lift = np.ones(len(word))
+    for n, stem in zip(STEMS, stems, strict=True):
+        lift = np.where(stem > 0, model[f"stem{n}_{c}"][stem] + model[f"left{n}_{c}"] * lift, lift)
+    single = model[f"word_{c}"][word] + model[f"rest_{c}"] * model["shared"][word] * lift
+    return np.log(model[f"pair_{c}"][cell] / model[f"context_{c}"][context] + model[f"weight_{c}"][context] * single)
 
 
 def pair_cell(pair: np.ndarray) -> np.ndarray:
@@ -175,16 +225,17 @@ def pair_cell(pair: np.ndarray) -> np.ndarray:
 
 def likelihood_ratios(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
     """`keep`, n (distinct pairs) and ratio: their mean of log P(toxic) - log P(ordinary); 0 without words."""
-    rows = docs.select(*keep, word_cells(F.col("text")).alias("cells"))
+    rows = with_cells(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = _unpacked(model)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                owner, pair = _pairs(*_flat(batch.column("cells")))
+                owner, pair, first = _pairs(*_flat(batch.column("cells")))
+                stems = [_flat(batch.column(f"stem{n}"))[0][first] for n in STEMS]
                 cell, context, word = pair_cell(pair), pair >> WORD_BITS, pair & (2**WORD_BITS - 1)
-                gap = _likelihood(arrays, "toxic", cell, context, word) - _likelihood(arrays, "ordinary", cell, context, word)
+                gap = _likelihood(arrays, "toxic", cell, context, word, stems) - _likelihood(arrays, "ordinary", cell, context, word, stems)
                 n = np.bincount(owner, minlength=batch.num_rows)
                 mean = np.bincount(owner, weights=gap, minlength=batch.num_rows) / np.maximum(n, 1)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(n.astype(np.int64)), pa.array(mean)], names=[*keep, "n", "ratio"])
@@ -235,7 +286,7 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, k
     known = known.where(code % 5 != 0).withColumn("calibrates", F.floor(code / 5) % 6 == 0)
     n, calibrating = known.agg(F.count("*"), F.count_if("calibrates")).first()
     labelled = docs.select("doc_id", "text").join(F.broadcast(known) if n <= broadcast_rows else known, "doc_id")
-    counts = Counts(scratch, labelled.where("not calibrates").select(word_cells(F.col("text")).alias("cells"), "toxic"), margin, min(discounts))
+    counts = Counts(scratch, with_cells(labelled.where("not calibrates"), ["toxic"]), margin, min(discounts))
 
     share = max(1, -(-calibrating // calibration_rows))
     chosen = scratch.cut(labelled.where("calibrates").where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text", F.col("toxic").cast("long").alias("toxic")))
