@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import WORD, Scratch, documents
 from .packing import mix64
 
-WORD_BITS, PAIR_BITS = 20, 22
+WORD_BITS, PAIR_BITS = 22, 24
 #: Beginnings of longer words, from the shortest; their cells.
 STEMS, STEM_BITS = (4, 5, 7), 21
 CLASSES = ("ordinary", "toxic")
@@ -165,7 +165,7 @@ class Counts:
         ending = kept.select(F.col("pair").bitwiseAND(2**WORD_BITS - 1).alias("at"), F.lit(True).alias("ends")).distinct()
         words = self.words.select("at", "continuations", *excess)
         by_word = _columns(words.join(ending, "at", "left").where("ends or kept_ordinary > 0 or kept_toxic > 0").drop("ends"))
-        by_cell = _columns(_by_cell(kept))
+        by_cell = _columns(_by_cell(kept).orderBy("at"))
         out_shared = ((by_word["continuations"] + 0.5) / self.mass).astype(np.float32)
         stems = _columns(self.stems.select("at", "level", *CLASSES, *excess))
         out = {"words": by_word["at"], "shared": out_shared, "contexts": by_context["at"], "pairs": by_cell["at"]}
@@ -190,39 +190,50 @@ class Counts:
 
 
 def _unpacked(model: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Arrays over all cells."""
+    """Tables from all cells to places among what is kept, 0 for the others, and values by place.
 
-    def spread(name: str, keys: str, bits: int, fill: float) -> np.ndarray:
-        out = np.full(2**bits, fill, dtype=np.float32)
-        out[model[keys]] = model[name]
+    Pairs, whose cells are many more, are found by search among their sorted cells instead.
+    """
+
+    def places(keys: str, bits: int) -> np.ndarray:
+        out = np.zeros(2**bits, dtype=np.int32)
+        out[model[keys]] = np.arange(1, len(model[keys]) + 1)
         return out
 
-    out = {"shared": spread("shared", "words", WORD_BITS, 1e-6)}
+    first = lambda value, name: np.append(np.float32(value), model[name])
+    out = {"words": places("words", WORD_BITS), "contexts": places("contexts", WORD_BITS), "shared": first(1e-6, "shared"), "pairs": model["pairs"]}
+    out |= {f"stems{n}": places(f"stems{n}", STEM_BITS) for n in STEMS}
     for c in CLASSES:
         out[f"rest_{c}"] = model[f"rest_{c}"][0]
-        out[f"word_{c}"] = spread(f"word_{c}", "words", WORD_BITS, 0)
-        out[f"context_{c}"] = spread(f"context_{c}", "contexts", WORD_BITS, 1)
-        out[f"weight_{c}"] = spread(f"weight_{c}", "contexts", WORD_BITS, 1)
-        out[f"pair_{c}"] = spread(f"pair_{c}", "pairs", PAIR_BITS, 0)
+        out[f"word_{c}"] = first(0, f"word_{c}")
+        out[f"context_{c}"], out[f"weight_{c}"] = first(1, f"context_{c}"), first(1, f"weight_{c}")
+        out[f"pair_{c}"] = np.append(model[f"pair_{c}"], np.float32(0))
         for n in STEMS:
-            out[f"stem{n}_{c}"] = spread(f"stem{n}_{c}", f"stems{n}", STEM_BITS, 0)
+            out[f"stem{n}_{c}"] = first(0, f"stem{n}_{c}")
             out[f"left{n}_{c}"] = model[f"left{n}_{c}"][0]
     return out
 
 
-def _likelihood(model: dict, c: str, cell: np.ndarray, context: np.ndarray, word: np.ndarray, stems: list[np.ndarray]) -> np.ndarray:
-    """log P(word | context): pair, then word, then its beginnings from the longest, then what is shared; each leaves a rest to the next."""
+def _likelihood(model: dict, c: str, pair: np.ndarray, context: np.ndarray, word: np.ndarray, stems: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log P(word | context), all by place: pair, then word, then its beginnings from the longest, then what is shared; each leaves a rest to the next."""
     lift = np.ones(len(word))
-    for n, stem in zip(STEMS, stems, strict=True):
-        lift = np.where(stem > 0, model[f"stem{n}_{c}"][stem] + model[f"left{n}_{c}"] * lift, lift)
+    for n, (longer, stem) in zip(STEMS, stems, strict=True):
+        lift = np.where(longer, model[f"stem{n}_{c}"][stem] + model[f"left{n}_{c}"] * lift, lift)
     single = model[f"word_{c}"][word] + model[f"rest_{c}"] * model["shared"][word] * lift
-    return np.log(model[f"pair_{c}"][cell] / model[f"context_{c}"][context] + model[f"weight_{c}"][context] * single)
+    return np.log(model[f"pair_{c}"][pair] / model[f"context_{c}"][context] + model[f"weight_{c}"][context] * single)
 
 
 def pair_cell(pair: np.ndarray) -> np.ndarray:
     return (mix64(pair) % np.uint64(2**PAIR_BITS)).astype(np.int64)
 
 
+def kept_place(cells: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Where each pair's cell is among the sorted cells; their number if it is not."""
+    cell = pair_cell(pair)
+    place = np.searchsorted(cells, cell)
+    return np.where(np.append(cells, -1)[place] == cell, place, len(cells))
+
+
 def likelihood_ratios(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
     """`keep`, n (distinct pairs) and ratio: their mean of log P(toxic) - log P(ordinary); 0 without words."""
     rows = with_cells(docs, keep)
@@ -234,8 +245,9 @@ def likelihood_ratios(docs: DataFrame, model: dict[str, np.ndarray], keep: list[
                 batch = whole.slice(at, 512)
                 owner, pair, first = _pairs(*_flat(batch.column("cells")))
                 stems = [_flat(batch.column(f"stem{n}"))[0][first] for n in STEMS]
-                cell, context, word = pair_cell(pair), pair >> WORD_BITS, pair & (2**WORD_BITS - 1)
-                gap = _likelihood(arrays, "toxic", cell, context, word, stems) - _likelihood(arrays, "ordinary", cell, context, word, stems)
+                stems = [(s > 0, arrays[f"stems{n}"][s]) for n, s in zip(STEMS, stems, strict=True)]
+                known = kept_place(arrays["pairs"], pair), arrays["contexts"][pair >> WORD_BITS], arrays["words"][pair & (2**WORD_BITS - 1)], stems
+                gap = _likelihood(arrays, "toxic", *known) - _likelihood(arrays, "ordinary", *known)
                 n = np.bincount(owner, minlength=batch.num_rows)
                 mean = np.bincount(owner, weights=gap, minlength=batch.num_rows) / np.maximum(n, 1)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(n.astype(np.int64)), pa.array(mean)], names=[*keep, "n", "ratio"])
