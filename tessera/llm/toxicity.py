@@ -77,8 +77,8 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
                 flat, lengths = _flat(batch.column("cells"))
                 owner, pairs, _ = _pairs(flat, lengths)
                 if not len(pairs):
@@ -241,8 +241,8 @@ def likelihood_ratios(docs: DataFrame, model: dict[str, np.ndarray], keep: list[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = _unpacked(model)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
                 owner, pair, first = _pairs(*_flat(batch.column("cells")))
                 stems = [_flat(batch.column(f"stem{n}"))[0][first] for n in STEMS]
                 stems = [(s > 0, arrays[f"stems{n}"][s]) for n, s in zip(STEMS, stems, strict=True)]
