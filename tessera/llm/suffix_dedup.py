@@ -15,6 +15,7 @@ strings are found byte for byte, and all but the earliest are marked.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -218,14 +219,24 @@ def _key(text: bytes, start: int, offset: int, count: int) -> bytes:
 
 
 def sorted_runs(rows: DataFrame, splitters: list[bytes], most: int) -> DataFrame:
-    """bin, content: front-coded sorted runs of up to `most` suffixes, cut at the splitters, for rows of doc_id, text, tiles."""
+    """bin, content: front-coded sorted runs of up to `most` suffixes, cut at the splitters, for rows of doc_id, text, tiles.
+
+    Suffixes that equal an earlier one of their run are settled at once: their strings, as
+    arrays of (doc_id, start, strings), are the content of bins below 0.
+    """
 
     def pack(keys: list[bytes], docs: list[int], tiles: list[int]) -> Iterator[tuple[int, bytes]]:
         order = sorted(range(len(keys)), key=lambda i: (keys[i], docs[i], tiles[i]))
         ordered = [keys[i] for i in order]
         doc, tile = np.array(docs, dtype=np.int64)[order], np.array(tiles, dtype=np.int64)[order]
-        import bisect
-
+        fresh = np.fromiter((x != y for x, y in zip(ordered, [None, *ordered[:-1]], strict=True)), dtype=bool, count=len(ordered))
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(ordered)), 0))
+        later = ~fresh & ((doc != doc[first]) | (tile != tile[first]))
+        if later.any():  # of equal suffixes of the run only the earliest travels; bins below 0 hold what is settled
+            settled = np.stack([doc[later], tile[later] >> 14, tile[later] & 127])
+            yield -1 - int(doc[later][0] % 1021), settled.tobytes()
+        keep = np.flatnonzero(fresh)
+        ordered, doc, tile = [ordered[i] for i in keep.tolist()], doc[keep], tile[keep]
         edges = [0, *(bisect.bisect_left(ordered, s) for s in splitters), len(ordered)]
         for place, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             if a < b:
@@ -346,6 +357,10 @@ def merged_strings(runs: DataFrame) -> DataFrame:
         current, contents = None, []
         for batch in batches:
             for place, content in zip(batch.column("bin").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                if place < 0:
+                    settled = np.frombuffer(content, dtype=np.int64).reshape(3, -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in settled], names=["doc_id", "start", "strings"])
+                    continue
                 if place != current and contents:
                     yield from spans(contents)
                     contents = []
@@ -391,11 +406,21 @@ def cut_spans(rows: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "text", "spans").mapInArrow(run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
-def _repeated_tiles(scratch: Scratch, texts: DataFrame) -> DataFrame:
-    """doc_id, tile of the tiles whose anchor's bytes occur twice, by hash."""
+def _repeated_tiles(scratch: Scratch, texts: DataFrame, salts: int = 64) -> DataFrame:
+    """doc_id, tile of the tiles whose anchor's bytes occur twice, by hash.
+
+    Anchors with over a thousandth of these tiles, so fewer than a thousand, are spread over
+    `salts` keys each for the join.
+    """
     tiles = tiles_of(texts)
-    twice = tiles.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    return scratch.cut(tiles.join(twice, "gram").select("doc_id", "tile"))
+    twice = scratch.cut(tiles.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
+    total = twice.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > total / 1000
+    own = tiles.join(F.broadcast(twice.where(hot).select("gram", F.lit(True).alias("hot"))), "gram", "left")
+    own = own.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "tile"), F.lit(salts))).otherwise(0).cast("int"))
+    keys = twice.select("gram", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    scratch.release()
+    return scratch.cut(own.join(keys, ["gram", "salt"]).select("doc_id", "tile"))
 
 
 def _marked_spans(scratch: Scratch, texts: DataFrame, repeated: DataFrame, run_size: int, bin_size: int, sample_docs: int) -> DataFrame:
