@@ -234,9 +234,8 @@ def kept_place(cells: np.ndarray, pair: np.ndarray) -> np.ndarray:
     return np.where(np.append(cells, -1)[place] == cell, place, len(cells))
 
 
-def likelihood_ratios(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
-    """`keep`, n (distinct pairs) and ratio: their mean of log P(toxic) - log P(ordinary); 0 without words."""
-    rows = with_cells(docs, keep)
+def likelihood_ratios(rows: DataFrame, model: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
+    """`keep`, n (distinct pairs) and ratio: their mean of log P(toxic) - log P(ordinary), 0 without words, for rows of `keep` and cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = _unpacked(model)
@@ -301,7 +300,8 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, k
     counts = Counts(scratch, with_cells(labelled.where("not calibrates"), ["toxic"]), margin, min(discounts))
 
     share = max(1, -(-calibrating // calibration_rows))
-    chosen = scratch.cut(labelled.where("calibrates").where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text", F.col("toxic").cast("long").alias("toxic")))
+    chosen = labelled.where("calibrates").where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+    chosen = scratch.cut(with_cells(chosen.withColumn("toxic", F.col("toxic").cast("long")), ["toxic"]))
     best = None
     for discount in discounts:
         model = counts.model(discount)
@@ -312,7 +312,7 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, k
     model, (weights, offset, _) = best
     scratch.free(chosen)
 
-    scored = likelihood_ratios(docs, model, list(keep))
+    scored = likelihood_ratios(with_cells(docs, list(keep)), model, list(keep))
     score = 1 / (1 + F.exp(-(F.col("ratio") * float(weights[0]) + F.col("ratio") * F.sqrt("n") * float(weights[1]) + offset)))
     out = scored.withColumn("held_out", F.coalesce(code % 5 == 0, F.lit(True))).withColumn("score", score)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select(*keep, "held_out", "score", "predicted")
