@@ -21,6 +21,8 @@ from .links import connected_components, linked_members
 from .packing import mix64
 
 BITS = 64
+#: Of so many rotations at most, a row of a table carries the bits.
+CUT_ROTATIONS = 16
 
 
 def learn_rotations(sample: np.ndarray, n: int, iterations: int = 30, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -43,15 +45,73 @@ def learn_rotations(sample: np.ndarray, n: int, iterations: int = 30, seed: int
     return mean, np.stack(out)
 
 
-def table_plan(rows: int, bits: int, threshold: float, recall: float) -> tuple[int, int]:
+def pairs_at(sample: np.ndarray, threshold: float, basis: np.ndarray, most: int = 4096, seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the sample, and for each another at cosine `threshold`.
+
+    Every other one differs by what two vectors of the sample differ by, the rest by a direction
+    that the bits see in full.
+    """
+    rng = np.random.default_rng(seed)
+    x = sample[rng.integers(len(sample), size=most)]
+    away = rng.normal(size=(most, basis.shape[1])) @ basis.T
+    away[::2] = (sample[rng.integers(len(sample), size=most)] - sample[rng.integers(len(sample), size=most)])[::2]
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    size = np.linalg.norm(away, axis=1, keepdims=True)
+    some = size[:, 0] > 1e-9
+    return x[some], threshold * x[some] + math.sqrt(max(0.0, 1 - threshold * threshold)) * away[some] / size[some]
+
+
+def differing_bits(x: np.ndarray, y: np.ndarray, mean: np.ndarray, rotations: np.ndarray) -> np.ndarray:
+    """The share of bits in which each vector of `x` differs from that of `y`."""
+    return sum((((x - mean) @ r >= 0) != ((y - mean) @ r >= 0)).mean(axis=1) for r in rotations) / len(rotations)
+
+
+def table_plan(rows: int, bits: int, shares: np.ndarray, recall: float) -> tuple[int, int]:
     """(length of a substring, rotations): keys as selective as the table is large, and as many as recall asks for.
 
-    Two vectors at the threshold differ in a bit with probability angle / pi.
+    `shares` has the share of differing bits of pairs at the threshold; recall is the mean over
+    them. Where keys of that length take more than CUT_ROTATIONS rotations, shorter ones are
+    taken if what they add in comparisons (some 300 cost as much as a table's row) is less than
+    what they save in tables.
+    """
+
+    def rotations(length: int) -> int:
+        missed = (1 - (1 - shares) ** length) ** (bits // length)
+        low, high = 0, 1
+        while np.mean(missed**high) > 1 - recall and high < 2**20:
+            low, high = high, 2 * high
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if np.mean(missed**middle) > 1 - recall else (low, middle)
+        return high
+
+    length = max(1, min(bits, max(6, min(30, math.ceil(math.log2(max(2, rows / 8)))))))
+    if rotations(length) > CUT_ROTATIONS:
+        length = min(range(min(length, 6), length + 1), key=lambda n: rotations(n) * (bits // n) * (1 + rows / 2**n / 300))
+    return length, rotations(length)
+
+
+def plan(sample: np.ndarray, rows: int, bits: int, threshold: float, recall: float, slack: float) -> tuple[int, np.ndarray, np.ndarray, int]:
+    """(length of a substring, mean, rotations, most differing bits of a candidate pair), for unit vectors like the sample.
+
+    The first plan takes the angles to be those before centring; centring widens them where
+    vectors share a direction, so pairs made at the threshold are measured for the second. The
+    cut is wide enough for all of them.
     """
-    length = max(6, min(bits, 30, math.ceil(math.log2(max(2, rows / 8)))))
-    equal = (1 - math.acos(threshold) / math.pi) ** length
-    found = 1 - (1 - equal) ** (bits // length)
-    return length, max(1, math.ceil(math.log(1 - recall) / math.log(1 - found)))
+    angle = math.acos(threshold) / math.pi
+    _, count = table_plan(rows, bits, np.array([angle]), recall)
+    mean, rotations = learn_rotations(sample, min(count, CUT_ROTATIONS))
+    centred = sample - mean
+    basis = np.linalg.eigh(centred.T @ centred)[1][:, ::-1][:, :bits]
+    x, y = pairs_at(sample, threshold, basis)
+    shares = differing_bits(x, y, mean, rotations) if len(x) else np.array([angle])
+    substring, count = table_plan(rows, bits, shares, recall)
+    if count > len(rotations):
+        mean, rotations = learn_rotations(sample, count)
+    rotations = rotations[:count]
+    cut = rotations[:CUT_ROTATIONS]
+    widest = differing_bits(x, y, mean, cut).max() if len(x) else 0.0
+    return substring, mean, rotations, int(max(angle + slack, widest) * bits * len(cut) + 1e-6)
 
 
 def _codes(vectors: np.ndarray, mean: np.ndarray, rotations: np.ndarray) -> np.ndarray:
@@ -61,7 +121,7 @@ def _codes(vectors: np.ndarray, mean: np.ndarray, rotations: np.ndarray) -> np.n
 
 
 def index_rows(vectors: DataFrame, mean: np.ndarray, rotations: np.ndarray, length: int) -> DataFrame:
-    """key, id, weight, payload (all bits): a row for every vector (id, weight, embedding) and table."""
+    """key, id, weight, payload (bits of the first CUT_ROTATIONS rotations): a row for every vector (id, weight, embedding) and table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -71,7 +131,7 @@ def index_rows(vectors: DataFrame, mean: np.ndarray, rotations: np.ndarray, leng
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 codes = _codes(x, mean, rotations)
                 n, r, bits = codes.shape
-                packed = np.packbits(codes.reshape(n, r * bits), axis=1)
+                packed = np.packbits(codes[:, :CUT_ROTATIONS].reshape(n, -1), axis=1)
                 payload = [row.tobytes() for row in packed]
                 powers = (np.uint64(1) << np.arange(length, dtype=np.uint64))[None, None, :]
                 parts = bits // length
@@ -122,8 +182,9 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, *, threshold: float =
     """vec_id, n_links, component_id, kept for every row of `vectors` (vec_id, embedding).
 
     Every row is indexed; rotations are learned on at most `sample_rows` vectors, those of least
-    id hash. `recall` is what the tables are planned for at the threshold itself; more similar
-    pairs are found more surely. Vectors that are null, zero, hold null or non-finite components,
+    id hash. `recall` is what the tables are planned for at the threshold itself, by the bits in
+    which pairs made at the threshold from the sample differ after centring; more similar pairs
+    are found more surely. Vectors that are null, zero, hold null or non-finite components,
     or differ in length from the most frequent length link with nothing. Equal vectors are one
     node, each a link of the others. Rows without vec_id are returned alone, without a component.
     A vec_id that repeats is one node more for each row. An empty table gives an empty result;
@@ -145,11 +206,9 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, *, threshold: float =
         sample = np.array([r[0] for r in nodes.orderBy(F.xxhash64("id")).limit(sample_rows).select("embedding").collect()], dtype=np.float64)
         sample /= np.linalg.norm(sample, axis=1, keepdims=True)
         bits = min(BITS, sample.shape[1])
-        substring, count = table_plan(n, bits, threshold, recall)
-        mean, rotations = learn_rotations(sample, count)
+        substring, mean, rotations, most = plan(sample, n, bits, threshold, recall, slack)
         tables = index_rows(nodes, mean, rotations, substring)
-        differing = math.acos(threshold) / math.pi + slack
-        found = linked_members(tables, within_hamming(int(differing * bits * count)))
+        found = linked_members(tables, within_hamming(most))
         candidates = connected_components(scratch, found.select(F.col("id").alias("a"), F.col("root").alias("b")))
 
         def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -334,6 +334,24 @@ def test_near_vectors_equal_brute_force(spark):
     assert embeddings.near_vectors(spark, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.7])
+def test_near_vectors_that_share_a_direction(common):
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    direction = unit(rng.normal(size=64))
+    x = unit(np.sqrt(common) * direction + np.sqrt(1 - common) * unit(rng.normal(size=(20_000, 64))))
+    near, other = x[:3000], unit(rng.normal(size=(3000, 64)))
+    other = unit(other - (other @ direction)[:, None] * direction)
+    other = unit(other - (other * near).sum(axis=1, keepdims=True) * near)
+    y = 0.905 * near + np.sqrt(1 - 0.905**2) * other
+    length, mean, rotations, most = embeddings.plan(x[:10_000], 20_000, 64, 0.9, 0.995, 0.1)
+    assert len(rotations) * (64 // length) <= 200
+    a, b = embeddings._codes(near, mean, rotations), embeddings._codes(y, mean, rotations)
+    same = (a == b)[:, :, : 64 // length * length].reshape(3000, -1, length).all(axis=2).any(axis=1)
+    close = (a != b)[:, : embeddings.CUT_ROTATIONS].sum(axis=(1, 2)) <= most
+    assert (same & close).mean() >= 0.99
+
+
 def test_rotations_are_orthogonal_and_balanced():
     sample = np.random.default_rng(1).normal(size=(2000, 16)) + 3
     mean, rotations = embeddings.learn_rotations(sample, 2)
