@@ -6,12 +6,12 @@ gives the pieces of the packed sequences.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, Scratch, documents
 from tessera.llm.jaccard import jaccard_join
-from tessera.llm.mixing import mix_sources, taken_words
+from tessera.llm.mixing import mix_sources, taken_words, word_count
 from tessera.llm.packing import pack_documents
 from tessera.llm.suffix_dedup import remove_repeats
 from tessera.llm.toxicity import score_toxicity
@@ -41,9 +41,25 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; one that it takes in part gives a row of its first words."""
-    taken = taken_words(mix_sources(spark, docs)).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
-    rows = docs.select(*COLUMNS).join(taken, "doc_id")
+    """Each row as often as the mix takes it; one that it takes in part gives a row of its first words.
+
+    Rows without a doc_id, or with one that repeats, each have a place of their own in the mix.
+    Those that agree in doc_id, source and size are matched with their places one to one, in the
+    order of their other columns; other rows need their doc_id alone.
+    """
+    taken = Scratch(spark).cut(taken_words(mix_sources(spark, docs)).select("doc_id", "source", "size", "taken", "line_start"))
+    ids = taken.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.max("taken").alias("taken"))
+    single = ids.where("doc_id is not null and n = 1 and taken > 0").select("doc_id", "size", "taken")
+    rows = docs.select(*COLUMNS).join(single, "doc_id").select(*COLUMNS, "size", "taken")
+    shared = ids.where("doc_id is null or n > 1").select(F.col("doc_id").alias("_id"))
+    if not shared.isEmpty():
+        same = ["doc_id", "source", "size"]
+        some = lambda df: df.join(shared, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        turn = lambda *order: F.row_number().over(Window.partitionBy(*same).orderBy(*order))
+        places = some(taken).withColumn("turn", turn("line_start")).select(*[F.col(c).alias(f"_{c}") for c in (*same, "turn")], "taken")
+        own = some(docs.select(*COLUMNS, word_count().alias("size"))).withColumn("turn", turn(F.xxhash64("text"), "text", "lang", "n_chars"))
+        matched = own.join(places.where("taken > 0"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*same, "turn")])
+        rows = rows.unionByName(matched.select(*COLUMNS, "size", "taken"))
     whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
     copies = rows.where("taken >= size").withColumn("_", F.explode(F.sequence(F.lit(1), whole))).select(*COLUMNS)
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest.cast("int"))

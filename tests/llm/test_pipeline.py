@@ -42,6 +42,20 @@ def test_stage_effects(stages):
     assert pieces.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
 
 
+def test_mix_keeps_rows_without_or_with_repeated_ids(spark):
+    rows = [(None, "a b c", "en", "x", 5), (None, "d e f g", "en", "x", 7), (1, "h i", "en", "x", 3), (1, "j k l m n", "en", "x", 9), (2, "o p q", "en", None, 5), (2, "r s t", "en", None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = corpus_pipeline.taken_words(corpus_pipeline.mix_sources(spark, docs)).collect()
+    want, got = {}, {}
+    for r in taken:
+        key = r.doc_id, r.source
+        want[key] = want.get(key, 0) + r.taken
+    for r in corpus_pipeline.mix(spark, docs, SF).collect():
+        assert any(t.startswith(r.text) for d, t, *_ in rows if d == r.doc_id)
+        got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + len(r.text.split())
+    assert got == {k: n for k, n in want.items() if n}
+
+
 def test_run_gives_the_last_stage(spark, stages):
     key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32, r.sequence_id, r.offset)
     assert sorted(map(key, corpus_pipeline.run(spark, SF).collect())) == sorted(map(key, stages[-1][1].collect()))
