@@ -9,7 +9,7 @@ one expression help each other.
 
 What the models keep reaches the tasks with the function, by cells whose number is a parameter
 (words and pairs share cells by hash), whatever the size of the corpus; counts cover all labelled
-rows. A document's score is
+rows but the held-out part and those that calibrate. A document's score is
 a logistic function of the mean over its words of the difference between the two
 log-likelihoods, fitted on labelled documents that were kept out of the counts.
 """
@@ -282,8 +282,8 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, k
     """`keep` (doc_id among them), held_out, score, predicted for every row of `docs`.
 
     `labels` (doc_id, toxic) are learned from only where crc32(doc_id as text) mod 5 is not 0.
-    Of these, one part in six (by crc32 / 5) chooses the discount and fits the logistic function,
-    on at most about `calibration_rows` rows, picked by hash; all the rest is counted. Up to
+    Of these, about `calibration_rows` at most, picked by hash from one part in six (by crc32 / 5),
+    choose the discount and fit the logistic function; all the rest is counted. Up to
     `broadcast_rows` labels (counted first, about 40 bytes each) are broadcast, so that texts
     stay where they are; more are joined by a shuffle. Null
     labels and doc_ids teach nothing; a label given twice counts once (the larger). Null and
@@ -297,10 +297,11 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, k
     known = known.where(code % 5 != 0).withColumn("calibrates", F.floor(code / 5) % 6 == 0)
     n, calibrating = known.agg(F.count("*"), F.count_if("calibrates")).first()
     labelled = docs.select("doc_id", "text").join(F.broadcast(known) if n <= broadcast_rows else known, "doc_id")
-    counts = Counts(scratch, with_cells(labelled.where("not calibrates"), ["toxic"]), margin, min(discounts))
-
     share = max(1, -(-calibrating // calibration_rows))
-    chosen = labelled.where("calibrates").where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+    picked = F.col("calibrates") & (F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+    counts = Counts(scratch, with_cells(labelled.where(~picked), ["toxic"]), margin, min(discounts))
+
+    chosen = labelled.where(picked)
     chosen = scratch.cut(with_cells(chosen.withColumn("toxic", F.col("toxic").cast("long")), ["toxic"]))
     best = None
     for discount in discounts:

@@ -119,6 +119,22 @@ def test_toxicity_learns_nothing_from_held_out_labels(spark):
     assert scores[0] == scores[1]
 
 
+def test_toxicity_counts_all_but_the_rows_that_calibrate(spark, monkeypatch):
+    counted = []
+
+    class Seen(toxicity.Counts):
+        def __init__(self, scratch, labelled, *rest):
+            counted.append(labelled.count())
+            super().__init__(scratch, labelled, *rest)
+
+    monkeypatch.setattr(toxicity, "Counts", Seen)
+    docs = spark.createDataFrame([(i, f"plain words here {'vile' if i % 2 else 'kind'}", "en", "a", 1) for i in range(1200)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1200)], "doc_id long, toxic int")
+    toxicity.score_toxicity(spark, docs, labels, calibration_rows=20, discounts=(0.35,))
+    training = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1200))
+    assert training - 60 <= counted[0] < training
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score_toxicity(spark, corpus(spark), none).collect()} == {0.5}
