@@ -210,7 +210,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, *, similarity: float = 0.
     nodes = signed.join(classes.select(F.col("id").alias("doc_id"), "weight"), "doc_id").dropDuplicates(["doc_id"])
     nodes = scratch.cut(nodes.select(F.col("doc_id").alias("id"), "weight", "minima", "sketch"))
 
-    runs = runs_for(similarity, recall, 2)
+    runs = runs_for(similarity, recall, depth)
     rows = nodes.select(F.lit(None).cast("long").alias("path"), "id", "minima")
     done: DataFrame | None = None
     for level in range(1, depth + 1):

@@ -478,6 +478,17 @@ def test_jaccard_join_equals_brute_force(spark):
     assert got == {a: (label[a], len(links[a])) for a in sets}
 
 
+def test_jaccard_runs_are_planned_for_all_levels(spark, monkeypatch):
+    planned = []
+    plain = jaccard.choose_paths
+    monkeypatch.setattr(jaccard, "choose_paths", lambda rows, similarity, runs: planned.append(runs) or plain(rows, similarity, runs))
+    jaccard.jaccard_join(spark, corpus(spark)).count()
+    meets = 1.0
+    for _ in range(3):
+        meets = 1 - np.exp(-meets)
+    assert (1 - meets) ** planned[0] <= 1 - 0.9999
+
+
 def test_jaccard_edges(spark):
     out = jaccard.jaccard_join(spark, corpus(spark)).collect()
     assert len(out) == corpus(spark).count()
