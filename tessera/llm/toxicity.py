@@ -7,8 +7,9 @@ both classes share, so that an expression that is rare in one class is not held
 a word and what is shared stand its beginnings of seven, five and four letters, by which forms of
 one expression help each other.
 
-What the models keep reaches the tasks with the function, by cells whose number is a parameter
-(words and pairs share cells by hash), whatever the size of the corpus; counts cover all labelled
+What the models keep reaches the tasks with the function. Words and their beginnings share cells
+by hash; there are LOAD words a cell at most, so the number of cells, and with it the model,
+grows with the words that the labelled rows hold. Pairs of cells are kept as they are. Counts cover all labelled
 rows but the held-out part and those that calibrate. A document's score is
 a logistic function of the mean over its words of the difference between the two
 log-likelihoods, fitted on labelled documents that were kept out of the counts.
@@ -16,6 +17,7 @@ log-likelihoods, fitted on labelled documents that were kept out of the counts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, documents
-from .packing import mix64
 
-WORD_BITS, PAIR_BITS = 22, 24
-#: Beginnings of longer words, from the shortest; their cells.
-STEMS, STEM_BITS = (4, 5, 7), 21
+#: Bits of a word's cell, at least and at most (a pair of cells is a positive long), and distinct words a cell.
+WORD_BITS, MOST_BITS, LOAD = 22, 31, 0.25
+#: Up to so many bits cells are looked up in a table, beyond it by search among those kept.
+TABLE_BITS = 22
+#: Beginnings of longer words, from the shortest; they have half as many cells as words.
+STEMS = (4, 5, 7)
 CLASSES = ("ordinary", "toxic")
 #: Discounts that are tried.
 DISCOUNTS = (0.35, 0.7, 1.4, 2.8, 5.6)
@@ -40,26 +44,33 @@ def words_of(text):
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def cells_of(words) -> list:
-    """Columns `cells` (each word's, 1 up to 2**WORD_BITS - 1) and `stems` (for each length, each word's, 0 for shorter words)."""
-    cells = F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(2**WORD_BITS - 1)) + 1).cast("int"))
-    stem = lambda n: F.transform(words, lambda w: F.when(F.length(w) > n, F.pmod(F.xxhash64(F.substring(w, 1, n)), F.lit(2**STEM_BITS - 1)) + 1).otherwise(0).cast("int"))
+def cells_of(words, bits: int) -> list:
+    """Columns `cells` (each word's, 1 up to 2**bits - 1) and `stems` (for each length, each word's, 0 for shorter words)."""
+    cells = F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(2**bits - 1)) + 1).cast("int"))
+    stem = lambda n: F.transform(words, lambda w: F.when(F.length(w) > n, F.pmod(F.xxhash64(F.substring(w, 1, n)), F.lit(2 ** (bits - 1) - 1)) + 1).otherwise(0).cast("int"))
     return [cells.alias("cells"), *[stem(n).alias(f"stem{n}") for n in STEMS]]
 
 
-def with_cells(docs: DataFrame, keep: list[str]) -> DataFrame:
-    return docs.select(*keep, words_of(F.col("text")).alias("words")).select(*keep, *cells_of(F.col("words")))
+def with_cells(docs: DataFrame, keep: list[str], bits: int) -> DataFrame:
+    return docs.select(*keep, words_of(F.col("text")).alias("words")).select(*keep, *cells_of(F.col("words"), bits))
 
 
-def _pairs(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, (context << WORD_BITS) | word, and where it first stands, of every distinct pair of a row; the first word has the start context."""
+def _pairs(flat: np.ndarray, lengths: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, (context << bits) | word, and where it first stands, of every distinct pair of a row; the first word has the start context."""
     before = np.empty_like(flat)
     before[1:] = flat[:-1]
     ends = np.cumsum(lengths)
     before[(ends - lengths)[lengths > 0]] = START
     owner = np.repeat(np.arange(len(lengths)), lengths)
-    both, first = np.unique((owner << (2 * WORD_BITS)) | (before << WORD_BITS) | flat, return_index=True)
-    return both >> (2 * WORD_BITS), both & (2 ** (2 * WORD_BITS) - 1), first
+    pair = (before << bits) | flat
+    if 2 * bits + len(lengths).bit_length() < 64:
+        _, first = np.unique((owner << (2 * bits)) | pair, return_index=True)
+    else:
+        order = np.lexsort((pair, owner))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (pair[order][1:] != pair[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+        first = order[new]
+    return owner[first], pair[first], first
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +79,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat.astype(np.int64), np.diff(offsets)
 
 
-def count_pairs(labelled: DataFrame) -> DataFrame:
+def count_pairs(labelled: DataFrame, bits: int) -> DataFrame:
     """pair, ordinary, toxic: documents of either class with the pair, over all rows of `labelled` (cells, stems, toxic).
 
     Stems are rows too, numbered below 0 by cell and level. A pair counts once for a document, so that one long or repetitive text does not stand for
@@ -80,15 +91,15 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 flat, lengths = _flat(batch.column("cells"))
-                owner, pairs, _ = _pairs(flat, lengths)
+                owner, pairs, _ = _pairs(flat, lengths, bits)
                 if not len(pairs):
                     continue
                 rows = np.repeat(np.arange(len(lengths)), lengths)
                 for level, n in enumerate(STEMS):
                     stem = _flat(batch.column(f"stem{n}"))[0]
-                    own = np.unique((rows[stem > 0] << STEM_BITS) | stem[stem > 0])
-                    owner = np.concatenate([owner, own >> STEM_BITS])
-                    pairs = np.concatenate([pairs, -(((own & (2**STEM_BITS - 1)) << 2) | level) - 1])
+                    own = np.unique((rows[stem > 0] << (bits - 1)) | stem[stem > 0])
+                    owner = np.concatenate([owner, own >> (bits - 1)])
+                    pairs = np.concatenate([pairs, -(((own & (2 ** (bits - 1) - 1)) << 2) | level) - 1])
                 toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)[owner]
                 pair, place, n = np.unique(pairs, return_inverse=True, return_counts=True)
                 bad = np.bincount(place, weights=toxic, minlength=len(pair)).astype(np.int64)
@@ -97,21 +108,10 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(run, "pair long, ordinary long, toxic long").groupBy("pair").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
-def _by_cell(kept: DataFrame) -> DataFrame:
-    """What is kept of the pairs' counts, summed by the cell that they share: at most 2**PAIR_BITS rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = pair_cell(batch.column("pair").to_numpy(zero_copy_only=False).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("kept_ordinary"), batch.column("kept_toxic")], names=["at", "kept_ordinary", "kept_toxic"])
-
-    cells = kept.mapInArrow(run, "at long, kept_ordinary double, kept_toxic double")
-    return cells.groupBy("at").agg(F.sum("kept_ordinary").alias("kept_ordinary"), F.sum("kept_toxic").alias("kept_toxic"))
-
-
-def _columns(df: DataFrame) -> dict[str, np.ndarray]:
-    """A table of no more rows than there are cells, by column."""
+def _columns(df: DataFrame, order: str | None = None) -> dict[str, np.ndarray]:
+    """A table of what a model keeps, by column; sorted here, as it comes to the driver whole."""
     table = df.toArrow()
+    table = table.sort_by(order) if order else table
     return {name: table.column(name).to_numpy() for name in table.column_names}
 
 
@@ -128,16 +128,20 @@ class Counts:
 
     def __init__(self, scratch: Scratch, labelled: DataFrame, margin: float, least_discount: float):
         self.scratch, self.margin = scratch, margin
-        counted = scratch.cut(count_pairs(labelled))
+        sums = [F.sum(c).alias(c) for c in CLASSES]
+        each = labelled.select(F.explode(F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))).alias("word"))
+        distinct = each.agg(F.approx_count_distinct("word")).first()[0]
+        self.bits = min(MOST_BITS, max(WORD_BITS, math.ceil(math.log2(max(1, distinct) / LOAD))))
+        self.mask = 2**self.bits - 1
+        counted = scratch.cut(count_pairs(with_cells(labelled, ["toxic"], self.bits), self.bits))
         pairs, stems = counted.where("pair >= 0"), counted.where("pair < 0")
         totals = pairs.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in CLASSES]).first()
         self.scales = {c: max(1, min(totals)) / max(1, n) for c, n in zip(CLASSES, totals, strict=True)}
         self.total = min(totals) + 1
-        sums = [F.sum(c).alias(c) for c in CLASSES]
-        words = scratch.cut(pairs.groupBy(F.col("pair").bitwiseAND(2**WORD_BITS - 1).alias("at")).agg(F.count("*").alias("continuations"), *sums))
-        self.mass = (words.agg(F.sum("continuations")).first()[0] or 0) + 0.5 * 2**WORD_BITS
+        words = scratch.cut(pairs.groupBy(F.col("pair").bitwiseAND(self.mask).alias("at")).agg(F.count("*").alias("continuations"), *sums))
+        self.mass = (words.agg(F.sum("continuations")).first()[0] or 0) + 0.5 * 2**self.bits
         self.words = words
-        self.contexts = scratch.cut(pairs.groupBy(F.shiftright("pair", WORD_BITS).alias("at")).agg(*sums))
+        self.contexts = scratch.cut(pairs.groupBy(F.shiftright("pair", self.bits).alias("at")).agg(*sums))
         # What the least discount leaves nothing of, no other does.
         left = sum(self._excess(least_discount).values(), F.lit(0.0)) > 0
         self.pairs = scratch.cut(pairs.where(left))
@@ -153,7 +157,7 @@ class Counts:
         return {c: F.greatest(F.col(c) * self.scales[c] - self.margin * mean - slack, F.lit(0.0)).alias(f"kept_{c}") for c in CLASSES}
 
     def model(self, discount: float) -> dict[str, np.ndarray]:
-        """What the models keep, by cells: of words, of contexts, of pairs; no more than the cells there are.
+        """What the models keep, sorted by cell: of words, of contexts, of pairs.
 
         Of a word that no class keeps anything of, both give the shared estimate times a
         constant, so its value does not matter to their ratio and is not sent.
@@ -161,14 +165,14 @@ class Counts:
         excess = self._excess(discount).values()
         kept = self.pairs.select("pair", *excess).where("kept_ordinary > 0 or kept_toxic > 0")
         sums = [F.sum(f"kept_{c}").alias(f"kept_{c}") for c in CLASSES]
-        by_context = _columns(kept.groupBy(F.shiftright("pair", WORD_BITS).alias("at")).agg(*sums).join(self.contexts, "at"))
-        ending = kept.select(F.col("pair").bitwiseAND(2**WORD_BITS - 1).alias("at"), F.lit(True).alias("ends")).distinct()
+        by_context = _columns(kept.groupBy(F.shiftright("pair", self.bits).alias("at")).agg(*sums).join(self.contexts, "at"), "at")
+        ending = kept.select(F.col("pair").bitwiseAND(self.mask).alias("at"), F.lit(True).alias("ends")).distinct()
         words = self.words.select("at", "continuations", *excess)
-        by_word = _columns(words.join(ending, "at", "left").where("ends or kept_ordinary > 0 or kept_toxic > 0").drop("ends"))
-        by_cell = _columns(_by_cell(kept).orderBy("at"))
+        by_word = _columns(words.join(ending, "at", "left").where("ends or kept_ordinary > 0 or kept_toxic > 0").drop("ends"), "at")
+        by_pair = _columns(kept, "pair")
         out_shared = ((by_word["continuations"] + 0.5) / self.mass).astype(np.float32)
-        stems = _columns(self.stems.select("at", "level", *CLASSES, *excess))
-        out = {"words": by_word["at"], "shared": out_shared, "contexts": by_context["at"], "pairs": by_cell["at"]}
+        stems = _columns(self.stems.select("at", "level", *CLASSES, *excess), "at")
+        out = {"words": by_word["at"], "shared": out_shared, "contexts": by_context["at"], "pairs": by_pair["pair"], "bits": np.array(self.bits)}
         for k, n in enumerate(STEMS):
             here = stems["level"] == k
             out[f"stems{n}"] = stems["at"][here]
@@ -185,24 +189,28 @@ class Counts:
             contexts = by_context[c] * self.scales[c] + 1
             out[f"context_{c}"] = contexts.astype(np.float32)
             out[f"weight_{c}"] = (1 - by_context[f"kept_{c}"] / contexts).astype(np.float32)
-            out[f"pair_{c}"] = by_cell[f"kept_{c}"].astype(np.float32)
+            out[f"pair_{c}"] = by_pair[f"kept_{c}"].astype(np.float32)
         return out
 
 
-def _unpacked(model: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Tables from all cells to places among what is kept, 0 for the others, and values by place.
+def _unpacked(model: dict[str, np.ndarray]) -> dict:
+    """Functions from cells to places among what is kept, 0 for the others, and values by place.
 
-    Pairs, whose cells are many more, are found by search among their sorted cells instead.
+    Pairs are found by search among those kept instead, as are cells too many for a table.
     """
+    bits = int(model["bits"])
 
-    def places(keys: str, bits: int) -> np.ndarray:
+    def places(keys: str, bits: int):
+        kept = model[keys]
+        if bits > TABLE_BITS:
+            return lambda cells: (kept_place(kept, cells) + 1) % (len(kept) + 1)
         out = np.zeros(2**bits, dtype=np.int32)
-        out[model[keys]] = np.arange(1, len(model[keys]) + 1)
-        return out
+        out[kept] = np.arange(1, len(kept) + 1)
+        return out.__getitem__
 
     first = lambda value, name: np.append(np.float32(value), model[name])
-    out = {"words": places("words", WORD_BITS), "contexts": places("contexts", WORD_BITS), "shared": first(1e-6, "shared"), "pairs": model["pairs"]}
-    out |= {f"stems{n}": places(f"stems{n}", STEM_BITS) for n in STEMS}
+    out = {"words": places("words", bits), "contexts": places("contexts", bits), "shared": first(1e-6, "shared"), "pairs": model["pairs"], "bits": bits}
+    out |= {f"stems{n}": places(f"stems{n}", bits - 1) for n in STEMS}
     for c in CLASSES:
         out[f"rest_{c}"] = model[f"rest_{c}"][0]
         out[f"word_{c}"] = first(0, f"word_{c}")
@@ -223,15 +231,10 @@ def _likelihood(model: dict, c: str, pair: np.ndarray, context: np.ndarray, word
     return np.log(model[f"pair_{c}"][pair] / model[f"context_{c}"][context] + model[f"weight_{c}"][context] * single)
 
 
-def pair_cell(pair: np.ndarray) -> np.ndarray:
-    return (mix64(pair) % np.uint64(2**PAIR_BITS)).astype(np.int64)
-
-
-def kept_place(cells: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """Where each pair's cell is among the sorted cells; their number if it is not."""
-    cell = pair_cell(pair)
-    place = np.searchsorted(cells, cell)
-    return np.where(np.append(cells, -1)[place] == cell, place, len(cells))
+def kept_place(kept: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each key is among the sorted ones that are kept; their number if it is not."""
+    place = np.searchsorted(kept, keys)
+    return np.where(np.append(kept, -1)[place] == keys, place, len(kept))
 
 
 def likelihood_ratios(rows: DataFrame, model: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
@@ -242,10 +245,10 @@ def likelihood_ratios(rows: DataFrame, model: dict[str, np.ndarray], keep: list[
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
-                owner, pair, first = _pairs(*_flat(batch.column("cells")))
+                owner, pair, first = _pairs(*_flat(batch.column("cells")), arrays["bits"])
                 stems = [_flat(batch.column(f"stem{n}"))[0][first] for n in STEMS]
-                stems = [(s > 0, arrays[f"stems{n}"][s]) for n, s in zip(STEMS, stems, strict=True)]
-                known = kept_place(arrays["pairs"], pair), arrays["contexts"][pair >> WORD_BITS], arrays["words"][pair & (2**WORD_BITS - 1)], stems
+                stems = [(s > 0, arrays[f"stems{n}"](s)) for n, s in zip(STEMS, stems, strict=True)]
+                known = kept_place(arrays["pairs"], pair), arrays["contexts"](pair >> arrays["bits"]), arrays["words"](pair & (2 ** arrays["bits"] - 1)), stems
                 gap = _likelihood(arrays, "toxic", *known) - _likelihood(arrays, "ordinary", *known)
                 n = np.bincount(owner, minlength=batch.num_rows)
                 mean = np.bincount(owner, weights=gap, minlength=batch.num_rows) / np.maximum(n, 1)
@@ -299,10 +302,10 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, k
     labelled = docs.select("doc_id", "text").join(F.broadcast(known) if n <= broadcast_rows else known, "doc_id")
     share = max(1, -(-calibrating // calibration_rows))
     picked = F.col("calibrates") & (F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
-    counts = Counts(scratch, with_cells(labelled.where(~picked), ["toxic"]), margin, min(discounts))
+    counts = Counts(scratch, labelled.where(~picked), margin, min(discounts))
 
     chosen = labelled.where(picked)
-    chosen = scratch.cut(with_cells(chosen.withColumn("toxic", F.col("toxic").cast("long")), ["toxic"]))
+    chosen = scratch.cut(with_cells(chosen.withColumn("toxic", F.col("toxic").cast("long")), ["toxic"], counts.bits))
     best = None
     for discount in discounts:
         model = counts.model(discount)
@@ -313,7 +316,7 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, k
     model, (weights, offset, _) = best
     scratch.free(chosen)
 
-    scored = likelihood_ratios(with_cells(docs, list(keep)), model, list(keep))
+    scored = likelihood_ratios(with_cells(docs, list(keep), counts.bits), model, list(keep))
     score = 1 / (1 + F.exp(-(F.col("ratio") * float(weights[0]) + F.col("ratio") * F.sqrt("n") * float(weights[1]) + offset)))
     out = scored.withColumn("held_out", F.coalesce(code % 5 == 0, F.lit(True))).withColumn("score", score)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select(*keep, "held_out", "score", "predicted")

@@ -135,6 +135,20 @@ def test_toxicity_counts_all_but_the_rows_that_calibrate(spark, monkeypatch):
     assert training - 60 <= counted[0] < training
 
 
+@pytest.mark.parametrize(("start", "table"), [(6, 22), (6, 4), (31, 4)])
+def test_toxicity_cells_grow_with_the_words(spark, monkeypatch, start, table):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(40)) + (" vile rotten" if i % 4 == 0 else ""), "en", "a", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "WORD_BITS", start)
+    monkeypatch.setattr(toxicity, "TABLE_BITS", table)
+    counts = toxicity.Counts(Scratch(spark), docs.join(labels, "doc_id").select("doc_id", "text", "toxic"), 1.3, 0.35)
+    assert 2**counts.bits * toxicity.LOAD >= 0.8 * 402
+    out = toxicity.score_toxicity(spark, docs, labels).where("held_out").collect()
+    assert sum(r.predicted == (r.doc_id % 4 == 0) for r in out) / len(out) > 0.97
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score_toxicity(spark, corpus(spark), none).collect()} == {0.5}
