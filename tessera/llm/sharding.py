@@ -2,14 +2,16 @@
 
 Each arrival is appended as shards of its own. Shards of about one size form a tier; when a tier
 has enough of them, runs of it are merged into shards of up to the target size, until no tier is
-full. A commit creates the next version of the manifest, a file that must not exist yet, so that
-of two writers only one succeeds; readers see one version or the next, never parts of both.
+full; all merges of a round are one job, a task for each run. A commit creates the next version of
+the manifest by a rename that fails where the name is taken, so that of two writers only one
+succeeds; readers see one version or the next, never parts of both.
 
 The driver handles the list of shards alone; rows are read and written by Spark's own sources.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import time
@@ -27,19 +29,21 @@ class CommitConflict(RuntimeError):
 
 
 class ShardedTable:
-    """root/data/<run>/part-*.parquet and root/manifest/<version>.json: the shards of each version.
+    """root/data/<run>/part-*.parquet, root/manifest/<version>.json and root/intent/<run>.
 
-    Shards are listed with their bytes and the run (folder) that wrote them. Rows keep all their
-    columns, nulls and repetitions; an empty arrival adds a version without shards.
+    A version lists its shards with their bytes, and those that it took out of the version
+    before. An intent stands from before a run is written until its shards are committed or
+    given up; `vacuum` leaves such runs alone. Rows keep all their columns, nulls and
+    repetitions; an empty arrival adds a version without shards. Two writers need a file system
+    whose rename without overwriting is atomic, as that of HDFS is.
     """
 
-    def __init__(self, spark: SparkSession, root: str, *, target_bytes: int = 128 << 20, fan_in: int = 4, base_bytes: int = 1 << 20, lock_seconds: int = 600):
+    def __init__(self, spark: SparkSession, root: str, *, target_bytes: int = 128 << 20, fan_in: int = 4, base_bytes: int = 1 << 20, grace_seconds: int = 86_400, attempts: int = 8):
         self.spark, self.root = spark, root.rstrip("/")
         self.target_bytes, self.fan_in, self.base_bytes = target_bytes, fan_in, base_bytes
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        self.lock_seconds = lock_seconds
-        self._path = path
-        self._fs = path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.grace_seconds, self.attempts = grace_seconds, attempts
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _list(self, folder: str) -> list:
         path = self._path(folder)
@@ -60,37 +64,67 @@ class ShardedTable:
         finally:
             stream.close()
 
-    def _commit(self, base: int, schema: StructType, shards: list[dict]) -> int:
-        """Write the whole file under a name of its own, then rename it to a name that must be free."""
-        content = json.dumps({"version": base + 1, "schema": schema.jsonValue(), "shards": shards})
-        folder = f"{self.root}/manifest"
+    def _publish(self, draft, final) -> None:
+        """Rename, unless the name is taken."""
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
+        context.rename(draft, final, options)
+
+    def _commit(self, base: dict, schema: StructType, added: list[dict], removed: set[str] = frozenset()) -> int:
+        """The version after `base`: its shards without `removed`, and `added`, whose files must be there."""
+        for shard in added:
+            if not self._fs.exists(self._path(f"{self.root}/{shard['path']}")):
+                raise FileNotFoundError(shard["path"])
+        version, folder = base["version"] + 1, f"{self.root}/manifest"
+        shards = [s for s in base["shards"] if s["path"] not in removed] + added
+        content = json.dumps({"version": version, "schema": schema.jsonValue(), "shards": shards, "removed": sorted(removed)})
         self._fs.mkdirs(self._path(folder))
-        draft, final = self._path(f"{folder}/.{uuid.uuid4().hex}"), self._path(f"{folder}/{base + 1:010d}.json")
+        draft, final = (self._fs.makeQualified(self._path(f"{folder}/{name}")) for name in (f".{uuid.uuid4().hex}", f"{version:010d}.json"))
         stream = self._fs.create(draft, False)
         stream.write(bytearray(content.encode()))
         stream.close()
-        lock = self._path(f"{folder}/{base + 1:010d}.lock")
-        if not self._fs.exists(final) and self._fs.exists(lock):
-            began = self._fs.getFileStatus(lock).getModificationTime()
-            if time.time() * 1000 - began > self.lock_seconds * 1000:  # its writer died before the rename
-                self._fs.delete(lock, False)
-        won = self._fs.createNewFile(lock) and not self._fs.exists(final)
-        if not won or not self._fs.rename(draft, final):
+        try:
+            self._publish(draft, final)
+        except Exception as error:
             self._fs.delete(draft, False)
-            raise CommitConflict(f"version {base + 1} of {self.root} is there")
-        return base + 1
+            if self._fs.exists(final):
+                raise CommitConflict(f"version {version} of {self.root} is there") from error
+            raise
+        return version
 
-    def _write(self, rows: DataFrame, n: int | None = None) -> list[dict]:
+    def _begin(self) -> str:
         run = uuid.uuid4().hex
+        self._fs.create(self._path(f"{self.root}/intent/{run}"), False).close()
+        return run
+
+    def _end(self, run: str, failed: bool = False) -> None:
+        if failed:
+            self._fs.delete(self._path(f"{self.root}/data/{run}"), True)
+        self._fs.delete(self._path(f"{self.root}/intent/{run}"), False)
+
+    def _write(self, run: str, rows: DataFrame) -> list[dict]:
         folder = f"{self.root}/data/{run}"
-        (rows if n is None else rows.coalesce(n)).write.option("compression", "zstd").parquet(folder)
+        rows.write.option("compression", "zstd").parquet(folder)
         found = [(s.getPath().getName(), s.getLen()) for s in self._list(folder)]
         return [{"path": f"data/{run}/{name}", "bytes": size, "run": run} for name, size in found if name.endswith(".parquet")]
 
     def append(self, rows: DataFrame) -> int:
-        """One arrival as shards of its own; none of its files is ever changed."""
-        base = self.manifest()
-        return self._commit(base["version"], rows.schema, base["shards"] + self._write(rows))
+        """One arrival as shards of its own; none of its files is ever changed. If another writer commits first, the shards go into the version after."""
+        run, failed = self._begin(), True
+        try:
+            shards = self._write(run, rows)
+            for attempt in range(self.attempts):
+                try:
+                    version = self._commit(self.manifest(), rows.schema, shards)
+                    failed = False
+                    return version
+                except CommitConflict:
+                    if attempt + 1 == self.attempts:
+                        raise
+        finally:
+            self._end(run, failed)
 
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / self.base_bytes, self.fan_in))) if size > self.base_bytes else 0
@@ -115,57 +149,83 @@ class ShardedTable:
             runs.append(run)
         return [r for r in runs if len(r) > 1]
 
-    def compact(self) -> int:
-        """Merge until no tier is full; each round is one commit. Returns the version that holds then."""
+    def compact(self, runs_a_job: int = 500) -> int:
+        """Merge until no tier is full; each round is one job and one commit. Returns the version that holds then.
+
+        Of a round up to `runs_a_job` runs are merged, the next round takes the others. A round that
+        loses its commit to another writer is given up, and the next begins from that version.
+        """
+        lost = 0
         while True:
             base = self.manifest()
-            runs = self._runs(base["shards"])
+            runs = self._runs(base["shards"])[:runs_a_job]
             if not runs:
                 return base["version"]
-            merged, gone = [], set()
-            for run in runs:
-                rows = self.spark.read.schema(StructType.fromJson(base["schema"])).parquet(*[f"{self.root}/{s['path']}" for s in run])
-                merged += self._write(rows, 1)
-                gone |= {s["path"] for s in run}
-            self._commit(base["version"], StructType.fromJson(base["schema"]), [s for s in base["shards"] if s["path"] not in gone] + merged)
+            schema, failed, run = StructType.fromJson(base["schema"]), True, self._begin()
+            try:
+                reader = self.spark.read.schema(schema)
+                parts = [reader.parquet(*[f"{self.root}/{s['path']}" for s in members]).coalesce(1) for members in runs]
+                merged = self._write(run, functools.reduce(DataFrame.unionAll, parts))
+                self._commit(base, schema, merged, {s["path"] for members in runs for s in members})
+                failed = False
+            except CommitConflict:
+                lost += 1
+                if lost == self.attempts:
+                    raise
+            finally:
+                self._end(run, failed)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, each with `_shard`, the path of its shard; it hides a column of that name."""
+        """The rows of a version, each with `_shard`, the path of its shard; a column of that name comes first, under its name with a further `_`."""
         held = self.manifest(version)
         if held["schema"] is None:
             raise ValueError(f"{self.root} has no version")
         schema = StructType.fromJson(held["schema"])
         paths = [f"{self.root}/{s['path']}" for s in held["shards"]]
         rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-        return rows.withColumn("_shard", F.regexp_extract(F.input_file_name(), r"(data/[^/]+/[^/]+)$", 1))
+        own = rows.withColumnRenamed("_shard", "__shard")
+        return own.withColumn("_shard", F.regexp_extract(F.input_file_name(), r"(data/[^/]+/[^/]+)$", 1))
 
     def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete data that none of the last versions lists; returns how many files went."""
+        """Delete data that none of the last versions lists; returns how many files went.
+
+        What a version took out goes at once, with the manifests before it. Runs that no version
+        has listed go only if they are older than `grace_seconds` and have no intent, as their
+        writer may be about to commit; an intent older than that is that of a writer that died.
+        """
         latest = self.version()
-        held = {s["path"] for v in range(max(1, latest - keep_versions + 1), latest + 1) for s in self.manifest(v)["shards"]}
+        oldest = max(1, latest - keep_versions + 1)
+        kept = {s["path"] for v in range(oldest, latest + 1) for s in self.manifest(v)["shards"]}
+        names = sorted(s.getPath().getName() for s in self._list(f"{self.root}/manifest"))
+        versions = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
         gone = 0
+        for version in (v for v in versions if v <= oldest):
+            for path in self.manifest(version).get("removed", ()):
+                if path not in kept:
+                    gone += bool(self._fs.delete(self._path(f"{self.root}/{path}"), False))
+        late = time.time() * 1000 - self.grace_seconds * 1000
+        busy = {s.getPath().getName() for s in self._list(f"{self.root}/intent") if s.getModificationTime() > late}
+        listed = {p.split("/")[1] for v in versions for p in (s["path"] for s in self.manifest(v)["shards"])}
         for folder in self._list(f"{self.root}/data"):
-            name = folder.getPath().getName()
-            files = [s.getPath().getName() for s in self._list(f"{self.root}/data/{name}") if s.getPath().getName().endswith(".parquet")]
-            unused = [f for f in files if f"data/{name}/{f}" not in held]
-            gone += len(unused)
-            if len(unused) == len(files):
-                self._fs.delete(self._path(f"{self.root}/data/{name}"), True)
-            else:
-                for f in unused:
-                    self._fs.delete(self._path(f"{self.root}/data/{name}/{f}"), False)
+            run = folder.getPath().getName()
+            if run not in busy and run not in listed and folder.getModificationTime() < late:
+                gone += sum(s.getPath().getName().endswith(".parquet") for s in self._list(f"{self.root}/data/{run}"))
+                self._end(run, failed=True)
+        for version in (v for v in versions if v < oldest):
+            self._fs.delete(self._path(f"{self.root}/manifest/{version:010d}.json"), False)
         return gone
 
 
 def arrivals(docs: DataFrame, n: int) -> list[DataFrame]:
-    """The rows in `n` ranges of doc_id, null first: an arrival holds the ids that follow the last one's."""
+    """The rows in up to `n` ranges of doc_id, null first; an id of another type than an integer is dealt by its hash."""
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return [docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == k) for k in range(n)]
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is None:
         return [docs]
     step = max(1, -(-(high - low + 1) // n))
-    edges = list(range(low, high + 1, step))
     parts = []
-    for k, start in enumerate(edges):
+    for k, start in enumerate(range(low, high + 1, step)):
         inside = (F.col("doc_id") >= start) & (F.col("doc_id") < start + step)
         parts.append(docs.where(inside | F.col("doc_id").isNull()) if k == 0 else docs.where(inside))
     return parts
