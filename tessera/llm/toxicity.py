@@ -1,18 +1,23 @@
-"""Operator 2: toxicity by two class-conditional Kneser-Ney bigram models.
-
-Words become hashes in the JVM, where counting is also done: one row for each pair of neighbouring
-words of the labelled documents, with its count in either class. All that interpolated Kneser-Ney
-needs follows from that table: discounts, contexts' totals, and the continuation counts, which
-both classes share, so that an expression that is rare in one class is not held against it. Between
-a word and what is shared stand its beginnings of seven, five and four letters, by which forms of
-one expression help each other.
-
-What the models keep reaches the tasks with the function. Words and their beginnings share cells
-by hash; there are LOAD words a cell at most, so the number of cells, and with it the model,
-grows with the words that the labelled rows hold. Pairs of cells are kept as they are. Counts cover all labelled
-rows but the held-out part and those that calibrate. A document's score is
-a logistic function of the mean over its words of the difference between the two
-log-likelihoods, fitted on labelled documents that were kept out of the counts.
+"""Operator 2: toxicity by two class-conditional Kneser-Ney models over shared backoff counts.
+
+Words become 64-bit hashes in the JVM; each labelled document then counts once for every pair of
+neighbouring words, every word, and every beginning of a word of seven and five letters that
+it holds. A class's model takes its own counts less an absolute discount, one for each class and
+order, and leaves what it takes off to the next order:
+
+    P(v | u) = max(c(u, v) - D, 0) / c(u)  +  left(u) P(v)
+    P(v)     = max(c(v) - D, 0) / C        +  left    P(s7) S(v) / S(s7)
+    P(s7)    = max(c(s7) - D, 0) / C7      +  left    P(s5) S(s7) / S(s5)       and likewise for s5
+
+where left is the share of the counts that the discount has taken, so that every distribution sums
+to one. S is what both classes share: the number of different words that a word follows in either
+class, summed up over beginnings, with one more below each for words never seen. Rare expressions
+therefore take the same value in both models, and tell the classes apart by their beginnings only.
+
+Of the counts a model keeps what exceeds its discounts, so it grows with the labelled rows. A
+document's likelihoods are compared word by word: by the mean over its words, and by the mean over
+the few words that speak most for toxicity; a logistic function of these is fitted on labelled
+documents that were kept out of the counts.
 """
 
 from __future__ import annotations
@@ -22,251 +27,245 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, documents
-
-#: Bits of a word's cell, at least and at most (a pair of cells is a positive long), and distinct words a cell.
-WORD_BITS, MOST_BITS, LOAD = 22, 31, 0.25
-#: Up to so many bits cells are looked up in a table, beyond it by search among those kept.
-TABLE_BITS = 22
-#: Beginnings of longer words, from the shortest; they have half as many cells as words.
-STEMS = (4, 5, 7)
+from .packing import mix64
+
+#: Beginnings of words, from the longest; a shorter word is its own beginning.
+STEMS = (7, 5)
+#: Orders of the models: pairs, words, and beginnings from the longest.
+PAIR, SINGLE, LAST = 0, 1, 1 + len(STEMS)
+#: What the estimated discount of each order is multiplied by.
+STRENGTHS = (6.0, 4.0, 8.0, 16.0)
 CLASSES = ("ordinary", "toxic")
-#: Discounts that are tried.
-DISCOUNTS = (0.35, 0.7, 1.4, 2.8, 5.6)
 #: Context of the first word.
 START = 0
+#: Words of a document that speak most for toxicity.
+TOP = (3, 8)
 
 
 def words_of(text):
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def cells_of(words, bits: int) -> list:
-    """Columns `cells` (each word's, 1 up to 2**bits - 1) and `stems` (for each length, each word's, 0 for shorter words)."""
-    cells = F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(2**bits - 1)) + 1).cast("int"))
-    stem = lambda n: F.transform(words, lambda w: F.when(F.length(w) > n, F.pmod(F.xxhash64(F.substring(w, 1, n)), F.lit(2 ** (bits - 1) - 1)) + 1).otherwise(0).cast("int"))
-    return [cells.alias("cells"), *[stem(n).alias(f"stem{n}") for n in STEMS]]
-
-
-def with_cells(docs: DataFrame, keep: list[str], bits: int) -> DataFrame:
-    return docs.select(*keep, words_of(F.col("text")).alias("words")).select(*keep, *cells_of(F.col("words"), bits))
+def hashed_words(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep`, and arrays of 64-bit hashes: w1 of the words, w2 and on of their beginnings."""
+    words = docs.select(*keep, words_of(F.col("text")).alias("words"))
+    stem = lambda n: F.transform("words", lambda w: F.xxhash64(F.substring(w, 1, n)))
+    return words.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("w1"), *[stem(n).alias(f"w{k}") for k, n in enumerate(STEMS, SINGLE + 1)])
 
 
-def _pairs(flat: np.ndarray, lengths: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, (context << bits) | word, and where it first stands, of every distinct pair of a row; the first word has the start context."""
-    before = np.empty_like(flat)
-    before[1:] = flat[:-1]
-    ends = np.cumsum(lengths)
-    before[(ends - lengths)[lengths > 0]] = START
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    pair = (before << bits) | flat
-    if 2 * bits + len(lengths).bit_length() < 64:
-        _, first = np.unique((owner << (2 * bits)) | pair, return_index=True)
-    else:
-        order = np.lexsort((pair, owner))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (pair[order][1:] != pair[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-        first = order[new]
-    return owner[first], pair[first], first
+def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix64(context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)).view(np.int64)
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = column.offsets.to_numpy()
-    flat = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-    return flat.astype(np.int64), np.diff(offsets)
+    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+def _once(owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each distinct key of each row first stands."""
+    return np.unique(mix64(keys.view(np.uint64) + mix64(owner.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
+
 
+def _contexts(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = START
+    return before
 
-def count_pairs(labelled: DataFrame, bits: int) -> DataFrame:
-    """pair, ordinary, toxic: documents of either class with the pair, over all rows of `labelled` (cells, stems, toxic).
 
-    Stems are rows too, numbered below 0 by cell and level. A pair counts once for a document, so that one long or repetitive text does not stand for
-    its class. Batches are summed before they are sent.
+def count_orders(labelled: DataFrame) -> DataFrame:
+    """level, a, b, ordinary, toxic: documents of either class with each item, for rows of hashed words and toxic.
+
+    Level 0 has pairs (context a, word b); others an item a and the shorter beginning b that it
+    backs off to. An item counts once for a document, so that one long or repetitive text does
+    not stand for its class. Batches are summed before they are sent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                flat, lengths = _flat(batch.column("cells"))
-                owner, pairs, _ = _pairs(flat, lengths, bits)
-                if not len(pairs):
-                    continue
-                rows = np.repeat(np.arange(len(lengths)), lengths)
-                for level, n in enumerate(STEMS):
-                    stem = _flat(batch.column(f"stem{n}"))[0]
-                    own = np.unique((rows[stem > 0] << (bits - 1)) | stem[stem > 0])
-                    owner = np.concatenate([owner, own >> (bits - 1)])
-                    pairs = np.concatenate([pairs, -(((own & (2 ** (bits - 1) - 1)) << 2) | level) - 1])
-                toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)[owner]
-                pair, place, n = np.unique(pairs, return_inverse=True, return_counts=True)
-                bad = np.bincount(place, weights=toxic, minlength=len(pair)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n - bad), pa.array(bad)], names=["pair", "ordinary", "toxic"])
-
-    return labelled.mapInArrow(run, "pair long, ordinary long, toxic long").groupBy("pair").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-
-
-def _columns(df: DataFrame, order: str | None = None) -> dict[str, np.ndarray]:
-    """A table of what a model keeps, by column; sorted here, as it comes to the driver whole."""
-    table = df.toArrow()
-    table = table.sort_by(order) if order else table
-    return {name: table.column(name).to_numpy() for name in table.column_names}
-
-
-class Counts:
-    """The counts of all labelled rows, from which `model` makes the arrays for a discount.
-
-    Counts are scaled to equal totals of the classes. A class keeps of a count what exceeds
-    `margin` times the mean of both classes' counts and `discount` times the spread that such a
-    mean has by chance; the rest of its mass goes to the next lower order, and from single words
-    to the shared continuation counts. So what both classes use alike - above all the words of a
-    language that one class has more of - takes the shared estimate in both, and only
-    expressions of one class tell them apart.
+        for batch in batches:
+            words, lengths = _flat(batch.column("w1"))
+            if not len(words):
+                continue
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            chain = [words, *[_flat(batch.column(f"w{k}"))[0] for k in range(SINGLE + 1, LAST + 1)], np.zeros_like(words)]
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)[owner]
+            before = _contexts(words, lengths)
+            levels = [(PAIR, pair_keys(before, words), before, words), *[(k, chain[k - 1], chain[k - 1], chain[k]) for k in range(SINGLE, LAST + 1)]]
+            for level, keys, a, b in levels:
+                first = _once(owner, keys)
+                _, at, place, n = np.unique(keys[first], return_index=True, return_inverse=True, return_counts=True)
+                bad = np.bincount(place, weights=toxic[first], minlength=len(at)).astype(np.int64)
+                some = first[at]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level, dtype=np.int32)), pa.array(a[some]), pa.array(b[some]), pa.array(n - bad), pa.array(bad)], names=["level", "a", "b", *CLASSES])
+
+    found = labelled.mapInArrow(run, "level int, a long, b long, ordinary long, toxic long")
+    return found.groupBy("level", "a", "b").agg(*[F.sum(c).alias(c) for c in CLASSES])
+
+
+def discounts_of(counted: DataFrame, strengths: tuple[float, ...]) -> dict[tuple[int, str], tuple[float, float, float]]:
+    """(discount, counts, share of them that the discount takes) of every level and class.
+
+    The discount is the usual estimate from how many items were counted once and twice, times
+    the level's strength; the share holds for a whole level (pairs have one for each context).
     """
-
-    def __init__(self, scratch: Scratch, labelled: DataFrame, margin: float, least_discount: float):
-        self.scratch, self.margin = scratch, margin
-        sums = [F.sum(c).alias(c) for c in CLASSES]
-        each = labelled.select(F.explode(F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))).alias("word"))
-        distinct = each.agg(F.approx_count_distinct("word")).first()[0]
-        self.bits = min(MOST_BITS, max(WORD_BITS, math.ceil(math.log2(max(1, distinct) / LOAD))))
-        self.mask = 2**self.bits - 1
-        counted = scratch.cut(count_pairs(with_cells(labelled, ["toxic"], self.bits), self.bits))
-        pairs, stems = counted.where("pair >= 0"), counted.where("pair < 0")
-        totals = pairs.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in CLASSES]).first()
-        self.scales = {c: max(1, min(totals)) / max(1, n) for c, n in zip(CLASSES, totals, strict=True)}
-        self.total = min(totals) + 1
-        words = scratch.cut(pairs.groupBy(F.col("pair").bitwiseAND(self.mask).alias("at")).agg(F.count("*").alias("continuations"), *sums))
-        self.mass = (words.agg(F.sum("continuations")).first()[0] or 0) + 0.5 * 2**self.bits
-        self.words = words
-        self.contexts = scratch.cut(pairs.groupBy(F.shiftright("pair", self.bits).alias("at")).agg(*sums))
-        # What the least discount leaves nothing of, no other does.
-        left = sum(self._excess(least_discount).values(), F.lit(0.0)) > 0
-        self.pairs = scratch.cut(pairs.where(left))
-        level = (-F.col("pair") - 1).bitwiseAND(3)
-        totals = {r[0]: r[1:] for r in stems.groupBy(level).agg(*sums).collect()}
-        self.stem_totals = [[n * self.scales[c] + 1 for c, n in zip(CLASSES, totals.get(k, (0, 0)), strict=True)] for k in range(len(STEMS))]
-        self.stems = scratch.cut(stems.where(left).select(F.shiftright(-F.col("pair") - 1, 2).alias("at"), level.alias("level"), *CLASSES))
-        scratch.free(counted)
-
-    def _excess(self, discount: float) -> dict:
-        mean = sum((F.col(c) * self.scales[c] for c in CLASSES), F.lit(0.0)) / 2
-        slack = discount * (1 + F.sqrt(mean))
-        return {c: F.greatest(F.col(c) * self.scales[c] - self.margin * mean - slack, F.lit(0.0)).alias(f"kept_{c}") for c in CLASSES}
-
-    def model(self, discount: float) -> dict[str, np.ndarray]:
-        """What the models keep, sorted by cell: of words, of contexts, of pairs.
-
-        Of a word that no class keeps anything of, both give the shared estimate times a
-        constant, so its value does not matter to their ratio and is not sent.
-        """
-        excess = self._excess(discount).values()
-        kept = self.pairs.select("pair", *excess).where("kept_ordinary > 0 or kept_toxic > 0")
-        sums = [F.sum(f"kept_{c}").alias(f"kept_{c}") for c in CLASSES]
-        by_context = _columns(kept.groupBy(F.shiftright("pair", self.bits).alias("at")).agg(*sums).join(self.contexts, "at"), "at")
-        ending = kept.select(F.col("pair").bitwiseAND(self.mask).alias("at"), F.lit(True).alias("ends")).distinct()
-        words = self.words.select("at", "continuations", *excess)
-        by_word = _columns(words.join(ending, "at", "left").where("ends or kept_ordinary > 0 or kept_toxic > 0").drop("ends"), "at")
-        by_pair = _columns(kept, "pair")
-        out_shared = ((by_word["continuations"] + 0.5) / self.mass).astype(np.float32)
-        stems = _columns(self.stems.select("at", "level", *CLASSES, *excess), "at")
-        out = {"words": by_word["at"], "shared": out_shared, "contexts": by_context["at"], "pairs": by_pair["pair"], "bits": np.array(self.bits)}
-        for k, n in enumerate(STEMS):
-            here = stems["level"] == k
-            out[f"stems{n}"] = stems["at"][here]
-            mean = sum(stems[c][here] * self.scales[c] for c in CLASSES) / 2 + 0.5
-            for c, total in zip(CLASSES, self.stem_totals[k], strict=True):
-                own = stems[f"kept_{c}"][here]
-                out[f"stem{n}_{c}"] = (own / total / (mean / np.mean(self.stem_totals[k]))).astype(np.float32)
-                out[f"left{n}_{c}"] = np.array([1 - own.sum() / total])
+    ones = [F.count_if(F.col(c) == n).alias(f"{c}{n}") for c in CLASSES for n in (1, 2)]
+    found = {r["level"]: r for r in counted.groupBy("level").agg(*ones).collect()}
+    out = {}
+    for level in range(LAST + 1):
+        r = found.get(level)
         for c in CLASSES:
-            direct = by_word[f"kept_{c}"]
-            rest = (self.total - direct.sum()) / self.total
-            out[f"rest_{c}"] = np.array([rest])
-            out[f"word_{c}"] = (direct / self.total).astype(np.float32)
-            contexts = by_context[c] * self.scales[c] + 1
-            out[f"context_{c}"] = contexts.astype(np.float32)
-            out[f"weight_{c}"] = (1 - by_context[f"kept_{c}"] / contexts).astype(np.float32)
-            out[f"pair_{c}"] = by_pair[f"kept_{c}"].astype(np.float32)
-        return out
+            n1, n2 = (r[f"{c}1"], r[f"{c}2"]) if r else (0, 0)
+            out[level, c] = strengths[level] * (n1 / (n1 + 2 * n2) if n1 else 0.5)
+    cut = lambda c: F.least(F.col(c).cast("double"), _by_level(lambda k: out[k, c]))
+    sums = counted.groupBy("level").agg(*[F.sum(c).alias(c) for c in CLASSES], *[F.sum(cut(c)).alias(f"cut_{c}") for c in CLASSES])
+    totals = {r["level"]: r for r in sums.collect()}
+    get = lambda level, name: float(totals[level][name]) if level in totals else 0.0
+    return {(k, c): (d, get(k, c), get(k, f"cut_{c}") / get(k, c) if get(k, c) else 1.0) for (k, c), d in out.items()}
 
 
-def _unpacked(model: dict[str, np.ndarray]) -> dict:
-    """Functions from cells to places among what is kept, 0 for the others, and values by place.
+def _by_level(value) -> Column:
+    return F.element_at(F.array(*[F.lit(float(value(k))) for k in range(LAST + 1)]), F.col("level") + 1)
 
-    Pairs are found by search among those kept instead, as are cells too many for a table.
-    """
-    bits = int(model["bits"])
-
-    def places(keys: str, bits: int):
-        kept = model[keys]
-        if bits > TABLE_BITS:
-            return lambda cells: (kept_place(kept, cells) + 1) % (len(kept) + 1)
-        out = np.zeros(2**bits, dtype=np.int32)
-        out[kept] = np.arange(1, len(kept) + 1)
-        return out.__getitem__
-
-    first = lambda value, name: np.append(np.float32(value), model[name])
-    out = {"words": places("words", bits), "contexts": places("contexts", bits), "shared": first(1e-6, "shared"), "pairs": model["pairs"], "bits": bits}
-    out |= {f"stems{n}": places(f"stems{n}", bits - 1) for n in STEMS}
-    for c in CLASSES:
-        out[f"rest_{c}"] = model[f"rest_{c}"][0]
-        out[f"word_{c}"] = first(0, f"word_{c}")
-        out[f"context_{c}"], out[f"weight_{c}"] = first(1, f"context_{c}"), first(1, f"weight_{c}")
-        out[f"pair_{c}"] = np.append(model[f"pair_{c}"], np.float32(0))
-        for n in STEMS:
-            out[f"stem{n}_{c}"] = first(0, f"stem{n}_{c}")
-            out[f"left{n}_{c}"] = model[f"left{n}_{c}"][0]
-    return out
 
+def fit_models(scratch: Scratch, labelled: DataFrame, strengths: tuple[float, ...] = STRENGTHS) -> tuple[DataFrame, list[float]]:
+    """(level, a, b, gap) of all that the models keep, and what each level adds to the gap of an item that it does not keep.
 
-def _likelihood(model: dict, c: str, pair: np.ndarray, context: np.ndarray, word: np.ndarray, stems: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """log P(word | context), all by place: pair, then word, then its beginnings from the longest, then what is shared; each leaves a rest to the next."""
-    lift = np.ones(len(word))
-    for n, (longer, stem) in zip(STEMS, stems, strict=True):
-        lift = np.where(longer, model[f"stem{n}_{c}"][stem] + model[f"left{n}_{c}"] * lift, lift)
-    single = model[f"word_{c}"][word] + model[f"rest_{c}"] * model["shared"][word] * lift
-    return np.log(model[f"pair_{c}"][pair] / model[f"context_{c}"][context] + model[f"weight_{c}"][context] * single)
-
+    `gap` is log P(toxic) - log P(ordinary) of the pair (level 0) or the word, or that of a
+    beginning; rows of level -1 have what a context leaves to its words. An item without a row
+    has the gap of the next shorter beginning, and what its level adds.
+    """
+    counted = scratch.cut(count_orders(hashed_words(labelled, ["toxic"])))
+    orders = discounts_of(counted, strengths)
+    kept = lambda c, level: F.greatest(F.col(c) - F.lit(orders[level, c][0]), F.lit(0.0))
+    some = lambda level: sum((kept(c, level) for c in CLASSES), F.lit(0.0)) > 0
+    pairs = counted.where(f"level = {PAIR}")
+
+    # What both classes share, by word and up its beginnings; one more below each for words never seen.
+    shared = pairs.groupBy(F.col("b").alias("a")).agg(F.count("*").alias("s"))
+    upward = {SINGLE: counted.where(f"level = {SINGLE}").join(shared, "a", "left").select("a", "b", *CLASSES, F.coalesce("s", F.lit(0)).alias("s"))}
+    for level in range(SINGLE + 1, LAST + 1):
+        below = upward[level - 1].groupBy(F.col("b").alias("a")).agg((F.sum("s") + 1).alias("s"))
+        upward[level] = counted.where(f"level = {level}").join(below, "a")
+    upward = {level: scratch.cut(upward[level]) for level in upward}
+    root = (upward[LAST].agg(F.sum("s")).first()[0] or 0) + 1
+
+    # From the shortest beginnings down: lift is what a class gives an item over what both share.
+    lifts = {}
+    for level in range(LAST, 0, -1):
+        if level == LAST:
+            rows = upward[level].withColumns({f"up_{c}": F.lit(1.0) for c in CLASSES})
+        else:
+            rows = upward[level].join(lifts[level + 1].select(F.col("a").alias("b"), *[F.col(f"lift_{c}").alias(f"up_{c}") for c in CLASSES]), "b")
+        lift = {f"lift_{c}": kept(c, level) / F.lit(orders[level, c][1] or 1.0) / (F.col("s") / root) + F.lit(orders[level, c][2]) * F.col(f"up_{c}") for c in CLASSES}
+        lifts[level] = scratch.cut(rows.withColumns(lift).select("a", "s", *lift, some(level).alias("some")))
+
+    # Pairs: contexts' totals and what they leave to their words.
+    cut = lambda c: F.least(F.col(c).cast("double"), F.lit(orders[PAIR, c][0]))
+    contexts = pairs.groupBy("a").agg(*[F.sum(c).alias(f"n_{c}") for c in CLASSES], *[F.sum(cut(c)).alias(f"cut_{c}") for c in CLASSES], F.max(some(PAIR)).alias("any"))
+    left = [F.when(F.col(f"n_{c}") > 0, F.col(f"cut_{c}") / F.col(f"n_{c}")).otherwise(1.0).alias(f"left_{c}") for c in CLASSES]
+    contexts = scratch.cut(contexts.where("any").select("a", *[f"n_{c}" for c in CLASSES], *left))
+    single = lifts[SINGLE].select(F.col("a").alias("b"), *[(F.col("s") / root * F.col(f"lift_{c}")).alias(f"p_{c}") for c in CLASSES])
+    heavy = pairs.where(some(PAIR)).join(contexts, "a").join(single, "b")
+    chance = {c: F.when(F.col(f"n_{c}") > 0, kept(c, PAIR) / F.col(f"n_{c}")).otherwise(0.0) + F.col(f"left_{c}") * F.col(f"p_{c}") for c in CLASSES}
+    gap = lambda p: F.log(p["toxic"] / p["ordinary"]).alias("gap")
+    none = F.lit(None).cast("long").alias("b")
+    model = heavy.select(F.lit(PAIR).alias("level"), "a", "b", gap(chance))
+    model = model.unionByName(contexts.select(F.lit(-1).alias("level"), "a", none, gap({c: F.col(f"left_{c}") for c in CLASSES})))
+    for level, rows in lifts.items():
+        model = model.unionByName(rows.where("some").select(F.lit(level).alias("level"), "a", none, gap({c: F.col(f"lift_{c}") for c in CLASSES})))
+    model = scratch.cut(model)
+    scratch.free(counted, contexts, *upward.values(), *lifts.values())
+    return model, [math.log(orders[k, "toxic"][2] / orders[k, "ordinary"][2]) if k else 0.0 for k in range(LAST + 1)]
+
+
+def model_arrays(model: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Keys in order and gaps of each level; the caller has checked how many there are."""
+    table = model.toArrow()
+    level, a, gap = (table.column(c).to_numpy() for c in ("level", "a", "gap"))
+    b = table.column("b").fill_null(0).to_numpy()
+    out = {}
+    for k in range(-1, LAST + 1):
+        here = level == k
+        keys = pair_keys(a[here], b[here]) if k == PAIR else a[here]
+        order = np.argsort(keys)
+        out[k] = keys[order], gap[here][order].astype(np.float32)
+    return out
 
-def kept_place(kept: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Where each key is among the sorted ones that are kept; their number if it is not."""
-    place = np.searchsorted(kept, keys)
-    return np.where(np.append(kept, -1)[place] == keys, place, len(kept))
 
+def compared_here(docs: DataFrame, model: DataFrame, adds: list[float], keep: list[str]) -> DataFrame:
+    """`keep`, n, mean, top0, top1: with a model small enough to be sent to every task."""
+    arrays = docs.sparkSession.sparkContext.broadcast(model_arrays(model))
 
-def likelihood_ratios(rows: DataFrame, model: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
-    """`keep`, n (distinct pairs) and ratio: their mean of log P(toxic) - log P(ordinary), 0 without words, for rows of `keep` and cells."""
+    def look(level: int, keys: np.ndarray, otherwise) -> np.ndarray:
+        known, gaps = arrays.value[level]
+        if not len(known):
+            return otherwise + np.zeros(len(keys))
+        place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[place] == keys, gaps[place], otherwise)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = _unpacked(model)
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
-                owner, pair, first = _pairs(*_flat(batch.column("cells")), arrays["bits"])
-                stems = [_flat(batch.column(f"stem{n}"))[0][first] for n in STEMS]
-                stems = [(s > 0, arrays[f"stems{n}"](s)) for n, s in zip(STEMS, stems, strict=True)]
-                known = kept_place(arrays["pairs"], pair), arrays["contexts"](pair >> arrays["bits"]), arrays["words"](pair & (2 ** arrays["bits"] - 1)), stems
-                gap = _likelihood(arrays, "toxic", *known) - _likelihood(arrays, "ordinary", *known)
-                n = np.bincount(owner, minlength=batch.num_rows)
-                mean = np.bincount(owner, weights=gap, minlength=batch.num_rows) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(n.astype(np.int64)), pa.array(mean)], names=[*keep, "n", "ratio"])
-
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{schema}, n long, ratio double")
-
-
-def lengths_taken_out(ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The two length-normalised differences: a word's mean, and that in units of its standard error."""
-    return np.stack([ratio, ratio * np.sqrt(n)], axis=1)
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> tuple[np.ndarray, float, float]:
-    """Weights, offset and mean log loss of P(y = 1), by Newton's method."""
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                words, lengths = _flat(batch.column("w1"))
+                owner = np.repeat(np.arange(len(lengths)), lengths)
+                before = _contexts(words, lengths)
+                keys = pair_keys(before, words)
+                first = np.sort(_once(owner, keys))
+                different, place = np.unique(words[first], return_index=True)
+                gap = np.zeros(len(different))
+                for level in range(LAST, 0, -1):
+                    own = different if level == SINGLE else _flat(batch.column(f"w{level}"))[0][first][place]
+                    gap = look(level, own, gap + adds[level])
+                gap = gap[np.searchsorted(different, words[first])] + look(-1, before[first], 0.0)
+                gap = look(PAIR, keys[first], gap)
+                n = np.bincount(owner[first], minlength=batch.num_rows)
+                order = np.lexsort((-gap, owner[first]))
+                ranked, ends = gap[order], np.cumsum(n)
+                turn = np.arange(len(ranked)) - np.repeat(ends - n, n)
+                sums = lambda some: np.bincount(owner[first][some], weights=ranked[some], minlength=batch.num_rows)
+                mean = sums(np.ones(len(ranked), dtype=bool)) / np.maximum(n, 1)
+                tops = [sums(turn < k) / k for k in TOP]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(n.astype(np.int64)), *map(pa.array, (mean, *tops))], names=[*keep, *MEASURES])
+
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return hashed_words(docs, keep).mapInArrow(run, f"{schema}, n long, mean double, top0 double, top1 double")
+
+
+MEASURES = ["n", "mean", "top0", "top1"]
+
+
+def compared_by_joins(scratch: Scratch, docs: DataFrame, model: DataFrame, adds: list[float], keep: list[str]) -> DataFrame:
+    """The same for a model of any size: every word of a document meets what the models keep of it in joins."""
+    rows = scratch.cut(hashed_words(docs, keep).withColumn("row", F.monotonically_increasing_id()))
+    names = [f"w{k}" for k in range(SINGLE, LAST + 1)]
+    items = F.transform(F.arrays_zip(*names), lambda x, i: F.struct(F.when(i == 0, F.lit(START).cast("long")).otherwise(F.get("w1", i - 1)).alias("u"), *[x[n].alias(n) for n in names]))
+    words = rows.select("row", F.explode(F.array_distinct(items)).alias("i")).select("row", "i.*").withColumn("gap", F.lit(0.0))
+    part = lambda level, *on: model.where(f"level = {level}").select(*[F.col(x).alias(f"_{y}") for x, y in on], F.col("gap").alias("_gap"))
+    for level in range(LAST, 0, -1):
+        words = words.join(part(level, ("a", "w")), F.col(f"w{level}") == F.col("_w"), "left").withColumn("gap", F.coalesce("_gap", F.col("gap") + adds[level])).drop("_w", "_gap")
+    words = words.join(part(-1, ("a", "u")), F.col("u") == F.col("_u"), "left").withColumn("gap", F.col("gap") + F.coalesce("_gap", F.lit(0.0))).drop("_u", "_gap")
+    words = words.join(part(PAIR, ("a", "u"), ("b", "w")), (F.col("u") == F.col("_u")) & (F.col("w1") == F.col("_w")), "left").withColumn("gap", F.coalesce("_gap", "gap"))
+    listed = words.groupBy("row").agg(F.count("*").alias("n"), F.avg("gap").alias("mean"), F.sort_array(F.collect_list("gap"), asc=False).alias("gaps"))
+    tops = [(F.aggregate(F.slice("gaps", 1, k), F.lit(0.0), lambda a, x: a + x) / k).alias(f"top{i}") for i, k in enumerate(TOP)]
+    out = rows.select("row", *keep).join(listed.select("row", "n", "mean", *tops), "row", "left")
+    return out.select(*keep, *[F.coalesce(m, F.lit(0)).alias(m) for m in MEASURES])
+
+
+def predictors(n, mean, top0, top1, sqrt, log1p) -> list:
+    """What the logistic function takes: all by the word or by a fixed number of words, and the length itself."""
+    return [mean, mean * sqrt(n), top0, top1, log1p(n)]
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
+    """Weights and offset of P(y = 1), by Newton's method; one class alone gives its constant."""
     if not len(y) or y.min() == y.max():
-        return np.ones(x.shape[1]), 0.0 if not len(y) else (4.0 if y[0] else -4.0), np.inf
+        return np.zeros(x.shape[1]), 0.0 if not len(y) else (4.0 if y[0] else -4.0)
     spread = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
     design = np.column_stack([x / spread, np.ones(len(x))])
     b = np.zeros(design.shape[1])
@@ -277,48 +276,45 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1
         b += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
-    p = np.clip(1 / (1 + np.exp(-np.clip(design @ b, -30, 30))), 1e-6, 1 - 1e-6)
-    return b[:-1] / spread, float(b[-1]), float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+    return b[:-1] / spread, float(b[-1])
 
 
-def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), margin: float = 1.3, discounts: tuple[float, ...] = DISCOUNTS, calibration_rows: int = 20_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+def score_toxicity(
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), strengths: tuple[float, ...] = STRENGTHS,
+    calibration_rows: int = 20_000, broadcast_labels: int = 1_000_000, broadcast_model: int = 10_000_000,
+) -> DataFrame:
     """`keep` (doc_id among them), held_out, score, predicted for every row of `docs`.
 
     `labels` (doc_id, toxic) are learned from only where crc32(doc_id as text) mod 5 is not 0.
     Of these, about `calibration_rows` at most, picked by hash from one part in six (by crc32 / 5),
-    choose the discount and fit the logistic function; all the rest is counted. Up to
-    `broadcast_rows` labels (counted first, about 40 bytes each) are broadcast, so that texts
-    stay where they are; more are joined by a shuffle. Null
-    labels and doc_ids teach nothing; a label given twice counts once (the larger). Null and
-    empty texts have the ratio 0, hence one common score; without labels of both classes all
-    scores are 0.5 or the one class's. Scores use the text alone. Rows repeat as they come; an
-    empty table gives an empty result; other columns are ignored.
+    fit the logistic function; all the rest is counted. Up to `broadcast_labels` labels (counted
+    first, about 40 bytes each) are broadcast, so that texts stay where they are; more are joined
+    by a shuffle. A model of up to `broadcast_model` entries (counted first, 12 bytes each) is
+    sent to the tasks; a larger one is joined. Null labels and doc_ids teach nothing; a label
+    given twice counts once (the larger). Null and empty texts have no words and one common
+    score; without labels of both classes all scores are 0.5 or the one class's. Scores use the
+    text alone. Rows repeat as they come; very long texts are read whole; an empty table gives
+    an empty result; other columns are ignored.
     """
     scratch = Scratch(spark)
     code = F.crc32(F.col("doc_id").cast("string"))
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = known.where(code % 5 != 0).withColumn("calibrates", F.floor(code / 5) % 6 == 0)
     n, calibrating = known.agg(F.count("*"), F.count_if("calibrates")).first()
-    labelled = docs.select("doc_id", "text").join(F.broadcast(known) if n <= broadcast_rows else known, "doc_id")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(known) if n <= broadcast_labels else known, "doc_id")
     share = max(1, -(-calibrating // calibration_rows))
     picked = F.col("calibrates") & (F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
-    counts = Counts(scratch, labelled.where(~picked), margin, min(discounts))
-
-    chosen = labelled.where(picked)
-    chosen = scratch.cut(with_cells(chosen.withColumn("toxic", F.col("toxic").cast("long")), ["toxic"], counts.bits))
-    best = None
-    for discount in discounts:
-        model = counts.model(discount)
-        sample = _columns(likelihood_ratios(chosen, model, ["toxic"]).where("n > 0").select("n", "ratio", "toxic"))
-        fit = fit_logistic(lengths_taken_out(sample["ratio"], sample["n"]), sample["toxic"].astype(float))
-        if best is None or fit[2] < best[1][2]:
-            best = model, fit
-    model, (weights, offset, _) = best
-    scratch.free(chosen)
-
-    scored = likelihood_ratios(with_cells(docs, list(keep), counts.bits), model, list(keep))
-    score = 1 / (1 + F.exp(-(F.col("ratio") * float(weights[0]) + F.col("ratio") * F.sqrt("n") * float(weights[1]) + offset)))
-    out = scored.withColumn("held_out", F.coalesce(code % 5 == 0, F.lit(True))).withColumn("score", score)
+    model, adds = fit_models(scratch, labelled.where(~picked), strengths)
+    compare = compared_here if model.count() <= broadcast_model else lambda *x: compared_by_joins(scratch, *x)
+
+    sample = compare(labelled.where(picked).select("text", "toxic"), model, adds, ["toxic"]).where("n > 0").toArrow()
+    columns = {c: sample.column(c).to_numpy() for c in [*MEASURES, "toxic"]}
+    seen = predictors(*(columns[m] for m in MEASURES), np.sqrt, np.log1p)
+    weights, offset = fit_logistic(np.stack(seen, axis=1).astype(float), columns["toxic"].astype(float))
+
+    scored = compare(docs, model, adds, list(keep))
+    log_odds = sum((x * float(w) for x, w in zip(predictors(*map(F.col, MEASURES), F.sqrt, F.log1p), weights, strict=True)), F.lit(offset))
+    out = scored.withColumn("held_out", F.coalesce(code % 5 == 0, F.lit(True))).withColumn("score", 1 / (1 + F.exp(-log_odds)))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select(*keep, "held_out", "score", "predicted")
 
 
