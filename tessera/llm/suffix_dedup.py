@@ -10,7 +10,8 @@ Tasks sort their suffixes into runs, front-code them (common prefix with the one
 rest), and send each range of the alphabet to one task, which merges the runs by a loser tree
 that keeps every loser's common prefix with the winner and so compares bytes from there on.
 Suffixes that share 24 bytes or more come out side by side; within such a group equal
-strings are found byte for byte, and all but the earliest are marked.
+strings are found byte for byte, and all but the earliest are marked. An anchor with very many
+tiles would make too large a group: its strings are sorted each on their own, so that only equal ones meet.
 """
 
 from __future__ import annotations
@@ -24,10 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, number_rows
 from .packing import mix64
 
 WINDOW, GRAM = 100, 24
+#: First bytes of keys: suffixes from anchors, and whole strings of hot anchors.
+SUFFIX, STRING = b"A", b"B"
+#: A row of a text: its document, and which of the rows with that doc_id.
+OWNER = ["doc_id", "_copy"]
+#: In the number of a tile: where its first string starts, whether its anchor is hot, the anchor less that, and how many strings.
+START_AT, HOT_AT, OFFSET_AT, LOW = 15, 14, 7, 127
 REACH = WINDOW - GRAM + 1
 #: Bytes that are looked at together; longer texts go by overlapping parts.
 PART = 1 << 20
@@ -104,19 +111,19 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def tiles_of(docs: DataFrame) -> DataFrame:
-    """gram, doc_id, tile (start, anchor less start, strings, in one number): a row for every tile."""
+    """gram, doc_id, _copy, tile (start, anchor less start, strings, in one number): a row for every tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ids = batch.column("doc_id").to_numpy()
+                owners = [batch.column(c).to_numpy() for c in OWNER]
                 for rows, raw, firsts, starts in _parts(_bytes(batch.column("text"))):
                     gram, text, start, offset, count = find_tiles(raw, firsts, starts)
-                    doc = ids[np.array(rows)][text]
-                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(doc), pa.array((start << 14) | (offset << 7) | count)], names=["gram", "doc_id", "tile"])
+                    row = np.array(rows)[text]
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), *[pa.array(o[row]) for o in owners], pa.array((start << START_AT) | (offset << OFFSET_AT) | count)], names=["gram", *OWNER, "tile"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "gram long, doc_id long, tile long")
+    return docs.select(*OWNER, "text").mapInArrow(run, "gram long, doc_id long, _copy long, tile long")
 
 
 def _common(a: bytes, b: bytes, known: int) -> int:
@@ -212,60 +219,78 @@ def merge_runs(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, b
             node //= 2
 
 
-def _key(text: bytes, start: int, offset: int, count: int) -> bytes:
-    """The tile's bytes from its anchor on, those before it backwards, and how many these are."""
-    anchor = start + offset
-    return text[anchor : start + count + WINDOW - 1] + text[start:anchor][::-1] + bytes((offset,))
+def _keys(text: bytes, tile: int) -> Iterator[tuple[bytes, int]]:
+    """(key, tile): the tile's bytes from its anchor on, those before it backwards, and how many these are; of a hot anchor every string."""
+    start, offset, count = tile >> START_AT, (tile >> OFFSET_AT) & LOW, tile & LOW
+    if (tile >> HOT_AT) & 1:
+        for k in range(start, start + count):
+            yield STRING + text[k : k + WINDOW], (k << START_AT) | (1 << HOT_AT) | 1
+    else:
+        anchor = start + offset
+        yield SUFFIX + text[anchor : start + count + WINDOW - 1] + text[start:anchor][::-1] + bytes((offset,)), tile
+
+
+def sampled_keys(rows: DataFrame, first: int = 1 + GRAM) -> DataFrame:
+    """key: the first bytes of all keys of rows of text and tiles; an anchor's, so that no group is cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                keys = [k[:first] for text, own in zip(_bytes(batch.column("text")), batch.column("tiles").to_pylist(), strict=True) for tile in own for k, _ in _keys(text, tile)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.binary())], names=["key"])
+
+    return rows.select("text", "tiles").mapInArrow(run, "key binary")
 
 
 def sorted_runs(rows: DataFrame, splitters: list[bytes], most: int) -> DataFrame:
-    """bin, content: front-coded sorted runs of up to `most` suffixes, cut at the splitters, for rows of doc_id, text, tiles.
+    """bin, content: front-coded sorted runs of up to about `most` keys, cut at the splitters, for rows of doc_id, _copy, text, tiles.
 
-    Suffixes that equal an earlier one of their run are settled at once: their strings, as
-    arrays of (doc_id, start, strings), are the content of bins below 0.
+    Keys that equal an earlier one of their run are settled at once: their strings, as
+    arrays of (doc_id, _copy, start, strings), are the content of bins below 0.
     """
 
-    def pack(keys: list[bytes], docs: list[int], tiles: list[int]) -> Iterator[tuple[int, bytes]]:
-        order = sorted(range(len(keys)), key=lambda i: (keys[i], docs[i], tiles[i]))
+    def pack(keys: list[bytes], places: list[tuple[int, int, int]]) -> Iterator[tuple[int, bytes]]:
+        order = sorted(range(len(keys)), key=lambda i: (keys[i], places[i]))
         ordered = [keys[i] for i in order]
-        doc, tile = np.array(docs, dtype=np.int64)[order], np.array(tiles, dtype=np.int64)[order]
+        place = np.array(places, dtype=np.int64)[order]
         fresh = np.fromiter((x != y for x, y in zip(ordered, [None, *ordered[:-1]], strict=True)), dtype=bool, count=len(ordered))
         first = np.maximum.accumulate(np.where(fresh, np.arange(len(ordered)), 0))
-        later = ~fresh & ((doc != doc[first]) | (tile != tile[first]))
-        if later.any():  # of equal suffixes of the run only the earliest travels; bins below 0 hold what is settled
-            settled = np.stack([doc[later], tile[later] >> 14, tile[later] & 127])
-            yield -1 - int(doc[later][0] % 1021), settled.tobytes()
+        later = ~fresh & (place != place[first]).any(axis=1)
+        if later.any():  # of equal keys of the run only the earliest travels; bins below 0 hold what is settled
+            doc, copy, tile = place[later].T
+            yield -1 - int(doc[0] % 1021), np.stack([doc, copy, tile >> START_AT, tile & LOW]).tobytes()
         keep = np.flatnonzero(fresh)
-        ordered, doc, tile = [ordered[i] for i in keep.tolist()], doc[keep], tile[keep]
+        ordered, place = [ordered[i] for i in keep.tolist()], place[keep]
         edges = [0, *(bisect.bisect_left(ordered, s) for s in splitters), len(ordered)]
-        for place, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        for number, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             if a < b:
                 shared, rest, lengths = front_code(ordered[a:b])
                 head = np.array([b - a, len(rest)], dtype=np.int64).tobytes()
-                yield place, head + shared.tobytes() + lengths.tobytes() + rest + doc[a:b].tobytes() + tile[a:b].tobytes()
+                yield number, head + shared.tobytes() + lengths.tobytes() + rest + np.ascontiguousarray(place[a:b].T).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, tiles = [], [], []
+        keys, places = [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for place, content in pack(keys, docs, tiles):
-                yield pa.RecordBatch.from_arrays([pa.array([place], type=pa.int32()), pa.array([content], type=pa.binary())], names=["bin", "content"])
-            keys.clear(), docs.clear(), tiles.clear()
+            for number, content in pack(keys, places):
+                yield pa.RecordBatch.from_arrays([pa.array([number], type=pa.int32()), pa.array([content], type=pa.binary())], names=["bin", "content"])
+            keys.clear(), places.clear()
 
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                for doc, text, own in zip(batch.column("doc_id").to_pylist(), _bytes(batch.column("text")), batch.column("tiles").to_pylist(), strict=True):
+                for doc, copy, text, own in zip(*(batch.column(c).to_pylist() for c in OWNER), _bytes(batch.column("text")), batch.column("tiles").to_pylist(), strict=True):
                     for tile in own:
-                        keys.append(_key(text, tile >> 14, (tile >> 7) & 127, tile & 127))
-                    docs += [doc] * len(own)
-                    tiles += own
+                        for key, part in _keys(text, tile):
+                            keys.append(key)
+                            places.append((doc, copy, part))
                     if len(keys) >= most:
                         yield from flush()
         if keys:
             yield from flush()
 
-    return rows.select("doc_id", "text", "tiles").mapInArrow(run, "bin int, content binary")
+    return rows.select(*OWNER, "text", "tiles").mapInArrow(run, "bin int, content binary")
 
 
 class _Run:
@@ -276,35 +301,35 @@ class _Run:
         self.shared = np.frombuffer(content, dtype=np.uint8, count=n, offset=16)
         self.lengths = np.frombuffer(content, dtype=np.uint8, count=n, offset=16 + n)
         self.rest = content[16 + 2 * n : 16 + 2 * n + size]
-        tail = content[16 + 2 * n + size :]
-        self.docs = np.frombuffer(tail, dtype=np.int64, count=n).tolist()
-        self.tiles = np.frombuffer(tail, dtype=np.int64, count=n, offset=8 * n).tolist()
+        self.places = np.frombuffer(content, dtype=np.uint8, offset=16 + 2 * n + size).view(np.int64).reshape(3, n)
         self.at = 0
 
     def keys(self) -> Iterator[tuple[int, bytes]]:
         return decode(self.shared, self.rest, self.lengths)
 
-    def place(self) -> tuple[int, int]:
+    def place(self) -> tuple[int, int, int]:
+        """doc_id, copy and tile of the next key."""
         self.at += 1
-        return self.docs[self.at - 1], self.tiles[self.at - 1]
+        return tuple(self.places[:, self.at - 1].tolist())
 
 
-def _later_strings(group: list[tuple[bytes, list[tuple[int, int]]]]) -> Iterator[tuple[int, int, int]]:
-    """(doc, first start, strings) of strings that start earlier elsewhere, in a group of one anchor."""
+def _later_strings(group: list[tuple[bytes, list[tuple[int, int, int]]]]) -> Iterator[tuple[int, int, int, int]]:
+    """(doc, copy, first start, strings) of strings that start earlier elsewhere, in a group of one anchor or string."""
     distinct = []
     for key, places in group:
         earliest = min(places)
-        for doc, tile in places:
-            if (doc, tile) != earliest:
-                yield doc, tile >> 14, tile & 127
-        distinct.append((earliest[0], (earliest[1] >> 14) + ((earliest[1] >> 7) & 127), earliest[1], key))
+        for place in places:
+            if place != earliest:
+                yield *place[:2], place[2] >> START_AT, place[2] & LOW
+        doc, copy, tile = earliest
+        distinct.append((doc, copy, (tile >> START_AT) + ((tile >> OFFSET_AT) & LOW), tile, key))
     if len(distinct) == 1:
         return
     distinct.sort()
     seen: set[bytes] = set()
-    for doc, _, tile, key in distinct:
-        offset, count, start = key[-1], tile & 127, tile >> 14
-        content = key[-1 - offset : -1][::-1] + key[: len(key) - 1 - offset]
+    for doc, copy, _, tile, key in distinct:
+        offset, count, start = key[-1], tile & LOW, tile >> START_AT
+        content = key[-1 - offset : -1][::-1] + key[1 : len(key) - 1 - offset]
         first = None
         for j in range(count):
             string = content[j : j + WINDOW]
@@ -314,24 +339,27 @@ def _later_strings(group: list[tuple[bytes, list[tuple[int, int]]]]) -> Iterator
             else:
                 seen.add(string)
                 if first is not None:
-                    yield doc, start + first, j - first
+                    yield doc, copy, start + first, j - first
                     first = None
         if first is not None:
-            yield doc, start + first, count - first
+            yield doc, copy, start + first, count - first
+
+
+SPANS = [*OWNER, "start", "strings"]
 
 
 def merged_strings(runs: DataFrame) -> DataFrame:
-    """doc_id, start, strings: runs of strings that start earlier elsewhere. Bins are merged one after the other."""
+    """doc_id, _copy, start, strings: runs of strings that start earlier elsewhere. Bins are merged one after the other."""
 
-    def merge(contents: list[bytes]) -> Iterator[tuple[int, int, int]]:
+    def merge(contents: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
         held = [_Run(c) for c in contents]
-        group: list[tuple[bytes, list[tuple[int, int]]]] = []
+        group: list[tuple[bytes, list[tuple[int, int, int]]]] = []
         for shared, key, k in merge_runs([r.keys() for r in held]):
             place = held[k].place()
             if group and shared == len(key) == len(group[-1][0]):
                 group[-1][1].append(place)
                 continue
-            if group and shared < GRAM:
+            if group and (shared < 1 + GRAM or key[:1] == STRING):
                 if len(group) > 1 or len(group[0][1]) > 1:
                     yield from _later_strings(group)
                 group = []
@@ -341,7 +369,7 @@ def merged_strings(runs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def spans(contents: list[bytes]) -> Iterator[pa.RecordBatch]:
-            found: list[tuple[int, int, int]] = []
+            found: list[tuple[int, int, int, int]] = []
             for x in merge(contents):
                 found.append(x)
                 if len(found) >= 50_000:
@@ -352,14 +380,14 @@ def merged_strings(runs: DataFrame) -> DataFrame:
 
         def batch_of(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
             columns = np.array(found, dtype=np.int64).T
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["doc_id", "start", "strings"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=SPANS)
 
         current, contents = None, []
         for batch in batches:
             for place, content in zip(batch.column("bin").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 if place < 0:
-                    settled = np.frombuffer(content, dtype=np.int64).reshape(3, -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in settled], names=["doc_id", "start", "strings"])
+                    settled = np.frombuffer(content, dtype=np.int64).reshape(4, -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in settled], names=SPANS)
                     continue
                 if place != current and contents:
                     yield from spans(contents)
@@ -369,7 +397,7 @@ def merged_strings(runs: DataFrame) -> DataFrame:
         if contents:
             yield from spans(contents)
 
-    return runs.repartition("bin").sortWithinPartitions("bin").mapInArrow(run, "doc_id long, start long, strings long")
+    return runs.repartition("bin").sortWithinPartitions("bin").mapInArrow(run, "doc_id long, _copy long, start long, strings long")
 
 
 def cut_spans(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -406,8 +434,19 @@ def cut_spans(rows: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "text", "spans").mapInArrow(run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
-def _repeated_tiles(scratch: Scratch, texts: DataFrame, salts: int = 64) -> DataFrame:
-    """doc_id, tile of the tiles whose anchor's bytes occur twice, by hash.
+def with_copies(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """`docs` with `_copy`: 0, but numbers in the order of the texts' SHA-256 where rows repeat a doc_id."""
+    again = scratch.cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    first = F.lit(0).cast("long")
+    if again.isEmpty():
+        return docs.withColumn("_copy", first)
+    rows = docs.join(again, "doc_id", "left_semi")
+    numbered = scratch.cut(number_rows(scratch, rows, ["doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)], "_copy"))
+    return docs.join(again, "doc_id", "left_anti").withColumn("_copy", first).unionByName(numbered)
+
+
+def _repeated_tiles(scratch: Scratch, texts: DataFrame, hot_size: int, salts: int = 64) -> DataFrame:
+    """doc_id, _copy, tile of the tiles whose anchor's bytes occur twice, by hash; marked if over `hot_size` tiles have that anchor.
 
     Anchors with over a thousandth of these tiles, so fewer than a thousand, are spread over
     `salts` keys each for the join.
@@ -415,43 +454,53 @@ def _repeated_tiles(scratch: Scratch, texts: DataFrame, salts: int = 64) -> Data
     tiles = tiles_of(texts)
     twice = scratch.cut(tiles.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
     total = twice.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") > total / 1000
-    own = tiles.join(F.broadcast(twice.where(hot).select("gram", F.lit(True).alias("hot"))), "gram", "left")
-    own = own.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "tile"), F.lit(salts))).otherwise(0).cast("int"))
-    keys = twice.select("gram", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    scratch.release()
-    return scratch.cut(own.join(keys, ["gram", "salt"]).select("doc_id", "tile"))
-
-
-def _marked_spans(scratch: Scratch, texts: DataFrame, repeated: DataFrame, run_size: int, bin_size: int, sample_docs: int) -> DataFrame:
-    """doc_id, spans: the runs of strings that start earlier, from the sort of the repeated tiles' suffixes."""
-    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(7)) == 0).limit(sample_docs).select(F.encode("text", "UTF-8")).collect()
-    grams = sorted({t[0][i : i + GRAM] for t in sample for i in range(0, max(0, len(t[0]) - GRAM), 61)})
-    bins = max(1, -(-repeated.count() // bin_size))
-    splitters = {bytes(grams[len(grams) * k // bins]) for k in range(1, bins)} if grams else set()
-    listed = repeated.groupBy("doc_id").agg(F.collect_set("tile").alias("tiles"))
-    spans = merged_strings(sorted_runs(texts.join(listed, "doc_id"), sorted(splitters), run_size))
-    return scratch.cut(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "strings")).alias("spans")))
-
-
-def remove_repeats(spark: SparkSession, docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), run_size: int = 150_000, bin_size: int = 60_000, sample_docs: int = 400) -> DataFrame:
+    wide = F.col("n") > total / 1000
+    own = tiles.join(F.broadcast(twice.where(wide).select("gram", F.lit(True).alias("wide"))), "gram", "left")
+    own = own.withColumn("salt", F.when(F.col("wide"), F.pmod(F.xxhash64(*OWNER, "tile"), F.lit(salts))).otherwise(0).cast("int"))
+    mark = F.when(F.col("n") > hot_size, F.lit(1 << HOT_AT)).otherwise(0)
+    keys = twice.select("gram", mark.alias("mark"), F.explode(F.when(wide, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    return scratch.cut(own.join(keys, ["gram", "salt"]).select(*OWNER, F.col("tile").bitwiseOR(F.col("mark").cast("long")).alias("tile")))
+
+
+def _splitters(texts: DataFrame, repeated: DataFrame, bin_size: int, keys_a_bin: int = 8) -> list[bytes]:
+    """Keys that cut the order into bins of about `bin_size` keys, from those of a sample of documents that grows with the bins."""
+    hot = F.when(F.col("tile").bitwiseAND(1 << HOT_AT) > 0, F.col("tile").bitwiseAND(LOW)).otherwise(1)
+    n = repeated.agg(F.coalesce(F.sum(hot), F.lit(0))).first()[0]
+    bins = max(-(-n // bin_size), min(n // 1000, texts.sparkSession.sparkContext.defaultParallelism * 4), 1)
+    parts = 1_000_000
+    share = min(parts, -(-keys_a_bin * bins * parts // max(1, n)))
+    some = lambda df: df.where(F.pmod(F.xxhash64(*OWNER), F.lit(parts)) < share)
+    listed = some(repeated).groupBy(*OWNER).agg(F.collect_list("tile").alias("tiles"))
+    keys = sorted(sampled_keys(some(texts).join(listed, OWNER)).toArrow().column("key").to_pylist()) if bins > 1 else []
+    return sorted({keys[len(keys) * k // bins] for k in range(1, bins)}) if keys else []
+
+
+def _marked_spans(scratch: Scratch, texts: DataFrame, repeated: DataFrame, run_size: int, bin_size: int) -> DataFrame:
+    """doc_id, _copy, spans: the runs of strings that start earlier, from the sort of the repeated tiles' keys."""
+    splitters = _splitters(texts, repeated, bin_size)
+    listed = repeated.groupBy(*OWNER).agg(F.collect_set("tile").alias("tiles"))
+    spans = merged_strings(sorted_runs(texts.join(listed, OWNER), splitters, run_size))
+    return scratch.cut(spans.groupBy(*OWNER).agg(F.collect_list(F.struct("start", "strings")).alias("spans")))
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), run_size: int = 150_000, bin_size: int = 60_000, hot_size: int = 20_000) -> DataFrame:
     """`keep` (doc_id among them), n_bytes, n_removed, n_spans, kept_sha256, kept_text, for every row of `docs` (doc_id, text).
 
     Every byte that a 100-byte string covers which also starts earlier - in a smaller doc_id, or
     before in the same text - goes; strings are those of the input, and never cross documents.
-    Null text is empty; texts under 100 bytes stay whole. Rows that repeat a doc_id are one
-    document and get one result each. Rows without a doc_id stay whole and remove nothing. An
-    empty table gives an empty result; other columns are ignored. The documents whose text gives the splitters of the sort
-    are at most `sample_docs`; they balance the bins and do not change the result.
+    Null text is empty; texts under 100 bytes stay whole; very long ones are read by overlapping
+    parts. Rows that repeat a doc_id are documents of their own, in the order of their texts'
+    SHA-256. Rows without a doc_id stay whole and remove nothing. An empty table gives an empty
+    result; other columns are ignored. `run_size`, `bin_size` and `hot_size` (tiles of an anchor
+    from which its strings are sorted one by one) shape the work and do not change the result.
     """
     scratch = Scratch(spark)
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    repeated = _repeated_tiles(scratch, texts)
-    scratch.release()
-    spans = _marked_spans(scratch, texts, repeated, run_size, bin_size, sample_docs)
+    rows = with_copies(scratch, docs.select(*keep, "text"))
+    texts = rows.where("doc_id is not null and text is not null").select(*OWNER, "text")
+    repeated = _repeated_tiles(scratch, texts, hot_size)
+    spans = _marked_spans(scratch, texts, repeated, run_size, bin_size)
     scratch.free(repeated)
-    scratch.release()
-    return cut_spans(docs.select(*keep, "text").join(spans, "doc_id", "left"), list(keep))
+    return cut_spans(rows.join(spans, OWNER, "left"), list(keep))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
