@@ -26,16 +26,14 @@ def prefix_fingerprints(turns: DataFrame, block: int = 1024) -> DataFrame:
     content = [F.col("turn"), F.col("role"), F.col("text")]
     rows = turns.select("conv_id", *content, F.coalesce(F.floor(F.col("turn") / block), F.lit(-(2**62))).alias("block"), F.lit(1).alias("one"))
     order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    ranked = running_before(rows.withColumn("key", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))), ["key"], "block", order, "one", "before")
+    ranked = running_before(rows.withColumn("key", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))), ["key"], "block", order, {"before": "one"})
     shown = [F.coalesce(F.concat(F.lit("="), c), F.lit("-")) for c in (F.col("role"), F.col("text"))]
     hashes = [F.xxhash64(F.lit(salt), "before", *shown) for salt in ("a", "b")]
     low, high = (lambda h: h.bitwiseAND(0x7FFFFFFF)), (lambda h: F.shiftright(h, 32).bitwiseAND(0x7FFFFFFF))
     parts = [f(h).alias(f"h{i}") for i, (f, h) in enumerate((f, h) for h in hashes for f in (low, high))]
     hashed = ranked.select("conv_id", "key", "block", "turn", "role", "text", F.col("before").alias("n"), *parts)
-    window_order = ["n"]
-    out = hashed
-    for i, name in enumerate(SUMS):
-        out = running_before(out, ["key"], "block", window_order, f"h{i}", name).withColumn(name, F.col(name) + F.col(f"h{i}"))
+    before = {f"b{i}": f"h{i}" for i in range(len(SUMS))}
+    out = running_before(hashed, ["key"], "block", ["n"], before).withColumns({s: F.col(f"b{i}") + F.col(f"h{i}") for i, s in enumerate(SUMS)})
     return out.select("conv_id", "turn", "role", "text", (F.col("n") + 1).alias("n"), *SUMS)
 
 

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
-import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,15 +26,9 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
+    """The folder that driver and executors share: the one that the cluster names, or the warehouse where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = spark.conf.get("tessera.scratch.dir", None)
-    if not own:
-        own = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("tessera.scratch.dir", own)
-    return own
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/tessera").rstrip("/")
 
 
 class Scratch:
@@ -48,7 +39,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{scratch_dir(spark)}/tessera-{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
+        self.tables: dict[int, tuple[DataFrame, str]] = {}  # holds the tables, so that no other takes over an id
         atexit.register(self.close)
 
     def path(self) -> str:
@@ -56,31 +47,28 @@ class Scratch:
         return f"{self.base}/{self.count:04d}"
 
     def cut(self, df: DataFrame) -> DataFrame:
-        path = self.path()
-        df.write.option("compression", "zstd").parquet(path)
+        """`df`, written and read again. Shuffle files of the write go as it ends, since nothing reads them after that."""
+        path, key = self.path(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, "false")
+        self.spark.conf.set(key, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.tables[id(out)] = out, path
         return out
 
-    def release(self) -> None:
-        """Let Spark drop the shuffle files of tables that nothing refers to any more.
-
-        Its cleaner follows the JVM's collector; the first round lets go of what Python held.
-        """
-        for _ in range(2):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.3)
-
     def _remove(self, path: str) -> None:
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
     def free(self, *tables: DataFrame) -> None:
+        """Remove those of `tables` that are cut ones; no plan that is still to run may read them."""
         for table in tables:
-            if path := self.paths.pop(id(table), None):
-                self._remove(path)
+            if held := self.tables.pop(id(table), None):
+                self._remove(held[1])
 
     def close(self) -> None:
         try:
@@ -89,6 +77,14 @@ class Scratch:
             pass
 
 
+def with_estimates(rows: DataFrame, few: DataFrame, keys: list[str], n: int, how: str = "left", most: int = 100_000, salts: int = 64) -> DataFrame:
+    """`rows` joined with a table of `n` rows, one for each key: broadcast up to `most`, else with its rows dealt to `salts` places, so that a hot key is spread."""
+    if n <= most:
+        return rows.join(F.broadcast(few), keys, how)
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.floor(F.rand(3) * salts).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once for a row, however often `body` uses it."""
     return F.transform(F.array(value), body)[0]
@@ -104,18 +100,20 @@ def top_bits(hashed: Column, bits: int) -> Column:
     return F.shiftright(hashed, 64 - bits)
 
 
-def running_before(df: DataFrame, keys: list[str], bucket: str, order: list, value: str, out: str) -> DataFrame:
-    """Sum of `value` over the rows of the same keys that come before, by (bucket, order).
+def running_before(df: DataFrame, keys: list[str], bucket: str, order: list, values: dict[str, str]) -> DataFrame:
+    """For each `out: value` of `values` the sum of `value` over the rows of the same keys that come before, by (bucket, order).
 
     Two levels: totals of buckets are summed per key, and rows only within their bucket, so
     that a key with most of the rows is spread over as many tasks as it has buckets.
     """
-    totals = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_total"))
+    totals = df.groupBy(*keys, bucket).agg(*[F.sum(v).alias(f"_total_{out}") for out, v in values.items()])
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, bucket, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    earlier = {out: F.coalesce(F.sum(f"_total_{out}").over(before), F.lit(0)) for out in values}
+    totals = totals.select(*keys, bucket, *[e.alias(f"_before_{out}") for out, e in earlier.items()])
     within = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn(out, F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return rows.join(totals, [*keys, bucket]).withColumn(out, F.col(out) + F.col("_before")).drop("_before")
+    rows = df.withColumns({out: F.coalesce(F.sum(v).over(within), F.lit(0)) for out, v in values.items()})
+    joined = rows.join(totals, [*keys, bucket])
+    return joined.withColumns({out: F.col(out) + F.col(f"_before_{out}") for out in values}).drop(*[f"_before_{out}" for out in values])
 
 
 def number_rows(scratch: Scratch, df: DataFrame, order: list, out: str = "row_index") -> DataFrame:

@@ -75,7 +75,7 @@ def schedule(spark: SparkSession, sources: DataFrame, n_slots: int, total: int,
     points = points.withColumn("cell", F.floor(F.col("at") / width))
     held = sources.where("high > low").withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))))
     mapped = points.join(held, "cell").where("at >= low and at < high").select("slot", "sid", "blocks", F.floor(F.col("slot") / chunk).alias("chunk"), F.lit(1).alias("one"))
-    ranked = running_before(mapped, ["sid"], "chunk", ["slot"], "one", "block")
+    ranked = running_before(mapped, ["sid"], "chunk", ["slot"], {"block": "one"})
     kept = ranked.where("block < blocks").select("slot", "sid", "block")
     reached = ranked.groupBy("sid").agg(F.count("*").alias("reached"))
     missing = sources.join(reached, "sid", "left").withColumn("reached", F.coalesce("reached", F.lit(0))).where("reached < blocks")
@@ -98,14 +98,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, *, weights: tuple[float, .
     bits = bucket_bits(sized.count())
     sources = scratch.cut(source_targets(scratch, sized, weights, share, most).withColumn("limit", F.least(F.round("target").cast("long"), F.floor(F.col("source_size") * float(most)))))
     sources = sources.withColumn("blocks", F.ceil(F.col("limit") / block_tokens)).withColumn("group", F.floor(F.col("sid") / 1024))
-    sources = scratch.cut(running_before(sources, [], "group", ["sid"], "limit", "low").withColumn("high", F.col("low") + F.col("limit")))
+    sources = scratch.cut(running_before(sources, [], "group", ["sid"], {"low": "limit"}).withColumn("high", F.col("low") + F.col("limit")))
     n_slots, total = sources.agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.coalesce(F.sum("limit"), F.lit(0))).first()
 
     mixed = F.xxhash64(F.lit(seed), "doc_id", "size")
     lines = sized.withColumn("h", mixed).withColumn("bucket", top_bits(F.col("h"), bits))
     known = sources.select("sid", F.col("source").alias("_source"), "source_size", "target", "limit")
     lines = lines.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    lines = scratch.cut(running_before(lines, ["sid"], "bucket", ["h", "doc_id", "size"], "size", "line_start").drop("h", "bucket"))
+    lines = scratch.cut(running_before(lines, ["sid"], "bucket", ["h", "doc_id", "size"], {"line_start": "size"}).drop("h", "bucket"))
 
     rounds = F.explode(F.sequence(F.lit(0), F.lit(max(0, int(-(-most // 1)) - 1)))).alias("round")
     parts = lines.where("size > 0").select("*", rounds).withColumn("low", F.col("line_start") + F.col("round") * F.col("source_size"))
