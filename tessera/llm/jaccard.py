@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, documents
-from .links import connected_components, linked_members
+from .common import WORD, Scratch, documents, with_estimates
+from .links import connected_components, connected_members, deal_blocks, linked_members
 from .packing import mix64
 
 SIGNATURE = 128
@@ -131,24 +131,16 @@ def runs_for(similarity: float, recall: float, depth: int) -> int:
 
 
 def within_sketch(similarity: float, sigmas: float = 5.0):
-    """Adjacency by the two-bit cells that differ, with room for the estimate's error."""
+    """Test of pairs of sketches by the two-bit cells that differ, with room for the estimate's error."""
     equal = similarity + (1 - similarity) / 4
     most = int(SIGNATURE * (1 - equal) + sigmas * math.sqrt(SIGNATURE * equal * (1 - equal)))
     low = np.uint64(0x5555555555555555)
 
-    def words(payload: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(payload), dtype=np.uint64).reshape(len(payload), -1)
+    def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        differs = x ^ y
+        return np.bitwise_count((differs | (differs >> np.uint64(1))) & low).sum(axis=1, dtype=np.int64) <= most
 
-    def adjacency(a: list[bytes], b: list[bytes] | None) -> np.ndarray:
-        x = words(a)
-        y = x if b is None else words(b)
-        distance = np.zeros((len(x), len(y)), dtype=np.uint16)
-        for k in range(x.shape[1]):
-            differs = x[:, k][:, None] ^ y[:, k][None, :]
-            distance += np.bitwise_count((differs | (differs >> np.uint64(1))) & low)
-        return distance <= most
-
-    return adjacency
+    return test
 
 
 def within_jaccard(similarity: float, columns: int = 4096):
@@ -178,8 +170,9 @@ def within_jaccard(similarity: float, columns: int = 4096):
     return adjacency
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """key, id, weight, payload (the distinct shingles): for rows of key, id, weight and text."""
+def shingle_sets(rows: DataFrame) -> DataFrame:
+    """`rows` with payload, the distinct shingles of their text, in its place."""
+    others = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -188,54 +181,75 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 codes, counts = shingles(batch.column("words"))
                 parts = np.split(codes, np.cumsum(counts)[:-1])
                 payload = pa.array([np.unique(p).tobytes() for p in parts], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "weight")), payload], names=["key", "id", "weight", "payload"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), payload], names=[*others, "payload"])
+
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others)
+    return rows.select(*others, word_hashes(F.col("text")).alias("words")).mapInArrow(run, f"{schema}, payload binary")
 
-    return docs.select("key", "id", "weight", word_hashes(F.col("text")).alias("words")).mapInArrow(run, "key long, id long, weight long, payload binary")
+
+def candidate_buckets(scratch: Scratch, nodes: DataFrame, similarity: float, runs: int, bucket: int, depth: int) -> DataFrame:
+    """key, id: the buckets with more than one member that all runs lead to.
+
+    At each level the few paths over `bucket` are told apart first, and split again; what is
+    counted and joined by path are the others, so that no hot path meets in a task.
+    """
+    rows = nodes.select(F.lit(None).cast("long").alias("path"), "id", "minima")
+    done: DataFrame | None = None
+    for level in range(1, depth + 1):
+        chosen = scratch.cut(choose_paths(rows, similarity, runs))
+        sizes = scratch.cut(chosen.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
+        large = scratch.cut(sizes.where(F.col("n") > bucket).select("path", F.lit(True).alias("large")))
+        n_large = large.count()
+        marked = with_estimates(chosen, large, ["path"], n_large)
+        small = marked.where("large is null").select("path", "id").join(sizes.where(F.col("n") <= bucket).select("path"), "path")
+        done = small if done is None else done.unionByName(small)
+        split = marked.where("large").select("path", "id")
+        if level == depth:
+            done = done.unionByName(split)
+        elif n_large:
+            rows = split.join(nodes.select("id", "minima"), "id")
+        else:
+            break
+    return done.select(F.col("path").alias("key"), "id")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, *, similarity: float = 0.8, recall: float = 0.9999, bucket: int = 64, depth: int = 3) -> DataFrame:
     """doc_id, class_id, n_links for every row of `docs` (doc_id, text).
 
-    Two documents link if the Jaccard similarity of their sets of five-word shingles is
-    `similarity` or more; `n_links` counts the other documents linked with, class_id is the least
-    doc_id that links lead to. Texts of fewer than five words are one shingle; null texts and
-    texts without words link with nothing. Equal texts are one node, and links of each other;
-    rows that share a doc_id are taken for copies of one document. Rows without a doc_id come
-    back with a null class. An empty table gives an empty result; other columns are ignored.
+    Two rows link if the Jaccard similarity of their sets of five-word shingles is `similarity`
+    or more; `n_links` counts the other rows linked with, class_id is the least doc_id that links
+    lead to. Texts of fewer than five words are one shingle; null texts and texts without words
+    link with nothing; very long ones are taken whole. Equal texts are one node, and links of each
+    other, whatever their doc_ids; rows that repeat a doc_id are judged each by its own text. Rows
+    without a doc_id come back with a null class. An empty table gives an empty result; other
+    columns are ignored. `recall` is what the runs are planned for if every bucket had to split
+    `depth` times; what they bring together is decided exactly.
     """
     scratch = Scratch(spark)
     keyed = docs.where("doc_id is not null").select("doc_id", "text")
     signed = scratch.cut(signatures(keyed))
-    classes = scratch.cut(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight")))
-    nodes = signed.join(classes.select(F.col("id").alias("doc_id"), "weight"), "doc_id").dropDuplicates(["doc_id"])
-    nodes = scratch.cut(nodes.select(F.col("doc_id").alias("id"), "weight", "minima", "sketch"))
+    node = F.xxhash64("k1", "k2").alias("id")
+    classes = scratch.cut(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("weight")).select(node, "k1", "first", "weight"))
+    nodes = signed.select(node, "doc_id", "minima", "sketch").join(classes.select("id", F.col("first").alias("doc_id"), "weight"), ["id", "doc_id"]).dropDuplicates(["id"])
+    nodes = scratch.cut(nodes.select("id", "weight", "minima", "sketch"))
 
     runs = runs_for(similarity, recall, depth)
-    rows = nodes.select(F.lit(None).cast("long").alias("path"), "id", "minima")
-    done: DataFrame | None = None
-    for level in range(1, depth + 1):
-        chosen = choose_paths(rows, similarity, runs)
-        sizes = chosen.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        placed = scratch.cut(chosen.join(sizes, "path"))
-        final = placed if level == depth else placed.where(F.col("n") <= bucket)
-        done = final.select("path", "id") if done is None else done.unionByName(final.select("path", "id"))
-        large = placed.where(F.col("n") > bucket)
-        if level == depth or large.isEmpty():
-            break
-        rows = large.select("path", "id").join(nodes.select("id", "minima"), "id")
-    buckets = done.join(nodes.select("id", F.col("sketch").alias("payload")), "id").select(F.col("path").alias("key"), "id", F.lit(1).cast("long").alias("weight"), "payload")
-    near = linked_members(buckets, within_sketch(similarity))
-    candidates = scratch.cut(connected_components(scratch, near.select(F.col("id").alias("a"), F.col("root").alias("b"))))
-
-    grouped = candidates.join(nodes.select("id", "weight"), "id").select(F.col("component").alias("key"), F.col("id").alias("doc_id"), "weight")
-    texts = keyed.join(grouped, "doc_id").dropDuplicates(["doc_id"]).select("key", F.col("doc_id").alias("id"), "weight", "text")
-    exact = scratch.cut(linked_members(shingle_sets(texts), within_jaccard(similarity), block=512))
+    buckets = deal_blocks(scratch, candidate_buckets(scratch, nodes, similarity, runs, bucket, depth), 1024)
+    near = connected_members(buckets.join(nodes.select("id", F.col("sketch").alias("payload")), "id"), within_sketch(similarity))
+    candidates = scratch.cut(connected_components(scratch, near))
+
+    grouped = candidates.join(nodes.select("id", "weight"), "id").select(F.col("component").alias("key"), "id", "weight")
+    wanted = classes.join(grouped.select("id"), "id").select("id", "k1", F.col("first").alias("doc_id"))
+    texts = keyed.join(wanted, "doc_id").where(F.xxhash64(word_hashes(F.col("text"))) == F.col("k1")).dropDuplicates(["id"])
+    exact = scratch.cut(linked_members(shingle_sets(deal_blocks(scratch, grouped, 512).join(texts.select("id", "text"), "id")), within_jaccard(similarity)))
     links = exact.groupBy("id").agg(F.sum("links").alias("links"))
-    components = connected_components(scratch, exact.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    known = classes.join(links, "id", "left").join(components, "id", "left")
-    known = known.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("class_id"))
-    member = signed.select("doc_id", "k1", "k2").join(known, ["k1", "k2"]).select("doc_id", "class_id", "n_links")
-    rest = docs.select("doc_id").join(signed.select("doc_id").distinct(), "doc_id", "left_anti")
+    components = scratch.cut(connected_components(scratch, exact.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+    least = components.join(classes.select("id", "first"), "id").groupBy("component").agg(F.min("first").alias("class_id"))
+    known = classes.join(links, "id", "left").join(components.join(least, "component").select("id", "class_id"), "id", "left")
+    known = known.select("id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("class_id", "first").alias("class_id"))
+    member = signed.select("doc_id", node).join(known, "id").select("doc_id", "class_id", "n_links")
+    wordless = ~F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
+    rest = docs.where(F.col("doc_id").isNull() | wordless).select("doc_id")
     return member.unionByName(rest.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
