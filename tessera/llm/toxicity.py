@@ -1,8 +1,8 @@
 """Operator 2: toxicity by two class-conditional Kneser-Ney models over shared backoff counts.
 
-Words become 64-bit hashes in the JVM; each labelled document then counts once for every pair of
-neighbouring words, every word, and every beginning of a word of seven and five letters that
-it holds. A class's model takes its own counts less an absolute discount, one for each class and
+Words become 64-bit hashes in the JVM; each labelled document then counts once for every different
+pair of neighbouring words. A word has the counts of the pairs that end in it, and a beginning of
+seven or five letters those of its words. A class's model takes its own counts less an absolute discount, one for each class and
 order, and leaves what it takes off to the next order:
 
     P(v | u) = max(c(u, v) - D, 0) / c(u)  +  left(u) P(v)
@@ -78,12 +78,15 @@ def _contexts(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return before
 
 
-def count_orders(labelled: DataFrame) -> DataFrame:
-    """level, a, b, ordinary, toxic: documents of either class with each item, for rows of hashed words and toxic.
+#: Both classes' counts travel as one number, toxic documents by this.
+TOXIC = 1 << 32
 
-    Level 0 has pairs (context a, word b); others an item a and the shorter beginning b that it
-    backs off to. An item counts once for a document, so that one long or repetitive text does
-    not stand for its class. Batches are summed before they are sent.
+
+def count_pairs(labelled: DataFrame) -> DataFrame:
+    """a, b, ordinary, toxic: documents of either class with word b after a, for rows of w1 and toxic.
+
+    A pair counts once for a document, so that one long or repetitive text does not stand for its
+    class. Batches are summed before they are sent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,75 +95,70 @@ def count_orders(labelled: DataFrame) -> DataFrame:
             if not len(words):
                 continue
             owner = np.repeat(np.arange(len(lengths)), lengths)
-            chain = [words, *[_flat(batch.column(f"w{k}"))[0] for k in range(SINGLE + 1, LAST + 1)], np.zeros_like(words)]
-            toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)[owner]
             before = _contexts(words, lengths)
-            levels = [(PAIR, pair_keys(before, words), before, words), *[(k, chain[k - 1], chain[k - 1], chain[k]) for k in range(SINGLE, LAST + 1)]]
-            for level, keys, a, b in levels:
-                first = _once(owner, keys)
-                _, at, place, n = np.unique(keys[first], return_index=True, return_inverse=True, return_counts=True)
-                bad = np.bincount(place, weights=toxic[first], minlength=len(at)).astype(np.int64)
-                some = first[at]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level, dtype=np.int32)), pa.array(a[some]), pa.array(b[some]), pa.array(n - bad), pa.array(bad)], names=["level", "a", "b", *CLASSES])
+            keys = pair_keys(before, words)
+            first = _once(owner, keys)
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)[owner[first]]
+            _, at, place, n = np.unique(keys[first], return_index=True, return_inverse=True, return_counts=True)
+            bad = np.bincount(place, weights=toxic, minlength=len(at)).astype(np.int64)
+            some = first[at]
+            yield pa.RecordBatch.from_arrays([pa.array(before[some]), pa.array(words[some]), pa.array(n - bad + bad * TOXIC)], names=["a", "b", "n"])
 
-    found = labelled.mapInArrow(run, "level int, a long, b long, ordinary long, toxic long")
-    return found.groupBy("level", "a", "b").agg(*[F.sum(c).alias(c) for c in CLASSES])
+    found = labelled.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return found.select("a", "b", F.pmod("n", F.lit(TOXIC)).cast("int").alias("ordinary"), F.floor(F.col("n") / TOXIC).cast("int").alias("toxic"))
 
 
-def discounts_of(counted: DataFrame, strengths: tuple[float, ...]) -> dict[tuple[int, str], tuple[float, float, float]]:
-    """(discount, counts, share of them that the discount takes) of every level and class.
+def discounts_of(tables: list[DataFrame], strengths: tuple[float, ...]) -> dict[tuple[int, str], tuple[float, float, float]]:
+    """(discount, counts, share of them that the discount takes) of every order and class.
 
     The discount is the usual estimate from how many items were counted once and twice, times
-    the level's strength; the share holds for a whole level (pairs have one for each context).
+    the order's strength; the share holds for a whole order (pairs have one for each context).
     """
-    ones = [F.count_if(F.col(c) == n).alias(f"{c}{n}") for c in CLASSES for n in (1, 2)]
-    found = {r["level"]: r for r in counted.groupBy("level").agg(*ones).collect()}
     out = {}
-    for level in range(LAST + 1):
-        r = found.get(level)
-        for c in CLASSES:
-            n1, n2 = (r[f"{c}1"], r[f"{c}2"]) if r else (0, 0)
-            out[level, c] = strengths[level] * (n1 / (n1 + 2 * n2) if n1 else 0.5)
-    cut = lambda c: F.least(F.col(c).cast("double"), _by_level(lambda k: out[k, c]))
-    sums = counted.groupBy("level").agg(*[F.sum(c).alias(c) for c in CLASSES], *[F.sum(cut(c)).alias(f"cut_{c}") for c in CLASSES])
-    totals = {r["level"]: r for r in sums.collect()}
-    get = lambda level, name: float(totals[level][name]) if level in totals else 0.0
-    return {(k, c): (d, get(k, c), get(k, f"cut_{c}") / get(k, c) if get(k, c) else 1.0) for (k, c), d in out.items()}
-
-
-def _by_level(value) -> Column:
-    return F.element_at(F.array(*[F.lit(float(value(k))) for k in range(LAST + 1)]), F.col("level") + 1)
+    for level, table in enumerate(tables):
+        ones = [F.count_if(F.col(c) == n) for c in CLASSES for n in (1, 2)]
+        found = table.agg(*ones, *[F.coalesce(F.sum(c), F.lit(0)) for c in CLASSES]).first()
+        discount = {c: strengths[level] * (found[2 * i] / (found[2 * i] + 2 * found[2 * i + 1]) if found[2 * i] else 0.5) for i, c in enumerate(CLASSES)}
+        cut = table.agg(*[F.coalesce(F.sum(F.least(F.col(c).cast("double"), F.lit(discount[c]))), F.lit(0.0)) for c in CLASSES]).first()
+        for i, c in enumerate(CLASSES):
+            total = float(found[4 + i])
+            out[level, c] = discount[c], total, cut[i] / total if total else 1.0
+    return out
 
 
 def fit_models(scratch: Scratch, labelled: DataFrame, strengths: tuple[float, ...] = STRENGTHS) -> tuple[DataFrame, list[float]]:
-    """(level, a, b, gap) of all that the models keep, and what each level adds to the gap of an item that it does not keep.
+    """(level, a, b, gap) of all that the models keep, and what each order adds to the gap of an item that it does not keep.
 
-    `gap` is log P(toxic) - log P(ordinary) of the pair (level 0) or the word, or that of a
+    `gap` is log P(toxic) - log P(ordinary) of the pair (level 0) or the word (level 1), or that of a
     beginning; rows of level -1 have what a context leaves to its words. An item without a row
-    has the gap of the next shorter beginning, and what its level adds.
+    has the gap of the next shorter beginning, and what its order adds.
     """
-    counted = scratch.cut(count_orders(hashed_words(labelled, ["toxic"])))
-    orders = discounts_of(counted, strengths)
+    names = [f"w{k}" for k in range(SINGLE, LAST + 1)]
+    hashed = hashed_words(labelled, ["toxic"])
+    chains = scratch.cut(hashed.select(F.explode(F.array_distinct(F.arrays_zip(*names))).alias("w")).select("w.*").distinct())
+    pairs = scratch.cut(count_pairs(hashed.select("toxic", "w1")))
+
+    # Words, and up their beginnings: counts, and what both classes share, with one more below each for words never seen.
+    sums = [F.sum(c).alias(c) for c in CLASSES]
+    words = pairs.groupBy(F.col("b").alias("w1")).agg(*sums, F.count("*").alias("s")).join(chains, "w1")
+    tables = {SINGLE: scratch.cut(words.select(F.col("w1").alias("a"), F.col("w2").alias("b"), *names, *CLASSES, "s"))}
+    for level in range(SINGLE + 1, LAST + 1):
+        up = F.col(f"w{level + 1}") if level < LAST else F.lit(0).cast("long")
+        rest = [F.first(n).alias(n) for n in names[level - 1 :]]
+        own = tables[level - 1].groupBy(F.col(f"w{level}").alias("a")).agg(*sums, (F.sum("s") + 1).alias("s"), *rest)
+        tables[level] = scratch.cut(own.withColumn("b", up))
+    root = (tables[LAST].agg(F.sum("s")).first()[0] or 0) + 1
+    orders = discounts_of([pairs, *tables.values()], strengths)
     kept = lambda c, level: F.greatest(F.col(c) - F.lit(orders[level, c][0]), F.lit(0.0))
     some = lambda level: sum((kept(c, level) for c in CLASSES), F.lit(0.0)) > 0
-    pairs = counted.where(f"level = {PAIR}")
-
-    # What both classes share, by word and up its beginnings; one more below each for words never seen.
-    shared = pairs.groupBy(F.col("b").alias("a")).agg(F.count("*").alias("s"))
-    upward = {SINGLE: counted.where(f"level = {SINGLE}").join(shared, "a", "left").select("a", "b", *CLASSES, F.coalesce("s", F.lit(0)).alias("s"))}
-    for level in range(SINGLE + 1, LAST + 1):
-        below = upward[level - 1].groupBy(F.col("b").alias("a")).agg((F.sum("s") + 1).alias("s"))
-        upward[level] = counted.where(f"level = {level}").join(below, "a")
-    upward = {level: scratch.cut(upward[level]) for level in upward}
-    root = (upward[LAST].agg(F.sum("s")).first()[0] or 0) + 1
 
     # From the shortest beginnings down: lift is what a class gives an item over what both share.
     lifts = {}
     for level in range(LAST, 0, -1):
         if level == LAST:
-            rows = upward[level].withColumns({f"up_{c}": F.lit(1.0) for c in CLASSES})
+            rows = tables[level].withColumns({f"up_{c}": F.lit(1.0) for c in CLASSES})
         else:
-            rows = upward[level].join(lifts[level + 1].select(F.col("a").alias("b"), *[F.col(f"lift_{c}").alias(f"up_{c}") for c in CLASSES]), "b")
+            rows = tables[level].join(lifts[level + 1].select(F.col("a").alias("b"), *[F.col(f"lift_{c}").alias(f"up_{c}") for c in CLASSES]), "b")
         lift = {f"lift_{c}": kept(c, level) / F.lit(orders[level, c][1] or 1.0) / (F.col("s") / root) + F.lit(orders[level, c][2]) * F.col(f"up_{c}") for c in CLASSES}
         lifts[level] = scratch.cut(rows.withColumns(lift).select("a", "s", *lift, some(level).alias("some")))
 
@@ -179,7 +177,7 @@ def fit_models(scratch: Scratch, labelled: DataFrame, strengths: tuple[float, ..
     for level, rows in lifts.items():
         model = model.unionByName(rows.where("some").select(F.lit(level).alias("level"), "a", none, gap({c: F.col(f"lift_{c}") for c in CLASSES})))
     model = scratch.cut(model)
-    scratch.free(counted, contexts, *upward.values(), *lifts.values())
+    scratch.free(chains, pairs, contexts, *tables.values(), *lifts.values())
     return model, [math.log(orders[k, "toxic"][2] / orders[k, "ordinary"][2]) if k else 0.0 for k in range(LAST + 1)]
 
 
