@@ -1,10 +1,12 @@
 """Operator 3: token counts that follow edits.
 
 A document's pre-tokens, some dozens to a leaf, carry a segment tree with the code points and the
-tokens below every node. An edit descends by code points to the first leaf that it can change,
-reads pre-tokens from there on until one ends where an old leaf ends behind the edit, and
-replaces these leaves; sums change only on the paths above them. The pattern of pre-tokens looks
-ahead by one code point at most and never back, so this is exact.
+tokens below every node. Trees are kept in a table of one row a document, with the text cut into
+leaves, and each batch of edits makes the next version of that table. An edit descends by code points to
+the first leaf that it can change, reads pre-tokens from there on until one ends where an old leaf
+ends behind the edit, and replaces these leaves; sums change only on the paths above them. Other
+leaves are neither decoded nor encoded, and documents without edits do not leave the JVM. The
+pattern of pre-tokens looks ahead by one code point at most and never back, so this is exact.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import Scratch, documents, small_batches
 
 LEAF = 64
 #: Code points before an edit whose pre-tokens can still change.
@@ -83,26 +85,41 @@ def _heap(leaves: np.ndarray) -> np.ndarray:
     return out
 
 
+def cut_leaves(pieces: list[str], counter: PieceCounter, leaf: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts, code points and tokens of leaves of `leaf` pre-tokens; no pre-tokens make no leaf."""
+    starts = np.arange(0, len(pieces), leaf)
+    if not len(starts):
+        return [], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+    return ["".join(pieces[k : k + leaf]) for k in starts], np.add.reduceat(lengths, starts), np.add.reduceat(counter.counts(pieces), starts)
+
+
 class TokenTree:
-    """Segment tree of one text: `chars` and `tokens` are heaps of equal size."""
+    """Segment tree of one text: heaps of code points and tokens over its leaves.
+
+    `leaves` are texts or numbers of leaves of a stored tree, which `stored` gives when one is needed.
+    """
+
+    def __init__(self, leaves: list, chars: np.ndarray, tokens: np.ndarray, stored=None):
+        self.leaves, self.stored = leaves, stored
+        self._grow(chars, tokens)
 
-    def __init__(self, chars: np.ndarray, tokens: np.ndarray):
-        self.chars, self.tokens = chars, tokens
-        self.size = len(chars) // 2
+    def _grow(self, chars: np.ndarray, tokens: np.ndarray) -> None:
+        self.chars, self.tokens = _heap(chars), _heap(tokens)
+        self.size = len(self.chars) // 2
 
     @classmethod
     def build(cls, text: str, counter: PieceCounter, leaf: int = LEAF) -> TokenTree:
-        pieces = counter.pattern.findall(text)
-        if not pieces:
-            return cls(_heap(np.zeros(1, dtype=np.int64)), _heap(np.zeros(1, dtype=np.int64)))
-        starts = np.arange(0, len(pieces), leaf)
-        lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        return cls(_heap(np.add.reduceat(lengths, starts)), _heap(np.add.reduceat(counter.counts(pieces), starts)))
+        return cls(*cut_leaves(counter.pattern.findall(text), counter, leaf))
 
     @property
     def total(self) -> int:
         return int(self.tokens[1])
 
+    def leaf_sums(self) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.leaves)
+        return self.chars[self.size : self.size + n], self.tokens[self.size : self.size + n]
+
     def find(self, at: int) -> tuple[int, int]:
         """The leaf that holds code point `at` (the last that holds any, if none does) and its first code point."""
         node, start = 1, 0
@@ -122,56 +139,74 @@ class TokenTree:
             self.tokens[node] += more_tokens
             node //= 2
 
-    def edit(self, text: str, at: int, removed: int, inserted: str, counter: PieceCounter) -> tuple[str, int]:
-        """Replace text[at : at + removed]; returns the new text and how many pre-tokens were encoded anew."""
-        at = max(0, min(at, len(text)))
-        end = min(len(text), at + max(0, removed))
-        new = text[:at] + inserted + text[end:]
-        shift = len(new) - len(text)
-        if not text:
-            fresh = TokenTree.build(new, counter)
-            self.chars, self.tokens, self.size = fresh.chars, fresh.tokens, fresh.size
-            return new, len(counter.pattern.findall(new))
+    def _text(self, leaf: int) -> str:
+        held = self.leaves[leaf]
+        return held if isinstance(held, str) else self.stored(held)
+
+    def edit(self, at: int, removed: int, inserted: str, counter: PieceCounter, leaf: int = LEAF) -> int:
+        """Replace `removed` code points from `at` on; returns how many pre-tokens were encoded anew."""
+        n = int(self.chars[1])
+        at = max(0, min(at, n))
+        end = min(n, at + max(0, removed))
+        if not len(self.leaves):
+            fresh = TokenTree.build(inserted, counter, leaf)
+            self.leaves = fresh.leaves
+            self._grow(*fresh.leaf_sums())
+            return len(counter.pattern.findall(inserted))
         first, start = self.find(max(0, at - CONTEXT))
-        last, stop = first, start
-        while last == first or (last < self.size and stop < end):  # the leaves that the edit touches, one at least
+        last, stop, window = first, start, ""
+        while last < len(self.leaves) and (last == first or stop < end):  # the leaves that the edit touches, one at least
+            window += self._text(last)
             stop += int(self.chars[self.size + last])
             last += 1
-        pieces, position = [], start
-        while True:
-            while last < self.size and stop + shift < position:
-                stop += int(self.chars[self.size + last])
+        window = window[: at - start] + inserted + window[end - start :]
+        ends = {len(window): last}  # where leaves behind the edit end
+        certain = len(window.rstrip())
+        pieces, position = [], 0
+        while position not in ends or (position == 0 and window):
+            match = counter.pattern.match(window, position)
+            if last < len(self.leaves) and (match is None or match.end() >= certain):  # what follows may lengthen it
+                window += self._text(last)
                 last += 1
-            if position >= end + shift and position >= at + len(inserted) and stop + shift == position:
-                break
-            match = counter.pattern.match(new, position)
+                ends[len(window)] = last
+                certain = len(window.rstrip())
+                continue
             if match is None:
                 break
             pieces.append(match.group())
             position = match.end()
-        slots = max(1, last - first)
-        if len(pieces) > 4 * LEAF * slots:  # leaves have grown too large: make the tree anew
-            fresh = TokenTree.build(new, counter)
-            self.chars, self.tokens, self.size = fresh.chars, fresh.tokens, fresh.size
-            return new, len(pieces)
-        counts = counter.counts(pieces)
-        for k in range(slots):
-            part = slice(len(pieces) * k // slots, len(pieces) * (k + 1) // slots)
-            self._set(first + k, sum(map(len, pieces[part])), int(counts[part].sum()))
-        return new, len(pieces)
+        self._splice(first, ends.get(position, last), *cut_leaves(pieces, counter, leaf))
+        return len(pieces)
+
+    def _splice(self, first: int, last: int, leaves: list[str], chars: np.ndarray, tokens: np.ndarray) -> None:
+        """New leaves in the place of first to last; with as many as before only the paths above them change."""
+        if len(leaves) == last - first:
+            self.leaves[first:last] = leaves
+            for k, (c, t) in enumerate(zip(chars.tolist(), tokens.tolist(), strict=True)):
+                self._set(first + k, c, t)
+            return
+        own = self.leaf_sums()
+        self.leaves[first:last] = leaves
+        self._grow(*(np.concatenate([o[:first], new, o[last:]]) for o, new in zip(own, (chars, tokens), strict=True)))
 
 
 EDIT = "array<struct<at:long,removed:long,inserted:string>>"
+#: A stored tree: its version, its leaves, and the code points and tokens of each.
+TREE = {"version": "int", "n_tokens": "long", "leaves": "array<string>", "leaf_chars": "array<long>", "leaf_tokens": "array<long>"}
+REPORT = {"tokens_before": "long", "reencoded": "long"}
+
 
+def _fields(rows: DataFrame, keep: list[str], *more: dict[str, str]) -> str:
+    own = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
+    return ", ".join(own + [f"{name} {kind}" for m in more for name, kind in m.items()])
 
-def count_with_edits(docs: DataFrame, *, ranks: str | None = None, keep: tuple[str, ...] = ("doc_id",), with_trees: bool = True) -> DataFrame:
-    """`keep`, n_tokens, edited_tokens, reencoded, and with_trees: edited_text, leaf_chars, leaf_tokens.
 
-    `docs` has text and edits (array of at, removed, inserted, in code points, applied in turn,
-    each to the text that the last one left). Places beyond the text mean its end; null edits,
-    and null parts of them, change nothing. Null text is empty and has 0 tokens. Rows are
-    independent, so repeated ids and equal texts are counted each; an empty table gives an empty
-    result; other columns are ignored.
+def build_trees(docs: DataFrame, *, ranks: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`keep` and the tree (TREE, version 0) of every row of `docs`, from its text.
+
+    Null and empty texts have a tree without leaves and 0 tokens; very long texts have as many leaves
+    as they need. Rows are independent, so repeated ids and equal texts have a tree each; an empty
+    table gives an empty result; other columns are ignored.
     """
     path = ranks or ranks_path()
     small_batches(docs.sparkSession)
@@ -181,38 +216,78 @@ def count_with_edits(docs: DataFrame, *, ranks: str | None = None, keep: tuple[s
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                out: list[list] = [[], [], [], [], [], []]
-                for text, edits in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True):
-                    text = text or ""
-                    tree = TokenTree.build(text, counter)
-                    before, again = tree.total, 0
-                    for e in edits or ():
-                        if e is not None:
-                            text, n = tree.edit(text, e["at"] or 0, e["removed"] or 0, e["inserted"] or "", counter)
-                            again += n
-                    row = [before, tree.total, again]
-                    row += [text, tree.chars[tree.size :], tree.tokens[tree.size :]] if with_trees else [None, None, None]
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-                types = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                kept = [batch.column(c) for c in keep]
-                yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, type=t) for c, t in zip(out, types, strict=True)]], names=[*keep, *NAMES])
+                trees = [TokenTree.build(t or "", counter) for t in batch.column("text").to_pylist()]
+                yield _stored(batch, keep, trees, [0] * len(trees))
+        counter.rest()
+
+    return docs.select(*keep, "text").mapInArrow(run, _fields(docs, list(keep), TREE))
+
+
+def _stored(batch: pa.RecordBatch, keep, trees: list[TokenTree], versions: list[int], *more: pa.Array) -> pa.RecordBatch:
+    sums = [t.leaf_sums() for t in trees]
+    arrays = [
+        pa.array(versions, type=pa.int32()), pa.array([t.total for t in trees], type=pa.int64()), pa.array([t.leaves for t in trees], type=pa.list_(pa.string())),
+        pa.array([s[0] for s in sums], type=pa.list_(pa.int64())), pa.array([s[1] for s in sums], type=pa.list_(pa.int64())),
+    ]
+    names = [*keep, *TREE, *(list(REPORT) if more else [])]
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *arrays, *more], names=names)
+
+
+def apply_edits(trees: DataFrame, *, edits: str = "edits", ranks: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`keep`, the next version of every tree, tokens_before and reencoded, for stored trees with a column of edits.
+
+    `edits` is an array of at, removed, inserted, in code points, applied in turn, each to the
+    text that the last one left. Places beyond the text mean its end; null edits, and null parts
+    of them, change nothing. `reencoded` counts all pre-tokens that were encoded. Trees with no
+    edits keep their version and pass by. Repeated ids are rows of their own; an empty table
+    gives an empty result; other columns are ignored.
+    """
+    path = ranks or ranks_path()
+    small_batches(trees.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = worker_counter(path)
+        for batch in batches:
+            leaves = batch.column("leaves")
+            texts, firsts = leaves.values, leaves.offsets.to_pylist()
+            chars, tokens = ([np.array(v, dtype=np.int64) for v in batch.column(c).to_pylist()] for c in ("leaf_chars", "leaf_tokens"))
+            changed, again = [], []
+            for k, own in enumerate(batch.column("edits").to_pylist()):
+                tree = TokenTree(list(range(firsts[k], firsts[k + 1])), chars[k], tokens[k], stored=lambda i: texts[i].as_py())
+                changed.append(tree)
+                again.append(sum(tree.edit(e["at"] or 0, e["removed"] or 0, e["inserted"] or "", counter) for e in own if e is not None))
+            # Leaves that no edit touched are taken over by number, without becoming Python strings.
+            fresh = [leaf for t in changed for leaf in t.leaves if isinstance(leaf, str)]
+            pool, place, numbers = pa.concat_arrays([texts, pa.array(fresh, type=pa.string())]), len(texts), []
+            for t in changed:
+                for leaf in t.leaves:
+                    numbers.append(place if isinstance(leaf, str) else leaf)
+                    place += isinstance(leaf, str)
+            ends = np.cumsum([0, *(len(t.leaves) for t in changed)]).astype(np.int32)
+            kept_leaves = pa.ListArray.from_arrays(pa.array(ends), pool.take(pa.array(numbers, type=pa.int64())))
+            for t in changed:
+                t.leaves, t.stored = [None] * len(t.leaves), True
+            out = _stored(batch, keep, changed, [v + 1 for v in batch.column("version").to_pylist()], batch.column("n_tokens"), pa.array(again, type=pa.int64()))
+            at = out.schema.get_field_index("leaves")
+            yield out.set_column(at, "leaves", kept_leaves)
         counter.rest()
 
-    rows = docs.select(*keep, "text", F.col("edits").cast(EDIT).alias("edits"))
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    counted = rows.mapInArrow(run, f"{schema}, n_tokens long, edited_tokens long, reencoded long, edited_text string, leaf_chars array<long>, leaf_tokens array<long>")
-    return counted if with_trees else counted.drop("edited_text", "leaf_chars", "leaf_tokens")
+    rows = trees.select(*keep, *TREE, F.col(edits).cast(EDIT).alias("edits"))
+    some = F.coalesce(F.size("edits") > 0, F.lit(False))
+    edited = rows.where(some).mapInArrow(run, _fields(trees, list(keep), TREE, REPORT))
+    return edited.unionByName(rows.where(~some).select(*keep, *TREE, F.col("n_tokens").alias("tokens_before"), F.lit(0).cast("long").alias("reencoded")))
 
 
-NAMES = ["n_tokens", "edited_tokens", "reencoded", "edited_text", "leaf_chars", "leaf_tokens"]
+def text_of(leaves: str = "leaves"):
+    """The text of a stored tree."""
+    return F.array_join(F.col(leaves), "")
 
 
-def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """`docs` with the edits (doc_id, ordinal, at, removed, inserted) of each document as an array, in order."""
+def with_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
+    """`rows` (documents or stored trees) with the edits (doc_id, ordinal, at, removed, inserted) of each doc_id as an array, in order."""
     listed = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "at", "removed", "inserted"))).alias("_e"))
     listed = listed.select("doc_id", F.transform("_e", lambda e: F.struct(e["at"].alias("at"), e["removed"].alias("removed"), e["inserted"].alias("inserted"))).alias("edits"))
-    return docs.join(listed, "doc_id", "left")
+    return rows.join(listed, "doc_id", "left")
 
 
 def redaction_edits(text: str = "text"):
@@ -223,6 +298,19 @@ def redaction_edits(text: str = "text"):
     return F.array(mark, line)
 
 
+def review_edits(chars: str = "leaf_chars"):
+    """Two edits of any stored text, found from its code points alone: eight of its middle give way to a name, and a word is added in front."""
+    n = F.aggregate(F.col(chars), F.lit(0).cast("long"), lambda a, x: a + x)
+    name = F.struct(F.floor(n / 2).alias("at"), F.lit(8).cast("long").alias("removed"), F.lit(" [name] ").alias("inserted"))
+    word = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("removed"), F.lit("Reviewed: ").alias("inserted"))
+    return F.array(name, word)
+
+
 def op3_token_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of all documents, a first batch of edits, the trees stored, and a second batch applied to the stored ones."""
     docs = documents(spark, sf_dir)
-    return count_with_edits(docs.withColumn("edits", redaction_edits()), with_trees=False)
+    built = build_trees(docs.withColumn("edits", redaction_edits()), keep=("doc_id", "edits"))
+    first = apply_edits(built, keep=("doc_id",))
+    stored = Scratch(spark).cut(first.select("doc_id", *TREE, F.col("tokens_before").alias("built_tokens"), F.col("reencoded").alias("first_reencoded")))
+    second = apply_edits(stored.withColumn("edits", review_edits()), keep=("doc_id", "built_tokens", "first_reencoded"))
+    return second.select("doc_id", F.col("built_tokens").alias("n_tokens"), F.col("tokens_before").alias("edited_tokens"), "first_reencoded", F.col("n_tokens").alias("reviewed_tokens"), "reencoded", "version")

@@ -237,21 +237,62 @@ def counter():
 def test_tree_follows_edits(counter, text, edits):
     tree = token_trees.TokenTree.build(text, counter, leaf=4)
     for at, removed, inserted in edits:
-        new = text[:at] + inserted + text[min(len(text), at) + removed :] if at <= len(text) else text + inserted
-        text, _ = tree.edit(text, at, removed, inserted, counter)
-        assert text == new
+        text = text[:at] + inserted + text[min(len(text), at) + removed :] if at <= len(text) else text + inserted
+        tree.edit(at, removed, inserted, counter, leaf=4)
+        assert "".join(tree.leaves) == text and tree.leaf_sums()[0].tolist() == list(map(len, tree.leaves))
         assert tree.total == len(counter.encoding.encode_ordinary(text)) and tree.chars[1] == len(text)
 
 
-def test_token_counts_of_a_table(spark, counter):
-    edits = spark.createDataFrame([(3, 1, 0, 5, "hello"), (3, 2, 10, None, " x"), (103, 1, 9000, 40, ""), (101, 1, 4, 4, "new text"), (77777, 1, 0, 0, "z")], "doc_id long, ordinal long, at long, removed long, inserted string")
-    out = {r.doc_id: r for r in token_trees.count_with_edits(token_trees.with_edits(corpus(spark), edits)).collect()}
-    for doc, text in text_of(corpus(spark).collect()):
-        assert out[doc].n_tokens == len(counter.encoding.encode_ordinary(text or ""))
-        assert out[doc].edited_tokens == len(counter.encoding.encode_ordinary(out[doc].edited_text)) == sum(out[doc].leaf_tokens)
-    assert out[101].edited_text == "new text" and out[3].edited_text.startswith("hello")
-    assert out[103].reencoded < 400
-    assert token_trees.count_with_edits(empty(spark).withColumn("edits", token_trees.redaction_edits())).count() == 0
+def edited(text, edits):
+    for at, removed, inserted in edits:
+        at = min(at, len(text))
+        text = text[:at] + inserted + text[at + removed :]
+    return text
+
+
+def test_three_batches_of_edits_on_stored_trees(spark, counter):
+    rng = random.Random(6)
+    texts = {r.doc_id: r.text or "" for r in corpus(spark).where("doc_id is not null").collect()}
+    trees = token_trees.build_trees(corpus(spark).where("doc_id is not null").dropDuplicates(["doc_id"]))
+    scratch = Scratch(spark)
+    for version in range(1, 4):
+        trees = scratch.cut(trees.select("doc_id", *token_trees.TREE))
+        batch = {d: [(rng.randrange(len(t) + 40), rng.randrange(30), words(rng, rng.randrange(3))) for _ in range(rng.randrange(1, 4))] for d, t in texts.items() if d % 3 != version % 3}
+        rows = [(d, k, *e) for d, own in batch.items() for k, e in enumerate(own)]
+        edits = spark.createDataFrame(rows, "doc_id long, ordinal long, at long, removed long, inserted string")
+        before = {d: len(counter.encoding.encode_ordinary(t)) for d, t in texts.items()}
+        trees = token_trees.apply_edits(token_trees.with_edits(trees, edits))
+        texts |= {d: edited(texts[d], own) for d, own in batch.items()}
+        for r in trees.withColumn("text", token_trees.text_of()).collect():
+            assert r.text == texts[r.doc_id] and r.tokens_before == before[r.doc_id]
+            assert r.n_tokens == len(counter.encoding.encode_ordinary(r.text)) == sum(r.leaf_tokens)
+            assert (r.reencoded > 0) == (r.doc_id in batch) or not r.text
+            assert r.doc_id != 103 or r.reencoded < 0.05 * 3 * len(counter.pattern.findall(r.text))
+    assert {r.version for r in trees.collect()} <= {1, 2, 3}
+
+
+def test_reencoded_counts_all_that_is_encoded(counter):
+    asked = []
+    tree = token_trees.TokenTree.build(words(random.Random(1), 500), counter)
+    plain = counter.counts
+    counter.counts = lambda pieces: asked.append(len(pieces)) or plain(pieces)
+    try:
+        n = tree.edit(300, 5, words(random.Random(2), 6000), counter)
+        n += tree.edit(40, 0, "x", counter)
+    finally:
+        del counter.counts
+    assert n == sum(asked) and asked[1] < 200
+
+
+def test_trees_of_edge_rows(spark):
+    docs = spark.createDataFrame([(1, None), (1, ""), (2, " "), (None, "a b")], "doc_id long, text string").withColumn("leaves", F.lit("mine")).withColumn("version", F.lit("mine"))
+    trees = token_trees.build_trees(docs)
+    assert sorted((str(r.doc_id), r.n_tokens, r.version) for r in trees.collect()) == [("1", 0, 0), ("1", 0, 0), ("2", 1, 0), ("None", 2, 0)]
+    none = F.lit(None).cast(token_trees.EDIT)
+    assert {r.version for r in token_trees.apply_edits(trees.withColumn("edits", none)).collect()} == {0}
+    partly = F.array(F.struct(F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("removed"), F.lit(None).cast("string").alias("inserted")), F.lit(None).cast("struct<at:long,removed:long,inserted:string>"))
+    assert sorted(r.n_tokens for r in token_trees.apply_edits(trees.withColumn("edits", partly)).collect()) == [0, 0, 1, 2]
+    assert token_trees.apply_edits(token_trees.build_trees(docs.limit(0)).withColumn("edits", none)).count() == 0
 
 
 # 4: quality
