@@ -330,12 +330,50 @@ def test_quality_rejects_outliers_only(spark):
     assert not any(out[1000 + i] for i in range(20))
 
 
-def test_concentration_reaches_the_majority(spark):
+def plain_mcd(x, h=0.75, starts=60, seed=0):
+    """Least log determinant, mean and covariance by concentration steps from random starts, and nothing else."""
+    rng, best = np.random.default_rng(seed), None
+    size = int(np.ceil(h * len(x)))
+    for _ in range(starts):
+        inside = rng.permutation(len(x))[: x.shape[1] + 1 + rng.integers(size)]
+        for _ in range(50):
+            mean, cov = x[inside].mean(axis=0), np.cov(x[inside].T, bias=True)
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            following = np.sort(np.argsort(d)[:size])
+            if len(following) == len(inside) and (following == np.sort(inside)).all():
+                break
+            inside = following
+        logdet = np.linalg.slogdet(cov)[1]
+        if best is None or logdet < best[0]:
+            best = logdet, mean, cov
+    return best
+
+
+def test_concentration_equals_plain_estimates(spark):
     rng = np.random.default_rng(5)
-    good, bad = rng.normal(0, 1, (300, 5)), rng.normal(12, 0.3, (80, 5))
-    rows = spark.createDataFrame([("g", *map(float, x)) for x in np.vstack([good, bad])], "group string, " + ", ".join(f"{c} double" for c in quality.NAMES))
+    mixing = rng.normal(size=(5, 5)) * 2
+    clouds = {
+        "far": np.vstack([rng.normal(0, 1, (300, 5)), rng.normal(12, 0.3, (80, 5))]),
+        "correlated": np.vstack([rng.normal(0, 1, (300, 5)) @ mixing, rng.normal(0, 1, (70, 5)) * 0.7 + 9]),
+        "clean": rng.normal(0, 1, (200, 5)) * [2, 3, 4, 5, 6],
+    }
+    rows = spark.createDataFrame([(g, *map(float, v)) for g, x in clouds.items() for v in x], "group string, " + ", ".join(f"{c} double" for c in quality.NAMES))
+    found = {r.group: r for r in quality.covariance_estimates(Scratch(spark), rows, accuracy=100_000).collect()}
+    for g, x in clouds.items():
+        logdet, mean, cov = plain_mcd(x)
+        own = np.array([found[g][f"m{i}"] for i in range(5)])
+        factor = np.array([[found[g][f"l{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+        assert found[g].logdet <= logdet + 0.05
+        d = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+        ours, plain = d(own, factor @ factor.T), d(mean, cov)
+        far = lambda v: v / np.median(v) * quality.CHI2_MEDIAN > 80
+        assert (far(ours) == far(plain)).mean() > 0.99
+
+
+def test_statistics_that_do_not_vary_have_their_least_variance(spark):
+    rows = spark.createDataFrame([("g", 1.0, 2.0, float(i % 7), 0.0, 0.0) for i in range(90)], "group string, " + ", ".join(f"{c} double" for c in quality.NAMES))
     estimate = quality.covariance_estimates(Scratch(spark), rows).first()
-    assert all(abs(estimate[f"m{i}"]) < 0.4 for i in range(5))
+    assert [estimate[f"l{i}{i}"] for i in (0, 1, 3, 4)] == [quality.FEATURES[quality.NAMES[i]] for i in (0, 1, 3, 4)] and estimate.l22 > 1
 
 
 # 5: suffix dedup
