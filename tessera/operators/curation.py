@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import turn_positions
+from .ordering import cut, number_rows, turn_positions
 
 
 def stable_rank(*parts) -> Column:
@@ -137,35 +137,22 @@ def distribution_shift(before: DataFrame, after: DataFrame, fields: list[str]) -
     return both.agg(F.round(F.max(gap), 6).alias("shift_pp"))
 
 
-def deficit_schedule(groups: DataFrame, group: str, count: str) -> DataFrame:
-    """position, group, turn: at each position the unfinished group furthest behind its share, ties to the greater name.
+def smooth_order(rows: DataFrame, group: str, order: list) -> DataFrame:
+    """Rows with `position` from 0: groups spread evenly by their shares, within a group in the given order.
 
-    The state is one number a group, so the table of groups, not of rows, goes to one task.
+    Turn k of a group of n rows among N is due at (k - 1/2) N / n; rows stand in the order of
+    what is due, on a tie by the group's name. A loop that always takes the group furthest behind
+    its share gives each group the same number of rows and nearly the same places, but may swap
+    neighbours; this order needs sorts alone. Null groups come first on ties; the order must
+    tell the rows of a group apart.
     """
-    import pandas as pd
-
-    def run(batches):
-        table = pd.concat(list(batches), ignore_index=True)
-        counts = dict(zip(table[group], table[count], strict=True))
-        total, used = sum(counts.values()), dict.fromkeys(counts, 0)
-        out = []
-        for p in range(int(total)):
-            pick = max((g for g in counts if used[g] < counts[g]), key=lambda g: ((p + 1) * counts[g] / total - used[g], g))
-            used[pick] += 1
-            out.append((p, pick, used[pick]))
-            if len(out) == 10_000:
-                yield pd.DataFrame(out, columns=["position", group, "turn"])
-                out = []
-        yield pd.DataFrame(out, columns=["position", group, "turn"])
-
-    return groups.select(group, count).coalesce(1).mapInPandas(run, f"position long, `{group}` string, turn long")
-
-
-def smooth_order(rows: DataFrame, group: str, order: list) -> DataFrame:
-    """Rows with `position`: groups spread evenly by the deficit schedule, within a group in the given order."""
-    counts = rows.groupBy(F.col(group).cast("string").alias(group)).agg(F.count("*").alias("_count"))
-    turn = F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long")
-    return rows.withColumn("turn", turn).join(deficit_schedule(counts, group, "_count"), [group, "turn"]).drop("turn")
+    name = F.col(group).cast("string")
+    numbered = number_rows(rows.withColumn("_group", name), [F.col("_group").asc_nulls_first(), *order], "_place")
+    groups = numbered.groupBy("_group").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    groups = groups.select(F.col("_group").alias("_of"), "_n", "_first")
+    turned = numbered.join(groups, F.col("_group").eqNullSafe(F.col("_of"))).withColumn("_due", (2 * (F.col("_place") - F.col("_first")) + 1) / F.col("_n"))
+    placed = number_rows(turned, ["_due", F.col("_group").asc_nulls_first()], "_position")
+    return placed.withColumn("position", F.col("_position") - 1).drop("_group", "_of", "_place", "_n", "_first", "_due", "_position")
 
 
 def greedy_match(edges: DataFrame, *, most_rounds: int = 1000) -> DataFrame:
@@ -176,18 +163,18 @@ def greedy_match(edges: DataFrame, *, most_rounds: int = 1000) -> DataFrame:
     removal holds on to the earliest that has asked. Every round is joins and aggregates.
     """
     want = F.struct("cost", "tie", "removal")
+    edges = cut(edges)
     refused: DataFrame | None = None
     for _ in range(most_rounds):
         open_edges = edges if refused is None else edges.join(refused, ["addition", "removal"], "left_anti")
         asked = open_edges.groupBy("addition").agg(F.min(want).alias("w"), F.min("turn").alias("turn"))
         asked = asked.select("addition", "turn", "w.removal", "w.cost")
         held = asked.groupBy("removal").agg(F.min(F.struct("turn", "addition")).alias("h")).select("removal", F.col("h.addition").alias("holder"))
-        both = asked.join(held, "removal").cache()
+        both = cut(asked.join(held, "removal"))
         losers = both.where("addition != holder").select("addition", "removal")
         if losers.isEmpty():
             return both.select("addition", "removal", "cost")
-        refused = losers if refused is None else refused.unionByName(losers)
-        refused = refused.checkpoint() if refused.sparkSession.sparkContext.getCheckpointDir() else refused
+        refused = losers if refused is None else cut(refused.unionByName(losers))
     raise RuntimeError("matching did not settle")
 
 

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """`df`, written to the checkpoint folder; one in the warehouse is named where the cluster names none."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/tessera-checkpoints")
+    return df.checkpoint()
+
+
 def number_rows(rows: DataFrame, order: list, out: str = "place") -> DataFrame:
     """`out`: 1 for the first row of the order, and so on.
 
     Rows go to ranges of the order, each range counts its own, and the counts before it (one
-    row a range) are added. Ranges are held, so that both passes see the same ones. The order
+    row a range) are added. Ranges are written, so that both passes see the same ones. The order
     must tell all rows apart for the result to be one.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    ranged = ranged.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else ranged.persist()
+    ranged = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -22,6 +29,22 @@ def number_rows(rows: DataFrame, order: list, out: str = "place") -> DataFrame:
     return ranged.withColumn(out, rank).join(offsets, "_range").withColumn(out, F.col(out) + F.col("_before")).drop("_range", "_before")
 
 
+def rank_within(rows: DataFrame, keys: list[str], hashed: Column, ties: list, out: str, bits: int = 12) -> DataFrame:
+    """`out`: place of a row among those of its keys in the order of a 64-bit hash, then `ties`, from 1.
+
+    A key's rows are spread over 2**bits buckets of the hash; buckets before a row's own are counted.
+    """
+    marked = rows.withColumn("_h", hashed).withColumn("_b", F.shiftright("_h", 64 - bits))
+    counts = marked.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = counts.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.col("_b").alias("_bucket"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = marked.withColumn(out, F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_h", *ties)))
+    same = F.col("_b") == F.col("_bucket")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_{i}"))
+    return ranked.join(earlier, same).withColumn(out, F.col(out) + F.col("_before")).drop("_h", "_b", "_bucket", "_before", *[f"_{i}" for i in range(len(keys))])
+
+
 def turn_positions(rows: DataFrame, turn: str, order: list, out: str = "position", width: int = 4096) -> DataFrame:
     """`out`: place in the order by (turn, order), from 1, for turns numbered from 1.
 

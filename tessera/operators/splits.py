@@ -1,130 +1,173 @@
-"""Group splits without leaks. Targets and group counts are a few numbers and are worked out on the driver."""
+"""Splits of groups of rows, so that no group is parted and every leaf comes near its share of each split.
+
+Groups with the same leaves are alike, so what has to be chosen is how many of each kind go to a
+split: a table of kinds, whose size depends on the leaves and not on the rows. It is solved by
+exact apportionment and by exchanges that lessen the squared error; the groups themselves are
+then dealt by their rank within their kind, in joins.
+"""
 
 from __future__ import annotations
 
-import math
-import random
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .ordering import rank_within
 
 SHARES = (0.6, 0.2, 0.2)
+SPLITS = ("main", "eval", "test")
+
+
+def apportion(total: int, weights: Sequence[float], caps: Sequence[int] | None = None) -> list[int]:
+    """`total` units by weight, none above its cap, at least squared distance from the exact shares; ties to the first."""
+    whole = sum(weights)
+    exact = [total * w / whole if whole else total / len(weights) for w in weights]
+    caps = [total] * len(exact) if caps is None else list(caps)
+    out = [min(int(e + 1e-9), c) for e, c in zip(exact, caps, strict=True)]
+    for _ in range(total - sum(out)):
+        room = [k for k, (n, c) in enumerate(zip(out, caps, strict=True)) if n < c]
+        if not room:
+            raise ValueError("the caps hold less than the total")
+        out[min(room, key=lambda k: (round(out[k] - exact[k], 9), k))] += 1
+    return out
+
 
+def _corner(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Some table with the given sums, filled from its first corner."""
+    edges = np.unique(np.concatenate([[0], np.cumsum(rows), np.cumsum(columns)]))
+    out = np.zeros((len(rows), len(columns)), dtype=np.int64)
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        out[np.searchsorted(np.cumsum(rows), low, side="right"), np.searchsorted(np.cumsum(columns), low, side="right")] += high - low
+    return out
 
-def leaf_targets(leaf_totals: dict[str, int], main_total: int, eval_total: int, spread: int = 3, test_slack: int = 4) -> dict[str, tuple[int, int, int]]:
-    """(main, eval, test) of every leaf with the given sums, at least squared distance from the shares.
 
-    For each leaf the counts near its shares are listed; a table over (main, eval) sums keeps the
-    cheapest way to each, replaced only by a strictly cheaper one.
+def _near_shares(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """A table with the given sums, within a few units of proportional."""
+    whole = rows[:, None] * (columns[None, :] / max(1, columns.sum()))
+    out = np.floor(whole + 1e-9).astype(np.int64)
+    return out + _corner(rows - out.sum(axis=1), columns - out.sum(axis=0))
+
+
+def leaf_targets(leaf_totals: dict[str, int], main_total: int, eval_total: int) -> dict[str, tuple[int, int, int]]:
+    """(main, eval, test) of every leaf with the given sums, at the least squared distance from SHARES.
+
+    Moving a row of a leaf from one split to another has a price; as long as a round of moves over
+    two or three splits, which leaves all sums as they are, has a negative price, it is made. With
+    convex prices no such round is left only at the optimum.
     """
-    best: dict[tuple[int, int], tuple[float, list]] = {(0, 0): (0.0, [])}
-    for leaf, total in sorted(leaf_totals.items()):
-        main, evaluation, test = (total * s for s in SHARES)
-        options = []
-        for m in range(max(0, math.floor(main) - spread), min(total, math.ceil(main) + spread) + 1):
-            for e in range(max(0, math.floor(evaluation) - spread), min(total - m, math.ceil(evaluation) + spread) + 1):
-                t = total - m - e
-                if abs(t - test) <= test_slack:
-                    options.append(((m - main) ** 2 + (e - evaluation) ** 2 + (t - test) ** 2, (m, e, t)))
-        following: dict[tuple[int, int], tuple[float, list]] = {}
-        for (a, b), (cost, chosen) in best.items():
-            for more, counts in sorted(options):
-                key = (a + counts[0], b + counts[1])
-                if key[0] <= main_total and key[1] <= eval_total and (key not in following or cost + more < following[key][0]):
-                    following[key] = (cost + more, [*chosen, (leaf, counts)])
-        best = following
-    if (main_total, eval_total) not in best:
+    names = sorted(leaf_totals)
+    totals = np.array([leaf_totals[n] for n in names], dtype=np.int64)
+    columns = np.array([main_total, eval_total, totals.sum() - main_total - eval_total])
+    if (columns < 0).any():
         raise ValueError("no leaf counts meet the totals")
-    return dict(best[main_total, eval_total][1])
+    ideal = totals[:, None] * np.array(SHARES)
+    table = _near_shares(totals, columns)
+    rounds = [(0, 1), (0, 2), (1, 2), (0, 1, 2), (0, 2, 1)]
+    while True:
+        over = table - ideal
+
+        def move(a: int, b: int, over=over) -> tuple[float, int]:
+            prices = np.where(table[:, a] > 0, 2 * (over[:, b] - over[:, a]) + 2, np.inf)
+            return float(prices.min()), int(prices.argmin())
+
+        moves = [[(a, b, *move(a, b)) for a, b in zip(r, r[1:] + r[:1], strict=True)] for r in rounds]
+        best = min(moves, key=lambda m: sum(x[2] for x in m))
+        if sum(x[2] for x in best) >= -1e-9:
+            return {n: tuple(map(int, row)) for n, row in zip(names, table, strict=True)}
+        for a, b, _, leaf in best:
+            table[leaf, a] -= 1
+            table[leaf, b] += 1
 
 
 def group_quotas(singles: int, doubles: int, rows: tuple[int, int, int]) -> tuple[tuple[int, int], ...]:
-    """(singles, doubles) of each split that give its rows, nearest to proportional counts of groups."""
+    """(groups of one row, groups of two) of each split that give its rows, nearest to proportional counts of groups.
+
+    A split with r rows and d doubles has r - d groups, so being near in groups is being near in doubles.
+    """
     if sum(rows) != singles + 2 * doubles:
         raise ValueError("rows do not add up")
-    total, best = singles + doubles, None
-    for a in range(min(singles, rows[0]) + 1):
-        if (rows[0] - a) % 2:
-            continue
-        for b in range(min(singles - a, rows[1]) + 1):
-            c = singles - a - b
-            if (rows[1] - b) % 2 or c > rows[2] or (rows[2] - c) % 2:
-                continue
-            split = tuple((s, (r - s) // 2) for s, r in zip((a, b, c), rows, strict=True))
-            error = sum((s + d - total * r / sum(rows)) ** 2 for (s, d), r in zip(split, rows, strict=True))
-            rank = (error, tuple(s for s, _ in split), tuple(d for _, d in split))
-            if best is None or rank < best[0]:
-                best = rank, split
-    if best is None:
-        raise ValueError("no split meets the rows")
-    return best[1]
-
-
-def anneal_split(groups: list[tuple[str, int, dict[str, int]]], quotas: tuple[tuple[int, int], ...], targets: dict[str, tuple[int, int, int]], *, seed: int, restarts: int = 2, steps: int = 4000) -> dict[str, int]:
-    """Split of each group (id, size 1 or 2, counts by leaf) that comes nearest to the targets, by seeded swaps of equal sizes."""
-    names = sorted(targets)
-    vectors = {g: [leaf_counts.get(n, 0) for n in names] for g, _, leaf_counts in groups}
-    if any(size not in (1, 2) for _, size, _ in groups):
-        raise ValueError("groups have one or two rows")
-    best: tuple[float, dict[str, int]] | None = None
-    for restart in range(restarts):
-        rng = random.Random(seed + restart)
-        held: list[dict[int, list[str]]] = [{1: [], 2: []} for _ in quotas]
-        for size in (1, 2):
-            ids = sorted(g for g, s, _ in groups if s == size)
-            rng.shuffle(ids)
-            at = 0
-            for k, quota in enumerate(quotas):
-                held[k][size] = ids[at : at + quota[size - 1]]
-                at += quota[size - 1]
-        sums = [[sum(vectors[g][i] for size in (1, 2) for g in held[k][size]) for i in range(len(names))] for k in range(len(quotas))]
-        gap = lambda k, i: (sums[k][i] - targets[names[i]][k]) ** 2
-        score = sum(gap(k, i) for k in range(len(quotas)) for i in range(len(names)))
-        for step in range(steps):
-            if score == 0:
-                break
-            size = 1 if rng.random() < 0.25 else 2
-            a, b = rng.sample(range(len(quotas)), 2)
-            if not held[a][size] or not held[b][size]:
-                continue
-            i, j = rng.randrange(len(held[a][size])), rng.randrange(len(held[b][size]))
-            x, y = vectors[held[a][size][i]], vectors[held[b][size][j]]
-            before = sum(gap(k, n) for k in (a, b) for n in range(len(names)))
-            for n in range(len(names)):
-                sums[a][n] += y[n] - x[n]
-                sums[b][n] += x[n] - y[n]
-            delta = sum(gap(k, n) for k in (a, b) for n in range(len(names))) - before
-            heat = max(0.08, 8 * (1 - step / steps) ** 2)
-            if delta <= 0 or rng.random() < math.exp(-delta / heat):
-                held[a][size][i], held[b][size][j] = held[b][size][j], held[a][size][i]
-                score += delta
-            else:
-                for n in range(len(names)):
-                    sums[a][n] -= y[n] - x[n]
-                    sums[b][n] -= x[n] - y[n]
-        if best is None or score < best[0]:
-            best = score, {g: k for k in range(len(quotas)) for size in (1, 2) for g in held[k][size]}
-    return best[1]
-
-
-def split_groups(groups: DataFrame, *, task: str, group: str, seed: int = 37062026) -> DataFrame:
-    """task, group, split (main, eval, test) for groups of rows (`leaves`: the leaf of each row, one or two).
-
-    A task's groups are annealed together, as swaps change one shared score; tasks run apart.
+    try:
+        pairs = apportion(doubles, rows, [r // 2 for r in rows])
+    except ValueError as error:
+        raise ValueError("no split meets the rows") from error
+    return tuple((r - 2 * d, d) for r, d in zip(rows, pairs, strict=True))
+
+
+def size_quotas(sizes: dict[int, int], shares: Sequence[float] = SHARES) -> dict[int, list[int]]:
+    """Groups of each size by split: larger sizes by share, smaller ones make up for the rows that they left uneven."""
+    goal = apportion(sum(n * k for n, k in sizes.items()), shares)
+    left, out = list(goal), {}
+    for size in sorted(sizes, reverse=True):
+        out[size] = apportion(sizes[size], [max(0, x) for x in left] if size == min(sizes) else shares)
+        left = [x - size * n for x, n in zip(left, out[size], strict=True)]
+    return out
+
+
+def kind_counts(kinds: dict[tuple[str, ...], int]) -> dict[tuple[str, ...], list[int]]:
+    """For each kind of group (its sorted leaves, and how many there are) how many go to each split.
+
+    Sizes keep their quotas. From near-proportional counts the best exchange of two kinds of one
+    size between two splits is made until none lessens the squared distance from the leaves' targets.
+    """
+    names = sorted(kinds)
+    leaves = sorted({leaf for k in names for leaf in k})
+    sizes: dict[int, int] = {}
+    for k in names:
+        sizes[len(k)] = sizes.get(len(k), 0) + kinds[k]
+    quotas = size_quotas(sizes)
+    vectors = np.array([[k.count(leaf) for leaf in leaves] for k in names], dtype=np.int64)
+    held = np.zeros((len(names), len(SPLITS)), dtype=np.int64)
+    members = {size: np.array([i for i, k in enumerate(names) if len(k) == size]) for size in sizes}
+    for size, own in members.items():
+        held[own] = _near_shares(np.array([kinds[names[i]] for i in own]), np.array(quotas[size]))
+    rows = (held * np.array([len(k) for k in names])[:, None]).sum(axis=0)
+    totals = {leaf: int(sum(kinds[k] * k.count(leaf) for k in names)) for leaf in leaves}
+    wanted = leaf_targets(totals, int(rows[0]), int(rows[1]))
+    target = np.array([wanted[leaf] for leaf in leaves]).T
+    while True:
+        gap = held.T @ vectors - target
+        best = (0, None)
+        for own in members.values():
+            change = vectors[own][None, :, :] - vectors[own][:, None, :]  # of the first split, if kind p leaves it for q
+            square = (change**2).sum(axis=2)
+            for a in range(len(SPLITS)):
+                for b in range(len(SPLITS)):
+                    if a != b:
+                        price = np.where((held[own, a] > 0)[:, None] & (held[own, b] > 0)[None, :], 2 * (change @ (gap[a] - gap[b])) + 2 * square, 0)
+                        p, q = np.unravel_index(price.argmin(), price.shape)
+                        if price[p, q] < best[0]:
+                            best = (price[p, q], (own[p], own[q], a, b))
+        if best[1] is None:
+            return {k: held[i].tolist() for i, k in enumerate(names)}
+        p, q, a, b = best[1]
+        held[p, a] -= 1
+        held[p, b] += 1
+        held[q, b] -= 1
+        held[q, a] += 1
+
+
+def split_groups(groups: DataFrame, *, task: str, group: str, seed: int = 37062026, most_kinds: int = 100_000) -> DataFrame:
+    """task, group, split (main, eval, test) for groups of rows (`leaves`: the leaf of each row, any number of them).
+
+    Each task is split on its own. Kinds of groups are counted first; more than `most_kinds` of a
+    run are refused, as their table is worked out on the driver. Within a kind groups go by a
+    seeded hash. Groups without rows take part as a kind of their own; null leaves are left out.
     """
-    import pandas as pd
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [(g, len(x), {leaf: list(x).count(leaf) for leaf in x}) for g, x in zip(frame[group].astype(str), frame["leaves"], strict=True)]
-        totals: dict[str, int] = {}
-        for _, _, counts in rows:
-            for leaf, n in counts.items():
-                totals[leaf] = totals.get(leaf, 0) + n
-        n = sum(totals.values())
-        main, evaluation = round(n * SHARES[0]), round(n * SHARES[1])
-        targets = leaf_targets(totals, main, evaluation)
-        quotas = group_quotas(sum(s == 1 for _, s, _ in rows), sum(s == 2 for _, s, _ in rows), (main, evaluation, n - main - evaluation))
-        chosen = anneal_split(rows, quotas, targets, seed=seed)
-        names = ("main", "eval", "test")
-        return pd.DataFrame({task: [key[0]] * len(rows), group: [g for g, _, _ in rows], "split": [names[chosen[g]] for g, _, _ in rows]})
-
-    return groups.groupBy(task).applyInPandas(run, f"`{task}` string, `{group}` string, split string")
+    spark = groups.sparkSession
+    kind = F.sort_array(F.filter(F.col("leaves"), lambda x: x.isNotNull()))
+    rows = groups.select(F.col(task).alias("_task"), F.col(group).alias("_group"), F.coalesce(kind, F.array().cast("array<string>")).alias("_kind"))
+    counted = rows.groupBy("_task", "_kind").count().limit(most_kinds + 1).collect()
+    if len(counted) > most_kinds:
+        raise ValueError(f"more than {most_kinds} kinds of groups")
+    tasks: dict = {}
+    for r in counted:
+        tasks.setdefault(r["_task"], {})[tuple(r["_kind"])] = r["count"]
+    ends = [(t, list(k), held[0], held[0] + held[1]) for t, kinds in tasks.items() for k, held in kind_counts(kinds).items()]
+    limits = spark.createDataFrame(ends, f"_task {rows.schema['_task'].dataType.simpleString()}, _kind array<string>, _main long, _eval long")
+    ranked = rank_within(rows, ["_task", "_kind"], F.xxhash64(F.lit(seed), "_group"), ["_group"], "_rank")
+    same = ranked["_task"].eqNullSafe(limits["_task"]) & (ranked["_kind"] == limits["_kind"])
+    dealt = ranked.join(F.broadcast(limits), same)
+    split = F.when(F.col("_rank") <= F.col("_main"), SPLITS[0]).when(F.col("_rank") <= F.col("_eval"), SPLITS[1]).otherwise(SPLITS[2])
+    return dealt.select(ranked["_task"].alias(task), F.col("_group").alias(group), split.alias("split"))

@@ -159,9 +159,10 @@ def j4(spark, sf):
     return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), "toxic")
 
 
-@query("j5_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("j5_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def j5(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.expr("c_custkey = o_custkey"), "left_anti").select("c_custkey")
+    urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    return table(spark, sf, "customer").join(urgent, F.expr("c_custkey = o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("j6_semi_join", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
@@ -182,18 +183,23 @@ def j7(spark, sf):
 
 @query(
     "j12_greedy_matching",
-    """WITH RECURSIVE s AS (SELECT c_nationkey AS k, c_custkey AS addition, row_number() OVER (ORDER BY c_custkey) AS turn, c_acctbal FROM customer WHERE c_custkey <= 60),
-            e AS (SELECT addition, turn, s_suppkey AS removal, round(abs(c_acctbal - s_acctbal), 2) AS cost FROM s JOIN supplier ON s_nationkey % 5 = k % 5),
-            m AS (SELECT 0 AS turn, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS addition, CAST(NULL AS BIGINT) AS removal, CAST(NULL AS DOUBLE) AS cost
-                  UNION ALL SELECT m.turn + 1, CASE WHEN b.removal IS NULL THEN m.used ELSE list_append(m.used, b.removal) END, b.addition, b.removal, b.cost
-                  FROM m LEFT JOIN LATERAL (SELECT addition, removal, cost FROM e WHERE e.turn = m.turn + 1 AND NOT list_contains(m.used, e.removal) ORDER BY cost, removal LIMIT 1) b ON true WHERE m.turn < (SELECT max(turn) FROM s))
-       SELECT addition, removal, cost FROM m WHERE addition IS NOT NULL""",
+    """WITH RECURSIVE n AS (SELECT row_number() OVER (ORDER BY c_custkey) AS turn, c_custkey AS addition, c_nationkey AS k, floor(c_acctbal / 2500) AS b, c_acctbal AS x FROM customer),
+            e AS MATERIALIZED (SELECT addition, turn, s_suppkey AS removal, round(abs(x - s_acctbal), 2) AS cost FROM n JOIN supplier ON s_nationkey = k AND floor(s_acctbal / 2500) = b),
+            l AS MATERIALIZED (SELECT turn, addition, list({'cost': cost, 'removal': removal} ORDER BY cost, removal) AS wanted FROM e GROUP BY ALL),
+            t AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY turn) AS i FROM l),
+            m AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS addition, CAST(NULL AS STRUCT(cost DOUBLE, removal BIGINT)) AS got
+                  UNION ALL
+                  SELECT i, CASE WHEN got IS NULL THEN used ELSE list_append(used, got.removal) END, addition, got
+                  FROM (SELECT t.i, m.used, t.addition, list_filter(t.wanted, lambda w: NOT list_contains(m.used, w.removal))[1] AS got FROM m JOIN t ON t.i = m.i + 1))
+       SELECT addition, got.removal AS removal, got.cost AS cost FROM m WHERE got IS NOT NULL""",
 )
 def j12(spark, sf):
-    additions = table(spark, sf, "customer").where("c_custkey <= 60").withColumn("turn", F.row_number().over(Window.orderBy("c_custkey")))
-    edges = additions.join(table(spark, sf, "supplier"), F.expr("s_nationkey % 5 = c_nationkey % 5"))
-    edges = edges.select(F.col("c_custkey").alias("addition"), "turn", F.col("s_suppkey").alias("removal"), F.round(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), 2).alias("cost"), F.lit(0).alias("tie"))
-    return curation.greedy_match(edges)
+    # Pairs meet in cells of nation and balance; a customer has its turn by key.
+    cell = lambda nation, balance: [F.col(nation).alias("nation"), F.floor(F.col(balance) / 2500).alias("balance")]
+    additions = table(spark, sf, "customer").select(F.col("c_custkey").alias("addition"), F.col("c_custkey").alias("turn"), "c_acctbal", *cell("c_nationkey", "c_acctbal"))
+    removals = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("removal"), "s_acctbal", *cell("s_nationkey", "s_acctbal"))
+    edges = additions.join(removals, ["nation", "balance"])
+    return curation.greedy_match(edges.select("addition", "turn", "removal", F.round(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), 2).alias("cost"), F.lit(0).alias("tie")))
 
 
 @query(
@@ -331,7 +337,11 @@ def o10(spark, sf):
     return curation.faithful_relative(docs, counts, video="video", fact="doc_id", leaf="source", seed="7", cap=2, target=60)
 
 
-@query("o11_smooth_deficit_order")
+@query(
+    "o11_smooth_deficit_order",
+    """WITH t AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(concat_ws('|', '42', CAST(doc_id AS VARCHAR))), doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents)
+       SELECT doc_id, lang, row_number() OVER (ORDER BY CAST(2 * k - 1 AS DOUBLE) / n, lang NULLS FIRST) - 1 AS position FROM t""",
+)
 def o11(spark, sf):
     return curation.smooth_order(table(spark, sf, "documents").select("doc_id", "lang"), "lang", [curation.stable_rank(F.lit("42"), F.col("doc_id").cast("string")), "doc_id"])
 
@@ -375,7 +385,7 @@ def o19(spark, sf):
 
     parent = F.concat_ws("-", "l_suppkey", F.floor(F.col("l_orderkey") / 8).cast("string"))
     lines = table(spark, sf, "lineitem").withColumn("parent", parent).withColumn("task", F.pmod(F.col("l_suppkey"), F.lit(4)).cast("string"))
-    groups = lines.groupBy("task", "parent").agg(F.sort_array(F.collect_list("l_returnflag")).alias("leaves")).where("size(leaves) <= 2")
+    groups = lines.groupBy("task", "parent").agg(F.sort_array(F.collect_list("l_returnflag")).alias("leaves"))
     return split_groups(groups, task="task", group="parent")
 
 
@@ -390,9 +400,9 @@ def u2(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_custkey").alias("k")).intersect(table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k")))
 
 
-@query("u3_remainder", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 30")
+@query("u3_remainder", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48")
 def u3(spark, sf):
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("k")).join(table(spark, sf, "lineitem").where("l_quantity > 30"), F.expr("k = l_partkey"), "left_anti")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("k")).join(table(spark, sf, "lineitem").where("l_quantity > 48"), F.expr("k = l_partkey"), "left_anti")
 
 
 @query(

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,12 +52,15 @@ def test_greedy_match_equals_loop(spark, seed):
     assert {r.addition: r.removal for r in got.collect()} == greedy_loop(edges)
 
 
-def test_deficit_schedule_keeps_shares(spark):
-    counts = spark.createDataFrame([("a", 6), ("b", 3), ("c", 1)], "g string, n long")
-    got = [r.g for r in curation.deficit_schedule(counts, "g", "n").orderBy("position").collect()]
-    assert [got.count(x) for x in "abc"] == [6, 3, 1]
-    for p in range(1, 11):
-        assert abs(got[:p].count("a") - 0.6 * p) <= 1
+def test_smooth_order_keeps_shares(spark):
+    rows = spark.createDataFrame([(i, g) for i, g in enumerate("aaaaaabbbc" + "d" * 20)] + [(40, None)], "i long, g string").repartition(3)
+    got = curation.smooth_order(rows, "g", ["i"]).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(31))
+    names = [r.g for r in got]
+    for g, n in (("a", 6), ("b", 3), ("c", 1), ("d", 20), (None, 1)):
+        assert [r.i for r in got if r.g == g] == sorted(r.i for r in got if r.g == g)
+        assert all(abs(names[:p].count(g) - n * p / 31) <= 1.5 for p in range(32))
+    assert curation.smooth_order(rows.limit(0), "g", ["i"]).count() == 0
 
 
 def test_faithful_relative_caps(spark):
@@ -75,29 +79,83 @@ def test_window_submission(spark, current, flying, want):
     assert tuple(spark.range(1).select(a, b).first()) == want
 
 
-def test_split_parts():
-    targets = splits.leaf_targets({"a": 50, "b": 31}, 48, 17)
-    assert sum(t[0] for t in targets.values()) == 48 and sum(t[1] for t in targets.values()) == 17
-    assert all(sum(t) == n for t, n in zip(targets.values(), (50, 31), strict=True))
-    quotas = splits.group_quotas(4, 3, (6, 2, 2))
-    assert [s + 2 * d for s, d in quotas] == [6, 2, 2] and sum(s for s, _ in quotas) == 4
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcd"), st.integers(0, 6), min_size=1), st.data())
+def test_leaf_targets_are_the_nearest(totals, data):
+    n = sum(totals.values())
+    main = data.draw(st.integers(0, n))
+    evaluation = data.draw(st.integers(0, n - main))
+    got = splits.leaf_targets(totals, main, evaluation)
+    error = lambda counts: sum((x - totals[leaf] * s) ** 2 for leaf, row in counts.items() for x, s in zip(row, splits.SHARES, strict=True))
+    best = {(0, 0): 0.0}
+    for total in totals.values():
+        following = {}
+        for (m, e), cost in best.items():
+            for a in range(total + 1):
+                for b in range(total - a + 1):
+                    more = sum((x - total * s) ** 2 for x, s in zip((a, b, total - a - b), splits.SHARES, strict=True))
+                    key = (m + a, e + b)
+                    following[key] = min(following.get(key, np.inf), cost + more)
+        best = following
+    assert all(sum(row) == totals[leaf] and min(row) >= 0 for leaf, row in got.items())
+    assert sum(r[0] for r in got.values()) == main and sum(r[1] for r in got.values()) == evaluation
+    assert error(got) == pytest.approx(best[main, evaluation])
+    with pytest.raises(ValueError):
+        splits.leaf_targets(totals, n + 1, 0)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 9), st.integers(0, 7), st.data())
+def test_group_quotas_are_the_nearest(singles, doubles, data):
+    n = singles + 2 * doubles
+    a = data.draw(st.integers(0, n))
+    rows = (a, b := data.draw(st.integers(0, n - a)), n - a - b)
+    ways = [(x, y, doubles - x - y) for x in range(doubles + 1) for y in range(doubles - x + 1)]
+    ways = [w for w in ways if all(0 <= 2 * d <= r for d, r in zip(w, rows, strict=True))]
+    if not ways:
+        with pytest.raises(ValueError):
+            splits.group_quotas(singles, doubles, rows)
+        return
+    got = splits.group_quotas(singles, doubles, rows)
+    assert tuple(s + 2 * d for s, d in got) == rows and sum(d for _, d in got) == doubles
+    error = lambda w: sum((r - d - (singles + doubles) * r / n) ** 2 for r, d in zip(rows, w, strict=True)) if n else 0
+    assert error([d for _, d in got]) == pytest.approx(min(map(error, ways)))
     with pytest.raises(ValueError):
-        splits.group_quotas(1, 1, (9, 0, 0))
+        splits.group_quotas(singles, doubles, (n + 1, 0, 0))
 
 
-def test_annealed_split_is_seeded_and_whole():
+def test_kinds_come_near_their_targets():
     rng = random.Random(2)
-    groups = [(f"g{i}", 1 + i % 2, {}) for i in range(30)]
-    groups = [(g, s, {leaf: 1 for leaf in rng.sample("abc", s)}) for g, s, _ in groups]
-    totals = {leaf: sum(c.get(leaf, 0) for _, _, c in groups) for leaf in "abc"}
-    n = sum(totals.values())
-    targets = splits.leaf_targets(totals, round(n * 0.6), round(n * 0.2))
-    quotas = splits.group_quotas(15, 15, (round(n * 0.6), round(n * 0.2), n - round(n * 0.6) - round(n * 0.2)))
-    one, two = (splits.anneal_split(groups, quotas, targets, seed=3) for _ in range(2))
-    assert one == two and set(one) == {g for g, _, _ in groups}
-    for k, (s, d) in enumerate(quotas):
-        assert sum(one[g] == k and size == 1 for g, size, _ in groups) == s
-        assert sum(one[g] == k and size == 2 for g, size, _ in groups) == d
+    kinds = {}
+    for _ in range(400):
+        kind = tuple(sorted(rng.choice("aaab" "ccde") for _ in range(rng.choice([1, 1, 2, 2, 3]))))
+        kinds[kind] = kinds.get(kind, 0) + 1
+    held = splits.kind_counts(kinds)
+    assert {k: sum(v) for k, v in held.items()} == kinds
+    sizes = {}
+    for k, n in kinds.items():
+        sizes[len(k)] = sizes.get(len(k), 0) + n
+    for size, quota in splits.size_quotas(sizes).items():
+        assert [sum(v[j] for k, v in held.items() if len(k) == size) for j in range(3)] == quota
+    for leaf in "abcde":
+        counts = [sum(v[j] * k.count(leaf) for k, v in held.items()) for j in range(3)]
+        assert all(abs(c - s * sum(counts)) <= 2 for c, s in zip(counts, splits.SHARES, strict=True))
+
+
+def test_groups_are_split_whole_and_by_seed(spark):
+    rng = random.Random(4)
+    rows = [(t, f"{t}-{i}", [rng.choice("abc") for _ in range(rng.randrange(0, 5))]) for t in ("x", "y", None) for i in range(200)] + [("x", "none", None), ("x", "part", ["a", None])]
+    groups = spark.createDataFrame(rows, "task string, g string, leaves array<string>").withColumn("_rank", F.lit("mine"))
+    one, two, other = (sorted(map(str, splits.split_groups(groups.repartition(n), task="task", group="g", seed=s).collect())) for n, s in ((3, 1), (7, 1), (3, 2)))
+    assert one == two != other and len(one) == len(rows)
+    split = {r.g: r.split for r in splits.split_groups(groups, task="task", group="g").collect()}
+    assert set(split) == {g for _, g, _ in rows}
+    for t in ("x", "y"):
+        counts = [sum(len(own or ()) for task, g, own in rows if task == t and split[g] == name) for name in splits.SPLITS]
+        assert all(abs(c - s * sum(counts)) <= 4 for c, s in zip(counts, splits.SHARES, strict=True))
+    with pytest.raises(ValueError):
+        splits.split_groups(groups, task="task", group="g", most_kinds=2)
+    assert splits.split_groups(groups.limit(0), task="task", group="g").count() == 0
 
 
 def test_orders_over_ranges_and_turns(spark):
