@@ -20,20 +20,35 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models, learned from the labelled part of `docs`, do not predict as toxic."""
+    """Documents that the toxicity models, learned from the labelled part of `docs`, do not predict as toxic.
+
+    Every row is judged by its own text; null and empty texts have one score, which rests on the
+    labels. Rows without a doc_id teach nothing.
+    """
     scored = score_toxicity(spark, docs, documents(spark, sf_dir, "labels"), keep=tuple(COLUMNS))
     return scored.where("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document of least doc_id; rows without a doc_id stay."""
-    first = jaccard_join(spark, docs).where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """Of each class of near-duplicates one row: that of least doc_id (null last), and of several the first as read.
+
+    Rows are numbered, so each is judged by its own text, whether or not its doc_id is null or
+    repeats. Rows without words are in no class and stay.
+    """
+    scratch = Scratch(spark)
+    rows = scratch.cut(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+    joined = scratch.cut(jaccard_join(spark, rows.select(F.col("_row").alias("doc_id"), "text")))
+    named = joined.select(F.col("doc_id").alias("_row"), F.col("class_id").alias("_class")).join(rows.select("_row", "doc_id"), "_row")
+    first = named.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
+    return rows.join(first.select("first._row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that start earlier; documents of which nothing is left go."""
+    """Texts without the passages that start earlier; documents of which nothing is left go.
+
+    Null and empty texts stay, as do rows without a doc_id, which are not compared. Rows that
+    repeat a doc_id are documents of their own.
+    """
     cut = remove_repeats(spark, docs, keep=("doc_id", "lang", "source", "n_chars"))
     left = cut.where("n_removed = 0 or n_removed < n_bytes")
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
@@ -43,6 +58,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it; one that it takes in part gives a row of its first words.
 
+    Texts without words have nothing to take and go; a null source is a source of its own.
     Rows without a doc_id, or with one that repeats, each have a place of their own in the mix.
     Those that agree in doc_id, source and size are matched with their places one to one, in the
     order of their other columns; other rows need their doc_id alone.
@@ -68,7 +84,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of up to 4096 tokens, neighbours along the curve together."""
+    """Pieces of sequences of up to 4096 tokens, neighbours along the curve together.
+
+    Null and empty texts are one end token each; rows that repeat are packed each.
+    """
     return pack_documents(spark, docs)
 
 
