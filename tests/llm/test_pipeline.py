@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -29,7 +30,8 @@ def test_stages_hand_on_documents(stages):
 
 def test_stage_effects(stages):
     (raw, clean), (_, single), (_, cut), (_, mixed), (_, pieces) = stages
-    assert 0 < clean.count() <= raw.count()
+    scored = {r.doc_id: r.predicted for r in registry.QUERIES["op2_toxicity"](raw.sparkSession, SF).collect()}
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(d for d, bad in scored.items() if not bad)
     assert single.select("text").distinct().count() == single.count()
     texts = {r.doc_id: r.text for r in single.collect()}
     assert all(len(r.text) <= len(texts[r.doc_id]) for r in cut.collect())
@@ -56,6 +58,44 @@ def test_mix_keeps_rows_without_or_with_repeated_ids(spark):
     assert got == {k: n for k, n in want.items() if n}
 
 
+def odd_documents(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, repeated ids with other texts, clashing columns."""
+    long = " ".join(f"word{i}" for i in range(4000))
+    passage = "this passage stands in several documents and is well over one hundred bytes long so that it has to go from all but one "
+    rows = [
+        (None, "a row without an id", "en", "x", 19), (None, "a row without an id", "en", "x", 19), (1, "one two three four five six", None, None, None), (1, "seven eight nine ten eleven", "en", "x", 27), (1, "seven eight nine ten eleven", "en", "x", 27),
+        (2, None, "en", "x", None), (3, "", "en", "x", 0), (4, " \n ", "en", None, 3), (5, long, "en", "y", len(long)), (6, long + " more", "en", "y", len(long) + 5), (7, passage + "first end", "en", "y", 1), (8, "other start " + passage, "de", "y", 1), (9, "one two three four five six", "en", "z", 27),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.withColumn("_row", F.lit("mine")).withColumn("size", F.lit("mine")).withColumn("id", F.lit("mine"))
+
+
+def texts(df):
+    return sorted((str(r.doc_id), r.text or "") for r in df.collect())
+
+
+def test_stages_on_odd_rows(spark):
+    docs = odd_documents(spark)
+    stage = dict(corpus_pipeline.STAGES)
+    assert texts(stage["toxicity"](spark, docs, SF)) == texts(docs) or stage["toxicity"](spark, docs, SF).count() < docs.count()
+    single = stage["ngram_jaccard"](spark, docs, SF)
+    assert single.columns == corpus_pipeline.COLUMNS
+    got = [(d, t.split()[:3]) for d, t in texts(single)]
+    assert sorted(d for d, _ in got) == ["1", "1", "2", "3", "4", "5", "7", "None"]  # 8 shares 19 of 23 shingles with 7
+    cut = stage["suffix_dedup"](spark, docs, SF)
+    assert sum(t.count("several documents") for _, t in texts(cut)) == 1 and [d for d, _ in texts(cut) if d in "234"] == ["2", "3", "4"]
+    assert sorted(d for d, _ in texts(cut)).count("None") == 2
+    pieces = stage["pack_hilbert"](spark, docs, SF).collect()
+    assert sum(r.doc_tokens for r in pieces if r.start == 0) == sum(r.length for r in pieces)
+    assert sum(r.start == 0 for r in pieces) == docs.count()
+
+
+def test_stages_on_empty_tables(spark):
+    none = odd_documents(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
+
+
 def test_run_gives_the_last_stage(spark, stages):
     key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32, r.sequence_id, r.offset)
     assert sorted(map(key, corpus_pipeline.run(spark, SF).collect())) == sorted(map(key, stages[-1][1].collect()))
