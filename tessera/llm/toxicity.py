@@ -135,7 +135,7 @@ def fit_models(scratch: Scratch, labelled: DataFrame, strengths: tuple[float, ..
     """
     names = [f"w{k}" for k in range(SINGLE, LAST + 1)]
     hashed = hashed_words(labelled, ["toxic"])
-    chains = scratch.cut(hashed.select(F.explode(F.array_distinct(F.arrays_zip(*names))).alias("w")).select("w.*").distinct())
+    chains = scratch.cut(hashed.select(F.explode(F.arrays_zip(*names)).alias("w")).select("w.*").distinct())
     pairs = scratch.cut(count_pairs(hashed.select("toxic", "w1")))
 
     # Words, and up their beginnings: counts, and what both classes share, with one more below each for words never seen.
