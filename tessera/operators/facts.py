@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ordering import cut
+
 # The eight leaves, their kinds of fact, slots, parents and operators.
 LEAVES = [
     ("Entity", "EntityExistence", "entity_existence", "existence", "toggle_entity_existence"),
@@ -173,57 +174,97 @@ def first_fact_per_leaf(facts: DataFrame, opportunities: DataFrame, video: str,
     return met.withColumn("_k", rank).where("_k = 1").drop("_k")
 
 
-def flat_paths(text: str | None) -> dict[str, str] | None:
-    """JSON flattened to `a.b[0]` paths and canonical values; empty containers have no path."""
-    if text is None:
-        return None
-    out: dict[str, str] = {}
-    stack = [("", json.loads(text))]
-    while stack:
-        path, value = stack.pop()
-        if isinstance(value, dict):
-            stack += [(f"{path}.{k}" if path else k, v) for k, v in value.items()]
-        elif isinstance(value, list):
-            stack += [(f"{path}[{i}]", v) for i, v in enumerate(value)]
-        else:
-            out[path] = json.dumps(value)
-    return out
+def json_nodes(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """`key`, path (`a.b[0]`, empty for the whole), name (null in arrays), value: every node of each JSON text.
+
+    The values are variants, so the walk stays in the JVM; each level of nesting is one round.
+    Null and malformed texts have no nodes. `key` tells the rows apart.
+    """
+    below = """
+        SELECT n.id, CASE WHEN e.key IS NULL THEN concat(n.path, '[', e.pos, ']') WHEN n.path = '' THEN e.key ELSE concat(n.path, '.', e.key) END AS path, e.key AS name, e.value
+        FROM {inner} n, LATERAL variant_explode(n.value) e"""
+    nothing = F.lit(None).cast("string")
+    level = rows.select(F.col(key).alias("id"), F.lit("").alias("path"), nothing.alias("name"), F.try_parse_json(text).alias("value")).where("value is not null")
+    nodes: DataFrame | None = None
+    while True:
+        level = cut(level)
+        nodes = level if nodes is None else nodes.unionByName(level)
+        inner = level.where(_holds_others())
+        if inner.isEmpty():
+            return nodes.withColumnRenamed("id", key)
+        level = rows.sparkSession.sql(below, inner=inner)
 
 
-def flatten_json(column: Column) -> Column:
-    """Map of path to canonical value. Free JSON has no schema, so this is a function over Arrow batches."""
-    from pyspark.sql.types import MapType, StringType
+def _holds_others(value: str = "value") -> Column:
+    kind = F.schema_of_variant(value)
+    return kind.startswith("OBJECT<") | kind.startswith("ARRAY<")
 
-    return F.udf(flat_paths, MapType(StringType(), StringType()), useArrow=True)(column)
+
+def flatten_json(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """`key`, path, value: the values of each JSON text that hold no others, as JSON; empty containers have no row."""
+    return json_nodes(rows, key, text).where(~_holds_others()).select(key, "path", F.to_json("value").alias("value"))
 
 
 def canonical_json(column: Column) -> Column:
-    """JSON with sorted keys and no spaces, so that equal values have equal text and digest."""
+    """JSON with sorted keys and no spaces, so that equal values have equal text and digest; null for null or malformed text.
+
+    Objects of a variant are kept in the order of their keys.
+    """
+    return F.to_json(F.try_parse_json(column))
+
+
+def hidden_keys(rows: DataFrame, key: str, text: str, names: list[str]) -> DataFrame:
+    """`key`, found: which of `names` occur as keys anywhere in each JSON text, sorted; empty where none does or the text is no JSON."""
+    found = json_nodes(rows, key, text).where(F.col("name").isin(names)).groupBy(key).agg(F.sort_array(F.collect_set("name")).alias("found"))
+    return rows.select(key).join(found, key, "left").select(key, F.coalesce("found", F.array().cast("array<string>")).alias("found"))
+
+
+# Where categories stand, and the containers that are searched for them.
+CATEGORY_KEYS = ["leaf_label", "planned_leaf_label"]
+CATEGORY_CONTAINERS = ["leaf_checks", "constructible_opportunities", "opportunities", "facts", "source_fact", "planned_leaf_rule"]
+
+
+def memory_categories(rows: DataFrame, key: str, text: str, names: list[str] = CATEGORY_KEYS, containers: list[str] = CATEGORY_CONTAINERS) -> DataFrame:
+    """`key`, categories: the distinct values of the category keys of each JSON text, at the top or in nested containers, by path; `global` where there is none."""
+    nodes = json_nodes(rows, key, text)
+    inside = F.forall(F.filter(F.split(F.regexp_replace("path", r"\[\d+\]", ""), r"\."), lambda x: x != ""), lambda x: x.isin(containers + names))
+    value = F.coalesce(F.try_variant_get("value", "$", "string"), F.lit(""))
+    found = nodes.where(F.col("name").isin(names) & inside).withColumn("category", value).where("category <> ''")
+    first = found.groupBy(key, "category").agg(F.min("path").alias("path"))
+    listed = first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("path", "category"))).alias("c")).select(key, F.col("c.category").alias("categories"))
+    return rows.select(key).join(listed, key, "left").select(key, F.coalesce("categories", F.array(F.lit("global"))).alias("categories"))
+
+
+def monitor_gate(reports: Column, accepted: Column, scope: Column, role: str) -> Column:
+    """Why a candidate does not pass its monitor, or null: without reports it must be accepted already, else it has exactly one, which passes all checks."""
+    # The messages.
+    broken = monitor_rejection(F.get(reports, 0), scope, role)
+    return (
+        F.when(reports.isNull() & F.coalesce(accepted, F.lit(False)), F.lit(None))
+        .when(reports.isNull(), "Comprehensive reliability validation is missing")
+        .when(F.size(reports) != 1, "Exactly one monitor report is required")
+        .when(broken == "agent role", "Monitor agent role is invalid")
+        .when(broken.isNotNull(), F.concat(F.lit("Comprehensive reliability validation rejected: "), broken))
+    )
 
-    def run(text: str | None) -> str | None:
-        return None if text is None else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
-    return F.udf(run, "string", useArrow=True)(column)
+def backparse_mismatches(parsed: Column, authoritative: Column) -> Column:
+    """Sorted keys on which what was read back differs from what holds, those that only one side has among them."""
+    keys = F.array_distinct(F.concat(F.map_keys(parsed), F.map_keys(authoritative)))
+    return F.array_sort(F.filter(keys, lambda k: ~F.try_element_at(parsed, k).eqNullSafe(F.try_element_at(authoritative, k))))
 
 
-def hidden_keys(column: Column, names: list[str]) -> Column:
-    """Which of `names` occur as keys anywhere in a JSON text, sorted."""
-    wanted = frozenset(names)
+def single_slot_problem(changed_facts: Column, paths: Column, slot: Column) -> Column:
+    """Why a change is not one of exactly one slot, or null."""
+    return first_reason(("one fact changes", changed_facts == 1), ("one slot changes", F.size(paths) == 1), ("the slot is the planned one", F.substring_index(F.get(paths, 0), ".", -1) == slot))
 
-    def run(text: str | None) -> list[str] | None:
-        if text is None:
-            return None
-        found, stack = set(), [json.loads(text)]
-        while stack:
-            value = stack.pop()
-            if isinstance(value, dict):
-                found |= wanted & value.keys()
-                stack += value.values()
-            elif isinstance(value, list):
-                stack += value
-        return sorted(found)
 
-    return F.udf(run, "array<string>", useArrow=True)(column)
+def mutation_problems(mutations: DataFrame) -> DataFrame:
+    """`mutations` (leaf, operator_id, slot and more) with problem: the first way in which a mutation is not its leaf's, or null."""
+    known = leaves(mutations.sparkSession).select("leaf", F.col("operator_id").alias("_o"), F.col("slot").alias("_s"))
+    out = mutations.join(F.broadcast(known), "leaf", "left")  # eight rows
+    problem = first_reason(("leaf is unknown", F.col("_o").isNotNull()), ("operator is not the leaf's", F.col("operator_id") == F.col("_o")), ("slot is not the leaf's", F.col("slot") == F.col("_s")))
+    return out.withColumn("problem", problem).drop("_o", "_s")
 
 
 PUBLIC_FIELDS = ["schema_version", "pair_id", "media", "task_type", "question", "answer", "counterfactual_answer", "leaf_label", "conflict_slot"]

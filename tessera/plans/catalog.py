@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-from . import curation_queries, fact_queries, more_queries, telemetry_queries  # noqa: E402, F401  they register themselves
+from . import curation_queries, fact_queries, gate_queries, more_queries, telemetry_queries  # noqa: E402, F401  they register themselves

@@ -249,10 +249,9 @@ def w13(spark, sf):
     return facts.first_fact_per_leaf(rows, opportunities, "video", "event_id").select("video", "leaf", "event_id")
 
 
-@query("n1_flatten_json")
+@query("n1_flatten_json", """WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS path FROM events) SELECT event_id, path, CAST(json_extract(props, '$."' || path || '"') AS VARCHAR) AS value FROM k""")
 def n1(spark, sf):
-    flat = facts.flatten_json(F.col("props"))
-    return table(spark, sf, "events").select("event_id", F.explode(flat).alias("path", "value"))
+    return facts.flatten_json(table(spark, sf, "events"), "event_id", "props")
 
 
 @query(
@@ -295,7 +294,11 @@ def n7(spark, sf):
     return listed.select("l_orderkey", F.array_join(F.col("x.l_returnflag"), "").alias("flags"))
 
 
-@query("n9_canonical_digest")
+@query(
+    "n9_canonical_digest",
+    """WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events), p AS (SELECT event_id, '"' || k || '":' || CAST(json_extract(props, '$."' || k || '"') AS VARCHAR) AS p, k FROM k)
+       SELECT event_id, sha256('{' || string_agg(p, ',' ORDER BY k) || '}') AS digest FROM p GROUP BY event_id""",
+)
 def n9(spark, sf):
     return table(spark, sf, "events").select("event_id", F.sha2(facts.canonical_json(F.col("props")), 256).alias("digest"))
 
@@ -306,6 +309,6 @@ def n11(spark, sf):
     return maps.select("o_custkey", F.explode("m").alias("key", "value"))
 
 
-@query("p23_hidden_keys")
+@query("p23_hidden_keys", "SELECT event_id, list_filter(['device', 'k'], lambda x: list_contains(json_keys(props), x)) AS found FROM events")
 def p23(spark, sf):
-    return table(spark, sf, "events").select("event_id", facts.hidden_keys(F.col("props"), ["device", "k"]).alias("found"))
+    return facts.hidden_keys(table(spark, sf, "events"), "event_id", "props", ["device", "k"])

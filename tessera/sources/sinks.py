@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .locks import exclusive
+
 
 class AppendRejected(ValueError):
     """A batch that an append does not take; nothing of it is written."""
@@ -24,7 +26,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def replace_folder(spark: SparkSession, staged: str, final: str) -> None:
-    """Put a staged folder in the place of another, which it replaces only once it is complete."""
+    """Put a staged folder in the place of another, which it replaces only once it is complete.
+
+    Between two renames the place is empty for a moment; a reader that finds nothing there has to
+    look again. If the second fails, the old folder comes back.
+    """
     fs, source = _fs(spark, staged)
     _, target = _fs(spark, final)
     _, old = _fs(spark, f"{final}.old-{uuid.uuid4().hex}")
@@ -59,8 +65,14 @@ def write_document(df: DataFrame, path: str, *, most_rows: int = 10_000) -> None
 def unique_append(new: DataFrame, path: str, key: str, *, problem=None, most_rows: int | None = None) -> int:
     """Append rows whose key is neither null, repeated nor there; a broken rule rejects the whole batch.
 
-    `problem` is a column with a reason or null. One writer at a time: readers see whole files only.
+    `problem` is a column with a reason or null. Writers take turns by a lock beside the path;
+    one that finds it held gets `Locked`. Readers see whole files only.
     """
+    with exclusive(new.sparkSession, f"{path.rstrip('/')}.lock"):
+        return _append(new, path, key, problem, most_rows)
+
+
+def _append(new: DataFrame, path: str, key: str, problem, most_rows: int | None) -> int:
     spark = new.sparkSession
     rows = new.withColumn("_problem", problem if problem is not None else F.lit(None).cast("string")).cache()
     try:

@@ -36,10 +36,19 @@ def test_opportunities_and_first_facts(spark):
 
 
 def test_json_functions(spark):
-    df = spark.createDataFrame([('{"b": [1, {"c": null}], "a": {}}',), (None,), ('[{"k": {"z": 1}}]',)], "j string")
-    got = df.select(facts.flatten_json(F.col("j")), facts.canonical_json(F.col("j")), facts.hidden_keys(F.col("j"), ["z", "c"])).collect()
-    assert got[0][0] == {"b[0]": "1", "b[1].c": "null"} and got[0][1] == '{"a":{},"b":[1,{"c":null}]}' and got[0][2] == ["c"]
-    assert tuple(got[1]) == (None, None, None) and got[2][2] == ["z"]
+    rows = [(1, '{"b": [1, {"c": null}], "a": {}}'), (2, None), (3, '[{"k": {"z": 1}}]'), (4, "{broken"), (5, "7"), (6, "{}")]
+    df = spark.createDataFrame(rows, "i long, j string")
+    flat = sorted(map(tuple, facts.flatten_json(df, "i", "j").collect()))
+    assert flat == [(1, "b[0]", "1"), (1, "b[1].c", "null"), (3, "[0].k.z", "1"), (5, "", "7")]
+    assert [r[0] for r in df.orderBy("i").select(facts.canonical_json(F.col("j"))).collect()] == ['{"a":{},"b":[1,{"c":null}]}', None, '[{"k":{"z":1}}]', None, "7", "{}"]
+    assert {r.i: r.found for r in facts.hidden_keys(df, "i", "j", ["z", "c", "q"]).collect()} == {1: ["c"], 2: [], 3: ["z"], 4: [], 5: [], 6: []}
+    assert facts.flatten_json(df.limit(0), "i", "j").count() == 0
+
+
+def test_memory_categories_search_named_containers(spark):
+    rows = [(1, '{"leaf_label": "A", "facts": [{"planned_leaf_label": "B", "note": {"leaf_label": "no"}}, {"leaf_label": "A"}]}'), (2, '{"note": {"leaf_label": "no"}}'), (3, '[{"opportunities": [[{"leaf_label": "C"}]]}]'), (4, None), (5, '{"leaf_label": null}')]
+    got = facts.memory_categories(spark.createDataFrame(rows, "i long, j string"), "i", "j")
+    assert {r.i: sorted(r.categories) for r in got.collect()} == {1: ["A", "B"], 2: ["global"], 3: ["C"], 4: ["global"], 5: ["global"]}
 
 
 def test_text_functions(spark):

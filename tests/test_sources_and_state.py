@@ -109,3 +109,42 @@ def test_upsert_keeps_last(spark):
     new = spark.createDataFrame([(2, "c", 1), (2, "d", 2), (3, "e", 1)], "k long, v string, at long")
     got = state.upsert(old, new, ["k"], [F.desc("at")])
     assert sorted((r.k, r.v) for r in got.collect()) == [(1, "a"), (2, "d"), (3, "e")]
+
+
+def test_a_lock_is_held_by_one_writer(spark, tmp_path):
+    import os
+
+    from tessera.sources import locks
+
+    path = f"file://{tmp_path}/t/.lock"
+    with locks.exclusive(spark, path):
+        with pytest.raises(locks.Locked):
+            with locks.exclusive(spark, path):
+                pass
+    with locks.exclusive(spark, path):
+        pass
+    assert not os.path.exists(f"{tmp_path}/t/.lock")
+
+
+def test_a_stale_lock_is_taken_over_and_not_given_up_by_its_old_writer(spark, tmp_path):
+    import os
+
+    from tessera.sources import locks
+
+    path = f"file://{tmp_path}/t/.lock"
+    with locks.exclusive(spark, path):
+        os.utime(f"{tmp_path}/t/.lock", (1, 1))
+        with locks.exclusive(spark, path, stale_seconds=60):
+            pass
+    with locks.exclusive(spark, path) as owner:
+        assert owner
+
+
+def test_an_append_under_another_writer_is_refused(spark, tmp_path):
+    from tessera.sources import locks, sinks
+
+    path = f"file://{tmp_path}/ledger"
+    with locks.exclusive(spark, f"{path}.lock"):
+        with pytest.raises(locks.Locked):
+            sinks.unique_append(spark.range(3), path, "id")
+    assert sinks.unique_append(spark.range(3), path, "id") == 3
