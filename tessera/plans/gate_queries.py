@@ -86,7 +86,7 @@ def n3(spark, sf):
 
 @query(
     "f14_memory_categories",
-    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN ['global'] WHEN o_orderstatus = 'O' THEN list_distinct([o_orderstatus, o_orderpriority]) ELSE [o_orderpriority] END AS categories FROM orders""",
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN ['global'] WHEN o_orderstatus = 'O' THEN [o_orderstatus, o_orderpriority] ELSE [o_orderpriority] END AS categories FROM orders""",
 )
 def f14_nested(spark, sf):
     text = F.expr("""CASE o_orderstatus WHEN 'F' THEN to_json(named_struct('other', named_struct('leaf_label', 'hidden'), 'leaf_label', ''))
