@@ -275,6 +275,11 @@ def public_projection(pairs: DataFrame) -> DataFrame:
     return pairs.select(*PUBLIC_FIELDS)
 
 
+def public_input(rows: DataFrame) -> DataFrame:
+    """What a run's workers may see of a selected row."""
+    return rows.select("video_id", "source_path", "task_type", "sequence")
+
+
 def visible_columns(df: DataFrame) -> DataFrame:
     """Without the columns whose names begin with `_`."""
     return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("_")])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import facts
 from ..sources import readers, sinks
+from ..streaming import state
 from .catalog import query, table
 from .more_queries import scratch
 
@@ -162,3 +163,47 @@ def k8(spark, sf):
     sinks.write_staged(regions, path, "parquet")
     sinks.write_staged(regions.where("r_regionkey > 1"), path, "parquet")
     return spark.read.parquet(path)
+
+
+@query(
+    "t2_snapshot_history",
+    "SELECT CAST(4 AS BIGINT) AS batches, (SELECT count(*) FROM events) AS done, (SELECT sum(user_id) FROM events)::DOUBLE AS spent, CAST(NULL AS VARCHAR) AS reason",
+)
+def t2_history(spark, sf):
+    root = scratch(spark)
+    table(spark, sf, "events").select("event_type", F.col("user_id").alias("users")).repartition(4).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema("event_type string, users long").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    guard = {"spent": F.sum("users"), "done": F.sum("n"), "stop_at": float("inf"), "target": 10**15}
+    state.guarded_snapshot(stream, state.count_fold(["event_type"], ["users"]), f"{root}/run", f"{root}/checkpoint", "event_type string, n long, users long", **guard).awaitTermination()
+    history = spark.read.schema("batch long, spent double, done long, reason string").json(f"{root}/run/history")
+    return history.agg(F.count("*").alias("batches"), F.max("done").alias("done"), F.max("spent").alias("spent"), F.max("reason").alias("reason"))
+
+
+@query(
+    "t13_resume_migration",
+    """SELECT o_orderkey AS video_id, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 0 THEN 'completed' ELSE 'pending' END AS state, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1 AND l_quantity > 40) AS n_outputs
+       FROM orders WHERE o_orderkey % 2 = 0""",
+)
+def t13(spark, sf):
+    orders = table(spark, sf, "orders")
+    selection = orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("video_id"))
+    results = orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("video_id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("state"), F.lit("h1").alias("selection_hash"))
+    lines = table(spark, sf, "lineitem").where("l_linenumber = 1 AND l_quantity > 40")
+    outputs = lines.select(F.col("l_orderkey").alias("video_id"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice").alias("output_id"))
+    return state.migrate_resume(selection, results, outputs, "video_id", "h1").select("video_id", "state", "n_outputs")
+
+
+@query("s13_lookup_in_order", "SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'")
+def s13(spark, sf):
+    from ..operators.ordering import number_rows
+
+    held = state.lookup(table(spark, sf, "orders"), o_orderstatus="P", o_orderpriority="1-URGENT").select("o_orderkey", "o_orderdate")
+    return number_rows(held, ["o_orderdate", "o_orderkey"])
+
+
+@query("p4_public_input", "SELECT doc_id AS video_id, source AS source_path, lang AS task_type, row_number() OVER (ORDER BY doc_id) AS sequence FROM documents")
+def p4(spark, sf):
+    from ..operators.ordering import number_rows
+
+    rows = number_rows(table(spark, sf, "documents"), ["doc_id"], "sequence")
+    return facts.public_input(rows.withColumnsRenamed({"doc_id": "video_id", "source": "source_path", "lang": "task_type"}))

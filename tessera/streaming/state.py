@@ -88,6 +88,62 @@ def budget_stop(spent: float, done: int, *, stop_at: float, target: int) -> str
     return "budget" if spent >= stop_at else "target" if done >= target else None
 
 
+def guarded_snapshot(events: DataFrame, fold, path: str, checkpoint: str, schema: str, *, spent: Column, done: Column, stop_at: float, target: int) -> StreamingQuery:
+    """A snapshot with its history, which takes in no batch once the snapshot has reached the budget or the target.
+
+    `spent` and `done` are aggregates over the snapshot. `path`/latest has the snapshot,
+    `path`/history one row a batch taken (batch, spent, done, reason): what held after it. A batch
+    that is run again after a failure is in the history already and changes nothing.
+    """
+    latest, history, log = f"{path}/latest", f"{path}/history", "batch long, spent double, done long, reason string"
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark: SparkSession = batch.sparkSession
+        seen = spark.read.schema(log).json(history) if _exists(spark, history) else spark.createDataFrame([], log)
+        last, stopped = seen.agg(F.max("batch"), F.count("reason")).first()
+        if stopped or (last is not None and last >= number):
+            return
+        full = f"{schema}, _batch long"
+        state = spark.read.schema(full).parquet(latest) if _exists(spark, latest) else spark.createDataFrame([], full)
+        if (state.agg(F.max("_batch")).first()[0] or -1) < number:
+            write_staged(fold(state.drop("_batch"), batch).withColumn("_batch", F.lit(number).cast("long")), latest, "parquet")
+            state = spark.read.schema(full).parquet(latest)
+        used, have = state.agg(spent.cast("double"), done.cast("long")).first()
+        row = (number, used or 0.0, have or 0, budget_stop(used or 0.0, have or 0, stop_at=stop_at, target=target))
+        spark.createDataFrame([row], log).coalesce(1).write.mode("append").json(history)
+
+    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def migrate_resume(selection: DataFrame, results: DataFrame, outputs: DataFrame, key: str, selection_hash: str) -> DataFrame:
+    """The selection with state (completed or pending) and n_outputs carried over from an earlier run, which is only read.
+
+    Refused if the earlier run's results are of another selection, if one that is complete is not
+    in this selection, or if its outputs repeat an output_id; `results`: key, state,
+    selection_hash; `outputs`: key, output_id.
+    """
+    checks = (
+        ("results of another selection", results.where(~F.col("selection_hash").eqNullSafe(F.lit(selection_hash)))),
+        ("completed rows outside the selection", results.where("state = 'completed'").join(selection, key, "left_anti")),
+        ("repeated outputs", outputs.groupBy("output_id").count().where("count > 1")),
+    )
+    for problem, rows in checks:
+        if not rows.isEmpty():
+            raise ValueError(problem)
+    done = results.where("state = 'completed'").select(key).distinct().withColumn("_done", F.lit(True))
+    counted = outputs.groupBy(key).agg(F.count("*").alias("_n"))
+    out = selection.join(done, key, "left").join(counted, key, "left")
+    state = F.when(F.col("_done"), "completed").otherwise("pending")
+    return out.withColumn("state", state).withColumn("n_outputs", F.coalesce("_n", F.lit(0))).drop("_done", "_n")
+
+
+def lookup(state: DataFrame, **key: object) -> DataFrame:
+    """The rows of a state table with a key; its filters reach the scan. A null finds null."""
+    for name, value in key.items():
+        state = state.where(F.col(name).eqNullSafe(F.lit(value)))
+    return state
+
+
 def windowed_counts(events: DataFrame, at: str, keys: list[str], *, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts by event time window with a watermark; an addition for streams whose rows come late."""
     marked = events.withWatermark(at, late) if events.isStreaming else events

@@ -148,3 +148,30 @@ def test_an_append_under_another_writer_is_refused(spark, tmp_path):
         with pytest.raises(locks.Locked):
             sinks.unique_append(spark.range(3), path, "id")
     assert sinks.unique_append(spark.range(3), path, "id") == 3
+
+
+def test_a_guarded_stream_stops_at_its_budget(spark, tmp_path):
+    source, path = f"{tmp_path}/in", f"{tmp_path}/run"
+    spark.range(40).select(F.col("id").alias("users"), F.lit("x").alias("k")).repartition(4).write.parquet(source)
+    stream = lambda: spark.readStream.schema("users long, k string").option("maxFilesPerTrigger", 1).parquet(source)
+
+    def run(checkpoint):
+        fold = state.count_fold(["k"], ["users"])
+        state.guarded_snapshot(stream(), fold, path, f"{tmp_path}/{checkpoint}", "k string, n long, users long", spent=F.sum("users"), done=F.sum("n"), stop_at=1e9, target=15).awaitTermination()
+        return sorted(map(tuple, spark.read.schema("batch long, done long, reason string").json(f"{path}/history").collect()))
+
+    once = run("a")
+    assert [r[0] for r in once] == list(range(len(once))) and once[-1][2] == "target" and once[-1][1] >= 15 and all(r[2] is None for r in once[:-1])
+    assert run("b") == once and spark.read.parquet(f"{path}/latest").first()["n"] == once[-1][1]
+    assert state.budget_stop(5, 0, stop_at=5, target=9) == "budget"
+
+
+def test_resume_migration_refuses_other_runs(spark):
+    selection = spark.createDataFrame([(1,), (2,)], "v long")
+    results = lambda *rows: spark.createDataFrame(rows, "v long, state string, selection_hash string")
+    outputs = lambda *rows: spark.createDataFrame(rows, "v long, output_id string")
+    got = state.migrate_resume(selection, results((1, "completed", "h"), (2, "running", "h")), outputs((1, "a"), (1, "b")), "v", "h")
+    assert sorted(map(tuple, got.collect())) == [(1, "completed", 2), (2, "pending", 0)]
+    for r, o in ((results((1, "completed", "g")), outputs()), (results((3, "completed", "h")), outputs()), (results(), outputs((1, "a"), (2, "a")))):
+        with pytest.raises(ValueError):
+            state.migrate_resume(selection, r, o, "v", "h")
