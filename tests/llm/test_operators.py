@@ -216,6 +216,15 @@ def test_toxicity_counts_all_but_the_rows_that_calibrate(spark, monkeypatch):
     assert training - 60 <= counted[0] < training
 
 
+def test_toxicity_of_repeated_rows_labels_and_very_long_texts(spark):
+    rows = [(i, f"plain words here {'vile rotten' if i % 2 else 'kind'} {i}", "en", "a", 1) for i in range(300)]
+    rows += [(5, "plain words here kind", "en", "a", 1), (5, "plain words here kind", "en", "a", 1), (900, "plain " * 200_000 + "vile rotten", "en", "a", 1), (None, "vile rotten", "en", "a", 1)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(4, 1), (4, None)], "doc_id long, toxic int")
+    out = toxicity.score_toxicity(spark, spark.createDataFrame(rows, DOCS), labels, keep=("doc_id", "text")).collect()
+    assert len(out) == len(rows) and len({r.score for r in out if r.text == "plain words here kind"}) == 1
+    assert all(0 <= r.score <= 1 for r in out) and next(r for r in out if r.doc_id is None).held_out
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score_toxicity(spark, corpus(spark), none).collect()} == {0.5}
@@ -496,6 +505,17 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(spark, empty(spark)).count() == 0
 
 
+def test_packing_of_repeated_ids_and_long_texts(spark):
+    rows = [(1, "a b c"), (1, "d e"), (1, "a b c"), (2, "word " * 9000), (None, "f")]
+    pieces = packing.pack_documents(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    want = sorted((str(d), len(tokenizer.encode(t, add_special_tokens=False).ids) + 1) for d, t in rows)
+    assert sorted((str(r.doc_id), r.doc_tokens) for r in pieces if r.start == 0) == want
+    assert sum(r.length for r in pieces) == sum(n for _, n in want) and max(r.offset + r.length for r in pieces) <= 4096
+
+
 def test_hilbert_key_walks_to_neighbours():
     side = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
     order = np.argsort(packing.hilbert_key(side, 3))
@@ -728,6 +748,17 @@ def test_chat_snapshots(spark):
     assert chat.render_chats(chat.collapse_snapshots(spark, turns.limit(0))).count() == 0
 
 
+def test_a_repeated_turn_is_a_turn_of_its_own(spark):
+    rows = [(1, 1, "user", "a"), (1, 1, "user", "a"), (2, 1, "user", "a"), (3, 5, "user", "a"), (3, 7, "user", "a")]
+    out = chat.render_chats(chat.collapse_snapshots(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert [(r.conv_id, r.n_turns) for r in out] == [(1, 2)]
+
+
+def test_chat_plan_has_few_exchanges(spark):
+    df = chat.op9_chat_snapshots(spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") < 20
+
+
 # 10: n-gram Jaccard join
 
 
