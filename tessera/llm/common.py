@@ -125,3 +125,14 @@ def number_rows(scratch: Scratch, df: DataFrame, order: list, out: str = "row_in
     offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return ranged.withColumn(out, rank.cast("long") - 1).join(offsets, "_range").withColumn(out, F.col(out) + F.col("_before")).drop("_range", "_before")
+
+
+#: In DuckDB's SQL: the table of CRC-32, as a list `t`, to be named among the CTEs.
+CRC_TABLE_SQL = """crc_table AS (SELECT list(v ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"""
+
+
+def crc_sql(value: str) -> str:
+    """In DuckDB's SQL the CRC-32 of an ASCII string, where `crc_table` is among the tables."""
+    codes = f"list_transform(range(1, length({value}) + 1), lambda k: ord(({value})[k]))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, t[1 + xor(c & 255, b)])), 4294967295)"

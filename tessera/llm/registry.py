@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP9_SQL, op9_chat_snapshots
 from .embeddings import OP7_SQL, op7_embedding_dedup
 from .jaccard import OP10_SQL, op10_ngram_jaccard
+from .merkle import OP12_SQL, op12_merkle_manifest
 from .mixing import op1_mix_sources
 from .packing import op6_pack_hilbert
 from .quality import op4_quality_rules
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_tiered_shards": op8_tiered_shards,
     "op9_chat_snapshots": op9_chat_snapshots,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op7_embedding_dedup": OP7_SQL,
     "op9_chat_snapshots": OP9_SQL,
     "op10_ngram_jaccard": OP10_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }

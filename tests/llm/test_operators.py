@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, embeddings, jaccard, links, mixing, packing, quality, sharding, suffix_dedup, token_trees, toxicity
+from tessera.llm import chat, embeddings, jaccard, links, merkle, mixing, packing, quality, sharding, suffix_dedup, token_trees, toxicity
 from tessera.llm.common import Scratch
 from tessera.llm.links import connected_components
 
@@ -818,3 +818,63 @@ def test_jaccard_edges(spark):
     assert same[3].class_id == same[104].class_id == 3 and same[100].n_links == 0 and same[101].n_links == 0
     assert [r.class_id for r in out if r.doc_id is None] == [None]
     assert jaccard.jaccard_join(spark, empty(spark)).count() == 0
+
+
+# 12: Merkle manifest
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def plain_manifest(rows):
+    """The contract, told plainly: lists of digests, runs of three, proofs and folds by hand."""
+    show = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    hashed = lambda r, text: sha("".join(map(show, (r.doc_id, r.source, r.lang, r.n_chars, text))))
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([sha("".join(out[-1][i : i + 3])) for i in range(0, len(out[-1]), 3)])
+        return out
+
+    def path(tree, at):
+        for level in tree[:-1]:
+            start = at - at % 3
+            yield "".join(level[start:at]), "".join(level[at + 1 : start + 3])
+            at //= 3
+
+    by_source = {}
+    for r in rows:
+        cut = r.text is not None and r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 2 == 0
+        leaf = hashed(r, r.text)
+        by_source.setdefault(r.source, []).append((r.doc_id is not None, r.doc_id or 0, leaf, hashed(r, r.text.replace("\n", "")) if cut else leaf))
+    names = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: levels([row[2] for row in sorted(by_source[s])]) for s in names}
+    top = levels([trees[s][-1][0] for s in names])
+    for i, s in enumerate(names):
+        for at, (known, doc_id, leaf, folded) in enumerate(sorted(by_source[s])):
+            proof = ""
+            for a, b in [*path(trees[s], at), *path(top, i)]:
+                proof, folded = proof + a + b, sha(a + folded + b)
+            yield doc_id if known else None, leaf, trees[s][-1][0], top[-1][0], sha(proof), folded, folded == top[-1][0]
+
+
+@pytest.mark.parametrize("levels", [1, 2, 7])
+def test_manifest_equals_plain_lists(spark, monkeypatch, levels):
+    """Buckets of 3, 9 and 2187 leaves, so that trees of several levels of buckets occur; odd rows and clashing columns."""
+    monkeypatch.setattr(merkle, "LEVELS", levels)
+    monkeypatch.setattr(merkle, "BUCKET", merkle.RUN**levels)
+    docs = corpus(spark, extra=[(i, f"line {i}\nnext {i}\n", "en", "hot", i) for i in range(200, 290)] + [(7, "x\n", "en", "", 1), (8, "x\ny", "en", f"{'s' * 9}", 1)])
+    for name in ("pos", "bucket", "digest", "leaf", "place", "depth", "tampered", "row_index"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    got = [tuple(r) for r in merkle.merkle_manifest(spark, docs).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, plain_manifest(docs.collect())))
+    assert {r[-1] for r in got} == {True, False}
+
+
+def test_manifest_of_nothing_and_of_one(spark):
+    assert merkle.merkle_manifest(spark, empty(spark)).count() == 0
+    one = spark.createDataFrame([(4, None, None, None, None)], DOCS)
+    row = merkle.merkle_manifest(spark, one).first()
+    assert row.leaf == row.subroot == row.root == row.folded_root == sha("1:4----") and row.proof_sha256 == sha("") and row.verified
