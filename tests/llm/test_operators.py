@@ -1,6 +1,8 @@
 """Each operator on small tables against brute force, and on nulls, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import html
+import itertools
 import random
 import re
 import zlib
@@ -11,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, embeddings, jaccard, links, merkle, mixing, packing, quality, sharding, suffix_dedup, token_trees, toxicity
+from tessera.llm import chat, embeddings, jaccard, links, main_text, merkle, mixing, packing, quality, sharding, suffix_dedup, token_trees, toxicity, turn_repair
 from tessera.llm.common import Scratch
 from tessera.llm.links import connected_components
 
@@ -878,3 +880,154 @@ def test_manifest_of_nothing_and_of_one(spark):
     one = spark.createDataFrame([(4, None, None, None, None)], DOCS)
     row = merkle.merkle_manifest(spark, one).first()
     assert row.leaf == row.subroot == row.root == row.folded_root == sha("1:4----") and row.proof_sha256 == sha("") and row.verified
+
+
+# 11: main text
+
+PAGES = "page_id long, url string, html string"
+
+
+def site(rng, host, n, template):
+    """Pages of one host with the text that each must give."""
+    for i in range(n):
+        paragraphs = [f"{words(rng, rng.randrange(8, 60))} & <{i}>" for _ in range(rng.randrange(1, 6))]
+        marked = "".join(f"<p>{html.escape(p)}</p>" if rng.random() < 0.7 else f"<p>{html.escape(p).replace(' ', chr(10) + ' ', 1)}" for p in paragraphs)
+        yield f"https://{host}/{i}?q", template(rng, i, marked), "\n\n".join(paragraphs)
+
+
+def labelled(rng, i, text):
+    menu = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in WORDS)
+    return (
+        f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a='</p>';</script></head><body class='has-sidebar'><header><h1>Site</h1></header><nav><ul>{menu}</ul></nav>"
+        f"<div class='cookie-notice'><p>We use cookies, and this sentence about them is a long one.</p></div><div id='main'><div class='post post-{i}'>{text}<div class='ad'>Buy {i}</div><!-- x --></div>"
+        f"<aside><p>{words(rng, 90)}</p></aside><form><p>Write to us about what you would like to read here</p></form><div id='comments'><p>{words(rng, 150)}</p></div></div><footer>end"
+    )
+
+
+def unlabelled(rng, i, text):
+    """Names that say nothing; some pages have comments that are longer than the text; one box repeats within it."""
+    comments = "".join(f"<div class='k{j}'><p>{words(rng, 40)}</p></div>" for j in range(rng.choice([0, 0, 0, 2, 9])))
+    return f"<body><div class='z1'>{'<a href=/>x</a> ' * 9}</div><div class='z9'><div class='q7'>{text}<div class='w2'>Follow this and that site for more of it</div></div><div class='v3'>{comments}</div></div></body>"
+
+
+def plain_article(rng, i, text):
+    return f"<html><body><main><article>{text}</article><section class='comments'><article class='comment'><p>{words(rng, 80)}</p></article></section></main></body></html>"
+
+
+def test_main_text_of_hosts(spark):
+    rng = random.Random(4)
+    rows = [r for host, n, t in (("a.example", 40, labelled), ("b.example:80", 60, unlabelled), ("C.example", 9, plain_article)) for r in site(rng, host, n, t)]
+    df = spark.createDataFrame([(i, url, page) for i, (url, page, _) in enumerate(rows)], PAGES)
+    for name in ("host", "path", "share", "winners", "furniture", "text", "n_chars"):
+        df = df.withColumn(name, F.lit("mine"))
+    got = {r.page_id: r for r in main_text.main_text(spark, df).collect()}
+    assert {i: got[i].text for i in got} == {i: text for i, (_, _, text) in enumerate(rows)}
+    assert all(r.n_chars == len(r.text) and r.url == rows[i][0] for i, r in got.items())
+
+
+def test_main_text_of_odd_pages(spark):
+    deep = "<div>" * 3000 + "deep" + "</div>" * 3000
+    cases = [
+        (None, None, ""), ("x", "", ""), (None, "only text &amp; more", "only text & more"), ("http://h/", "<p>one<p>two<br>three", "one\n\ntwo three"), ("http://h/", None, ""), ("http://i/", deep, "deep"),
+        ("http://[", "<body><p>a <b>b</i> c</p></div> d", "a b c\n\nd"), ("http://j/", "<body><script>never closed", ""), ("http://j/", "<body><article>x" + " long" * 100_000, "x" + " long" * 100_000), ("http://k/", "<p title=don't>a < b</p><p>1<2", "a < b\n\n1<2"),
+    ]
+    df = spark.createDataFrame([(i, url, page) for i, (url, page, _) in enumerate(cases)] * 2, PAGES)
+    got = main_text.main_text(spark, df).collect()
+    assert sorted((r.page_id, r.text) for r in got) == sorted((i, text) for i, (_, _, text) in enumerate(cases) for _ in range(2))
+    assert main_text.main_text(spark, spark.createDataFrame([], PAGES)).count() == 0
+
+
+# 13: conversation repair
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def every_repair(letters):
+    """All edits with up to two insertions between rows, their cost and roles: the contract, by trying."""
+    ways = []
+    for letter in letters:
+        extra = 3 if letter.isupper() else 0
+        edits = [("D", 4, "")]
+        if letter != "d":
+            edits += [("K", extra, letter.lower()), ("R", 3 + extra, "u"), ("R", 3 + extra, "a")]
+        ways += [[("", 0, ""), *[("I" * k, 3 * k, r) for k in (1, 2) for r in map("".join, itertools.product("ua", repeat=k))]], edits]
+    ways.append(ways[0] if ways else [("", 0, "")])
+    for way in itertools.product(*ways):
+        if re.fullmatch("(s?(ua)+)?", "".join(r for _, _, r in way)):
+            yield sum(c for _, c, _ in way), "".join(e for e, _, _ in way)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("suaxdSUAX", max_size=3))
+def test_cheapest_repair_by_trying(letters):
+    assert turn_repair.Solver().solve(letters) == min(every_repair(letters))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("suaxdSUAX", max_size=90))
+def test_halves_equal_steps(letters):
+    """The recursion over halves against one over rows, for signatures too long to try all."""
+    best = {0: (0, "")}
+    for letter in letters:
+        step = {}
+        for (start, end), (cost, edits) in turn_repair.one_letter(letter).items():
+            if start in best:
+                way = (best[start][0] + cost, best[start][1] + edits)
+                step[end] = min(step.get(end, way), way)
+        best = step
+    ends = {0: "", 1: "II", 2: "I", 3: ""}
+    assert turn_repair.Solver().solve(letters) == min((c + 3 * len(ends[s]), e + ends[s]) for s, (c, e) in best.items())
+
+
+def plain_repair(turns):
+    """conv_id to its row, told plainly."""
+    rows = {}
+    for conv, turn, role, text in turns:
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        rows.setdefault(conv, []).extend([(turn is not None, turn or 0, "user" if kind == 4 else role, text)] * {0: 0, 3: 2}.get(kind, 1))
+    for conv, own in rows.items():
+        letters, seen, faults, own = "", set(), {"blank": 0, "duplicate": 0, "truncated": 0}, sorted(own)
+        for _, _, role, text in own:
+            said = text.strip(" \t\n\x0b\x0c\r")
+            fault = "blank" if not said else "duplicate" if (role, text) in seen else "truncated" if said[-1] not in ".!?" else None
+            seen.add((role, text))
+            if fault:
+                faults[fault] += 1
+            letter = role[:1] if role[:1] and role[:1] in "sua" else "x"
+            letters += "d" if fault in ("blank", "duplicate") else letter.upper() if fault else letter
+        cost, audit = turn_repair.Solver().solve(letters)
+        said, rest, state = [], list(own), "start"
+        for edit in audit:
+            _, _, role, text = rest.pop(0) if edit != "I" else (None, None, None, "")
+            if edit == "D":
+                continue
+            role = role if edit == "K" else "assistant" if state == "u" else "user"
+            state = role[0]
+            said.append(f"{role}:{text}")
+        assert not rest and re.fullmatch("(s?(ua)+)?", "".join(s[0] for s in said))
+        turns_known = [t for known, t, _, _ in own if known]
+        gaps = max(turns_known) - min(turns_known) + 1 - len(set(turns_known)) if turns_known else 0
+        initials = [role[:1] for _, _, role, _ in own]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+        yield conv, gaps, *faults.values(), illegal, cost, audit, sha("\n".join(said))
+
+
+def test_repair_equals_plain_loops(spark):
+    """Short and long conversations, one with most rows, nulls, repeated rows and turns, other roles, clashing columns."""
+    rng = random.Random(8)
+    says = ["Yes.", "No!", "Well", " \n", "", None, "Why?  ", "So be it.\n", "ä ö."]
+    roles = ["user", "assistant", "user", "assistant", "system", "bot", "", None, "User"]
+    turns = [(c, rng.choice([t, t, t, t + 2, None]), rng.choice(roles), rng.choice(says)) for c in range(60) for t in range(rng.randrange(1, 9))]
+    turns += [(1000, t, ("user", "assistant")[t % 2] if t % 7 else "system", rng.choice(says) or f"{t}.") for t in range(1500)]
+    turns += [(None, t, "user", f"no id {t}.") for t in range(5)] + [(77, 1, "user", "Again.")] * 40
+    dropped = next(c for c in range(2000, 3000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    turns += [(dropped, 0, "user", "Gone.")]
+    df = spark.createDataFrame(turns, TURNS).repartition(5)
+    for name in ("key", "copies", "kind", "letters", "range", "due", "print", "first", "head", "audit"):
+        df = df.withColumn(name, F.lit("mine"))
+    got = [tuple(r) for r in turn_repair.repair_conversations(spark, df).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, plain_repair(turns)))
+    assert (dropped, 0, 0, 0, 0, 0, 0, "", sha("")) in got
+    assert turn_repair.repair_conversations(spark, spark.createDataFrame([], TURNS)).count() == 0
