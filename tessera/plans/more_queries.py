@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.json_schema import schema_violation
 from ..operators import curation, facts
 from ..sources import readers, sinks
 from ..streaming import state
@@ -33,10 +34,52 @@ def p2(spark, sf):
     return events.select("event_id", facts.exact_keys(F.col("props"), first).alias("exact"))
 
 
-@query("p3_schema_validation", "SELECT c_custkey, CASE WHEN NOT regexp_matches(c_name, '^Customer#[0-9]+$') THEN 'name' WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN 'segment' WHEN c_acctbal < 0 THEN 'balance' END AS problem FROM customer")
+SLOT_OF = {leaf: slot for _, leaf, _, slot, _ in facts.LEAVES}
+
+#: A pair's contract: conditional slots, nested media, facts with times.
+PAIR_SCHEMA = {
+    "type": "object",
+    "additionalProperties": False,
+    "required": ["pair_id", "media", "leaf_label", "conflict_slot", "facts"],
+    "properties": {
+        "pair_id": {"type": "string", "minLength": 1},
+        "media": {
+            "type": "object",
+            "required": ["uri", "modalities"],
+            "properties": {"uri": {"type": "string", "pattern": "^media://"}, "modalities": {"type": "array", "minItems": 1, "uniqueItems": True, "items": {"enum": ["visual", "speech_audio"]}}},
+            "additionalProperties": False,
+        },
+        "leaf_label": {"enum": list(SLOT_OF)},
+        "conflict_slot": {"enum": list(SLOT_OF.values())},
+        "facts": {"type": "array", "items": {"type": "object", "required": ["start"], "properties": {"start": {"type": "number", "minimum": 0}, "accepted": {"const": True}}}},
+    },
+    "allOf": [{"if": {"properties": {"leaf_label": {"const": leaf}}}, "then": {"properties": {"conflict_slot": {"const": slot}}}} for leaf, slot in SLOT_OF.items()],
+}
+
+
+@query(
+    "p3_schema_validation",
+    """WITH l AS (SELECT l_orderkey, l_quantity, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS i FROM lineitem),
+            w AS (SELECT l_orderkey, min({'i': i, 'path': '$.facts[' || i || CASE WHEN l_quantity < 3 THEN '].start' ELSE '].accepted' END, 'rule': CASE WHEN l_quantity < 3 THEN 'minimum' ELSE 'const' END}) FILTER (l_quantity < 3 OR l_returnflag = 'R') AS first FROM l GROUP BY 1)
+       SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN '$.pair_id' WHEN w.l_orderkey IS NULL THEN '$.facts' WHEN o_orderkey % 7 = 0 THEN '$.media.uri' WHEN o_orderkey % 5 = 0 THEN '$.media.modalities'
+                   WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN '$.media.modalities[1]' WHEN first IS NOT NULL THEN first.path WHEN o_orderkey % 13 = 0 THEN '$.extra' WHEN o_orderkey % 3 = 0 AND o_orderkey % 8 <> 1 THEN '$.conflict_slot' END AS path,
+              CASE WHEN o_orderkey % 11 = 0 OR w.l_orderkey IS NULL THEN 'required' WHEN o_orderkey % 7 = 0 THEN 'pattern' WHEN o_orderkey % 5 = 0 THEN 'uniqueItems'
+                   WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 'enum' WHEN first IS NOT NULL THEN first.rule WHEN o_orderkey % 13 = 0 THEN 'additionalProperties' WHEN o_orderkey % 3 = 0 AND o_orderkey % 8 <> 1 THEN 'const' END AS rule
+       FROM orders LEFT JOIN w ON l_orderkey = o_orderkey""",
+)
 def p3(spark, sf):
-    rules = (("name", F.col("c_name").rlike("^Customer#[0-9]+$")), ("segment", F.col("c_mktsegment").isin("BUILDING", "MACHINERY")), ("balance", F.col("c_acctbal") >= 0))
-    return table(spark, sf, "customer").select("c_custkey", facts.first_reason(*rules).alias("problem"))
+    k, order = F.col("o_orderkey"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    fact = F.struct((F.col("l_quantity") - 3).alias("start"), (F.col("l_returnflag") != "R").alias("accepted"))
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct(order.alias("at"), fact.alias("fact")))).alias("f"))
+    leaves, slots = (F.array(*map(F.lit, x)) for x in (SLOT_OF, SLOT_OF.values()))
+    second = F.when((F.col("o_orderstatus") == "P") & (k % 2 == 0), "smell").otherwise("speech_audio")
+    media = F.struct(F.when(k % 7 == 0, "http://x").otherwise(F.concat(F.lit("media://"), "o_custkey")).alias("uri"), F.when(k % 5 == 0, F.array(F.lit("visual"), F.lit("visual"))).otherwise(F.array(F.lit("visual"), second)).alias("modalities"))
+    parts = {
+        "pair_id": F.when(k % 11 != 0, k.cast("string")), "media": media, "leaf_label": F.get(leaves, (k % 8).cast("int")), "conflict_slot": F.get(slots, F.when(k % 3 == 0, 1).otherwise(k % 8).cast("int")),
+        "facts": F.col("f.fact"), "extra": F.when(k % 13 == 0, 1),
+    }
+    documents = table(spark, sf, "orders").join(lines, "o_orderkey", "left").select("o_orderkey", F.to_json(F.struct(*[c.alias(n) for n, c in parts.items()])).alias("text"))
+    return documents.select("o_orderkey", schema_violation(F.try_parse_json("text"), PAIR_SCHEMA).alias("v")).select("o_orderkey", "v.path", "v.rule")
 
 
 @query("p5_visible_columns", "SELECT * FROM region")
