@@ -167,16 +167,21 @@ def k8(spark, sf):
 
 @query(
     "t2_snapshot_history",
-    "SELECT CAST(4 AS BIGINT) AS batches, (SELECT count(*) FROM events) AS done, (SELECT sum(user_id) FROM events)::DOUBLE AS spent, CAST(NULL AS VARCHAR) AS reason",
+    "SELECT 'target' AS reason, CAST(1 AS BIGINT) AS batches_then, CAST(4 AS BIGINT) AS batches, (SELECT count(*) FROM events) AS done, (SELECT sum(user_id) FROM events)::DOUBLE AS spent",
 )
 def t2_history(spark, sf):
-    root = scratch(spark)
+    """A run that its target stops after the first batch, and one with higher limits that goes on where it stopped."""
+    root, schema = scratch(spark), "event_type string, n long, users long"
     table(spark, sf, "events").select("event_type", F.col("user_id").alias("users")).repartition(4).write.parquet(f"{root}/in")
-    stream = spark.readStream.schema("event_type string, users long").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    guard = {"spent": F.sum("users"), "done": F.sum("n"), "stop_at": float("inf"), "target": 10**15}
-    state.guarded_snapshot(stream, state.count_fold(["event_type"], ["users"]), f"{root}/run", f"{root}/checkpoint", "event_type string, n long, users long", **guard).awaitTermination()
-    history = spark.read.schema("batch long, spent double, done long, reason string").json(f"{root}/run/history")
-    return history.agg(F.count("*").alias("batches"), F.max("done").alias("done"), F.max("spent").alias("spent"), F.max("reason").alias("reason"))
+
+    def run(target: int) -> str | None:
+        stream = spark.readStream.schema("event_type string, users long").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        return state.guarded_snapshot(stream, state.count_fold(["event_type"], ["users"]), f"{root}/run", f"{root}/checkpoint", schema, spent=F.sum("users"), done=F.sum("n"), stop_at=float("inf"), target=target)
+
+    history = lambda: spark.read.schema("batch long, spent double, done long, reason string").json(f"{root}/run/history")
+    reason, then = run(1), history().count()
+    run(10**15)
+    return history().agg(F.lit(reason).alias("reason"), F.lit(then).cast("long").alias("batches_then"), F.count("*").alias("batches"), F.max("done").alias("done"), F.max("spent").alias("spent"))
 
 
 @query(

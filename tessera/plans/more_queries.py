@@ -276,4 +276,4 @@ def t1(spark, sf):
     events.select("event_type", F.col("user_id").alias("users")).repartition(4).write.parquet(f"{root}/in")
     stream = spark.readStream.schema("event_type string, users long").option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
     state.snapshot_stream(stream, state.count_fold(["event_type"], ["users"]), f"{root}/snapshot", f"{root}/checkpoint", "event_type string, n long, users long").awaitTermination()
-    return spark.read.parquet(f"{root}/snapshot").drop("_batch")
+    return sinks.read_version(spark, f"{root}/snapshot", "event_type string, n long, users long")

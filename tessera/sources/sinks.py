@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,11 +26,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-def replace_folder(spark: SparkSession, staged: str, final: str) -> None:
+def replace_folder(spark: SparkSession, staged: str, final: str, *, attempts: int = 4, wait: float = 0.2) -> None:
     """Put a staged folder in the place of another, which it replaces only once it is complete.
 
     Between two renames the place is empty for a moment; a reader that finds nothing there has to
-    look again. If the second fails, the old folder comes back.
+    look again. If the second fails `attempts` times, with longer waits between them, the old folder comes back.
+    Where readers must never find the place empty, use `publish_version`.
     """
     fs, source = _fs(spark, staged)
     _, target = _fs(spark, final)
@@ -37,7 +39,11 @@ def replace_folder(spark: SparkSession, staged: str, final: str) -> None:
     fs.mkdirs(target.getParent())
     if fs.exists(target):
         fs.rename(target, old)
-    if not fs.rename(source, target):
+    for attempt in range(attempts):
+        if fs.rename(source, target):
+            break
+        time.sleep(wait * 2**attempt)
+    else:
         fs.rename(old, target)
         raise OSError(f"cannot move {staged} to {final}")
     fs.delete(old, True)
@@ -51,6 +57,57 @@ def write_staged(df: DataFrame, path: str, kind: str = "json", **options) -> Non
     replace_folder(df.sparkSession, staged, path)
 
 
+def _rename_strictly(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename in one step; False where the target is there already, whoever made it."""
+    jvm = spark._jvm
+    src, dst = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(src.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        files.rename(src, dst, none)
+    except Exception:
+        if files.util().exists(dst):
+            return False
+        raise
+    return True
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions of a table below `path`, ascending."""
+    fs, target = _fs(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(target)] if fs.exists(target) else []
+    return sorted(int(n[2:]) for n in names if n.startswith("v-"))
+
+
+def _version(path: str, number: int) -> str:
+    return f"{path.rstrip('/')}/v-{number:012d}"
+
+
+def publish_version(df: DataFrame, path: str, number: int, *, keep: int = 3) -> bool:
+    """Write `df` as version `number` of the table at `path`; False, and nothing, where that number is taken.
+
+    A version appears whole by one rename, and the one before stays for those who read it; all but
+    the last `keep` go. There is no moment without a table.
+    """
+    spark = df.sparkSession
+    staged = f"{path.rstrip('/')}/.staged-{uuid.uuid4().hex}"
+    df.write.parquet(staged)
+    taken = _rename_strictly(spark, staged, _version(path, number))
+    fs, rest = _fs(spark, staged)
+    fs.delete(rest, True)
+    for old in versions(spark, path)[:-keep]:
+        fs.delete(_fs(spark, _version(path, old))[1], True)
+    return taken
+
+
+def read_version(spark: SparkSession, path: str, schema: str, number: int | None = None) -> DataFrame:
+    """A version of the table at `path`, the last one unless told; empty where there is none."""
+    known = versions(spark, path)
+    if not known:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(_version(path, known[-1] if number is None else number))
+
+
 def write_document(df: DataFrame, path: str, *, most_rows: int = 10_000) -> None:
     """A small table (up to `most_rows`) as one readable JSON document."""
     rows = [json.loads(r) for r in (x[0] for x in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).limit(most_rows + 1).collect())]

@@ -6,13 +6,14 @@ gives what one batch of all its rows would give.
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.curation import keep_first
 from ..operators.telemetry import lease_reusable
-from ..sources.sinks import _exists, write_staged
+from ..sources.sinks import _exists, publish_version, read_version, versions
 
 
 class ReservationConflict(ValueError):
@@ -46,7 +47,7 @@ def reserve_many(state: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def pending_after_resume(selection: DataFrame, results: DataFrame, key: str, selection_hash: str) -> DataFrame:
     """Rows of a selection without a finished result under the same selection."""
-    finished = results.where((F.col("selection_hash") == selection_hash) & F.col("state").isin("complete", "rejected"))
+    finished = results.where((F.col("selection_hash") == selection_hash) & F.col("state").isin("complete", "completed", "rejected"))
     return selection.join(finished.select(key), key, "left_anti")
 
 
@@ -57,22 +58,25 @@ def repair_interrupted(status: DataFrame) -> DataFrame:
 
 
 def snapshot_stream(events: DataFrame, fold, path: str, checkpoint: str, schema: str) -> StreamingQuery:
-    """Fold each micro-batch into a snapshot: `fold(state, batch)` gives the next one, which takes the old one's place.
+    """Fold each micro-batch into a snapshot: `fold(state, batch)` gives the next version of the table at `path`.
 
-    A batch that is run again after a failure finds its number in the snapshot and changes nothing.
+    A version has the number of its batch, whether or not it has rows, so a batch that is run again after a
+    failure finds its version and changes nothing. Read it by `read_version`.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        full = f"{schema}, _batch long"
-        state = spark.read.schema(full).parquet(path) if _exists(spark, path) else spark.createDataFrame([], full)
-        done = state.agg(F.max("_batch")).first()[0]
-        if done is None or done < number:
-            write_staged(fold(state.drop("_batch"), batch).withColumn("_batch", F.lit(number).cast("long")), path, "parquet")
+        _take(batch, number, fold, path, schema)
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _take(batch: DataFrame, number: int, fold, path: str, schema: str) -> None:
+    spark: SparkSession = batch.sparkSession
+    known = versions(spark, path)
+    if not known or known[-1] < number:
+        publish_version(fold(read_version(spark, path, schema), batch), path, number)
+
+
 def count_fold(keys: list[str], sums: list[str]):
     """A fold that keeps counts and sums by key."""
 
@@ -88,31 +92,47 @@ def budget_stop(spent: float, done: int, *, stop_at: float, target: int) -> str
     return "budget" if spent >= stop_at else "target" if done >= target else None
 
 
-def guarded_snapshot(events: DataFrame, fold, path: str, checkpoint: str, schema: str, *, spent: Column, done: Column, stop_at: float, target: int) -> StreamingQuery:
-    """A snapshot with its history, which takes in no batch once the snapshot has reached the budget or the target.
+class _Stopped(Exception):
+    """Raised before a batch is taken, so that it stays to be taken."""
+
 
-    `spent` and `done` are aggregates over the snapshot. `path`/latest has the snapshot,
-    `path`/history one row a batch taken (batch, spent, done, reason): what held after it. A batch
-    that is run again after a failure is in the history already and changes nothing.
+def guarded_snapshot(events: DataFrame, fold, path: str, checkpoint: str, schema: str, *, spent: Column, done: Column, stop_at: float, target: int) -> str | None:
+    """Take what the stream has, batch by batch, until the snapshot has reached the budget or the target; gives the reason to stop, or None.
+
+    `spent` and `done` are aggregates over the snapshot. `path`/latest has its versions,
+    `path`/history one row a batch taken (batch, spent, done, reason): what held after it. Limits are
+    checked before a batch is taken, and the query ends without committing it, so a later run with higher limits goes on with the same
+    rows. A batch that is run again after a failure finds its version and its row and changes nothing.
     """
     latest, history, log = f"{path}/latest", f"{path}/history", "batch long, spent double, done long, reason string"
+    spark, reasons = events.sparkSession, []
 
-    def step(batch: DataFrame, number: int) -> None:
-        spark: SparkSession = batch.sparkSession
+    def last_row():
         seen = spark.read.schema(log).json(history) if _exists(spark, history) else spark.createDataFrame([], log)
-        last, stopped = seen.agg(F.max("batch"), F.count("reason")).first()
-        if stopped or (last is not None and last >= number):
+        return seen.agg(F.max(F.struct("batch", "spent", "done")).alias("r")).first()["r"]
+
+    def reason_of(row) -> str | None:
+        return budget_stop(row["spent"], row["done"], stop_at=stop_at, target=target) if row else None
+
+    def step(batch: DataFrame, number: int) -> None:
+        last, known = last_row(), versions(spark, latest)
+        if last and last["batch"] >= number:
             return
-        full = f"{schema}, _batch long"
-        state = spark.read.schema(full).parquet(latest) if _exists(spark, latest) else spark.createDataFrame([], full)
-        if (state.agg(F.max("_batch")).first()[0] or -1) < number:
-            write_staged(fold(state.drop("_batch"), batch).withColumn("_batch", F.lit(number).cast("long")), latest, "parquet")
-            state = spark.read.schema(full).parquet(latest)
-        used, have = state.agg(spent.cast("double"), done.cast("long")).first()
+        if (not known or known[-1] < number) and (why := reason_of(last)):
+            reasons.append(why)
+            raise _Stopped(why)
+        _take(batch, number, fold, latest, schema)
+        used, have = read_version(spark, latest, schema).agg(spent.cast("double"), done.cast("long")).first()
         row = (number, used or 0.0, have or 0, budget_stop(used or 0.0, have or 0, stop_at=stop_at, target=target))
         spark.createDataFrame([row], log).coalesce(1).write.mode("append").json(history)
 
-    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if not reasons:
+            raise
+    return reason_of(last_row())
 
 
 def migrate_resume(selection: DataFrame, results: DataFrame, outputs: DataFrame, key: str, selection_hash: str) -> DataFrame:

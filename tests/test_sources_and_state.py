@@ -76,7 +76,7 @@ def test_stream_equals_batch(spark, tmp_path):
     query = state.snapshot_stream(stream, fold, str(tmp_path / "snap"), str(tmp_path / "cp"), "k long, n long, v double")
     query.awaitTermination()
     want = sorted(tuple(r) for r in events.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("v")).collect())
-    assert sorted((r.k, r.n, r.v) for r in spark.read.parquet(str(tmp_path / "snap")).collect()) == want
+    assert sorted((r.k, r.n, r.v) for r in sinks.read_version(spark, str(tmp_path / "snap"), "k long, n long, v double").collect()) == want
 
 
 def test_reservations_refuse_conflicts(spark):
@@ -150,22 +150,68 @@ def test_an_append_under_another_writer_is_refused(spark, tmp_path):
     assert sinks.unique_append(spark.range(3), path, "id") == 3
 
 
-def test_a_guarded_stream_stops_at_its_budget(spark, tmp_path):
-    source, path = f"{tmp_path}/in", f"{tmp_path}/run"
-    spark.range(40).select(F.col("id").alias("users"), F.lit("x").alias("k")).repartition(4).write.parquet(source)
-    stream = lambda: spark.readStream.schema("users long, k string").option("maxFilesPerTrigger", 1).parquet(source)
+GUARDED = "k string, n long, users long"
 
-    def run(checkpoint):
-        fold = state.count_fold(["k"], ["users"])
-        state.guarded_snapshot(stream(), fold, path, f"{tmp_path}/{checkpoint}", "k string, n long, users long", spent=F.sum("users"), done=F.sum("n"), stop_at=1e9, target=15).awaitTermination()
-        return sorted(map(tuple, spark.read.schema("batch long, done long, reason string").json(f"{path}/history").collect()))
 
-    once = run("a")
-    assert [r[0] for r in once] == list(range(len(once))) and once[-1][2] == "target" and once[-1][1] >= 15 and all(r[2] is None for r in once[:-1])
-    assert run("b") == once and spark.read.parquet(f"{path}/latest").first()["n"] == once[-1][1]
+def guarded_run(spark, root, target, checkpoint="checkpoint", fold=None):
+    stream = spark.readStream.schema("users long, k string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    fold = fold or state.count_fold(["k"], ["users"])
+    return state.guarded_snapshot(stream, fold, f"{root}/run", f"{root}/{checkpoint}", GUARDED, spent=F.sum("users"), done=F.sum("n"), stop_at=1e9, target=target)
+
+
+def guarded_state(spark, root):
+    history = sorted(map(tuple, spark.read.schema("batch long, done long, reason string").json(f"{root}/run/history").collect()))
+    return history, sinks.read_version(spark, f"{root}/run/latest", GUARDED).agg(F.sum("n")).first()[0]
+
+
+def test_a_stopped_stream_goes_on_with_the_same_rows(spark, tmp_path):
+    spark.range(40).select(F.col("id").alias("users"), F.lit("x").alias("k")).repartition(4).write.parquet(f"{tmp_path}/in")
+    assert guarded_run(spark, tmp_path, 15) == "target"
+    once, n = guarded_state(spark, tmp_path)
+    assert [r[0] for r in once] == list(range(len(once))) and once[-1][2] == "target" and n == once[-1][1] < 40 and all(r[2] is None for r in once[:-1])
+    assert guarded_run(spark, tmp_path, 15) == "target" and guarded_state(spark, tmp_path) == (once, n)
+    assert guarded_run(spark, tmp_path, 10**9) is None
+    assert guarded_state(spark, tmp_path)[1] == 40 and len(guarded_state(spark, tmp_path)[0]) == 4
     assert state.budget_stop(5, 0, stop_at=5, target=9) == "budget"
 
 
+def test_a_failure_between_snapshot_and_history_counts_nothing_twice(spark, tmp_path, monkeypatch):
+    """The first batch has number 0, and its rows are in the snapshot when the run fails."""
+    spark.range(10).select(F.col("id").alias("users"), F.lit("x").alias("k")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    whole = state.budget_stop
+    monkeypatch.setattr(state, "budget_stop", lambda *a, **k: 1 / 0)
+    with pytest.raises(Exception):
+        guarded_run(spark, tmp_path, 10**9)
+    assert sinks.versions(spark, f"{tmp_path}/run/latest") == [0]
+    monkeypatch.setattr(state, "budget_stop", whole)
+    assert guarded_run(spark, tmp_path, 10**9) is None
+    assert guarded_state(spark, tmp_path) == ([(0, 10, None)], 10)
+
+
+def test_an_empty_snapshot_has_its_number(spark, tmp_path):
+    nothing = spark.createDataFrame([], "k long")
+    assert sinks.publish_version(nothing, f"{tmp_path}/t", 0) and sinks.versions(spark, f"{tmp_path}/t") == [0]
+    seen = []
+
+    def fold(held, batch):
+        seen.append(batch.count())
+        return held
+
+    for _ in range(2):
+        state._take(spark.range(3).selectExpr("id AS k"), 0, fold, f"{tmp_path}/t", "k long")
+    assert not seen
+
+
+def test_a_version_number_is_taken_once_and_old_ones_go(spark, tmp_path):
+    path, rows = f"{tmp_path}/t", lambda k: spark.createDataFrame([(k,)], "k long")
+    assert sinks.read_version(spark, path, "k long").count() == 0
+    assert sinks.publish_version(rows(1), path, 4) and not sinks.publish_version(rows(2), path, 4)
+    for k in (5, 6, 7):
+        assert sinks.publish_version(rows(k), path, k)
+    assert sinks.versions(spark, path) == [5, 6, 7] and sinks.read_version(spark, path, "k long").first()[0] == 7
+    assert sinks.read_version(spark, path, "k long", 5).first()[0] == 5 and not [p for p in (tmp_path / "t").iterdir() if "staged" in p.name]
+
+
 def test_resume_migration_refuses_other_runs(spark):
     selection = spark.createDataFrame([(1,), (2,)], "v long")
     results = lambda *rows: spark.createDataFrame(rows, "v long, state string, selection_hash string")
