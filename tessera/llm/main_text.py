@@ -278,7 +278,7 @@ def host_of(url: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(url, HOST, 1), F.lit("")))
 
 
-def agree(votes: DataFrame, share: float, pages: int, sameness: float) -> DataFrame:
+def agree(scratch: Scratch, votes: DataFrame, share: float, pages: int, sameness: float) -> DataFrame:
     """host, winners (paths by votes), furniture: what the pages of each host agree on.
 
     A path's votes are its shares of the pages' best scores, times how far its texts differ from page to page. Winners have
@@ -286,7 +286,7 @@ def agree(votes: DataFrame, share: float, pages: int, sameness: float) -> DataFr
     is a path found `pages` times or more whose distinct texts are at most `sameness` of the
     times, next to the same figure of the first.
     """
-    paths = votes.groupBy("host", "path").agg(F.sum("share").alias("sum"), F.count("*").alias("n"), F.approx_count_distinct("print", 0.02).alias("kinds"))
+    paths = scratch.cut(votes.groupBy("host", "path").agg(F.sum("share").alias("sum"), F.count("*").alias("n"), F.approx_count_distinct("print", 0.02).alias("kinds")))
     paths = paths.withColumn("variety", F.least(F.col("kinds") / F.col("n"), F.lit(1.0)))
     paths = paths.withColumn("votes", F.col("sum") * F.col("variety"))
     first = paths.groupBy("host").agg(F.max(F.struct("votes", "variety", "path")).alias("first"))
@@ -316,7 +316,7 @@ def main_text(spark: SparkSession, pages: DataFrame, *, share: float = 0.05, lea
     scratch = Scratch(spark)
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     votes = rows.where("host is not null").select("host", "html").mapInPandas(vote_batches, "host string, path string, share long, print long")
-    agreed = scratch.cut(agree(votes, share, least_pages, sameness))
+    agreed = scratch.cut(agree(scratch, votes, share, least_pages, sameness))
     known = with_estimates(rows, agreed, ["host"], agreed.count())
     return known.select("page_id", "url", "html", "winners", "furniture").mapInPandas(extract_batches, "page_id long, url string, text string, n_chars long")
 
