@@ -59,3 +59,32 @@ def turn_positions(rows: DataFrame, turn: str, order: list, out: str = "position
     before = counts.withColumn("_within", within).join(blocks, "_block").select(turn, (F.col("_within") + F.col("_before_block")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy(turn).orderBy(*order))
     return rows.withColumn(out, rank).join(before, turn).withColumn(out, F.col(out) + F.col("_before")).drop("_before")
+
+
+def in_ranges(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """`rows` with `_range`: written in ranges of (keys, order), so a hot key has many ranges and at most one key of a range goes on into the next."""
+    return cut(rows.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys], *order).withColumn("_range", F.spark_partition_id()))
+
+
+def same_keys(keys: list[str], prefix: str = "_of_") -> Column:
+    """Equality of `keys` with the columns of the same names behind a prefix; null equals null."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return out
+
+
+def carried_in(ranged: DataFrame, keys: list[str], totals: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
+    """`ranged` with what each range carries in from the ranges of the same keys before it, null in the first of them.
+
+    `totals` are aggregates by (keys, range); `carried` are window columns over them in the order of ranges, from
+    the first to the one before. Only ranges in which a key goes on are joined, fewer than there are ranges, so they are sent.
+    """
+    by = Window.partitionBy(*keys).orderBy("_range")
+    blocks = ranged.groupBy(*keys, "_range").agg(*[c.alias(n) for n, c in totals.items()])
+    for name, column in carried.items():
+        blocks = blocks.withColumn(name, column.over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    later = blocks.withColumn("_nth", F.row_number().over(by)).where("_nth > 1")
+    later = later.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_range").alias("_of__range"), *carried)
+    joined = ranged.join(F.broadcast(later), same_keys([*keys, "_range"]), "left")
+    return joined.drop("_of__range", *[f"_of_{k}" for k in keys])

@@ -8,6 +8,7 @@ from ..operators import facts
 from ..sources import readers, sinks
 from ..streaming import state
 from .catalog import query, table
+from .telemetry_queries import PAIRS
 from .more_queries import scratch
 
 NAMES = [leaf[1] for leaf in facts.LEAVES]
@@ -137,17 +138,27 @@ def s5(spark, sf):
 def s7(spark, sf):
     root = scratch(spark)
     events = table(spark, sf, "events").select("event_id", "event_type")
-    for name, rows in (("shard_0", events.where("event_type <> 'click'")), ("shard_1", events.where("event_type = 'click' AND event_id % 2 = 0"))):
-        sinks.append_events(rows.coalesce(1), f"{root}/{name}/events.jsonl")
-    sinks.append_events(events.where("event_type = 'click' AND event_id % 2 = 1").coalesce(1), f"{root}/shard_1/events")
-    for path in readers.list_files(spark, f"{root}/shard_1/events", ["json"]).select("path").collect():  # file names as event folders have them
-        old = spark._jvm.org.apache.hadoop.fs.Path(path[0])
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).rename(old, spark._jvm.org.apache.hadoop.fs.Path(f"{path[0]}l"))
+    sinks.append_events(events.where("event_type <> 'click'"), f"{root}/shard_0/events.jsonl")
+    sinks.append_events(events.where("event_type = 'click' AND event_id % 2 = 0"), f"{root}/shard_1/events.jsonl")
+    sinks.append_events(events.where("event_type = 'click' AND event_id % 2 = 1"), f"{root}/shard_1/events")
     read = readers.read_events(spark, readers.shard_roots(spark, root), "event_id long, event_type string")
     place = F.regexp_extract("event_file", r"(shard_\d/events(?:\.jsonl)?)/", 1)
     return read.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct(place).cast("int").alias("places"))
 
 
+@query("s1_s7_pairs_in_file_order", f"WITH {PAIRS} SELECT event_id, user_id, seconds FROM p")
+def s1_s7(spark, sf):
+    """Events written as files that hold their users' lines in order; calls are paired by (file, byte offset), without a look at their times."""
+    from ..operators.telemetry import pair_calls
+
+    root = scratch(spark)
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("string").alias("at"))
+    sinks.append_events(events.repartition("user_id").sortWithinPartitions("at", "event_id"), f"{root}/events")
+    read = readers.read_events(spark, [root], "event_id long, user_id long, event_type string, at string", place=True).withColumn("at", F.to_timestamp_ntz("at"))
+    kind = F.col("event_type")
+    return pair_calls(read, keys=["event_file", "user_id"], order=["offset"], start=kind == "click", end=kind == "purchase", at="at").select("event_id", "user_id", "seconds")
+
+
 @query("s9_s10_files", "SELECT n_name AS name, sha256(n_name || chr(10)) AS sha256, CAST(length(n_name) + 1 AS BIGINT) AS length FROM nation")
 def s9(spark, sf):
     root = scratch(spark)

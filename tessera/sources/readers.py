@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -66,13 +67,55 @@ def last_by_key(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     return rows.withColumn("_k", rank).where("_k = 1").drop("_k")
 
 
-def read_events(spark: SparkSession, roots: list[str], schema: str | StructType) -> DataFrame:
-    """Events of `events.jsonl` and `events/*.jsonl` below each root, each file once, with `event_file`."""
-    paths = sorted({p for r in roots for p in (f"{r}/events.jsonl", f"{r}/events/*.jsonl") if path_exists(spark, p)})
+def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, offset, value: each line with the byte at which it begins, however the file is split among tasks.
+
+    Lines end at `\\n` (a carriage return stays in the value). A task counts the bytes of each of its splits as they
+    come by; what the splits before it hold is one row a split, summed file by file. The files are
+    read twice, and no line is shuffled. A byte-order mark counts and is part of the first line.
+    """
+    lines = spark.read.option("lineSep", "\n").text(paths)
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")]
+    lines = lines.select(*meta, "value", (F.octet_length("value") + 1).cast("long").alias("size"))
+    totals = lines.groupBy("file", "split").agg(F.sum("size").alias("bytes"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    later = totals.withColumn("before", F.sum("bytes").over(before)).where("before is not null").select("file", "split", "before")
+
+    def placed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        current, at = None, 0
+        for batch in batches:
+            keys = list(zip(batch.column("file").to_pylist(), batch.column("split").to_pylist()))
+            sizes, starts = batch.column("size").to_pylist(), []
+            for key, size in zip(keys, sizes):
+                current, at = (key, at) if key == current else (key, 0)
+                starts.append(at)
+                at += size
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("split"), pa.array(starts, pa.int64()), pc.cast(batch.column("value"), pa.string())], names=["file", "split", "start", "value"])
+
+    read = lines.mapInArrow(placed, "file string, split long, start long, value string")
+    joined = read.join(later, ["file", "split"], "left")
+    return joined.select("file", (F.col("start") + F.coalesce("before", F.lit(0))).alias("offset"), "value")
+
+
+def read_events(spark: SparkSession, roots: list[str], schema: str | StructType, *, place: bool = False) -> DataFrame:
+    """Events of `events.jsonl` and `events/*.jsonl` (or `.json`) below each root, each file once, with `event_file`.
+
+    place: also `offset`, the byte at which an event's line begins, so that (event_file, offset) is the order
+    in which a file's writer put them.
+    """
+    paths = sorted({p for r in roots for p in (f"{r}/events.jsonl", f"{r}/events/*.jsonl", f"{r}/events/*.json") if path_exists(spark, p)})
     if not paths:
-        return spark.createDataFrame([], _schema(schema)).withColumn("event_file", F.lit(""))
-    lines = spark.read.text(paths).select("value", F.input_file_name().alias("event_file")).where(F.trim("value") != "")
-    return lines.select(F.from_json("value", _schema(schema)).alias("r"), "event_file").where("r is not null").select("r.*", "event_file")
+        empty = spark.createDataFrame([], _schema(schema)).withColumn("event_file", F.lit(""))
+        return empty.withColumn("offset", F.lit(0).cast("long")) if place else empty
+    if place:
+        lines, extra = read_lines(spark, paths).withColumnRenamed("file", "event_file"), ["event_file", "offset"]
+    else:
+        lines, extra = spark.read.text(paths).select("value", F.input_file_name().alias("event_file")), ["event_file"]
+    lines = lines.withColumn("value", F.regexp_replace("value", "^\ufeff", "")).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", _schema(schema)).alias("r"), *extra).where("r is not null").select("r.*", *extra)
 
 
 def shard_roots(spark: SparkSession, root: str) -> list[str]:
@@ -83,15 +126,45 @@ def shard_roots(spark: SparkSession, root: str) -> list[str]:
 
 
 def list_files(spark: SparkSession, root: str, extensions: list[str]) -> DataFrame:
-    """path, length, modified of all files below the root with one of the extensions (case ignored)."""
+    """path, length, modified of all files below the root with one of the extensions (case ignored); Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", F.col("modificationTime").alias("modified"))
     return files.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin([e.lower().lstrip(".") for e in extensions]))
 
 
-def file_digests(spark: SparkSession, root: str) -> DataFrame:
-    """path, sha256 of files below the root (each up to 2 GB, the limit of a value)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
+def file_digests(spark: SparkSession, root: str, *, most_whole: int = 2**28, open_file: Callable[[str], object] | None = None) -> DataFrame:
+    """path, sha256 of files below the root (empty ones are not listed).
+
+    Files up to `most_whole` bytes are hashed as values. Larger ones are read by chunks of 8 MB in the task, by
+    `open_file(path)` where their folder needs a client of its own, else by the file systems that Arrow knows.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    small = files.load(root).where(F.col("length") <= most_whole).select("path", F.sha2("content", 256).alias("sha256"))
+    large = files.load(root).where(F.col("length") > most_whole).select("path")
+    return small.unionByName(large.repartition("path").mapInPandas(_chunked_digests(open_file), "path string, sha256 string"))
+
+
+def _chunked_digests(open_file):
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+        from pyarrow import fs
+
+        def opened(path: str):
+            if open_file is not None:
+                return open_file(path)
+            system, inner = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+            return system.open_input_stream(inner)
+
+        for frame in frames:
+            digests = []
+            for path in frame["path"]:
+                digest = hashlib.sha256()
+                with opened(path) as stream:
+                    while chunk := stream.read(2**23):
+                        digest.update(chunk)
+                digests.append(digest.hexdigest())
+            yield pd.DataFrame({"path": frame["path"], "sha256": digests})
+
+    return run
 
 
 def probe_media(files: DataFrame, probe: Callable[[str], dict], schema: str) -> DataFrame:

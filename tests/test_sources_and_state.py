@@ -221,3 +221,85 @@ def test_resume_migration_refuses_other_runs(spark):
     for r, o in ((results((1, "completed", "g")), outputs()), (results((3, "completed", "h")), outputs()), (results(), outputs((1, "a"), (2, "a")))):
         with pytest.raises(ValueError):
             state.migrate_resume(selection, r, o, "v", "h")
+
+
+def test_lines_have_their_byte_offsets_however_files_are_split(spark, tmp_path):
+    import random
+
+    rng, want = random.Random(2), []
+    (tmp_path / "in").mkdir()
+    for name in ("a.jsonl", "b.jsonl", "empty.jsonl"):
+        lines = [] if name.startswith("empty") else [rng.choice(["", "x", "äöü", "\r", "long " * 40]) + str(i) for i in range(3000)]
+        content = "\n".join(lines).encode()
+        (tmp_path / "in" / name).write_bytes(content)
+        at = 0
+        for line in lines:
+            want.append((name, at, line))
+            at += len(line.encode()) + 1
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("10000b", "64m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            read = readers.read_lines(spark, str(tmp_path / "in"))
+            got = sorted((r.file.rsplit("/", 1)[-1], r.offset, r.value) for r in read.collect())
+            assert got == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_pairing_of_a_hot_key_in_file_order_equals_queue(spark, tmp_path):
+    """One key has half of all events; files have many splits, and ranges many parts of a key."""
+    import random
+
+    rng, queues, want = random.Random(5), {}, {}
+    (tmp_path / "events").mkdir()
+    for f in range(2):
+        with open(tmp_path / "events" / f"{f}.jsonl", "w") as out:
+            for i in range(4000):
+                key, kind = rng.choice(["hot", "a", "b", None, "hot", "hot"]), rng.choice("sse" if i < 2000 else "see")
+                number = f * 10_000 + i
+                out.write(json.dumps({"i": number, "k": key, "t": kind, "at": f"2024-01-01 {i // 3600:02d}:{i // 60 % 60:02d}:{i % 60:02d}"}) + "\n")
+                queue = queues.setdefault((f, key), [])
+                if kind == "s":
+                    queue.append(i)
+                else:
+                    want[number] = float(i - queue.pop(0)) if queue else None
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "50000b")
+        read = readers.read_events(spark, [str(tmp_path)], "i long, k string, t string, at timestamp", place=True)
+        paired = telemetry.pair_calls(read, keys=["event_file", "k"], order=["offset"], start=F.col("t") == "s", end=F.col("t") == "e", at="at")
+        assert {r.i: r.seconds for r in paired.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert None in want.values()
+
+
+def test_percentiles_by_narrowing_equal_sorted_lists(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(6)
+    rows = [(k, rng.choice([rng.random() * 10 ** rng.randrange(-3, 9), 5.0, -rng.random()])) for k in ("hot",) * 6 + ("a", None) for _ in range(500)]
+    rows += [("one", 3.0), ("none", None), ("nan", float("nan")), ("wide", 1e308), ("wide", -1e308), ("wide", 7.0), ("same", 2.0), ("same", 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    values = {}
+    for k, v in rows:
+        if v is not None and v == v:
+            values.setdefault(k, []).append(v)
+    for most, bins in ((0, 4), (0, 1024), (1000, 16), (10**6, 16)):
+        got = {r.k: (r.p, r.q) for r in telemetry.exact_percentiles(df, ["k"], "v", {"p": 0.5, "q": 0.9}, most=most, bins=bins).collect()}
+        assert got.keys() == values.keys()
+        for k, v in values.items():
+            assert k == "wide" or np.allclose(got[k], np.percentile(v, [50, 90]), rtol=1e-12)
+        assert got["wide"][0] == 7.0
+
+
+def test_digests_by_chunks(spark, tmp_path):
+    import hashlib
+
+    for name, size in (("a b", 10), ("c", 3 * 2**20), ("d", 101)):
+        (tmp_path / name).write_bytes(bytes(i % 251 for i in range(size)))
+    got = {r.path.rsplit("/", 1)[-1].replace("%20", " "): r.sha256 for r in readers.file_digests(spark, str(tmp_path), most_whole=100).collect()}
+    assert got == {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in tmp_path.iterdir()}
