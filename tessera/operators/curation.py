@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import cut, number_rows, turn_positions
+from .ordering import cut, number_rows, rank_in_ranges, same_keys, turn_positions
 
 
 def stable_rank(*parts) -> Column:
@@ -58,10 +58,14 @@ def quartile(group: list[str], order: list) -> Column:
 
 
 def round_robin(rows: DataFrame, label: str, order: list, best: str) -> DataFrame:
-    """`position`: labels take turns, each giving its next row; labels go by their best value, then name."""
-    turn = F.row_number().over(Window.partitionBy(label).orderBy(*order))
-    ranked = rows.withColumn("_turn", turn).withColumn("_best", F.min(best).over(Window.partitionBy(label)))
-    return turn_positions(ranked, "_turn", ["_best", label]).drop("_turn", "_best")
+    """`position`: labels take turns, each giving its next row; labels go by their best value, then name.
+
+    The order must tell a label's rows apart. A null label is one of its own, the first on ties.
+    """
+    ranked = rank_in_ranges(rows, [label], order, "_turn")
+    least = ranked.groupBy(label).agg(F.min(best).alias("_best")).withColumnRenamed(label, f"_of_{label}")
+    marked = ranked.join(least, same_keys([label])).drop(f"_of_{label}")
+    return turn_positions(marked, "_turn", ["_best", label]).drop("_turn", "_best")
 
 
 def sequence_batches(rows: DataFrame, group: list[str], order: list, batch: int) -> DataFrame:
@@ -199,19 +203,68 @@ def window_submission(current: Column, in_flight: Column, *, target: int, worker
     return wanted, limit.cast("int")
 
 
-def stratified_take(rows: DataFrame, quotas: DataFrame, *, stratum: str, parent: str, digest: str, order: list, target: int) -> DataFrame:
-    """Rows by stratum up to its `quota`, then of any stratum up to `target`; one a parent and one a digest, the first in order.
+def first_by_unique_keys(rows: DataFrame, keys: list[str], order: str, *, most_rounds: int = 10_000) -> DataFrame:
+    """Rows that a loop over `order` keeps if it drops each row that shares a key with one kept before; nulls are values.
 
-    Duplicates go before quotas are counted, so a stratum that runs short is made up by the others.
+    In a round every row that is the first of all its keys is kept, and what shares a key with it goes; the loop would do the
+    same, since nothing before such a row can stop it. A row that goes keeps nothing else out, unlike
+    deduplication by one key after another. `order` must tell rows apart.
+    """
+    shown = {f"_key{i}": F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("-")) for i, k in enumerate(keys)}
+    still = cut(rows.select(F.col(order).alias("_at"), *[c.alias(n) for n, c in shown.items()]))
+    kept: DataFrame | None = None
+    for _ in range(most_rounds):
+        first = None
+        for n in shown:
+            least = still.groupBy(n).agg(F.min("_at").alias("_at"))
+            first = least.select("_at") if first is None else first.join(least.select("_at"), "_at", "left_semi")
+        won = cut(still.join(first, "_at", "left_semi"))
+        kept = won if kept is None else kept.unionByName(won)
+        for n in shown:
+            still = still.join(won.select(n), n, "left_anti")
+        still = cut(still)
+        if still.isEmpty():
+            return rows.join(kept.select(F.col("_at").alias(order)), order, "left_semi")
+    raise RuntimeError("unique keys did not settle")
+
+
+def take_with_fallback(rows: DataFrame, *, preferred: Column, label: str, parent: str, digest: str, order: list, total: int, most_preferred: int) -> DataFrame:
+    """Exactly `total` rows with `position` from 1: preferred ones up to `most_preferred`, then others, labels in turn, one a parent and digest.
+
+    If there are too few, rows that share neither parent nor digest with those chosen follow. Of what was chosen, a row that
+    shares a parent or digest with one kept before goes, and other rows that share neither with those kept take its place; these
+    are not compared with each other. Every step takes rows by turns of labels. Fewer than `total` in the end is an error. The
+    order must tell rows apart; null parents and digests are values, and a null `preferred` is no preference.
     """
-    ranked = rows.withColumn("_order", F.struct(*[(c if isinstance(c, Column) else F.col(c)).alias(f"o{i}") for i, c in enumerate(order)]))
-    single = ranked
-    for key in (digest, parent):
-        single = single.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("_order"))).where("_k = 1").drop("_k")
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy("_order"))
-    marked = single.withColumn("_place", place).join(quotas.select(stratum, "quota"), stratum, "left")
-    marked = marked.withColumn("_extra", (F.col("_place") > F.coalesce("quota", F.lit(0))).cast("int"))
-    return marked.orderBy("_extra", "_order").limit(target).drop("_order", "_place", "_extra", "quota")
+    if not 0 <= most_preferred <= total:
+        raise ValueError("most_preferred is a part of total")
+    ranked = cut(number_rows(rows.withColumn("_preferred", F.coalesce(preferred, F.lit(False))), order, "_rank"))
+    names = [parent, digest]
+
+    def turns(some: DataFrame, most: int, after: int) -> DataFrame:
+        placed = round_robin(some, label, ["_rank"], "_rank").where(F.col("position") <= most)
+        return cut(placed.withColumn("_seq", F.col("position") + after).drop("position"))
+
+    def unused(chosen: DataFrame) -> DataFrame:
+        left = ranked
+        for k in names:
+            left = left.join(chosen.select(F.col(k).alias(f"_of_{k}")).distinct(), same_keys([k]), "left_anti")
+        return left
+
+    chosen = turns(ranked.where("_preferred"), most_preferred, 0)
+    others = turns(ranked.where("not _preferred"), total - most_preferred, chosen.count())
+    chosen = chosen.unionByName(others)
+    have = chosen.count()
+    if have < total:
+        chosen = chosen.unionByName(turns(unused(chosen), total - have, have))
+    kept = cut(first_by_unique_keys(chosen, names, "_seq"))
+    have = kept.count()
+    if have < total:
+        kept = kept.unionByName(turns(unused(kept), total - have, 2 * total))
+        have = kept.count()
+    if have != total:
+        raise ValueError(f"only {have} of {total} rows")
+    return number_rows(kept, ["_seq"], "position").drop("_preferred", "_rank", "_seq")
 
 
 def pending_first(rows: DataFrame, done: DataFrame, *, key: str, group: str, order: list, k: int) -> DataFrame:

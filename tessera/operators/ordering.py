@@ -88,3 +88,11 @@ def carried_in(ranged: DataFrame, keys: list[str], totals: dict[str, Column], ca
     later = later.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_range").alias("_of__range"), *carried)
     joined = ranged.join(F.broadcast(later), same_keys([*keys, "_range"]), "left")
     return joined.drop("_of__range", *[f"_of_{k}" for k in keys])
+
+
+def rank_in_ranges(rows: DataFrame, keys: list[str], order: list, out: str) -> DataFrame:
+    """`out`: place of a row among those of its keys in the order, from 1, by ranges; the order must tell a key's rows apart."""
+    ranged = in_ranges(rows, keys, order)
+    ranged = ranged.withColumn(out, F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
+    counted = carried_in(ranged, keys, {"_count": F.count("*")}, {"_before": F.sum("_count")})
+    return counted.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_range", "_before")

@@ -187,16 +187,28 @@ def o7(spark, sf):
     return curation.largest_remainder(counted, weight="w", target=31, tie=[place]).select("k", "quota")
 
 
+TURNS = "row_number() OVER (PARTITION BY {part}label ORDER BY doc_id) AS turn, min(doc_id) OVER (PARTITION BY {part}label) AS best"
+
+
 @query(
     "o12_take_with_fallback",
-    """WITH d AS (SELECT doc_id, lang, source || (doc_id % 40) AS parent, sha256(text) AS digest FROM documents), a AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY digest ORDER BY doc_id) = 1),
-            b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY parent ORDER BY doc_id) = 1), m AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) > CASE lang WHEN 'en' THEN 20 WHEN 'es' THEN 1000 ELSE 0 END AS extra FROM b)
-       SELECT doc_id, lang FROM m ORDER BY extra, doc_id LIMIT 90""",
+    f"""WITH RECURSIVE d AS (SELECT doc_id, lang = 'en' AS preferred, source AS label, doc_id % 150 AS parent, sha256(text) AS digest FROM documents),
+            p AS (SELECT *, row_number() OVER (PARTITION BY preferred ORDER BY turn, best, label) AS n FROM (SELECT *, {TURNS.format(part="preferred, ")} FROM d)),
+            a AS (SELECT doc_id, parent, digest, row_number() OVER (ORDER BY preferred DESC, n) AS seq FROM p WHERE n <= CASE WHEN preferred THEN 40 ELSE 60 END),
+            b AS (SELECT doc_id, parent, digest, row_number() OVER (ORDER BY turn, best, label) AS n FROM (SELECT *, {TURNS.format(part="")} FROM d WHERE parent NOT IN (SELECT parent FROM a) AND digest NOT IN (SELECT digest FROM a))),
+            s AS (SELECT * FROM a UNION ALL SELECT doc_id, parent, digest, n + (SELECT count(*) FROM a) FROM b WHERE n <= 100 - (SELECT count(*) FROM a)),
+            m AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ids, CAST([] AS BIGINT[]) AS parents, CAST([] AS VARCHAR[]) AS digests
+                  UNION ALL
+                  SELECT seq, CASE WHEN again THEN ids ELSE list_append(ids, doc_id) END, CASE WHEN again THEN parents ELSE list_append(parents, parent) END, CASE WHEN again THEN digests ELSE list_append(digests, digest) END
+                  FROM (SELECT m.*, s.*, list_contains(parents, parent) OR list_contains(digests, digest) AS again FROM m JOIN s ON seq = i + 1)),
+            k AS (SELECT ids, parents, digests FROM m ORDER BY i DESC LIMIT 1),
+            f AS (SELECT doc_id, row_number() OVER (ORDER BY turn, best, label) AS n FROM (SELECT d.*, {TURNS.format(part="")} FROM d, k WHERE NOT list_contains(parents, parent) AND NOT list_contains(digests, digest)))
+       SELECT unnest(ids) AS doc_id, unnest(range(1, len(ids) + 1)) AS position FROM k UNION ALL SELECT doc_id, n + (SELECT len(ids) FROM k) FROM f WHERE n <= 100 - (SELECT len(ids) FROM k)""",
 )
 def o12(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", "lang", F.concat("source", (F.col("doc_id") % 40).cast("string")).alias("parent"), F.sha2("text", 256).alias("digest"))
-    quotas = spark.createDataFrame([("en", 20), ("es", 1000)], "lang string, quota long")
-    return curation.stratified_take(rows, quotas, stratum="lang", parent="parent", digest="digest", order=["doc_id"], target=90).select("doc_id", "lang")
+    rows = table(spark, sf, "documents").select("doc_id", "lang", F.col("source").alias("label"), (F.col("doc_id") % 150).alias("parent"), F.sha2("text", 256).alias("digest"))
+    taken = curation.take_with_fallback(rows, preferred=F.col("lang") == "en", label="label", parent="parent", digest="digest", order=["doc_id"], total=100, most_preferred=40)
+    return taken.select("doc_id", "position")
 
 
 @query("o15_fixed_windows", "SELECT o_orderkey, CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 100 AS INT) AS window_no FROM orders")

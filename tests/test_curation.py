@@ -173,3 +173,64 @@ def test_orders_over_ranges_and_turns(spark):
         seen[r.g] = seen.get(r.g, 0) + 1
         keys.append((seen[r.g], r.g))
     assert keys == sorted(keys)
+
+
+def plain_take(rows, total, most_preferred):
+    """The loop: turns of labels, a fill, one pass that drops shared parents and digests, another fill."""
+
+    def turns(some):
+        groups = {}
+        for r in sorted(some):
+            groups.setdefault(r[1], []).append(r)
+        out, labels = [], sorted(groups, key=lambda k: (groups[k][0], k))
+        while labels:
+            out += [groups[k].pop(0) for k in labels]
+            labels = [k for k in labels if groups[k]]
+        return out
+
+    def unused(chosen):
+        return [r for r in rows if r[2] not in {c[2] for c in chosen} and r[3] not in {c[3] for c in chosen}]
+
+    chosen = turns([r for r in rows if r[4]])[:most_preferred] + turns([r for r in rows if not r[4]])[: total - most_preferred]
+    chosen += turns(unused(chosen))[: total - len(chosen)]
+    kept, parents, digests = [], set(), set()
+    for r in chosen:
+        if r[2] not in parents and r[3] not in digests:
+            kept.append(r)
+            parents.add(r[2])
+            digests.add(r[3])
+    kept += turns(unused(kept))[: total - len(kept)]
+    return [r[0] for r in kept]
+
+
+def test_take_with_fallback_equals_the_loop(spark):
+    import random
+
+    rng = random.Random(11)
+    for n, parents, digests, total in ((3, 2, 2, 2), (60, 30, 40, 25), (80, 60, 25, 20), (50, 20, 200, 12)):
+        rows = [(i, rng.choice("abc"), f"p{rng.randrange(parents)}", f"d{rng.randrange(digests)}", rng.random() < 0.4) for i in range(n)]
+        if n == 3:  # the second row shares with both others, and goes
+            rows = [(1, "a", "A", "x", False), (2, "a", "A", "y", False), (3, "a", "B", "y", False)]
+        df = spark.createDataFrame(rows, "i long, l string, p string, d string, f boolean")
+        take = lambda: curation.take_with_fallback(df, preferred=F.col("f"), label="l", parent="p", digest="d", order=["i"], total=total, most_preferred=total // 3)
+        want = plain_take(rows, total, total // 3)
+        if len(want) == total:
+            assert [r.i for r in take().orderBy("position").collect()] == want
+        else:
+            with pytest.raises(ValueError):
+                take()
+
+
+def test_first_by_unique_keys_equals_the_loop(spark):
+    import random
+
+    rng = random.Random(12)
+    rows = [(i, rng.choice([None, *range(40)]), rng.randrange(60)) for i in range(200)] + [(200 + i, i // 2, 1000 + (i + 1) // 2) for i in range(30)]
+    kept, seen = [], (set(), set())
+    for i, a, b in rows:
+        if a not in seen[0] and b not in seen[1]:
+            kept.append(i)
+            seen[0].add(a)
+            seen[1].add(b)
+    df = spark.createDataFrame(rows, "i long, a long, b long")
+    assert sorted(r.i for r in curation.first_by_unique_keys(df, ["a", "b"], "i").collect()) == kept
