@@ -19,7 +19,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from .common import Scratch, documents
 
@@ -28,13 +28,29 @@ class CommitConflict(RuntimeError):
     """Another writer has committed this version."""
 
 
+class SchemaConflict(ValueError):
+    """An arrival has a column of the table with another type, or with its name spelled in another case."""
+
+
+def merged_schema(held: StructType | None, new: StructType) -> StructType:
+    """The columns of the table, then those that are new; all may be null, as shards that lack a column have nulls there."""
+    fields = {f.name: f.dataType for f in held.fields} if held else {}
+    spelled = {name.lower(): name for name in fields}
+    for f in new.fields:
+        name = spelled.setdefault(f.name.lower(), f.name)
+        if name != f.name or fields.setdefault(name, f.dataType) != f.dataType:
+            raise SchemaConflict(f"column {f.name} of type {f.dataType.simpleString()} is {name} of type {fields[name].simpleString()} in the table")
+    return StructType([StructField(name, kind, True) for name, kind in fields.items()])
+
+
 class ShardedTable:
     """root/data/<run>/part-*.parquet, root/manifest/<version>.json and root/intent/<run>.
 
     A version lists its shards with their bytes, and those that it took out of the version
     before. An intent stands from before a run is written until its shards are committed or
     given up; `vacuum` leaves such runs alone. Rows keep all their columns, nulls and
-    repetitions; an empty arrival adds a version without shards. Two writers need a file system
+    repetitions; an empty arrival adds a version without shards. The table has the columns of all its
+    arrivals, with nulls where an arrival had none; one with another type is refused. Two writers need a file system
     whose rename without overwriting is atomic, as that of HDFS is.
     """
 
@@ -77,9 +93,10 @@ class ShardedTable:
         for shard in added:
             if not self._fs.exists(self._path(f"{self.root}/{shard['path']}")):
                 raise FileNotFoundError(shard["path"])
-        version, folder = base["version"] + 1, f"{self.root}/manifest"
+        version, folder, writer = base["version"] + 1, f"{self.root}/manifest", uuid.uuid4().hex
+        schema = merged_schema(StructType.fromJson(base["schema"]) if base["schema"] else None, schema)
         shards = [s for s in base["shards"] if s["path"] not in removed] + added
-        content = json.dumps({"version": version, "schema": schema.jsonValue(), "shards": shards, "removed": sorted(removed)})
+        content = json.dumps({"version": version, "schema": schema.jsonValue(), "shards": shards, "removed": sorted(removed), "writer": writer})
         self._fs.mkdirs(self._path(folder))
         draft, final = (self._fs.makeQualified(self._path(f"{folder}/{name}")) for name in (f".{uuid.uuid4().hex}", f"{version:010d}.json"))
         stream = self._fs.create(draft, False)
@@ -90,6 +107,8 @@ class ShardedTable:
         except Exception as error:
             self._fs.delete(draft, False)
             if self._fs.exists(final):
+                if self.manifest(version).get("writer") == writer:
+                    return version  # the rename was done, and only its answer was lost
                 raise CommitConflict(f"version {version} of {self.root} is there") from error
             raise
         return version
@@ -99,7 +118,10 @@ class ShardedTable:
         self._fs.create(self._path(f"{self.root}/intent/{run}"), False).close()
         return run
 
-    def _end(self, run: str, failed: bool = False) -> None:
+    def _end(self, run: str, failed: bool | None = False) -> None:
+        """Take back a run's intent, and its data if it failed; None, where nobody knows whether its commit was made, leaves both to `vacuum`."""
+        if failed is None:
+            return
         if failed:
             self._fs.delete(self._path(f"{self.root}/data/{run}"), True)
         self._fs.delete(self._path(f"{self.root}/intent/{run}"), False)
@@ -112,15 +134,22 @@ class ShardedTable:
 
     def append(self, rows: DataFrame) -> int:
         """One arrival as shards of its own; none of its files is ever changed. If another writer commits first, the shards go into the version after."""
+        held = self.manifest()["schema"]
+        merged_schema(StructType.fromJson(held) if held else None, rows.schema)
         run, failed = self._begin(), True
         try:
             shards = self._write(run, rows)
             for attempt in range(self.attempts):
                 try:
+                    failed = None
                     version = self._commit(self.manifest(), rows.schema, shards)
                     failed = False
                     return version
+                except SchemaConflict:
+                    failed = True
+                    raise
                 except CommitConflict:
+                    failed = True
                     if attempt + 1 == self.attempts:
                         raise
         finally:
@@ -166,9 +195,11 @@ class ShardedTable:
                 reader = self.spark.read.schema(schema)
                 parts = [reader.parquet(*[f"{self.root}/{s['path']}" for s in members]).coalesce(1) for members in runs]
                 merged = self._write(run, functools.reduce(DataFrame.unionAll, parts))
+                failed = None
                 self._commit(base, schema, merged, {s["path"] for members in runs for s in members})
                 failed = False
             except CommitConflict:
+                failed = True
                 lost += 1
                 if lost == self.attempts:
                     raise
