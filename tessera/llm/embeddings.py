@@ -94,21 +94,31 @@ def table_plan(rows: int, bits: int, shares: np.ndarray, recall: float) -> tuple
     return length, rotations(length)
 
 
+def all_pairs(n: int) -> Plan:
+    """One table with one key, and no bits to tell a pair apart by."""
+    return Plan(Tables(1, 1, 1), np.zeros(n), np.zeros((0, n, 1)), 64)
+
+
 def plan_for(sample: np.ndarray, rows: int, threshold: float, recall: float, slack: float) -> Plan:
     """The plan for unit vectors like the sample: substrings' length, rotations, most differing bits of a candidate pair.
 
     The first plan takes the angles to be those before centring; centring widens them where
     vectors share a direction, so pairs made at the threshold are measured for the second. The
-    cut is wide enough for all of them.
+    cut is wide enough for all of them. Where a plan takes more tables than there are vectors (a few of them, or
+    so few components that codes cannot tell them apart) each pair is decided instead, which is less work.
     """
     angle, bits = math.acos(threshold) / math.pi, min(BITS, sample.shape[1])
-    _, count = table_plan(rows, bits, np.array([angle]), recall)
+    substring, count = table_plan(rows, bits, np.array([angle]), recall)
+    if count * (bits // substring) > rows:
+        return all_pairs(sample.shape[1])
     mean, rotations = learn_rotations(sample, min(count, CUT_ROTATIONS))
     centred = sample - mean
     basis = np.linalg.eigh(centred.T @ centred)[1][:, ::-1][:, :bits]
     x, y = pairs_at(sample, threshold, basis)
     shares = differing_bits(x, y, mean, rotations) if len(x) else np.array([angle])
     substring, count = table_plan(rows, bits, shares, recall)
+    if count * (bits // substring) > rows:
+        return all_pairs(sample.shape[1])
     if count > len(rotations):
         mean, rotations = learn_rotations(sample, count)
     rotations = rotations[:count]
@@ -250,7 +260,7 @@ def links_of(scratch: Scratch, nodes: DataFrame, plan: Plan, threshold: float, b
 
 
 def near_vectors(
-    spark: SparkSession, vectors: DataFrame, *, threshold: float = 0.9, recall: float = 0.995, sample_rows: int = 10_000, slack: float = 0.1, whole: int = 1024,
+    spark: SparkSession, vectors: DataFrame, *, threshold: float = 0.9, recall: float = 0.995, sample_rows: int = 10_000, slack: float = 0.1, whole: int = 0,
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of `vectors` (vec_id, embedding).
 
@@ -258,7 +268,7 @@ def near_vectors(
     id hash. `recall` is what the tables are planned for at the threshold itself, by the bits in
     which pairs made at the threshold from the sample differ after centring; more similar pairs
     are found more surely. Vectors of one length are compared with each other, those of
-    different lengths never link; of a length with up to `whole` vectors all pairs are decided.
+    different lengths never link; of a length with up to `whole` vectors (none unless asked for) all pairs are decided.
     Vectors that are null, zero, or hold null or non-finite components link with nothing. Vectors
     are scaled by their greatest component first, so neither tiny nor huge ones under- or
     overflow. Vectors equal after that are one node, each a link of the others. Rows without
@@ -280,7 +290,7 @@ def near_vectors(
     for n, count in sorted(map(tuple, nodes.groupBy("n").count().where("count > 1").collect())):
         own = nodes.where(F.col("n") == n)
         if count <= whole:
-            plan = Plan(Tables(1, 1, 1), np.zeros(n), np.zeros((0, n, 1)), 64)
+            plan = all_pairs(n)
         else:
             picked = own.orderBy(F.xxhash64("id")).limit(sample_rows).select("embedding").toArrow().column("embedding")
             plan = plan_for(fixed_rows(picked).view(np.float64), count, threshold, recall, slack)

@@ -1031,3 +1031,69 @@ def test_repair_equals_plain_loops(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, plain_repair(turns)))
     assert (dropped, 0, 0, 0, 0, 0, 0, "", sha("")) in got
     assert turn_repair.repair_conversations(spark, spark.createDataFrame([], TURNS)).count() == 0
+
+
+# 7 and 8: links through the query itself, and tables whose arrivals differ
+
+
+def test_planted_links_through_the_query(spark, tmp_path):
+    """Isolated pairs at and above the threshold, pairs below it, and a hot group of equal and of near vectors, by the dealt method at every size."""
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x)
+
+    def near(x, cosine):
+        other = unit(rng.normal(size=64))
+        return cosine * x + np.sqrt(1 - cosine**2) * unit(other - (other @ x) * x)
+
+    rows, links = [], 0
+    for k in range(400):
+        x = unit(rng.normal(size=64))
+        cosine = [0.905, 0.93, 0.97, 0.85][k % 4]
+        rows += [x, near(x, cosine)]
+        links += cosine > 0.9
+    hot = unit(rng.normal(size=64))
+    rows += [hot] * 150 + [near(hot, 0.99) for _ in range(150)]
+    table = spark.createDataFrame([(i, [float(v) for v in x], i % 3) for i, x in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    table.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r for r in embeddings.op7_embedding_dedup(spark, str(tmp_path)).collect()}
+    x = np.array(rows)
+    want = x @ x.T >= 0.9
+    np.fill_diagonal(want, False)
+    found = sum(r.n_links for r in got.values())
+    assert found <= want.sum() and found >= 0.99 * want.sum()
+    isolated = sum(got[i].n_links == 1 for i in range(800) if want[i].sum() == 1)
+    assert isolated >= 0.99 * 2 * links and all(got[i].n_links == 0 for i in range(800) if not want[i].any())
+    assert len({got[i].component_id for i in range(800, 1100)}) == 1
+
+
+def test_a_column_that_an_arrival_lacks_keeps_its_values(spark, tmp_path):
+    table = sharding.ShardedTable(spark, f"{tmp_path}/t", fan_in=2)
+    with_note = lambda low: spark.range(low, low + 4).selectExpr("id AS doc_id", "concat('n', id) AS note")
+    without = spark.range(100, 104).selectExpr("id AS doc_id", "id * 2 AS more")
+    for rows in (with_note(0), with_note(10), without, with_note(20)):
+        table.append(rows)
+        table.compact()
+        table.vacuum()
+    got = {r.doc_id: (r.note, r.more) for r in table.read().collect()}
+    assert got == {**{k: (f"n{k}", None) for low in (0, 10, 20) for k in range(low, low + 4)}, **{k: (None, k * 2) for k in range(100, 104)}}
+    before = table.version()
+    for bad in ("id AS doc_id, id AS note", "id AS DOC_ID", "cast(id AS int) AS doc_id"):
+        with pytest.raises(sharding.SchemaConflict):
+            table.append(spark.range(3).selectExpr(*bad.split(", ")))
+    assert table.version() == before and table.read().count() == 16
+
+
+@pytest.mark.parametrize("work", ["append", "compact"])
+def test_a_rename_whose_answer_is_lost_is_a_commit(spark, tmp_path, monkeypatch, work):
+    table = sharding.ShardedTable(spark, f"{tmp_path}/t", fan_in=2)
+    for k in range(3):
+        table.append(spark.range(k * 5, k * 5 + 5).selectExpr("id AS doc_id"))
+    publish = sharding.ShardedTable._publish
+
+    def lost(self, draft, final):
+        publish(self, draft, final)
+        raise OSError("no answer")
+
+    monkeypatch.setattr(sharding.ShardedTable, "_publish", lost)
+    table.append(spark.range(15, 20).selectExpr("id AS doc_id")) if work == "append" else table.compact()
+    assert sorted(r.doc_id for r in table.read().collect()) == list(range(20 if work == "append" else 15))
