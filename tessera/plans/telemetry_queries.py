@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import telemetry
-from ..streaming import state
+from ..streaming import leases, state
 from .catalog import query, table
 
 START, END = F.col, F.col
@@ -120,6 +120,32 @@ def t5(spark, sf):
     return state.claim_leases(held, wanted, now).select("lease_id", "reused")
 
 
+@query(
+    "t5_lease_stream",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'view' THEN ts + INTERVAL 4 HOUR WHEN 'click' THEN ts + INTERVAL 15 MINUTE END AS until, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+            r AS (SELECT user_id, i, event_id, ts, until AS held, event_id::VARCHAR AS uri, 'claimed' AS outcome FROM e WHERE i = 1
+                  UNION ALL
+                  SELECT e.user_id, e.i, e.event_id, e.ts, CASE WHEN e.ts < r.held THEN r.held ELSE e.until END, CASE WHEN e.ts < r.held THEN r.uri ELSE e.event_id::VARCHAR END, CASE WHEN e.ts < r.held THEN 'reused' ELSE 'claimed' END
+                  FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+       SELECT user_id AS lease_id, event_id AS request_id, ts AS at, uri, outcome FROM r
+       UNION ALL SELECT user_id, NULL, held, uri, 'expired' FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1) WHERE held <= (SELECT max(ts) FROM events)""",
+)
+def t5_stream(spark, sf):
+    """Every event asks for its user's lease; views get one for six hours, clicks a pending one, others none that lasts. One batch, so requests come in their order."""
+    from .more_queries import scratch
+
+    root = scratch(spark)
+    asked = events(spark, sf).withColumn("at", F.col("ts").cast("timestamp"))
+    expires = F.when(F.col("event_type") == "view", F.col("at") + F.expr("INTERVAL 6 HOURS"))
+    state_of = F.when(F.col("event_type") == "view", "active").when(F.col("event_type") == "click", "pending").otherwise("failed")
+    asked.select(F.col("user_id").alias("lease_id"), F.col("event_id").alias("request_id"), "at", state_of.alias("state"), expires.alias("expires_at"), F.col("event_id").cast("string").alias("uri")).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(leases.REQUESTS).option("maxFilesPerTrigger", 1_000_000).parquet(f"{root}/in")
+    with leases.keyed_store(spark):
+        query = leases.lease_decisions(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{root}/out").withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query("t6_reservations", "SELECT DISTINCT o_orderkey AS fact_id, CAST(o_custkey AS VARCHAR) AS key, o_orderstatus AS cell FROM orders WHERE o_orderkey % 3 <> 0")
 def t6(spark, sf):
     wanted = table(spark, sf, "orders").select(F.col("o_orderkey").alias("fact_id"), F.col("o_custkey").cast("string").alias("key"), F.col("o_orderstatus").alias("cell"))

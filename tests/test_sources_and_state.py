@@ -303,3 +303,42 @@ def test_digests_by_chunks(spark, tmp_path):
         (tmp_path / name).write_bytes(bytes(i % 251 for i in range(size)))
     got = {r.path.rsplit("/", 1)[-1].replace("%20", " "): r.sha256 for r in readers.file_digests(spark, str(tmp_path), most_whole=100).collect()}
     assert got == {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in tmp_path.iterdir()}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_a_stream_of_leases_equals_a_loop_and_expires_by_itself(spark, tmp_path, zone):
+    """Several batches; a lease that nobody asks for again is given up once other requests have moved the time on."""
+    import random
+
+    from tessera.streaming import leases
+
+    rng, minute = random.Random(3), 60_000_000
+    start, requests = 1_704_067_200_000_000, []
+    for i in range(300):
+        kind = rng.choice(["active", "pending", "failed"])
+        requests.append((rng.choice([1, 2, 3, None]), i, start + i * 7 * minute, kind, rng.choice([None, start + i * 7 * minute + rng.randrange(60, 600) * minute]) if kind == "active" else None, f"u{i}"))
+    requests.insert(0, (9, 1000, start, "active", start + 180 * minute, "lonely"))
+    want, held = [], {}
+    for lease, number, at, kind, expires, uri in requests:
+        if lease not in held or at >= held[lease][0]:
+            ends = [expires - 120 * minute] if expires else []
+            held[lease] = (-1 if kind == "failed" else min([*ends, *([at + 15 * minute] if kind == "pending" else [])], default=2**62), uri)
+            want.append((lease, number, uri, "claimed"))
+        else:
+            want.append((lease, number, held[lease][1], "reused"))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = spark.createDataFrame(requests, "lease_id long, request_id long, at long, state string, expires_at long, uri string")
+        rows = rows.withColumns({"at": F.timestamp_micros("at"), "expires_at": F.timestamp_micros("expires_at")})
+        for k in range(3):
+            rows.where(F.col("request_id").between(k * 100, k * 100 + 99) | (F.lit(k == 0) & (F.col("request_id") == 1000))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(leases.REQUESTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        with leases.keyed_store(spark):
+            query = leases.lease_decisions(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        got = spark.read.parquet(str(tmp_path / "out")).withColumn("at", F.unix_micros("at")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert sorted((r.request_id, r.lease_id or 0, r.uri, r.outcome) for r in got if r.outcome != "expired") == sorted((n, k or 0, u, o) for k, n, u, o in want)
+    assert (9, start + 60 * minute, "lonely") in [(r.lease_id, r.at, r.uri) for r in got if r.outcome == "expired"]
