@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -75,3 +77,27 @@ def complete_lookup(left: DataFrame, right: DataFrame, keys: list[str], *, right
 
     last = keep_first(right, keys, [F.desc(c) if isinstance(c, str) else c for c in right_order]).withColumn("_there", F.lit(True))
     return left.join(last, keys, "left").withColumn("_missing", F.col("_there").isNull()).drop("_there")
+
+
+def table_digest(rows: DataFrame, columns: list[str] | None = None) -> str:
+    """One digest of a whole table: the same for any partitioning and order of rows, changed by any cell, row, repetition, name or type.
+
+    Rows become canonical JSON and its digest; digests are counted, put together by their leading digits, in groups of
+    about a thousand, and the groups' digests again until one is left. Where the order is part of what
+    a table says, a column must hold it. The driver gets the row count and the digest.
+    """
+    names = sorted(columns or rows.columns)
+    row = F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
+    level = rows.select(row.alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    level = level.select("h", F.concat_ws(":", "h", "n").alias("leaf"))
+    digits, count = 0, level.count()
+    while count > 2048 * 16**digits:
+        digits += 1
+    while True:
+        level = level.groupBy(F.substring("h", 1, digits).alias("h")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("leaf")), ""), 256).alias("leaf"))
+        if digits == 0:
+            break
+        digits = max(0, digits - 2)
+    top = level.first()
+    kinds = ",".join(f"{n}:{rows.schema[n].dataType.simpleString()}" for n in names)
+    return hashlib.sha256(f"{kinds}\n{top['leaf'] if top else ''}".encode()).hexdigest()

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .ordering import cut
 
+from .ordering import cut
+
 # The eight leaves, their kinds of fact, slots, parents and operators.
 LEAVES = [
     ("Entity", "EntityExistence", "entity_existence", "existence", "toggle_entity_existence"),
@@ -32,12 +34,62 @@ def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) ->
     return F.coalesce(proper & (a_start <= b_end) & (a_end >= b_start), F.lit(False))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
-    """Rows of equal keys whose closed intervals meet. The keys make it an equality join; the interval is its condition."""
-    on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], *, most: int = 10_000) -> DataFrame:
+    """Rows of equal keys whose closed intervals meet; null keys meet nothing.
+
+    Keys with up to `most` rows on each side are joined by key, with the interval as condition. For the others, whose rows would all
+    meet in one task, time is cut by a grid: see `_grid_join`. Starts and ends are numbers.
+    """
+    hot = None
+    for side in (left, right):
+        many = side.groupBy(*keys).count().where(F.col("count") > most).select(*keys)
+        hot = many if hot is None else hot.unionByName(many)
+    hot = cut(hot.distinct())
+    if hot.isEmpty():
+        return _key_join(left, right, keys, a, b)
+    parts = {how: [side.join(hot, keys, how).select(*side.columns) for side in (left, right)] for how in ("left_anti", "left_semi")}
+    return _key_join(*parts["left_anti"], keys, a, b).unionByName(_grid_join(*parts["left_semi"], keys, a, b))
+
+
+def _key_join(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], further: Column | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in (*keys, *also)]
     met = overlaps(F.col(f"l.{a[0]}"), F.col(f"l.{a[1]}"), F.col(f"r.{b[0]}"), F.col(f"r.{b[1]}"))
+    met = met if further is None else met & further
     joined = left.alias("l").join(right.alias("r"), reduce(lambda x, y: x & y, on) & met)
-    return joined.select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in keys])
+    shown = [F.col(f"l.{c}") for c in left.columns if not c.startswith("_grid_")]
+    return joined.select(*shown, *[F.col(f"r.{c}") for c in right.columns if c not in keys and not c.startswith("_grid_")])
+
+
+def _grid_join(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+    """The same rows by pieces: an interval lies in at most a few pieces of a grid as wide as itself, and the piece in which the later one starts owns a pair.
+
+    Grids are 1, 4, 16, ... times 1/65536 of the whole time wide; a pair is looked for in the wider of its two intervals' own
+    grids, so an interval goes to its own grid and the wider ones that are in use, nine at most.
+    """
+    ends = left.select(*[F.col(c).cast("double").alias(n) for c, n in zip(a, "se")]).unionByName(right.select(*[F.col(c).cast("double").alias(n) for c, n in zip(b, "se")]))
+    some = ends.select(F.explode(F.array("s", "e")).alias("x")).where(F.abs("x") < float("inf"))
+    low, high = some.agg(F.min("x"), F.max("x")).first()
+    if low is None:
+        return _key_join(left, right, keys, a, b)
+    width = max((high - low) / 4**8, 1e-300)
+
+    def own(side: DataFrame, columns: tuple[str, str]) -> DataFrame:
+        start, end = (F.greatest(F.least(F.col(c).cast("double"), F.lit(high)), F.lit(low)) for c in columns)
+        level = F.coalesce(*[F.when(F.col("_grid_e") - F.col("_grid_s") <= width * 4**k, k) for k in range(9)], F.lit(9))
+        return side.where(F.col(columns[1]) >= F.col(columns[0])).withColumns({"_grid_s": start, "_grid_e": end}).withColumn("_grid_own", level)
+
+    sides = [own(left, a), own(right, b)]
+    used = sorted({r[0] for side in sides for r in side.select("_grid_own").distinct().collect()})  # ten at most
+    levels = F.array(*[F.lit(k) for k in used]).cast("array<int>")
+    wide = lambda: F.lit(width) * F.pow(F.lit(4.0), F.col("_grid_level"))
+    pieces = []
+    for side in sides:
+        leveled = side.withColumn("_grid_level", F.explode(F.filter(levels, lambda k: k >= F.col("_grid_own"))))
+        place = lambda c: F.floor((F.col(c) - low) / wide())
+        pieces.append(leveled.withColumn("_grid_piece", F.explode(F.sequence(place("_grid_s"), place("_grid_e")))))
+    later = F.floor((F.greatest("l._grid_s", "r._grid_s") - low) / (F.lit(width) * F.pow(F.lit(4.0), F.col("l._grid_level"))))
+    owned = (F.greatest("l._grid_own", "r._grid_own") == F.col("l._grid_level")) & (later == F.col("l._grid_piece"))
+    return _key_join(*pieces, keys, a, b, owned, ("_grid_level", "_grid_piece"))
 
 
 def first_reason(*checks: tuple[str, Column]) -> Column:

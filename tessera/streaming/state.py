@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.checks import table_digest
 from ..operators.curation import keep_first
 from ..operators.telemetry import lease_reusable
 from ..sources.sinks import _exists, publish_version, read_version, versions
@@ -45,9 +46,10 @@ def reserve_many(state: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.where("_k is null").select("fact_id", "key", "cell")
 
 
-def pending_after_resume(selection: DataFrame, results: DataFrame, key: str, selection_hash: str) -> DataFrame:
-    """Rows of a selection without a finished result under the same selection."""
-    finished = results.where((F.col("selection_hash") == selection_hash) & F.col("state").isin("complete", "completed", "rejected"))
+def pending_after_resume(selection: DataFrame, results: DataFrame, key: str, selection_hash: str | None = None) -> DataFrame:
+    """Rows of a selection without a finished result under the same selection, which is known by its own digest unless told."""
+    digest = table_digest(selection) if selection_hash is None else selection_hash
+    finished = results.where((F.col("selection_hash") == digest) & F.col("state").isin("complete", "completed", "rejected"))
     return selection.join(finished.select(key), key, "left_anti")
 
 
@@ -135,13 +137,14 @@ def guarded_snapshot(events: DataFrame, fold, path: str, checkpoint: str, schema
     return reason_of(last_row())
 
 
-def migrate_resume(selection: DataFrame, results: DataFrame, outputs: DataFrame, key: str, selection_hash: str) -> DataFrame:
+def migrate_resume(selection: DataFrame, results: DataFrame, outputs: DataFrame, key: str, selection_hash: str | None = None) -> DataFrame:
     """The selection with state (completed or pending) and n_outputs carried over from an earlier run, which is only read.
 
     Refused if the earlier run's results are of another selection, if one that is complete is not
     in this selection, or if its outputs repeat an output_id; `results`: key, state,
-    selection_hash; `outputs`: key, output_id.
+    selection_hash; `outputs`: key, output_id. Unless told, the selection is known by its own digest.
     """
+    selection_hash = table_digest(selection) if selection_hash is None else selection_hash
     checks = (
         ("results of another selection", results.where(~F.col("selection_hash").eqNullSafe(F.lit(selection_hash)))),
         ("completed rows outside the selection", results.where("state = 'completed'").join(selection, key, "left_anti")),

@@ -69,3 +69,38 @@ def test_all_reasons_and_gate(spark):
     words = lambda *x: F.array(*[F.lit(w) for w in x])
     gate = facts.evidence_gate(words("a"), words("b"), words("a"), words("a"), F.lit("consistent"))
     assert spark.range(1).select(gate).first()[0] == "supporting modalities must be allowed"
+
+
+def test_overlaps_of_a_hot_key_by_pieces_equal_the_join_by_key(spark):
+    import random
+
+    from tessera.operators import facts
+
+    rng = random.Random(5)
+
+    def rows(n):
+        for i in range(n):
+            start = rng.choice([rng.randrange(1000), rng.random() * 1000, 500.0, None])
+            length = rng.choice([0, rng.random(), 7, 300, -1, float("inf"), None])
+            yield i, rng.choice(["hot", "hot", "hot", "a", None]), start and float(start), None if start is None or length is None else float(start + length)
+
+    left = spark.createDataFrame(list(rows(300)), "i long, k string, s double, e double")
+    right = spark.createDataFrame(list(rows(250)), "j long, k string, s2 double, e2 double")
+    want = sorted((r.i, r.j) for r in facts.overlap_join(left, right, ["k"], ("s", "e"), ("s2", "e2"), most=10**6).collect())
+    for most in (0, 100):
+        got = facts.overlap_join(left, right, ["k"], ("s", "e"), ("s2", "e2"), most=most)
+        assert got.columns == ["i", "k", "s", "e", "j", "s2", "e2"]
+        assert sorted((r.i, r.j) for r in got.collect()) == want and len(want) > 1000
+    one = spark.createDataFrame([(1, "k", 5.0, 5.0)], "i long, k string, s double, e double")
+    assert facts.overlap_join(one, one.toDF("j", "k", "s2", "e2"), ["k"], ("s", "e"), ("s2", "e2"), most=0).count() == 1
+
+
+def test_digest_of_a_table_knows_every_cell_and_no_partitioning(spark):
+    from tessera.operators.checks import table_digest
+
+    rows = [(i, f"t{i}" if i % 5 else None) for i in range(5000)]
+    make = lambda r, names="i long, t string": spark.createDataFrame(r, names)
+    digest = table_digest(make(rows))
+    assert digest == table_digest(make(rows[::-1]).repartition(13)) == table_digest(make(rows).select("t", "i"))
+    others = [make(rows[:-1]), make([*rows, rows[0]]), make([(0, "")] + rows[1:]), make([(0, "t1")] + rows[1:]), make(rows, "i long, u string"), make(rows, "i int, t string"), make([]), make([], "i int, t string")]
+    assert len({digest, *map(table_digest, others)}) == 1 + len(others)
