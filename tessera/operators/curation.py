@@ -6,10 +6,12 @@ matters it is a column that the caller names.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import cut, number_rows, rank_in_ranges, same_keys, turn_positions
+from .ordering import carried_in, cut, in_ranges, number_rows, rank_in_ranges, same_keys, turn_positions
 
 
 def stable_rank(*parts) -> Column:
@@ -159,12 +161,13 @@ def smooth_order(rows: DataFrame, group: str, order: list) -> DataFrame:
     return placed.withColumn("position", F.col("_position") - 1).drop("_group", "_of", "_place", "_n", "_first", "_due", "_position")
 
 
-def greedy_match(edges: DataFrame, *, most_rounds: int = 1000) -> DataFrame:
+def greedy_match(edges: DataFrame, *, more=None, most_rounds: int = 1000) -> DataFrame:
     """addition, removal, cost: each addition in turn (`turn`) takes its cheapest removal still free (ties by `tie`, then removal).
 
     `edges`: addition, turn, removal, cost, tie. Rounds of proposals give the same result as the
     loop: every addition without a removal asks for the cheapest that has not refused it, and a
-    removal holds on to the earliest that has asked. Every round is joins and aggregates.
+    removal holds on to the earliest that has asked. Every round is joins and aggregates. Edges need not be complete: `more(refused)` gives
+    further ones, dearer than those before, of additions that all of theirs have refused, or None where there are none left.
     """
     want = F.struct("cost", "tie", "removal")
     edges = cut(edges)
@@ -177,12 +180,85 @@ def greedy_match(edges: DataFrame, *, most_rounds: int = 1000) -> DataFrame:
         both = cut(asked.join(held, "removal"))
         losers = both.where("addition != holder").select("addition", "removal")
         if losers.isEmpty():
-            return both.select("addition", "removal", "cost")
+            further = more(both.select("addition")) if more else None
+            if further is None:
+                return both.select("addition", "removal", "cost")
+            edges = cut(edges.unionByName(further))
+            continue
         refused = losers if refused is None else refused.unionByName(losers)
         refused = cut(refused) if number % 16 == 0 else refused  # losers come from a table that is cut already
     raise RuntimeError("matching did not settle")
 
 
+def nearest_match(additions: DataFrame, removals: DataFrame, keys: list[str], *, most: int = 2_000, first_ring: int = 4) -> DataFrame:
+    """addition, removal, cost: within equal keys each addition in turn takes the nearest removal still free (ties by removal).
+
+    `additions`: keys, addition, turn, at; `removals`: keys, removal, at; places are whole numbers, the cost is their distance. An addition takes
+    something while anything is free, so of a key's additions only the first take part, as many as
+    it has removals. Keys with up to `most` removals run the loop in a task; in larger ones additions propose to removals by
+    `greedy_match`, from a ring of neighbours in the order of places; only those that all of
+    their ring have refused get a wider one, so the pairs looked at grow with the rows. Null keys match nothing.
+    """
+    supply = cut(removals.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_supply")))
+    ranked = rank_in_ranges(additions.select(*keys, "addition", "turn", "at"), keys, ["turn", "addition"], "_rank")
+    asking = cut(ranked.join(supply, keys).where(F.col("_rank") <= F.col("_supply")).drop("_rank"))
+    free = removals.select(*keys, "removal", "at").join(supply, keys)
+    small, large = F.col("_supply") <= most, F.col("_supply") > most
+
+    def loop(_, asked: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
+        offered = offered.sort_values("removal")
+        at, names, out = offered["at"].to_numpy(), offered["removal"].to_numpy(), []
+        for addition, place in asked.sort_values(["turn", "addition"])[["addition", "at"]].itertuples(index=False):
+            k = int(np.argmin(np.abs(at - place)))  # the first of equals, so the least name
+            out.append((addition, names[k], abs(int(at[k]) - place)))
+            at, names = np.delete(at, k), np.delete(names, k)
+        return pd.DataFrame(out, columns=["addition", "removal", "cost"])
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"addition {kind(additions, 'addition')}, removal {kind(removals, 'removal')}, cost long"
+    local = asking.where(small).groupBy(*keys).cogroup(free.where(small).groupBy(*keys)).applyInPandas(loop, schema)
+    if supply.where(large).isEmpty():
+        return local
+    return local.unionByName(_match_by_rings(asking.where(large), free.where(large), keys, first_ring).select("addition", "removal", F.col("cost").cast("long").alias("cost")))
+
+
+def _match_by_rings(asking: DataFrame, free: DataFrame, keys: list[str], first_ring: int) -> DataFrame:
+    """`nearest_match` of keys whose rows no task should hold."""
+    index = cut(rank_in_ranges(free, keys, ["at", "removal"], "_place").select(*keys, "removal", F.col("at").alias("_to"), (F.col("_place") - 1).alias("_place")))
+    both = asking.select(*keys, "at", F.lit(0).alias("_side"), "addition", "turn", "_supply").unionByName(free.select(*keys, "at", F.lit(1).alias("_side"), F.lit(None).alias("addition"), F.col("removal").cast("long").alias("turn"), "_supply"))
+    ranged = in_ranges(both, keys, ["at", "_side", "turn", "addition"])
+    upto = Window.partitionBy(*keys, "_range").orderBy("at", "_side", "turn", "addition").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranged = carried_in(ranged.withColumn("_here", F.count_if(F.col("_side") == 1).over(upto)), keys, {"_n": F.count_if(F.col("_side") == 1)}, {"_earlier": F.sum("_n")})
+    placed = cut(ranged.where("_side = 0").select(*keys, "addition", "turn", "at", "_supply", (F.col("_here") + F.coalesce("_earlier", F.lit(0))).alias("_first")))
+
+    def ring(some: DataFrame, width: int) -> DataFrame:
+        """Edges to the neighbours up to `width` places on each side that are nearer than all beyond them."""
+        low, high = F.greatest(F.col("_first") - width, F.lit(0)), F.least(F.col("_first") + width, F.col("_supply")) - 1
+        near = some.withColumns({"_low": low, "_high": high}).withColumn("_place", F.explode(F.sequence("_low", "_high")))
+        near = near.join(index, [*keys, "_place"]).withColumn("cost", F.abs(F.col("at") - F.col("_to")))
+        edge = F.when((F.col("_place") == F.col("_low")) & (F.col("_low") > 0), F.col("cost"))
+        edge = F.coalesce(edge, F.when((F.col("_place") == F.col("_high")) & (F.col("_high") < F.col("_supply") - 1), F.col("cost")))
+        bound = near.groupBy("addition").agg(F.min(edge).alias("_bound"))
+        sure = near.join(bound, "addition").where(F.col("_bound").isNull() | (F.col("cost") < F.col("_bound")))
+        return sure.select("addition", "turn", "removal", "cost", F.lit(0).alias("tie"))
+
+    most, state = asking.agg(F.max("_supply")).first()[0], {"width": first_ring, "told": None}
+
+    def more(served: DataFrame) -> DataFrame | None:
+        """A wider ring for those without a removal who have not been told of all removals yet."""
+        waiting = placed.join(served.select("addition"), "addition", "left_anti")
+        waiting = cut(waiting if state["told"] is None else waiting.join(state["told"], "addition", "left_anti"))
+        if waiting.isEmpty():
+            return None
+        state["width"] = min(4 * state["width"], most)
+        if state["width"] == most:
+            told = waiting.select("addition")
+            state["told"] = told if state["told"] is None else cut(state["told"].unionByName(told))
+        return ring(waiting, state["width"])
+
+    return greedy_match(ring(placed, first_ring), more=more)
+
+
 def match_cost(aspect, duration, pixels, size, orientation) -> Column:
     """Cost of pairs (addition, removal) of columns: 10 if orientations differ, and weighted absolute logs of ratios."""
     gap = lambda pair, least: F.abs(F.log(F.greatest(pair[0], F.lit(least)) / F.greatest(pair[1], F.lit(least))))

@@ -194,12 +194,11 @@ def j7(spark, sf):
        SELECT addition, got.removal AS removal, got.cost AS cost FROM m WHERE got IS NOT NULL""",
 )
 def j12(spark, sf):
-    # Pairs meet in cells of nation and balance; a customer has its turn by key.
-    cell = lambda nation, balance: [F.col(nation).alias("nation"), F.floor(F.col(balance) / 2500).alias("balance")]
-    additions = table(spark, sf, "customer").select(F.col("c_custkey").alias("addition"), F.col("c_custkey").alias("turn"), "c_acctbal", *cell("c_nationkey", "c_acctbal"))
-    removals = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("removal"), "s_acctbal", *cell("s_nationkey", "s_acctbal"))
-    edges = additions.join(removals, ["nation", "balance"])
-    return curation.greedy_match(edges.select("addition", "turn", "removal", F.round(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), 2).alias("cost"), F.lit(0).alias("tie")))
+    # Pairs meet in cells of nation and balance; a customer has its turn by key. Balances are in cents.
+    cell = lambda nation, balance: [F.col(nation).alias("nation"), F.floor(F.col(balance) / 2500).alias("balance"), F.round(F.col(balance) * 100).cast("long").alias("at")]
+    additions = table(spark, sf, "customer").select(F.col("c_custkey").alias("addition"), F.col("c_custkey").alias("turn"), *cell("c_nationkey", "c_acctbal"))
+    removals = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("removal"), *cell("s_nationkey", "s_acctbal"))
+    return curation.nearest_match(additions, removals, ["nation", "balance"]).withColumn("cost", F.col("cost") / 100)
 
 
 @query(

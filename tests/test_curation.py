@@ -234,3 +234,22 @@ def test_first_by_unique_keys_equals_the_loop(spark):
             seen[1].add(b)
     df = spark.createDataFrame(rows, "i long, a long, b long")
     assert sorted(r.i for r in curation.first_by_unique_keys(df, ["a", "b"], "i").collect()) == kept
+
+
+def test_nearest_match_by_loops_and_by_rings_equals_the_loop(spark):
+    import random
+
+    rng = random.Random(14)
+    for wide in (5, 100_000):
+        additions = [(rng.choice(["hot", "hot", "a", None]), i, rng.randrange(1000), rng.randrange(wide)) for i in range(70)]
+        removals = [(rng.choice(["hot", "hot", "a", "b"]), 1000 + i, rng.randrange(wide)) for i in range(40)]
+        want, free = [], {r[1]: r for r in removals}
+        for key, a, _, at in sorted(additions, key=lambda r: (r[2], r[1])):
+            best = min(((abs(r[2] - at), n) for n, r in free.items() if r[0] == key and key), default=None)
+            if best:
+                del free[best[1]]
+                want.append((a, best[1], best[0]))
+        left = spark.createDataFrame(additions, "k string, addition long, turn long, at long")
+        right = spark.createDataFrame(removals, "k string, removal long, at long")
+        for most in (10**6, 0):
+            assert sorted(map(tuple, curation.nearest_match(left, right, ["k"], most=most, first_ring=2).collect())) == sorted(want)
