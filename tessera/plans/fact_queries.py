@@ -36,12 +36,19 @@ def j9(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", facts.overlaps(c("l_discount"), c("l_tax"), c("l_linenumber"), c("l_quantity")).alias("met"))
 
 
-@query("j11_taxonomy_consistency", "SELECT unnest(['CameraPredicate', 'EntityQuantity']) AS leaf")
+@query(
+    "j11_taxonomy_consistency",
+    """WITH b AS (SELECT p_partkey % 500 AS leaf, min(p_brand) AS fact_kind, min(p_type) AS slot FROM part GROUP BY 1), p AS (SELECT * FROM b WHERE leaf IN (SELECT l_partkey % 500 FROM lineitem WHERE l_quantity > 45)),
+            o AS (SELECT p_partkey % 500 AS leaf, min(p_brand) AS fact_kind, min(p_type) FILTER (p_size > 5) AS slot FROM part GROUP BY 1)
+       SELECT b.leaf FROM b LEFT JOIN p ON p.leaf = b.leaf AND p.fact_kind = b.fact_kind AND p.slot = b.slot LEFT JOIN o ON o.leaf = b.leaf AND o.fact_kind = b.fact_kind AND o.slot = b.slot WHERE p.leaf IS NULL OR o.leaf IS NULL""",
+)
 def j11(spark, sf):
-    base = facts.leaves(spark).select("leaf", "fact_kind", "slot")
-    plan = base.where("leaf <> 'CameraPredicate'")
-    operators = base.withColumn("slot", F.when(F.col("leaf") == "EntityQuantity", "number").otherwise(F.col("slot")))
-    return facts.taxonomy_mismatches(base, plan, operators)
+    """A taxonomy of parts against the plan of the lines and operators of the larger parts."""
+    part = table(spark, sf, "part").withColumn("leaf", F.col("p_partkey") % 500)
+    base = part.groupBy("leaf").agg(F.min("p_brand").alias("fact_kind"), F.min("p_type").alias("slot"))
+    lines = table(spark, sf, "lineitem").where("l_quantity > 45").select((F.col("l_partkey") % 500).alias("leaf")).distinct()
+    operators = part.groupBy("leaf").agg(F.min("p_brand").alias("fact_kind"), F.min(F.when(F.col("p_size") > 5, F.col("p_type"))).alias("slot"))
+    return facts.taxonomy_mismatches(base, base.join(lines, "leaf", "left_semi"), operators)
 
 
 KINDS = "['entity_existence', 'entity_category', 'entity_quantity', 'attribute_value', 'static_relation', 'action_predicate', 'temporal_relation', 'camera_predicate']"

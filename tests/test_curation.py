@@ -253,3 +253,20 @@ def test_nearest_match_by_loops_and_by_rings_equals_the_loop(spark):
         right = spark.createDataFrame(removals, "k string, removal long, at long")
         for most in (10**6, 0):
             assert sorted(map(tuple, curation.nearest_match(left, right, ["k"], most=most, first_ring=2).collect())) == sorted(want)
+
+
+def test_ten_thousand_kinds_keep_quotas_and_come_near_their_targets():
+    import itertools
+    import time
+
+    rng = random.Random(15)
+    kinds = {k: rng.choice([1, 2, 5, 400]) for k in rng.sample(list(itertools.combinations_with_replacement("abcdefghijklmnop", 5)), 10_000)}
+    began = time.perf_counter()
+    held = splits.kind_counts(kinds)
+    assert time.perf_counter() - began < 60
+    assert all(sum(held[k]) == n and min(held[k]) >= 0 for k, n in kinds.items())
+    assert [sum(c[i] for c in held.values()) for i in range(3)] == splits.size_quotas({5: sum(kinds.values())})[5]
+    totals = {leaf: sum(n * k.count(leaf) for k, n in kinds.items()) for leaf in "abcdefghijklmnop"}
+    for leaf, total in totals.items():
+        got = [sum(held[k][i] * k.count(leaf) for k in kinds) for i in range(3)]
+        assert all(abs(g - total * s) <= 3 for g, s in zip(got, splits.SHARES, strict=True))
