@@ -284,7 +284,11 @@ def text_of(leaves: str = "leaves"):
 
 
 def with_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
-    """`rows` (documents or stored trees) with the edits (doc_id, ordinal, at, removed, inserted) of each doc_id as an array, in order."""
+    """`rows` (documents or stored trees) with the edits (doc_id, ordinal, at, removed, inserted) of each doc_id as an array, in order.
+
+    Edits of one ordinal follow by place, then by what they remove and insert, so repeated ones are made each. Rows that share a doc_id
+    all get its edits; a row or an edit without a doc_id matches nothing, and such a row has none.
+    """
     listed = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "at", "removed", "inserted"))).alias("_e"))
     listed = listed.select("doc_id", F.transform("_e", lambda e: F.struct(e["at"].alias("at"), e["removed"].alias("removed"), e["inserted"].alias("inserted"))).alias("edits"))
     return rows.join(listed, "doc_id", "left")
