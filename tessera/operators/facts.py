@@ -92,6 +92,17 @@ def _grid_join(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str,
     return _key_join(*pieces, keys, a, b, owned, ("_grid_level", "_grid_piece"))
 
 
+def repair_nested(value: Column, *, drop: list[str] = (), put: dict[str, Column] | None = None) -> Column:
+    """A struct without the fields of `drop`, and with those of `put` set to new values: what an older layout lacks or must not have.
+
+    A null struct stays null. Dotted names reach into structs below; a field of `drop` that is not there is no error.
+    """
+    out = value.dropFields(*drop) if drop else value
+    for name, column in (put or {}).items():
+        out = out.withField(name, column)
+    return out
+
+
 def first_reason(*checks: tuple[str, Column]) -> Column:
     """Name of the first check that fails (false or null), or null: a chain in order."""
     chain = F.when(~F.coalesce(checks[0][1], F.lit(False)), checks[0][0])

@@ -114,12 +114,22 @@ def s2b(spark, sf):
     return readers.read_json_values(spark, path).select(F.to_json("value").alias("value"))
 
 
-@query("s3_k3_document", "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS ordinal, s_suppkey, s_name FROM supplier")
+@query("s3_k3_document", "SELECT s_nationkey AS nation, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS ordinal, s_suppkey, s_name FROM supplier")
 def s3(spark, sf):
-    path = f"{scratch(spark)}/document"
-    rows = table(spark, sf, "supplier").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("videos"))
-    rows.coalesce(1).write.json(path)
-    return readers.read_document_rows(spark, path, "videos", "s_suppkey long, s_name string").withColumn("ordinal", F.col("ordinal").cast("long"))
+    """A document for each nation, as a file of its own; `ordinal` is a row's place in its document."""
+    path = f"{scratch(spark)}/documents"
+    rows = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("videos"))
+    rows.repartition("nation").write.partitionBy("nation").json(path)
+    read = readers.read_document_rows(spark, path, "videos", "s_suppkey long, s_name string", also=["nation"])
+    return read.withColumns({"ordinal": F.col("ordinal").cast("long"), "nation": F.col("nation").cast(rows.schema["nation"].dataType)})
+
+
+@query("k3_pretty_document", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def k3(spark, sf):
+    """A small table as one readable document, written by the driver and read as JSON of several lines."""
+    path, nations = f"{scratch(spark)}/nations.json", table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    sinks.write_document(nations, path)
+    return spark.read.schema(nations.schema).json(path, multiLine=True)
 
 
 @query("s5_last_by_label", "SELECT p_brand AS label, CAST(p_size AS VARCHAR) AS filename, CAST(max(p_partkey) AS VARCHAR) AS part FROM part GROUP BY 1, 2")

@@ -151,7 +151,7 @@ def p28(spark, sf):
 @query("p29_nested_repair", "SELECT doc_id, CASE WHEN toxic = 1 THEN NULL ELSE lang END AS lang, greatest(0, quality - 1) AS attempts FROM documents JOIN labels USING (doc_id)")
 def p29(spark, sf):
     joined = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").withColumn("r", F.struct("lang", "source", "quality"))
-    fixed = F.col("r").dropFields("source").withField("lang", F.when(F.col("toxic") == 0, F.col("r.lang"))).withField("attempts", F.greatest(F.lit(0), F.col("r.quality") - 1))
+    fixed = facts.repair_nested(F.col("r"), drop=["source"], put={"lang": F.when(F.col("toxic") == 0, F.col("r.lang")), "attempts": F.greatest(F.lit(0), F.col("r.quality") - 1)})
     return joined.select("doc_id", fixed.alias("r")).select("doc_id", "r.lang", "r.attempts")
 
 

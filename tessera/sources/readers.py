@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
 def _schema(schema: str | StructType) -> StructType:
@@ -49,10 +49,10 @@ def read_json_values(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.try_parse_json("value").alias("value")).where("value is not null")
 
 
-def read_document_rows(spark: SparkSession, path: str, field: str, schema: str | StructType) -> DataFrame:
-    """The rows of a JSON document's array `field`, with `ordinal`, their place in it."""
-    whole = spark.read.schema(StructType().add(field, ArrayType(_schema(schema)))).json(path, multiLine=True)
-    return whole.select(F.posexplode(field).alias("ordinal", "r")).select("ordinal", "r.*")
+def read_document_rows(spark: SparkSession, path: str, field: str, schema: str | StructType, *, also: list[str] = ()) -> DataFrame:
+    """The rows of the array `field` of JSON documents, one a file, with `ordinal`, their place in it; `also`: columns that folders name."""
+    whole = spark.read.schema(StructType([StructField(field, ArrayType(_schema(schema))), *[StructField(c, StringType()) for c in also]])).json(path, multiLine=True)
+    return whole.select(*also, F.posexplode(field).alias("ordinal", "r")).select(*also, "ordinal", "r.*")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
