@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import atexit
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the library's own as the driver ends, if its session still runs then."""
+
+    def remove() -> None:
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session has ended first
+            pass
+
+    atexit.register(remove)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """`df`, written to the checkpoint folder; one in the warehouse is named where the cluster names none."""
+    """`df`, written to the checkpoint folder; one in the warehouse is named where the cluster names none, and goes at exit."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/tessera-checkpoints")
+        remove_at_exit(df.sparkSession, context.getCheckpointDir())
     return df.checkpoint()
 
 

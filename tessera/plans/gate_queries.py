@@ -178,6 +178,24 @@ def s9(spark, sf):
     return listed.join(readers.file_digests(spark, f"{root}/files"), "path").select(F.regexp_replace(name, "%20", " ").alias("name"), "sha256", "length")
 
 
+@query(
+    "s14_verified_policies",
+    """SELECT 'rule=' || n_nationkey AS folder, CASE WHEN n_nationkey % 5 = 0 THEN 'digest differs' WHEN n_nationkey % 7 = 1 THEN 'unexpected' END AS problem, CASE WHEN n_nationkey % 5 <> 0 AND n_nationkey % 7 <> 1 THEN n_name || chr(10) END AS content FROM nation
+       UNION ALL SELECT 'rule=' || (1000 + r_regionkey), 'missing', NULL FROM region""",
+)
+def s14(spark, sf):
+    """A policy of one file a nation, of which the table knows some, and others wrongly; it also knows files that are not there."""
+    root, nations = f"{scratch(spark)}/policy", table(spark, sf, "nation")
+    nations.select(F.col("n_nationkey").alias("rule"), "n_name").repartition("rule").write.partitionBy("rule").text(root)
+    named = readers.list_files(spark, root, ["txt"]).select(F.regexp_extract("path", "(rule=[0-9]+/[^/]+)$", 1).alias("name"))
+    key = F.regexp_extract("name", "rule=([0-9]+)/", 1).cast("long")
+    digest = F.sha2(F.concat(F.when(key % 5 == 0, F.lit("changed ")).otherwise(""), "n_name", F.lit("\n")), 256)
+    known = named.withColumn("n_nationkey", key).where("n_nationkey % 7 <> 1 or n_nationkey % 5 = 0").join(nations, "n_nationkey").select("name", digest.alias("sha256"))
+    absent = table(spark, sf, "region").select(F.concat(F.lit("rule="), F.col("r_regionkey") + 1000, F.lit("/x.txt")).alias("name"), F.sha2("r_name", 256).alias("sha256"))
+    checked = readers.verified_files(spark, root, known.unionByName(absent))
+    return checked.select(F.regexp_extract("name", "^([^/]+)/", 1).alias("folder"), "problem", F.decode("content", "UTF-8").alias("content"))
+
+
 @query("k7_k8_staged_release", "SELECT r_regionkey, r_name FROM region WHERE r_regionkey > 1")
 def k8(spark, sf):
     path, regions = f"{scratch(spark)}/release", table(spark, sf, "region")

@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from ..functions.json_schema import schema_violation
 from ..operators import curation, facts
+from ..operators.ordering import remove_at_exit
 from ..sources import readers, sinks
 from ..streaming import state
 from .catalog import query, table
 
 
 def scratch(spark) -> str:
-    """A folder of its own below the one that driver and executors share."""
+    """A folder of its own below the one that driver and executors share; it goes as the driver ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    remove_at_exit(spark, path)
+    return path
 
 
 @query("p1_public_projection", "SELECT '1' AS schema_version, o_orderkey AS pair_id, o_custkey AS media, o_orderstatus AS task_type, o_orderpriority AS question, 'a' AS answer, 'b' AS counterfactual_answer, 'l' AS leaf_label, 's' AS conflict_slot FROM orders")

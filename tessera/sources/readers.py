@@ -196,6 +196,31 @@ def load_verified(path: str, digest: str) -> bytes:
     return content
 
 
+def verified_files(spark: SparkSession, root: str, expected: DataFrame) -> DataFrame:
+    """name, content, sha256, problem: files below the root against a policy table `expected` (name, sha256).
+
+    A name is a file's path below the root. Problems: `missing`, `digest differs`, or `unexpected` for a file that the table
+    does not know; content is given only where there is none. A name that the table repeats is checked each time.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
+    found = files.select(F.expr("substring(path, {})".format(len(base) + 1)).alias("_name"), "content", F.sha2("content", 256).alias("_found"))
+    both = expected.select("name", "sha256").join(found, F.col("name") == F.col("_name"), "full")
+    problem = F.when(F.col("_name").isNull(), "missing").when(F.col("name").isNull(), "unexpected").when(~F.col("sha256").eqNullSafe(F.col("_found")), "digest differs")
+    both = both.withColumn("problem", problem)
+    return both.select(F.coalesce("name", "_name").alias("name"), F.when(F.col("problem").isNull(), F.col("content")).alias("content"), F.col("_found").alias("sha256"), "problem")
+
+
+def load_policies(spark: SparkSession, root: str, expected: DataFrame) -> DataFrame:
+    """name, content as text: all files of a policy, none of which may be missing, changed or unknown."""
+    checked = verified_files(spark, root, expected)
+    wrong = checked.where("problem is not null").select("name", "problem").limit(5).collect()
+    if wrong:
+        raise ValueError("policy: " + ", ".join(f"{r['name']}: {r['problem']}" for r in wrong))
+    return checked.select("name", F.decode("content", "UTF-8").alias("content"))
+
+
 def yaml_rows(spark: SparkSession, text: str, schema: str) -> DataFrame:
     """Rows of a YAML list of mappings (a small configuration)."""
     try:

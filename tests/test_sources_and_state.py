@@ -342,3 +342,23 @@ def test_a_stream_of_leases_equals_a_loop_and_expires_by_itself(spark, tmp_path,
         spark.conf.set("spark.sql.session.timeZone", before)
     assert sorted((r.request_id, r.lease_id or 0, r.uri, r.outcome) for r in got if r.outcome != "expired") == sorted((n, k or 0, u, o) for k, n, u, o in want)
     assert (9, start + 60 * minute, "lonely") in [(r.lease_id, r.at, r.uri) for r in got if r.outcome == "expired"]
+
+
+def test_policies_are_loaded_whole_or_not_at_all(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "sub").mkdir()
+    files = {"a.yaml": "x: 1\n", "sub/b.json": "{}\n"}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    rows = [(n, hashlib.sha256(t.encode()).hexdigest()) for n, t in files.items()]
+    table = lambda r: spark.createDataFrame(r, "name string, sha256 string")
+    assert {r.name: r.content for r in readers.load_policies(spark, str(tmp_path), table(rows)).collect()} == files
+    for bad in (rows[:1], [*rows, ("c", "0")], [(rows[0][0], "0"), rows[1]], [(rows[0][0], None), rows[1]]):
+        with pytest.raises(ValueError):
+            readers.load_policies(spark, str(tmp_path), table(bad))
+
+
+def test_yaml_rows(spark):
+    pytest.importorskip("yaml")
+    assert [tuple(r) for r in readers.yaml_rows(spark, "- {a: 1, b: x}\n- {a: 2}\n", "a int, b string").collect()] == [(1, "x"), (2, None)]
