@@ -41,8 +41,9 @@ def _first(checks: list[Column]) -> Column:
 class _Node:
     """A value, what kind it is, and where it stands."""
 
-    def __init__(self, value: Column, kind: Column, path: Column):
+    def __init__(self, value: Column, kind: Column, path: Column, members: dict[str, Column] | None = None):
         self.value, self.kind, self.path = value, kind, path
+        self.members = members or {}  # structs (v, k) of members that the schema asks for, taken out once
 
     def of(self, *kinds: str) -> Column:
         return self.kind.isin(*kinds)
@@ -65,9 +66,14 @@ class _Node:
         return F.try_variant_get(self.value, f"$['{name}']", "variant")
 
 
-def _below(value: Column, path: Column, body: Callable[[_Node], Column]) -> Column:
-    kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
-    return _let(F.struct(value.alias("v"), kind.alias("k")), lambda s: body(_Node(s["v"], s["k"], path)))
+def _kind(value: Column) -> Column:
+    return F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
+
+
+def _below(value: Column, path: Column, body: Callable[[_Node], Column], names: list[str] = ()) -> Column:
+    whole = _Node(value, None, path)
+    taken = [_let(whole.member(name), lambda v: F.struct(v.alias("v"), _kind(v).alias("k"))).alias(f"m{i}") for i, name in enumerate(names)]
+    return _let(F.struct(value.alias("v"), _kind(value).alias("k"), *taken), lambda s: body(_Node(s["v"], s["k"], path, {name: s[f"m{i}"] for i, name in enumerate(names)})))
 
 
 def _equals(node: _Node, want: object) -> Column:
@@ -109,7 +115,35 @@ class _Compiler:
 
     def within(self, value: Column, path: Column, schema: dict | bool) -> Column:
         """The violation of a value that may be missing."""
-        return F.when(value.isNotNull(), _below(value, path, lambda n: self.check(n, schema)))
+        return F.when(value.isNotNull(), self.below(value, path, schema))
+
+    def below(self, value: Column, path: Column, schema: dict | bool) -> Column:
+        return _below(value, path, lambda n: self.check(n, schema), self.names(schema, []))
+
+    def names(self, schema: dict | bool, seen: list) -> list[str]:
+        """The members that a schema asks for by name, in all its parts that look at the same value."""
+        if isinstance(schema, bool) or any(schema is x for x in seen):
+            return []
+        seen.append(schema)
+        parts = [*(schema.get(k, ()) for k in ("allOf", "anyOf", "oneOf"))]
+        parts = [p for some in parts for p in some] + [schema[k] for k in ("not", "if", "then", "else") if k in schema]
+        if "$ref" in schema:
+            parts.append(self.target(schema["$ref"]))
+        own = [*schema.get("properties", ()), *schema.get("required", ())]
+        return list(dict.fromkeys([*own, *(n for p in parts for n in self.names(p, seen))]))
+
+    def target(self, name: str) -> dict | bool:
+        out = self.root
+        for step in name.removeprefix("#").strip("/").split("/") if name != "#" else []:
+            out = out[step.replace("~1", "/").replace("~0", "~")]
+        return out
+
+    def member(self, node: _Node, name: str, path: Column, schema: dict | bool) -> Column:
+        """The violation of a member that may be missing."""
+        if name not in node.members or (not isinstance(schema, bool) and self.names(schema, [])):
+            return self.within(node.members[name]["v"] if name in node.members else node.member(name), path, schema)
+        taken = node.members[name]
+        return F.when(taken["v"].isNotNull(), self.check(_Node(taken["v"], taken["k"], path), schema))
 
     def _when(self, node: _Node, kinds: tuple[str, ...], broken: Column, rule: str) -> list[Column]:
         return [F.when(node.of(*kinds) & broken, _fail(node.path, rule))]
@@ -117,12 +151,9 @@ class _Compiler:
     def _ref(self, node, name, _):
         if name in self.open:
             raise ValueError(f"a schema that contains itself: {name}")
-        target = self.root
-        for step in name.removeprefix("#").strip("/").split("/") if name != "#" else []:
-            target = target[step.replace("~1", "/").replace("~0", "~")]
         self.open.append(name)
         try:
-            return [self.check(node, target)]
+            return [self.check(node, self.target(name))]
         finally:
             self.open.pop()
 
@@ -173,7 +204,7 @@ class _Compiler:
         return self._when(node, ("STRING",), ~node.string().rlike(pattern), "pattern")
 
     def _required(self, node, names, _):
-        return [F.when(node.of("OBJECT") & node.member(name).isNull(), _fail(F.concat(node.path, F.lit(f".{name}")), "required")) for name in names]
+        return [F.when(node.of("OBJECT") & (node.members[name]["v"] if name in node.members else node.member(name)).isNull(), _fail(F.concat(node.path, F.lit(f".{name}")), "required")) for name in names]
 
     def _minProperties(self, node, least, _):
         return self._when(node, ("OBJECT",), F.size(node.map()) < least, "minProperties")
@@ -182,7 +213,7 @@ class _Compiler:
         return self._when(node, ("OBJECT",), F.size(node.map()) > most, "maxProperties")
 
     def _properties(self, node, properties, _):
-        return [F.when(node.of("OBJECT"), self.within(node.member(name), F.concat(node.path, F.lit(f".{name}")), schema)) for name, schema in properties.items()]
+        return [F.when(node.of("OBJECT"), self.member(node, name, F.concat(node.path, F.lit(f".{name}")), schema)) for name, schema in properties.items()]
 
     def _entries(self, node, entries: Column, schema) -> Column:
         """The first violation among entries of a map, by key."""
@@ -269,4 +300,4 @@ def schema_violation(value: Column, schema: dict | bool | str) -> Column:
     """
     schema = json.loads(schema) if isinstance(schema, str) else schema
     compiler, path = _Compiler(schema), F.lit("$")
-    return F.when(value.isNull(), _fail(path, "json")).otherwise(_below(value, path, lambda n: compiler.check(n, schema)))
+    return F.when(value.isNull(), _fail(path, "json")).otherwise(compiler.below(value, path, schema))
