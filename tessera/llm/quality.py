@@ -140,8 +140,8 @@ def covariance_estimates(scratch: Scratch, rows: DataFrame, *, h: float = 0.75,
     """Minimum-covariance-determinant estimates of each group of `rows` (group and the features).
 
     From each start the share `h` of a group with the least distances gives the first
-    covariance; concentration steps follow until no group's log determinant moves by more
-    than `settled`, and the start with the least one wins. The quantiles are mergeable sketches.
+    covariance; concentration steps follow until a start's log determinant moves by no more
+    than `settled`, after which its rows are left alone, and the start with the least one wins. The quantiles are mergeable sketches.
     """
     keys = ["group", "start"]
     n = rows.agg(F.approx_count_distinct("group", 0.01)).first()[0] * 2 * len(STARTS)
@@ -152,15 +152,19 @@ def covariance_estimates(scratch: Scratch, rows: DataFrame, *, h: float = 0.75,
         return scratch.cut(_moments(inside.select(*keys, *NAMES), keys))
 
     started = scratch.cut(_starts(scratch, rows, n, accuracy))
-    estimate = concentrated(started)
+    moving, estimate = concentrated(started), None
     each = started.select(*keys, *NAMES)
-    for _ in range(most_steps):
-        following = concentrated(_distance(each, estimate, keys, n).select(*keys, *NAMES, "d2"))
-        moved = following.join(estimate.select(*keys, F.col("logdet").alias("was")), keys).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
-        scratch.free(estimate)
-        estimate = following
-        if not moved or moved <= settled:
+    for step in range(most_steps):
+        following = concentrated(_distance(each, moving, keys, n).select(*keys, *NAMES, "d2"))
+        moved = F.abs(F.col("logdet") - F.col("was")) > settled
+        known = scratch.cut(following.join(moving.select(*keys, F.col("logdet").alias("was")), keys).withColumn("moved", F.coalesce(moved, F.lit(False))))
+        scratch.free(moving, following)
+        ended = known.where(~F.col("moved") if step + 1 < most_steps else F.lit(True)).drop("was", "moved")
+        estimate = ended if estimate is None else estimate.unionByName(ended)
+        moving = known.where("moved").drop("was", "moved")
+        if moving.isEmpty():
             break
+    estimate = scratch.cut(estimate)
     columns = [c for c in estimate.columns if c not in keys]
     best = estimate.groupBy("group").agg(F.min_by(F.struct(*columns), F.struct("logdet", "start")).alias("e"))
     return scratch.cut(best.select("group", "e.*"))
