@@ -9,9 +9,13 @@ from ..operators import facts
 from .catalog import query, table
 
 
+def seconds(ts: str = "ts"):
+    """Seconds since 2024 to the nearest whole one, halves to the even one, as the SQL casts them."""
+    return F.rint(F.col(ts).cast("timestamp").cast("double")) - 1704067200
+
+
 def spans(spark, sf, kind: str, width: str):
-    at = (F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200).cast("double")
-    rows = table(spark, sf, "events").where(F.col("event_type") == kind).select("user_id", F.col("event_id"), at.alias("s"))
+    rows = table(spark, sf, "events").where(F.col("event_type") == kind).select("user_id", F.col("event_id"), seconds().alias("s"))
     return rows.withColumn("e", F.col("s") + F.expr(width))
 
 

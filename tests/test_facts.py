@@ -104,3 +104,33 @@ def test_digest_of_a_table_knows_every_cell_and_no_partitioning(spark):
     assert digest == table_digest(make(rows[::-1]).repartition(13)) == table_digest(make(rows).select("t", "i"))
     others = [make(rows[:-1]), make([*rows, rows[0]]), make([(0, "")] + rows[1:]), make([(0, "t1")] + rows[1:]), make(rows, "i long, u string"), make(rows, "i int, t string"), make([]), make([], "i int, t string")]
     assert len({digest, *map(table_digest, others)}) == 1 + len(others)
+
+
+def same_as_sql(spark, path, name, tables):
+    """Rows of a query over `tables` (SQL by name), once its SQL in DuckDB gives the same."""
+    import duckdb
+
+    from tessera.plans import catalog
+
+    con = duckdb.connect()
+    for table, sql in tables.items():
+        con.sql(f"COPY ({sql}) TO '{path}/{table}.parquet'")
+        con.sql(f"CREATE VIEW {table} AS FROM '{path}/{table}.parquet'")
+    got = catalog.QUERIES[name](spark, str(path))
+    want = con.sql(catalog.ORACLES[name])
+    at = [want.columns.index(c) for c in got.columns]
+    rows = sorted(map(tuple, got.collect()), key=repr)
+    assert rows == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr)
+    return rows
+
+
+def events_sql(*rows):
+    """`events` of (event_id, seconds, user_id, event_type)."""
+    values = ", ".join(f"({i}::BIGINT, TIMESTAMP '2024-01-01' + to_microseconds(({s} * 1000000)::BIGINT), {u}::BIGINT, '{t}')" for i, s, u, t in rows)
+    return f"SELECT * FROM (VALUES {values}) AS e(event_id, ts, user_id, event_type)"
+
+
+def test_overlaps_at_parts_of_a_second_equal_sql(spark, tmp_path):
+    views = [(0, 100.4, 1, "view"), (10, 100.5, 2, "view"), (20, 101.5, 3, "view"), (30, 100.6, 4, "view")]
+    clicks = [(1 + 10 * u, at + 7200, u + 1, "click") for u, at in enumerate((100.6, 100.7, 102.5, 101.4))]
+    assert same_as_sql(spark, tmp_path, "j8_overlap_join", {"events": events_sql(*views, *clicks)}) == [(3, 21, 20), (4, 31, 30)]
