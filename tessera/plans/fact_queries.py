@@ -253,8 +253,7 @@ def w11(spark, sf):
         SELECT video, leaf, min(event_id) AS event_id FROM f JOIN o USING (video, leaf) WHERE f.s <= o.e AND f.s + 60 >= o.s GROUP BY 1, 2""",
 )
 def w13(spark, sf):
-    at = (F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200).cast("double")
-    rows = table(spark, sf, "events").select(F.col("user_id").alias("video"), F.col("event_type").alias("leaf"), "event_id", at.alias("start_sec")).withColumn("end_sec", F.col("start_sec") + 60)
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("video"), F.col("event_type").alias("leaf"), "event_id", seconds().alias("start_sec")).withColumn("end_sec", F.col("start_sec") + 60)
     first = rows.groupBy("video", "leaf").agg(F.min("start_sec").alias("m"))
     opportunities = first.select("video", "leaf", F.lit(True).alias("constructible"), F.array(F.struct((F.col("m") + 86400 * 5).alias("start_sec"), (F.col("m") + 86400 * 9).alias("end_sec"))).alias("intervals"))
     return facts.first_fact_per_leaf(rows, opportunities, "video", "event_id").select("video", "leaf", "event_id")

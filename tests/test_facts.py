@@ -126,7 +126,7 @@ def same_as_sql(spark, path, name, tables):
 
 def events_sql(*rows):
     """`events` of (event_id, seconds, user_id, event_type)."""
-    values = ", ".join(f"({i}::BIGINT, TIMESTAMP '2024-01-01' + to_microseconds(({s} * 1000000)::BIGINT), {u}::BIGINT, '{t}')" for i, s, u, t in rows)
+    values = ", ".join(f"({i}::BIGINT, TIMESTAMP '2024-01-01' + to_microseconds({round(s * 1e6)}), {u}::BIGINT, '{t}')" for i, s, u, t in rows)
     return f"SELECT * FROM (VALUES {values}) AS e(event_id, ts, user_id, event_type)"
 
 
@@ -134,3 +134,9 @@ def test_overlaps_at_parts_of_a_second_equal_sql(spark, tmp_path):
     views = [(0, 100.4, 1, "view"), (10, 100.5, 2, "view"), (20, 101.5, 3, "view"), (30, 100.6, 4, "view")]
     clicks = [(1 + 10 * u, at + 7200, u + 1, "click") for u, at in enumerate((100.6, 100.7, 102.5, 101.4))]
     assert same_as_sql(spark, tmp_path, "j8_overlap_join", {"events": events_sql(*views, *clicks)}) == [(3, 21, 20), (4, 31, 30)]
+
+
+def test_first_facts_at_parts_of_a_second_equal_sql(spark, tmp_path):
+    opens, closes = 5 * 86400, 9 * 86400
+    rows = [(0, 10.2, 1, "view"), (1, 10.2 + opens - 60.6, 1, "view"), (2, 10.4 + opens - 60, 1, "view"), (10, 10.2, 2, "view"), (11, 10.6 + closes, 2, "view"), (20, 10.5, 3, "view"), (21, 11.5 + closes, 3, "view"), (30, 10.6, 4, "view"), (31, 11.3 + closes, 4, "view")]
+    assert same_as_sql(spark, tmp_path, "w13_first_fact_per_leaf", {"events": events_sql(*rows)}) == [(1, "view", 1), (4, "view", 31)]
