@@ -145,7 +145,8 @@ def p16(spark, sf):
 def p18(spark, sf):
     kind = F.when(F.col("role") == "user", "entity_existence").otherwise("attribute_value")
     form = T.answer_form(F.lit("video_qa"), kind)
-    return table(spark, sf, "conversations").select("conv_id", "turn", T.alignment_problem(form, F.col("text"), F.col("text"), F.lit(True)).alias("problem"))
+    problem = T.alignment_problem(form, F.col("text"), F.col("text"), F.lit(True))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role").isNotNull(), problem).alias("problem"))
 
 
 @query("p19_answer_form", "SELECT conv_id, turn, CASE role WHEN 'system' THEN 'caption_complete_sentence' WHEN 'user' THEN 'polar_explained_sentence' ELSE 'direct_complete_sentence' END AS form FROM conversations")

@@ -115,7 +115,7 @@ def same_as_sql(spark, path, name, tables):
     con = duckdb.connect()
     for table, sql in tables.items():
         con.sql(f"COPY ({sql}) TO '{path}/{table}.parquet'")
-        con.sql(f"CREATE VIEW {table} AS FROM '{path}/{table}.parquet'")
+        con.sql(f"CREATE OR REPLACE VIEW {table} AS FROM '{path}/{table}.parquet'")
     got = catalog.QUERIES[name](spark, str(path))
     want = con.sql(catalog.ORACLES[name])
     at = [want.columns.index(c) for c in got.columns]
@@ -140,3 +140,14 @@ def test_first_facts_at_parts_of_a_second_equal_sql(spark, tmp_path):
     opens, closes = 5 * 86400, 9 * 86400
     rows = [(0, 10.2, 1, "view"), (1, 10.2 + opens - 60.6, 1, "view"), (2, 10.4 + opens - 60, 1, "view"), (10, 10.2, 2, "view"), (11, 10.6 + closes, 2, "view"), (20, 10.5, 3, "view"), (21, 11.5 + closes, 3, "view"), (30, 10.6, 4, "view"), (31, 11.3 + closes, 4, "view")]
     assert same_as_sql(spark, tmp_path, "w13_first_fact_per_leaf", {"events": events_sql(*rows)}) == [(1, "view", 1), (4, "view", 31)]
+
+
+def test_forms_of_answers_on_odd_texts_equal_sql(spark, tmp_path):
+    starts = ["Doó", "do", "Do x.", "Doñe", "was_", "waſ", "waſ x", "Waſx", "ıs it", "Is\u0301", "could\u0430", "yes", "Yes,", "yeſ, a b.", "yeſ", "yesé", "no\u0301", "NO", "Noé, a b.", "maybe", ""]
+    ends = ["", " a", ", it is so.", ",\x0bit is.", ", it\x0bis.", ", it is\r.", ", it is\u0085.", ", it is\u2028so.", ", it is\nso.", ",\nit is.", "\u00a0it is.", ", 😀 is!", ", it is.\n"]
+    texts = [b + s + e + b for s in starts for e in ends for b in ("", " ", "\u00a0", "\u3000 ", "\t", "\u200b")] + [None]
+    rows = [(i, k, role, t) for i, t in enumerate(texts) for k, role in enumerate(("user", "assistant", "system", None))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/rows")
+    odd = {"conversations": f"FROM '{tmp_path}/rows/*.parquet'"}
+    assert {r[2] for r in same_as_sql(spark, tmp_path, "p18_answer_alignment", odd)} == {None, "question is not polar", "answer is not an explained yes or no", "answer begins with yes or no"}
+    assert {r[2] for r in same_as_sql(spark, tmp_path, "p20_complete_sentence", odd)} == {None, True, False}
