@@ -25,9 +25,12 @@ NUMBERS = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL", "DOUBLE", "FLOAT")
 KINDS = {"object": ("OBJECT",), "array": ("ARRAY",), "string": ("STRING",), "boolean": ("BOOLEAN",), "null": ("VOID",), "number": NUMBERS}
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body(value)`, with the value computed once for a row."""
-    return F.transform(F.array(value), body)[0]
+def _let(value: Column, body: Callable[[Column], Column], kind: str = VIOLATION) -> Column:
+    """`body(value)`, of type `kind`, with the value computed once for a row.
+
+    A fold knows its type beforehand; an element taken out of a transformed array has its type derived from the whole body for each row.
+    """
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, x: body(x))
 
 
 def _fail(path: Column, rule: str) -> Column:
@@ -70,10 +73,16 @@ def _kind(value: Column) -> Column:
     return F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
 
 
-def _below(value: Column, path: Column, body: Callable[[_Node], Column], names: list[str] = ()) -> Column:
-    whole = _Node(value, None, path)
-    taken = [_let(whole.member(name), lambda v: F.struct(v.alias("v"), _kind(v).alias("k"))).alias(f"m{i}") for i, name in enumerate(names)]
-    return _let(F.struct(value.alias("v"), _kind(value).alias("k"), *taken), lambda s: body(_Node(s["v"], s["k"], path, {name: s[f"m{i}"] for i, name in enumerate(names)})))
+def _below(value: Column, path: Column, body: Callable[[_Node], Column], names: list[str] = (), kind: str = VIOLATION) -> Column:
+    """`body` of the node of `value`, which is computed once for a row, however often the node is asked."""
+    pair = lambda v: F.struct(v.alias("v"), _kind(v).alias("k"))
+
+    def within(v: Column) -> Column:
+        whole = _Node(v, None, path)
+        taken = [_let(whole.member(name), pair, "struct<v:variant,k:string>").alias(f"m{i}") for i, name in enumerate(names)]
+        return _let(F.struct(v.alias("v"), _kind(v).alias("k"), *taken), lambda s: body(_Node(s["v"], s["k"], path, {name: s[f"m{i}"] for i, name in enumerate(names)})), kind)
+
+    return _let(value, within, kind)
 
 
 def _equals(node: _Node, want: object) -> Column:
@@ -89,11 +98,11 @@ def _equals(node: _Node, want: object) -> Column:
         return node.of("STRING") & F.coalesce(node.string() == want, F.lit(False))
     if isinstance(want, list):
         same = node.of("ARRAY") & F.coalesce(F.size(node.array()) == len(want), F.lit(False))
-        parts = [_below(F.get(node.array(), i), node.path, lambda n, w=w: F.struct(_equals(n, w).alias("e")))["e"] for i, w in enumerate(want)]
+        parts = [_below(F.get(node.array(), i), node.path, lambda n, w=w: _equals(n, w), kind="boolean") for i, w in enumerate(want)]
     else:
         keys = F.array_sort(F.map_keys(node.map()))
         same = node.of("OBJECT") & F.coalesce(keys == F.array(*[F.lit(k) for k in sorted(want)]).cast("array<string>"), F.lit(False))
-        parts = [_below(node.member(k), node.path, lambda n, w=w: F.struct(_equals(n, w).alias("e")))["e"] for k, w in want.items()]
+        parts = [_below(node.member(k), node.path, lambda n, w=w: _equals(n, w), kind="boolean") for k, w in want.items()]
     for part in parts:
         same = same & F.coalesce(part, F.lit(False))
     return same
@@ -115,7 +124,7 @@ class _Compiler:
 
     def within(self, value: Column, path: Column, schema: dict | bool) -> Column:
         """The violation of a value that may be missing."""
-        return F.when(value.isNotNull(), self.below(value, path, schema))
+        return _let(value, lambda v: F.when(v.isNotNull(), self.below(v, path, schema)))
 
     def below(self, value: Column, path: Column, schema: dict | bool) -> Column:
         return _below(value, path, lambda n: self.check(n, schema), self.names(schema, []))
@@ -217,8 +226,8 @@ class _Compiler:
 
     def _entries(self, node, entries: Column, schema) -> Column:
         """The first violation among entries of a map, by key."""
-        found = F.transform(F.array_sort(F.map_keys(entries)), lambda k: self.within(F.try_element_at(entries, k), F.concat(node.path, F.lit("."), k), schema))
-        return F.when(node.of("OBJECT"), F.get(F.filter(found, lambda x: x.isNotNull()), 0))
+        one = lambda found, k: F.coalesce(found, self.within(F.try_element_at(entries, k), F.concat(node.path, F.lit("."), k), schema))
+        return F.when(node.of("OBJECT"), F.aggregate(F.array_sort(F.map_keys(entries)), F.lit(None).cast(VIOLATION), one))
 
     def _patternProperties(self, node, patterns, _):
         like = lambda pattern: F.map_filter(node.map(), lambda k, _: k.rlike(pattern))
@@ -263,8 +272,13 @@ class _Compiler:
 
     def _items(self, node, schema, around):
         past = len(around.get("prefixItems", ()))
-        found = F.transform(node.array(), lambda x, i: F.when(i >= past, self.within(x, self._place(node, i), schema)))
-        return [F.when(node.of("ARRAY"), F.get(F.filter(found, lambda x: x.isNotNull()), 0))]
+        start = F.struct(F.lit(0).alias("i"), F.lit(None).cast(VIOLATION).alias("found"))
+
+        def one(s, x):
+            violation = F.when(s["i"] >= past, self.within(x, self._place(node, s["i"]), schema))
+            return F.struct((s["i"] + 1).alias("i"), F.coalesce(s["found"], violation).alias("found"))
+
+        return [F.when(node.of("ARRAY"), F.aggregate(node.array(), start, one, lambda s: s["found"]))]
 
     def _contains(self, node, schema, _):
         return self._when(node, ("ARRAY",), ~F.exists(node.array(), lambda x: self.within(x, node.path, schema).isNull()), "contains")
@@ -300,4 +314,4 @@ def schema_violation(value: Column, schema: dict | bool | str) -> Column:
     """
     schema = json.loads(schema) if isinstance(schema, str) else schema
     compiler, path = _Compiler(schema), F.lit("$")
-    return F.when(value.isNull(), _fail(path, "json")).otherwise(compiler.below(value, path, schema))
+    return _let(value, lambda v: F.when(v.isNull(), _fail(path, "json")).otherwise(compiler.below(v, path, schema)))

@@ -81,7 +81,8 @@ def p3(spark, sf):
         "pair_id": F.when(k % 11 != 0, k.cast("string")), "media": media, "leaf_label": F.get(leaves, (k % 8).cast("int")), "conflict_slot": F.get(slots, F.when(k % 3 == 0, 1).otherwise(k % 8).cast("int")),
         "facts": F.col("f.fact"), "extra": F.when(k % 13 == 0, 1),
     }
-    documents = table(spark, sf, "orders").join(lines, "o_orderkey", "left").select("o_orderkey", F.to_json(F.struct(*[c.alias(n) for n, c in parts.items()])).alias("text"))
+    # Merged: a side that is sent leaves the few tasks that read the other one with all texts and their checks.
+    documents = table(spark, sf, "orders").join(lines.hint("merge"), "o_orderkey", "left").select("o_orderkey", F.to_json(F.struct(*[c.alias(n) for n, c in parts.items()])).alias("text"))
     return documents.select("o_orderkey", schema_violation(F.try_parse_json("text"), PAIR_SCHEMA).alias("v")).select("o_orderkey", "v.path", "v.rule")
 
 

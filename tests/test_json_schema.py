@@ -114,3 +114,13 @@ def test_paths_and_rules(spark):
 def test_schemas_that_are_refused(spark, schema):
     with pytest.raises(ValueError):
         schema_violation(F.lit(None).cast("variant"), schema)
+
+
+def test_documents_of_a_pair_are_checked_in_the_tasks_of_a_shuffle(spark):
+    """No side of the join is sent, so the other one's few files do not limit how many tasks check."""
+    from tessera.plans import catalog
+
+    df = catalog.QUERIES["p3_schema_validation"](spark, "/root/testdata/sf0.001")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
