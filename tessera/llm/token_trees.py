@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import base64
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -162,7 +164,11 @@ class TokenTree:
         window = window[: at - start] + inserted + window[end - start :]
         ends = {len(window): last}  # where leaves behind the edit end
         certain = len(window.rstrip())
-        pieces, position = [], 0
+        pieces = counter.pattern.findall(window)
+        stops = list(accumulate(map(len, pieces)))
+        if last < len(self.leaves):  # what follows may lengthen the rest
+            pieces = pieces[: bisect_left(stops, certain)]
+        position = stops[len(pieces) - 1] if pieces else 0
         while position not in ends or (position == 0 and window):
             match = counter.pattern.match(window, position)
             if last < len(self.leaves) and (match is None or match.end() >= certain):  # what follows may lengthen it

@@ -1097,3 +1097,20 @@ def test_a_rename_whose_answer_is_lost_is_a_commit(spark, tmp_path, monkeypatch,
     monkeypatch.setattr(sharding.ShardedTable, "_publish", lost)
     table.append(spark.range(15, 20).selectExpr("id AS doc_id")) if work == "append" else table.compact()
     assert sorted(r.doc_id for r in table.read().collect()) == list(range(20 if work == "append" else 15))
+
+
+def test_an_edit_reads_its_leaves_at_once(counter):
+    tried = []
+
+    class Counted:
+        findall = counter.pattern.findall
+
+        def match(self, *where):
+            tried.append(where)
+            return counter.pattern.match(*where)
+
+    seen = token_trees.PieceCounter.__new__(token_trees.PieceCounter)
+    seen.__dict__ |= counter.__dict__
+    seen.pattern = Counted()
+    tree = token_trees.TokenTree.build("some words " * 300, counter)
+    assert tree.edit(1500, 16, "[redacted]", seen) > 50 and len(tried) < 10
