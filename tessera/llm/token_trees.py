@@ -5,20 +5,20 @@ tokens below every node. Trees are kept in a table of one row a document, with t
 leaves, and each batch of edits makes the next version of that table. An edit descends by code points to
 the first leaf that it can change, reads pre-tokens from there on until one ends where an old leaf
 ends behind the edit, and replaces these leaves; sums change only on the paths above them. Other
-leaves are neither decoded nor encoded, and documents without edits do not leave the JVM. The
-pattern of pre-tokens looks ahead by one code point at most and never back, so this is exact.
+leaves are neither decoded nor encoded. Documents without edits pass through the same tasks as Arrow
+rows: a branch of their own would run whatever makes the trees a second time. The pattern of
+pre-tokens looks ahead by one code point at most and never back, so this is exact.
 """
 
 from __future__ import annotations
 
 import base64
 import sys
-from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +35,19 @@ def ranks_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+class Known(dict):
+    """Tokens by pre-token, which fills itself: from `older`, or by encoding."""
+
+    def __init__(self, encode, older: dict[str, int]):
+        super().__init__()
+        self.encode, self.older = encode, older
+
+    def __missing__(self, piece: str) -> int:
+        n = self.older.get(piece)
+        self[piece] = n = len(self.encode(piece)) if n is None else n
+        return n
+
+
 class PieceCounter:
     """Tokens of pre-tokens; those used last are remembered, about twice `room` at most."""
 
@@ -46,22 +59,19 @@ class PieceCounter:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
-        self.room, self.known, self.older = room, {}, {}
-
-    def learn(self, pieces: set[str]) -> None:
-        if len(self.known) > self.room:
-            self.older, self.known = self.known, {}
-        for piece in pieces.difference(self.known):
-            n = self.older.get(piece)
-            self.known[piece] = len(self.encoding.encode_ordinary(piece)) if n is None else n
+        self.room, self.known = room, Known(self.encoding.encode_ordinary, {})
 
     def rest(self) -> None:
         """Between tasks remember short pieces only, which come again most."""
-        self.known, self.older = {w: n for w, n in self.known.items() if len(w) <= 9}, {}
+        short = {w: n for w, n in self.known.items() if len(w) <= 9}
+        self.known = Known(self.encoding.encode_ordinary, {})
+        self.known.update(short)
 
-    def counts(self, pieces: list[str]) -> np.ndarray:
-        self.learn(set(pieces))
-        return np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+    def counts(self, pieces: list[str]) -> list[int]:
+        if len(self.known) > self.room:
+            older, self.known = self.known, Known(self.encoding.encode_ordinary, self.known)
+            older.older = {}
+        return list(map(self.known.__getitem__, pieces))
 
 
 def worker_counter(path: str) -> PieceCounter:
@@ -89,11 +99,9 @@ def _heap(leaves: np.ndarray) -> np.ndarray:
 
 def cut_leaves(pieces: list[str], counter: PieceCounter, leaf: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts, code points and tokens of leaves of `leaf` pre-tokens; no pre-tokens make no leaf."""
-    starts = np.arange(0, len(pieces), leaf)
-    if not len(starts):
-        return [], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-    return ["".join(pieces[k : k + leaf]) for k in starts], np.add.reduceat(lengths, starts), np.add.reduceat(counter.counts(pieces), starts)
+    tokens, starts = counter.counts(pieces), range(0, len(pieces), leaf)
+    texts = ["".join(pieces[k : k + leaf]) for k in starts]
+    return texts, np.array(list(map(len, texts)), dtype=np.int64), np.array([sum(tokens[k : k + leaf]) for k in starts], dtype=np.int64)
 
 
 class TokenTree:
@@ -165,10 +173,9 @@ class TokenTree:
         ends = {len(window): last}  # where leaves behind the edit end
         certain = len(window.rstrip())
         pieces = counter.pattern.findall(window)
-        stops = list(accumulate(map(len, pieces)))
-        if last < len(self.leaves):  # what follows may lengthen the rest
-            pieces = pieces[: bisect_left(stops, certain)]
-        position = stops[len(pieces) - 1] if pieces else 0
+        position = sum(map(len, pieces))
+        while last < len(self.leaves) and pieces and position >= certain:  # what follows may lengthen the rest
+            position -= len(pieces.pop())
         while position not in ends or (position == 0 and window):
             match = counter.pattern.match(window, position)
             if last < len(self.leaves) and (match is None or match.end() >= certain):  # what follows may lengthen it
@@ -222,30 +229,35 @@ def build_trees(docs: DataFrame, *, ranks: str | None = None, keep: tuple[str, .
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                trees = [TokenTree.build(t or "", counter) for t in batch.column("text").to_pylist()]
-                yield _stored(batch, keep, trees, [0] * len(trees))
+                yield _stored(batch, keep, [0] * batch.num_rows, [cut_leaves(counter.pattern.findall(t or ""), counter, LEAF) for t in batch.column("text").to_pylist()])
         counter.rest()
 
     return docs.select(*keep, "text").mapInArrow(run, _fields(docs, list(keep), TREE))
 
 
-def _stored(batch: pa.RecordBatch, keep, trees: list[TokenTree], versions: list[int], *more: pa.Array) -> pa.RecordBatch:
-    sums = [t.leaf_sums() for t in trees]
+def _stored(batch: pa.RecordBatch, keep, versions: list[int], trees: list[tuple[list, np.ndarray, np.ndarray]], leaves: pa.Array | None = None, *more: pa.Array) -> pa.RecordBatch:
+    """Trees as rows; `leaves` if given are their leaves, in the place of those in `trees`."""
+    texts, chars, tokens = zip(*trees, strict=True) if trees else ((), (), ())
     arrays = [
-        pa.array(versions, type=pa.int32()), pa.array([t.total for t in trees], type=pa.int64()), pa.array([t.leaves for t in trees], type=pa.list_(pa.string())),
-        pa.array([s[0] for s in sums], type=pa.list_(pa.int64())), pa.array([s[1] for s in sums], type=pa.list_(pa.int64())),
+        pa.array(versions, type=pa.int32()), pa.array([int(t.sum()) for t in tokens], type=pa.int64()), pa.array(texts, type=pa.list_(pa.string())) if leaves is None else leaves,
+        pa.array(chars, type=pa.list_(pa.int64())), pa.array(tokens, type=pa.list_(pa.int64())),
     ]
     names = [*keep, *TREE, *(list(REPORT) if more else [])]
     return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *arrays, *more], names=names)
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    values, ends = column.values.to_numpy(), column.offsets.to_pylist()
+    return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def apply_edits(trees: DataFrame, *, edits: str = "edits", ranks: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, the next version of every tree, tokens_before and reencoded, for stored trees with a column of edits.
 
     `edits` is an array of at, removed, inserted, in code points, applied in turn, each to the
     text that the last one left. Places beyond the text mean its end; null edits, and null parts
     of them, change nothing. `reencoded` counts all pre-tokens that were encoded. Trees with no
-    edits keep their version and pass by. Repeated ids are rows of their own; an empty table
+    edits keep their version and pass by, unread. Repeated ids are rows of their own; an empty table
     gives an empty result; other columns are ignored.
     """
     path = ranks or ranks_path()
@@ -254,9 +266,17 @@ def apply_edits(trees: DataFrame, *, edits: str = "edits", ranks: str | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_counter(path)
         for batch in batches:
+            some = pc.greater(pc.fill_null(pc.list_value_length(batch.column("edits")), 0), 0)
+            resting = batch.filter(pc.invert(some))
+            if resting.num_rows:
+                none = pa.array(np.zeros(resting.num_rows, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([*[resting.column(c) for c in (*keep, *TREE)], resting.column("n_tokens"), none], names=[*keep, *TREE, *REPORT])
+                batch = batch.filter(some)
+            if not batch.num_rows:
+                continue
             leaves = batch.column("leaves")
             texts, firsts = leaves.values, leaves.offsets.to_pylist()
-            chars, tokens = ([np.array(v, dtype=np.int64) for v in batch.column(c).to_pylist()] for c in ("leaf_chars", "leaf_tokens"))
+            chars, tokens = _lists(batch.column("leaf_chars")), _lists(batch.column("leaf_tokens"))
             changed, again = [], []
             for k, own in enumerate(batch.column("edits").to_pylist()):
                 tree = TokenTree(list(range(firsts[k], firsts[k + 1])), chars[k], tokens[k], stored=lambda i: texts[i].as_py())
@@ -271,17 +291,12 @@ def apply_edits(trees: DataFrame, *, edits: str = "edits", ranks: str | None = N
                     place += isinstance(leaf, str)
             ends = np.cumsum([0, *(len(t.leaves) for t in changed)]).astype(np.int32)
             kept_leaves = pa.ListArray.from_arrays(pa.array(ends), pool.take(pa.array(numbers, type=pa.int64())))
-            for t in changed:
-                t.leaves, t.stored = [None] * len(t.leaves), True
-            out = _stored(batch, keep, changed, [v + 1 for v in batch.column("version").to_pylist()], batch.column("n_tokens"), pa.array(again, type=pa.int64()))
-            at = out.schema.get_field_index("leaves")
-            yield out.set_column(at, "leaves", kept_leaves)
+            versions = [v + 1 for v in batch.column("version").to_pylist()]
+            yield _stored(batch, keep, versions, [(t.leaves, *t.leaf_sums()) for t in changed], kept_leaves, batch.column("n_tokens"), pa.array(again, type=pa.int64()))
         counter.rest()
 
     rows = trees.select(*keep, *TREE, F.col(edits).cast(EDIT).alias("edits"))
-    some = F.coalesce(F.size("edits") > 0, F.lit(False))
-    edited = rows.where(some).mapInArrow(run, _fields(trees, list(keep), TREE, REPORT))
-    return edited.unionByName(rows.where(~some).select(*keep, *TREE, F.col("n_tokens").alias("tokens_before"), F.lit(0).cast("long").alias("reencoded")))
+    return rows.mapInArrow(run, _fields(trees, list(keep), TREE, REPORT))
 
 
 def text_of(leaves: str = "leaves"):

@@ -1114,3 +1114,40 @@ def test_an_edit_reads_its_leaves_at_once(counter):
     seen.pattern = Counted()
     tree = token_trees.TokenTree.build("some words " * 300, counter)
     assert tree.edit(1500, 16, "[redacted]", seen) > 50 and len(tried) < 10
+
+
+def test_edits_run_what_makes_the_trees_once(spark, counter):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    docs = corpus(spark).select("doc_id", "text")
+    texts = [r.text or "" for r in docs.collect()]
+    edit = F.struct(F.lit(1).alias("at"), F.lit(2).alias("removed"), F.lit(" x").alias("inserted"))
+    edits = F.when(F.col("doc_id") % 3 == 0, F.array(edit)).when(F.col("doc_id") % 3 == 1, F.array().cast(token_trees.EDIT))
+    trees = token_trees.build_trees(docs.mapInArrow(counted, docs.schema)).withColumn("edits", edits)
+    out = token_trees.apply_edits(trees).withColumn("text", token_trees.text_of()).collect()
+    assert reads.value == len(texts) == len(out)
+    ids = [r.doc_id for r in docs.collect()]
+    expected = [(d, edited(t, [(1, 2, " x")]) if d is not None and d % 3 == 0 else t, int(d is not None and d % 3 == 0)) for d, t in zip(ids, texts, strict=True)]
+    assert sorted(map(str, expected)) == sorted(str((r.doc_id, r.text, r.version)) for r in out)
+    for r in out:
+        assert r.n_tokens == sum(r.leaf_tokens) == len(counter.encoding.encode_ordinary(r.text)) and sum(r.leaf_chars) == len(r.text) and r.reencoded >= 0
+        assert r.version or (r.reencoded, r.tokens_before) == (0, r.n_tokens)
+
+
+def test_counts_stay_right_as_what_is_known_turns_over():
+    import public_tokenizers
+
+    small = token_trees.PieceCounter(token_trees.ranks_path(), public_tokenizers.PATTERN, room=20)
+    rng = random.Random(4)
+    for _ in range(60):
+        text = words(rng, 12) + f" {rng.randrange(10**9)} antidisestablishment{rng.randrange(50)}"
+        pieces = small.pattern.findall(text)
+        assert small.counts(pieces) == [len(small.encoding.encode_ordinary(p)) for p in pieces]
+        assert max(len(small.known), len(small.known.older)) <= 20 + 40 and not getattr(small.known.older, "older", None)
+    small.rest()
+    assert all(len(p) <= 9 for p in small.known) and not small.known.older
